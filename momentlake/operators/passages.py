@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from momentlake.functions.text import (ANSWER_MARKERS, FILLER_OPENERS, clamp, ends_complete, ends_sentence,
                                        has_number, tokens)
@@ -36,12 +36,59 @@ def pivot_lexicon(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("lang", "term").agg(*flags, quote)
 
 
+def transcript_scan(words: DataFrame, pause_ms: int = 650, horizon_ms: int = 3000,
+                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """One ordered pass over the words. Adds
+
+    sid                     position of the first word of the sentence (a sentence ends at ``. ! ?``
+                            or before a pause of ``pause_ms``)
+    toks                    lower-case tokens
+    prev_tok, prev_tok_pos  last token before the word
+    prev_text               previous word
+    heads                   sentences that started at most ``horizon_ms`` ago
+
+    Every column is computed per chunk; what crosses a chunk edge is carried by a scan over one
+    summary row per chunk.
+    """
+    w = chunk_by_pos(words, rows=chunk_rows).withColumns({
+        "toks": tokens("text"), "_fin": ends_sentence("text"), "_end": F.col("t_ms") + F.col("d_ms")})
+    keys = ["media_id", CHUNK]
+    part = W.partitionBy(*keys).orderBy("pos")
+    recent = W.partitionBy(*keys).orderBy("t_ms").rangeBetween(1 - horizon_ms, 0)
+    tok = F.when(F.size("toks") > 0, F.struct(F.element_at("toks", -1).alias("tok"), F.col("pos").alias("pos")))
+    row = F.struct(F.col("_fin").alias("fin"), F.col("_end").alias("end"), F.col("text").alias("text"))
+    w = w.select("*", F.lag(row).over(part).alias("_p"), tok.alias("_tok"), F.first("pos").over(part).alias("_pos0"),
+                 F.last(tok, True).over(part.rowsBetween(W.unboundedPreceding, -1)).alias("_pt"))
+    starts = F.when(F.col("_p").isNotNull(), F.col("_p.fin") | (F.col("t_ms") - F.col("_p.end") >= pause_ms))
+    w = w.withColumn("_st", starts)
+    w = w.select("*", F.last(F.when(F.col("_st"), F.col("pos")), True).over(part.rowsBetween(W.unboundedPreceding, 0)).alias("_ls"),
+                 F.collect_list(F.when(F.coalesce("_st", F.lit(True)), F.struct("pos", "t_ms"))).over(recent).alias("_recent"))
+    summary = w.groupBy(*keys).agg(
+        F.min_by(F.struct("pos", "t_ms"), "pos").alias("_first"), F.max_by(row, "pos").alias("_last"),
+        F.max(F.when(F.col("_st"), F.col("pos"))).alias("_start"), F.max_by("_recent", "pos").alias("_tail"),
+        F.max_by("_tok", F.when(F.col("_tok").isNotNull(), F.col("pos"))).alias("_tok"))
+    over = W.partitionBy("media_id").orderBy(CHUNK)
+    before = over.rowsBetween(W.unboundedPreceding, -1)
+    c = summary.select("*", F.lag("_last").over(over).alias("_cl"), F.last("_tok", True).over(before).alias("_ct"))
+    edge = F.coalesce(F.col("_cl.fin") | (F.col("_first.t_ms") - F.col("_cl.end") >= pause_ms), F.lit(True))
+    c = c.withColumn("_edge", edge)
+    own = F.coalesce("_start", F.when(F.col("_edge"), F.col("_first.pos")))
+    tail = F.filter("_tail", lambda x: F.col("_edge") | (x["pos"] != F.col("_first.pos")))
+    c = c.select(*keys, "_cl", "_ct", "_edge", F.last(own, True).over(before).alias("_cs"), F.lag(tail).over(over).alias("_cr"))
+    j = w.join(c.where(F.col(CHUNK) > 0), keys, "left")
+    at_edge = F.coalesce("_edge", F.lit(True))
+    known = F.when(F.col("_cr").isNull(), F.col("_recent")).otherwise(F.concat("_cr", "_recent"))
+    heads = F.filter(known, lambda x: (x["pos"] <= F.col("pos")) & (F.col("t_ms") - x["t_ms"] < horizon_ms)
+                     & (at_edge | (x["pos"] != F.col("_pos0"))))
+    return j.select(*words.columns, CHUNK, "toks",
+                    F.coalesce("_ls", F.when(at_edge, F.col("_pos0")).otherwise(F.col("_cs"))).alias("sid"),
+                    F.coalesce("_pt.tok", "_ct.tok").alias("prev_tok"), F.coalesce("_pt.pos", "_ct.pos").alias("prev_tok_pos"),
+                    F.coalesce("_p.text", "_cl.text").alias("prev_text"), heads.alias("heads"))
+
+
 def segment_sentences(words: DataFrame, pause_ms: int = 650, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add the sentence number ``sid``: a sentence ends at ``. ! ?`` or before a long pause."""
-    w = scan(chunk_by_pos(words, rows=chunk_rows), ["media_id"], ["pos"], lead={"_next": "t_ms"})
-    ends = ends_sentence("text") | F.coalesce(F.col("_next") - F.col("t_ms") - F.col("d_ms") >= pause_ms, F.lit(False))
-    w = w.withColumn("_end", ends.cast("long"))
-    return scan(w, ["media_id"], ["pos"], sums={"sid": F.col("_end")}).drop("_next", "_end")
+    """Add the sentence id ``sid`` (position of the sentence's first word) to every word."""
+    return transcript_scan(words, pause_ms, chunk_rows=chunk_rows).select(*words.columns, "sid")
 
 
 def sentence_table(sentences: DataFrame) -> DataFrame:
@@ -50,35 +97,27 @@ def sentence_table(sentences: DataFrame) -> DataFrame:
         F.min("pos").alias("pos_lo"), F.max("pos").alias("pos_hi"))
 
 
-def token_stream(words: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Words with their tokens and the last token before them (``prev_tok``, ``prev_tok_pos``)."""
-    w = words if CHUNK in words.columns else chunk_by_pos(words, rows=chunk_rows)
-    w = w.withColumn("toks", tokens("text"))
-    last = F.when(F.size("toks") > 0, F.struct(F.element_at("toks", -1).alias("tok"), F.col("pos").alias("pos")))
-    w = scan(w, ["media_id"], ["pos"], before={"_prev": last})
-    return w.withColumns({"prev_tok": F.col("_prev.tok"), "prev_tok_pos": F.col("_prev.pos")}).drop("_prev")
-
-
-def explode_tokens(stream: DataFrame) -> DataFrame:
-    """One row per token and per adjacent pair. A pair belongs to its second token;
-    ``cross`` marks the pair that starts in an earlier word."""
+def explode_tokens(stream: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row per token and per adjacent pair (one empty row for a word without tokens). A pair
+    belongs to its second token; ``cross`` marks the pair that starts in an earlier word.
+    ``k`` is 1 on the first row of a word."""
     t = F.col("toks")
     chain = F.when(F.col("prev_tok").isNotNull() & (F.size(t) > 0), F.concat(F.array("prev_tok"), t)).otherwise(t)
-    item = "struct<a:string,token:string,pair:boolean,cross:boolean>"
-    singles = F.transform(t, lambda x: F.struct(F.lit(None).cast("string").alias("a"), x.alias("token"),
-                                                F.lit(False).alias("pair"), F.lit(False).alias("cross")))
+    item = "struct<k:int,a:string,token:string,pair:boolean,cross:boolean>"
+    none = F.lit(None).cast("string")
+    singles = F.transform(t, lambda x, i: F.struct((i + 1).cast("int").alias("k"), none.alias("a"), x.alias("token"),
+                                                   F.lit(False).alias("pair"), F.lit(False).alias("cross")))
     pairs = F.when(F.size(chain) > 1, F.transform(
         F.sequence(F.lit(2), F.size(chain)),
-        lambda i: F.struct(F.element_at(chain, i - 1).alias("a"),
+        lambda i: F.struct((i + 1000).cast("int").alias("k"), F.element_at(chain, i - 1).alias("a"),
                            F.concat_ws(" ", F.element_at(chain, i - 1), F.element_at(chain, i)).alias("token"),
                            F.lit(True).alias("pair"),
                            ((i == 2) & F.col("prev_tok").isNotNull()).alias("cross")))
                    ).otherwise(F.array().cast(f"array<{item}>"))
-    return stream.withColumn("_t", F.explode_outer(F.concat(singles, pairs))).select(
-        *[c for c in stream.columns if c not in ("toks", "prev_tok")],
-        F.get("toks", F.lit(0)).alias("first_tok"),
-        F.when(F.size("toks") > 0, F.element_at("toks", -1)).alias("last_tok"),
-        "_t.a", "_t.token", "_t.pair", "_t.cross")
+    blank = F.array(F.struct(F.lit(1).alias("k"), none.alias("a"), none.alias("token"), F.lit(False).alias("pair"),
+                             F.lit(False).alias("cross")))
+    return stream.withColumn("_t", F.explode(F.when(F.size(t) > 0, F.concat(singles, pairs)).otherwise(blank))).select(
+        *keep, F.size(t).alias("n_toks"), "_t.k", "_t.a", "_t.token", "_t.pair", "_t.cross")
 
 
 def lexicon_hits(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -88,167 +127,142 @@ def lexicon_hits(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.withColumns({r: F.coalesce(r, F.lit(0)) for r in (*ROLES, "quote")})
 
 
-def word_features(words: DataFrame, lexicon: DataFrame, phrases: Sequence[str],
-                  markers: Sequence[str] = tuple(ANSWER_MARKERS), question: str = "?",
-                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Per word: token counts and lexicon hits (``h_*``), the share of the crossing pair
-    (``x_*``), phrase, question and answer flags. ``words`` must carry ``sid`` and ``lang``."""
-    stream = token_stream(words, chunk_rows)
-    toks = lexicon_hits(explode_tokens(stream), lexicon)
-    keys = ["media_id", CHUNK, "pos", "t_ms", "d_ms", "text", "sid", "lang", "prev_tok_pos", "first_tok", "last_tok"]
-    add = ("hook", "emotion", "second_person", "quote", "enumeration", "controversy")
-    single = ~F.col("pair")
-
-    def count(cond):
-        return F.coalesce(F.sum(cond.cast("long")), F.lit(0))
-
-    aggs = [count(single).alias("n_single"), count(F.col("pair")).alias("n_pair"), count(F.col("cross")).alias("x_pair")]
-    for r in add:
-        aggs += [F.sum(r).alias(f"h_{r}"), F.sum(F.when(F.col("cross"), F.col(r)).otherwise(0)).alias(f"x_{r}")]
-    aggs += [F.max(F.when(single & (F.col("token") == F.col("first_tok")), F.col("dangling"))).alias("first_dangling"),
-             F.max(F.when(single & (F.col("token") == F.col("last_tok")), F.col("dangling"))).alias("last_dangling"),
-             F.sum(F.when(F.col("hook") + F.col("emotion") + F.col("quote_extra") > 0, 1).otherwise(0)).alias("h_strong"),
-             F.sum(F.when(F.col("cross") & (F.col("hook") + F.col("emotion") + F.col("quote_extra") > 0), 1)
-                   .otherwise(0)).alias("x_strong")]
-    for i, p in enumerate(phrases):
-        a, b = p.split(" ")
-        hit = F.col("pair") & F.col("a").endswith(a) & F.substring_index("token", " ", -1).startswith(b)
-        aggs += [F.max(hit & ~F.col("cross")).alias(f"p_{i}"), F.max(hit & F.col("cross")).alias(f"px_{i}")]
-    w = toks.groupBy(*keys).agg(*aggs)
-    low = F.lower("text")
-    one = [m for m in markers if " " not in m]
-    return w.withColumns({
-        "digit": has_number("text").cast("long"),
-        "question": F.rtrim("text").endswith(question),
-        "weak_first": (F.col("first_dangling") == 1) | F.col("first_tok").isin(FILLER_OPENERS),
-        "marker": F.exists(F.array(*[F.lit(m) for m in one]), lambda m: F.contains(low, m)),
-        "complete": ends_complete("text")})
-
-
-def mark_pair_answers(words: DataFrame, markers: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Flag the word that completes a two-word answer marker started by the word before it."""
-    two = [m.split(" ") for m in markers if " " in m]
-    w = words if CHUNK in words.columns else chunk_by_pos(words, rows=chunk_rows)
-    if not two:
-        return w.withColumn("marker2", F.lit(False))
-    w = scan(w, ["media_id"], ["pos"], lag={"_prev_text": "text"})
-    hit = F.lit(False)
-    for a, b in two:
-        hit = hit | (F.lower("_prev_text").endswith(a) & F.lower("text").startswith(b))
-    return w.withColumn("marker2", F.coalesce(hit, F.lit(False))).drop("_prev_text")
-
-
-def opening_features(word_feats: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Features of the first seconds after each sentence start: hook strength, instant hook
-    and swipe resistance with their reasons. Exact for passages of at least 3 s."""
-    heads = sentences.select("media_id", F.col("sid").alias("head_sid"), F.col("start_ms").alias("_t0"),
-                             F.col("pos_lo").alias("_p0"))
-    w = word_feats.select("media_id", "pos", "t_ms", "prev_tok_pos", "n_single", "h_hook", "x_hook", "h_second_person",
-                          "x_second_person", "question", "digit", "weak_first")
-    j = range_join(w, heads, "t_ms", F.col("_t0"), F.col("_t0") + 2999, width=10_000).where("pos >= _p0")
-    first = F.coalesce(F.col("prev_tok_pos") < F.col("_p0"), F.lit(True)) & (F.col("n_single") > 0)
-
-    def eff(role):
-        return F.col(f"h_{role}") - F.when(first, F.col(f"x_{role}")).otherwise(0)
-
-    age = F.col("t_ms") - F.col("_t0")
-    two, early = age < 2000, age < 1500
-    any_signal = (eff("hook") > 0) | (eff("second_person") > 0) | F.col("question") | (F.col("digit") > 0)
-
-    def within(cond, v):
-        return F.coalesce(F.max(F.when(cond, v)), F.lit(False))
-
-    g = j.groupBy("media_id", "head_sid").agg(
-        F.sum("n_single").alias("n3"), F.sum(F.when(two, F.col("n_single")).otherwise(0)).alias("n2"),
-        F.sum(eff("hook")).alias("hooks"), F.sum(eff("second_person")).alias("you"),
-        F.max("question").alias("q3"), (F.max("digit") > 0).alias("num3"), within(early, any_signal).alias("early"),
-        within(two, eff("hook") > 0).alias("hook2"), within(two, eff("second_person") > 0).alias("you2"),
-        within(two, F.col("question")).alias("q2"), within(two, F.col("digit") > 0).alias("num2"),
-        within(two & first, F.col("weak_first")).alias("weak"), F.sum(two.cast("int")).alias("words2"))
-    b = {c: F.col(c).cast("int") for c in ("q3", "num3", "early", "hook2", "you2", "q2", "num2")}
-    hook = clamp(0.30 * F.least("hooks", F.lit(2)) / 2 + 0.18 * F.least("you", F.lit(2)) / 2
-                 + 0.24 * b["q3"] + 0.12 * b["num3"] + 0.16 * b["early"])
-    instant = clamp(0.30 * b["hook2"] + 0.22 * b["you2"] + 0.22 * b["q2"] + 0.18 * b["num2"]
-                    + F.when(F.col("weak"), -0.20).otherwise(0.10))
-    g = g.withColumns({
-        "f_hook": F.when(F.col("n3") > 0, hook).otherwise(0.0),
-        "f_instant_hook": F.when(F.col("n2") > 0, instant).otherwise(0.0)})
-    wps = F.col("words2") / 2.0
-    swipe = (0.55 * F.col("f_instant_hook") + 0.25 * F.when(wps.between(1.4, 4.8), 1.0).otherwise(0.35)
-             + 0.20 * F.when(F.col("words2") >= 3, 1.0).otherwise(0.45) - F.when(F.col("weak"), 0.25).otherwise(0.0))
-    return g.select(
-        "media_id", F.col("head_sid").alias("sid"), "f_hook", "f_instant_hook", clamp(swipe).alias("f_swipe"),
-        F.when(F.col("n3") == 0, "")
-        .when(F.col("early") & ((F.col("hooks") > 0) | F.col("q3") | F.col("num3")), "Hooks in the first 1.5s")
-        .when(F.col("q3"), "Opens with a question").when(F.col("hooks") > 0, "Curiosity hook up front")
-        .when(F.col("you") > 0, "Speaks directly to the viewer").otherwise("Opens on a concrete detail").alias("r_hook"),
-        F.when(F.col("n2") == 0, "")
-        .when(F.col("hook2") | F.col("you2") | F.col("q2") | F.col("num2"), "First 2s hook lands")
-        .when(~F.col("weak"), "Clean opening beat").otherwise("Soft opening beat").alias("r_instant_hook"),
-        F.when(swipe >= 0.55, "Low swipe-away risk").otherwise("Opening may lose viewers").alias("r_swipe"))
-
-
 ADDITIVE = ("n_single", "n_pair", "h_emotion", "h_quote", "h_enumeration", "h_controversy", "digit")
+EDGE = ("x_pair", "x_emotion", "x_quote", "x_enumeration", "x_controversy")
 
 
 def sentence_features(words: DataFrame, lexicon: DataFrame, phrases: Sequence[str],
                       markers: Sequence[str] = tuple(ANSWER_MARKERS), question: str = "?",
-                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """One row per sentence with opening features, closing flags and running totals."""
-    w = segment_sentences(resolve_language(words, lexicon), chunk_rows=chunk_rows)
-    wf = word_features(w, lexicon, phrases, markers, question, chunk_rows)
-    wf = mark_pair_answers(wf, markers, chunk_rows)
-    n_first = F.when((F.col("n_single") > 0), F.col("pos"))
-    aggs = [F.min_by("t_ms", "pos").alias("start_ms"), F.max_by(F.col("t_ms") + F.col("d_ms"), "pos").alias("end_ms"),
-            F.min("pos").alias("pos_lo"), F.max("pos").alias("pos_hi"), F.max_by("complete", "pos").alias("complete"),
-            F.max_by("question", "pos").alias("_asks"), F.min_by("first_dangling", "pos").alias("first_dangling"),
-            F.max(F.when(F.col("marker"), F.col("pos"))).alias("_mk"),
-            F.max(F.when(F.col("marker2"), F.col("pos"))).alias("_mk2")]
-    aggs += [F.sum(c).alias(f"s_{c}") for c in ADDITIVE]
-    aggs += [F.min_by(F.struct("x_pair", "x_emotion", "x_quote", "x_enumeration", "x_controversy"), n_first).alias("_x")]
-    aggs += [F.min(F.when(F.col("n_single") > 0, F.col("pos"))).alias("_tok_lo")]
-    for i in range(len(phrases)):
-        aggs += [F.max(F.when(F.col(f"p_{i}"), F.col("pos") * 2 + 1).when(F.col(f"px_{i}"), F.col("pos") * 2)).alias(f"_p{i}")]
-    s = wf.groupBy("media_id", "sid", "lang").agg(*aggs)
-    op = opening_features(wf, s)
-    s = s.join(op, ["media_id", "sid"])
+                      pause_ms: int = 650, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """One row per sentence: features of the seconds after its start, flags of its last word and
+    running totals. One shuffle of the words, then everything is sentence-sized.
+
+    Opening features are exact for passages of at least 3 s, which is the shortest allowed.
+    """
+    w = transcript_scan(resolve_language(words, lexicon), pause_ms, chunk_rows=chunk_rows)
+    low, prev = F.lower("text"), F.lower("prev_text")
+    marker2 = F.lit(False)
+    for m in markers:
+        if " " in m:
+            a, b = m.split(" ")
+            marker2 = marker2 | (prev.endswith(a) & low.startswith(b))
+    one = [m for m in markers if " " not in m]
+    w = w.withColumns({
+        "digit": has_number("text").cast("int"), "asks": F.rtrim("text").endswith(question), "complete": ends_complete("text"),
+        "marker": F.exists(F.array(*[F.lit(m) for m in one]), lambda m: F.contains(low, m)),
+        "marker2": F.coalesce(marker2, F.lit(False)), "end": F.col("t_ms") + F.col("d_ms")})
+    toks = lexicon_hits(explode_tokens(w, ["media_id", "lang", "pos", "t_ms", "end", "sid", "prev_tok_pos", "heads", "digit", "asks",
+                                           "complete", "marker", "marker2"]), lexicon)
+    own = F.array(F.struct(F.col("sid").alias("pos"), F.lit(None).cast("bigint").alias("t_ms")))
+    rows = toks.withColumn("_g", F.explode(F.concat(own, F.col("heads"))))
+    target, t0 = F.col("_g.pos"), F.col("_g.t_ms")
+    mine = t0.isNull()
+    word = F.col("k") == 1
+    # the pair that starts before the target does not belong to it
+    inside = ~F.col("cross") | F.coalesce(F.col("prev_tok_pos") >= target, F.lit(False))
+    opener = word & (F.col("n_toks") > 0) & F.coalesce(F.col("prev_tok_pos") < target, F.lit(True))
+    two, early = F.col("t_ms") - t0 < 2000, F.col("t_ms") - t0 < 1500
+    single = (~F.col("pair")) & F.col("token").isNotNull()
+    weak = opener & ((F.col("dangling") == 1) | F.col("token").isin(FILLER_OPENERS))
+    code = (F.col("pos") * 64 + F.col("cross").cast("int") * (
+        F.lit(1) + F.col("emotion") * 2 + F.col("quote") * 4 + F.col("enumeration") * 8 + F.col("controversy") * 16))
+
+    def num(c):
+        return c.cast("int")
+
+    flags = {
+        "target": target, "pos": F.col("pos"), "end": F.col("end"), "mine": mine,
+        "m_word": mine & word, "complete": F.col("complete"), "asks": F.col("asks"), "start": F.when(F.col("pos") == target, F.col("t_ms")),
+        "m_n_single": num(mine & single), "m_n_pair": num(mine & F.col("pair")),
+        "m_h_emotion": F.when(mine, F.col("emotion")).otherwise(0), "m_h_quote": F.when(mine, F.col("quote")).otherwise(0),
+        "m_h_enumeration": F.when(mine, F.col("enumeration")).otherwise(0),
+        "m_h_controversy": F.when(mine, F.col("controversy")).otherwise(0),
+        "m_digit": F.when(mine & word, F.col("digit")).otherwise(0),
+        "m_code": F.when(mine & (F.col("cross") | (word & (F.col("n_toks") > 0) & F.col("prev_tok_pos").isNull())), code),
+        "m_dang": num(mine & opener & (F.col("pos") == target) & (F.col("dangling") == 1)),
+        "m_mk": F.when(mine & F.col("marker"), F.col("pos")), "m_mk2": F.when(mine & F.col("marker2"), F.col("pos")),
+        "g_n3": num(~mine & single), "g_n2": num(~mine & single & two), "g_words2": num(~mine & word & two),
+        "g_hooks": F.when(~mine & inside, F.col("hook")).otherwise(0), "g_you": F.when(~mine & inside, F.col("second_person")).otherwise(0),
+        "g_q3": num(~mine & F.col("asks")), "g_num3": num(~mine & (F.col("digit") > 0)),
+        "g_early": num(~mine & early & (F.col("asks") | (F.col("digit") > 0) | (inside & (F.col("hook") + F.col("second_person") > 0)))),
+        "g_hook2": num(~mine & two & inside & (F.col("hook") > 0)), "g_you2": num(~mine & two & inside & (F.col("second_person") > 0)),
+        "g_q2": num(~mine & two & F.col("asks")), "g_num2": num(~mine & two & (F.col("digit") > 0)), "g_weak": num(~mine & two & weak)}
+    for i, p in enumerate(phrases):
+        a, b = p.split(" ")
+        hit = mine & F.col("pair") & F.col("a").endswith(a) & F.substring_index("token", " ", -1).startswith(b)
+        flags[f"m_p{i}"] = F.when(hit, F.col("pos") * 2 + num(~F.col("cross")))
+    flat = rows.select("media_id", *[c.alias(n) for n, c in flags.items()])
+    sums = ["g_n3", "g_n2", "g_words2", "g_hooks", "g_you"]
+    tops = ["g_q3", "g_num3", "g_early", "g_hook2", "g_you2", "g_q2", "g_num2", "g_weak", "m_dang", "m_mk", "m_mk2"]
+    at_word = F.when(F.col("m_word"), F.col("pos"))
+    s = flat.groupBy("media_id", F.col("target").alias("sid")).agg(
+        F.max("start").alias("start_ms"), F.max_by("end", at_word).alias("end_ms"), F.max(at_word).alias("pos_hi"),
+        F.max_by("complete", at_word).alias("complete"), F.max_by("asks", at_word).alias("_asks"), F.min("m_code").alias("_code"),
+        *[F.sum(f"m_{c}").alias(f"s_{c}") for c in ADDITIVE], *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in tops],
+        *[F.max(f"m_p{i}").alias(f"_p{i}") for i in range(len(phrases))])
+    n = range(len(phrases))
     sc = scan(chunk_by_pos(s, "sid", chunk_rows), ["media_id"], ["sid"],
               sums={f"b_{c}": F.col(f"s_{c}") for c in ADDITIVE},
-              maxes={"_end_b": F.col("end_ms"), "_mk_b": F.col("_mk"), "_mk2_b": F.col("_mk2"),
-                     **{f"_pb{i}": F.col(f"_p{i}") for i in range(len(phrases))}},
-              after={"_q_a": F.when(F.col("_asks"), F.col("pos_hi")), "_x_a": F.col("_x"), "_tl_a": F.col("_tok_lo")})
+              maxes={"_end_b": F.col("end_ms"), "_mk_b": F.col("m_mk"), "_mk2_b": F.col("m_mk2"), **{f"_pb{i}": F.col(f"_p{i}") for i in n}},
+              after={"_q_a": F.when(F.col("_asks"), F.col("pos_hi")), "_code_a": F.col("_code")})
     none = F.lit(-1).cast("bigint")
-    out = {"end_max": F.greatest("end_ms", "_end_b"),
-           "next_q": F.when(F.col("_asks"), F.col("pos_hi")).otherwise(F.col("_q_a")),
-           "tok_lo": F.coalesce("_tok_lo", "_tl_a"),
-           "mk_last": F.greatest(F.coalesce("_mk", none), F.coalesce("_mk_b", none)),
-           "mk2_last": F.greatest(F.coalesce("_mk2", none), F.coalesce("_mk2_b", none))}
-    for c in ("x_pair", "x_emotion", "x_quote", "x_enumeration", "x_controversy"):
-        out[c] = F.coalesce(F.col("_x")[c], F.col("_x_a")[c], F.lit(0))
-    for c in ADDITIVE:
-        out[f"e_{c}"] = F.col(f"b_{c}") + F.col(f"s_{c}")
-    for i in range(len(phrases)):
-        out[f"ph_{i}"] = F.greatest(F.coalesce(f"_p{i}", none), F.coalesce(f"_pb{i}", none))
-    return sc.withColumns(out)
+
+    def upto(own_col, past_col):
+        return F.greatest(F.coalesce(own_col, none), F.coalesce(past_col, none))
+
+    first_code = F.coalesce("_code", "_code_a", F.lit(0))
+    edge = {x: F.shiftright(first_code, i).bitwiseAND(1) for i, x in enumerate(EDGE)}
+    return _opening(sc).select(
+        "media_id", "sid", "start_ms", "end_ms", F.col("sid").alias("pos_lo"), "pos_hi", "complete", F.col("m_dang").alias("first_dangling"),
+        F.greatest("end_ms", "_end_b").alias("end_max"), "f_hook", "f_instant_hook", "f_swipe", "r_hook", "r_instant_hook", "r_swipe",
+        F.when(F.col("_asks"), F.col("pos_hi")).otherwise(F.col("_q_a")).alias("next_q"), F.floor(first_code / 64).alias("tok_lo"),
+        upto("m_mk", "_mk_b").alias("mk_last"), upto("m_mk2", "_mk2_b").alias("mk2_last"), *[c.alias(x) for x, c in edge.items()],
+        *[f"b_{c}" for c in ADDITIVE], *[(F.col(f"b_{c}") + F.col(f"s_{c}")).alias(f"e_{c}") for c in ADDITIVE],
+        *[upto(f"_p{i}", f"_pb{i}").alias(f"ph_{i}") for i in n])
+
+
+def _opening(g: DataFrame) -> DataFrame:
+    """Hook strength, instant hook and swipe resistance with their reasons."""
+    hook = clamp(0.30 * F.least("g_hooks", F.lit(2)) / 2 + 0.18 * F.least("g_you", F.lit(2)) / 2
+                 + 0.24 * F.col("g_q3") + 0.12 * F.col("g_num3") + 0.16 * F.col("g_early"))
+    soft = F.col("g_weak") == 1
+    instant = clamp(0.30 * F.col("g_hook2") + 0.22 * F.col("g_you2") + 0.22 * F.col("g_q2") + 0.18 * F.col("g_num2")
+                    + F.when(soft, -0.20).otherwise(0.10))
+    wps = F.col("g_words2") / 2.0
+    instant = F.when(F.col("g_n2") > 0, instant).otherwise(0.0)
+    swipe = (0.55 * instant + 0.25 * F.when(wps.between(1.4, 4.8), 1.0).otherwise(0.35)
+             + 0.20 * F.when(F.col("g_words2") >= 3, 1.0).otherwise(0.45) - F.when(soft, 0.25).otherwise(0.0))
+    return g.withColumns({
+        "f_hook": F.when(F.col("g_n3") > 0, hook).otherwise(0.0), "f_instant_hook": instant, "f_swipe": clamp(swipe),
+        "r_hook": F.when(F.col("g_n3") == 0, "")
+        .when((F.col("g_early") == 1) & ((F.col("g_hooks") > 0) | (F.col("g_q3") + F.col("g_num3") > 0)), "Hooks in the first 1.5s")
+        .when(F.col("g_q3") == 1, "Opens with a question").when(F.col("g_hooks") > 0, "Curiosity hook up front")
+        .when(F.col("g_you") > 0, "Speaks directly to the viewer").otherwise("Opens on a concrete detail"),
+        "r_instant_hook": F.when(F.col("g_n2") == 0, "")
+        .when(F.col("g_hook2") + F.col("g_you2") + F.col("g_q2") + F.col("g_num2") > 0, "First 2s hook lands")
+        .when(~soft, "Clean opening beat").otherwise("Soft opening beat"),
+        "r_swipe": F.when(swipe >= 0.55, "Low swipe-away risk").otherwise("Opening may lose viewers")})
 
 
 def closing_features(words: DataFrame, lexicon: DataFrame, spans: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Replay value per span: clean end, strong last four words, concise, no dangling last token.
-    ``spans(media_id, span_id, pos_lo, pos_hi, start_ms, end_ms)``."""
-    w = segment_sentences(resolve_language(words, lexicon), chunk_rows=chunk_rows)
-    wf = word_features(w, lexicon, [], [], "?", chunk_rows)
+    ``spans(media_id, span_id, pos_lo, pos_hi, start_ms, end_ms)``. Only the last four words of
+    each span are looked at."""
+    low = F.greatest("pos_lo", F.col("pos_hi") - 3)
     tail = spans.select("media_id", "span_id", (F.col("end_ms") - F.col("start_ms")).alias("_d"), F.col("pos_hi").alias("_hi"),
-                        F.explode(F.sequence(F.greatest("pos_lo", F.col("pos_hi") - 3), F.col("pos_hi"))).alias("pos"),
-                        F.greatest("pos_lo", F.col("pos_hi") - 3).alias("_lo"))
-    j = wf.join(tail, ["media_id", "pos"])
-    first = F.coalesce(F.col("prev_tok_pos") < F.col("_lo"), F.lit(True))
-    strong = F.col("h_strong") - F.when(first, F.col("x_strong")).otherwise(0)
+                        low.alias("_lo"), F.explode(F.sequence(low, F.col("pos_hi"))).alias("pos"))
+    w = resolve_language(words, lexicon).join(tail, ["media_id", "pos"])
+    per_span = W.partitionBy("media_id", "span_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    w = w.withColumn("toks", tokens("text"))
+    w = w.withColumn("prev_tok", F.last(F.when(F.size("toks") > 0, F.element_at("toks", -1)), True).over(per_span))
+    t = lexicon_hits(explode_tokens(w, ["media_id", "lang", "span_id", "pos", "_d", "_hi", "text"]), lexicon)
     is_last = F.col("pos") == F.col("_hi")
-    g = j.groupBy("media_id", "span_id", "_d").agg(
-        F.max(F.when(is_last, F.col("complete"))).alias("c"), F.sum(strong).alias("s"),
-        F.max(F.when(is_last, F.col("last_dangling"))).alias("d"))
-    raw = (F.when(F.col("c"), 0.5).otherwise(0.0) + F.when(F.col("s") > 0, 0.25).otherwise(0.0)
-           + F.when(F.col("_d") <= 35000, 0.25).otherwise(0.0) - F.when(F.col("d") == 1, 0.35).otherwise(0.0))
+    strong = (F.col("hook") + F.col("emotion") + F.col("quote_extra") > 0).cast("int")
+    last_single = is_last & ~F.col("pair") & (F.col("k") == F.col("n_toks"))
+    g = t.groupBy("media_id", "span_id", "_d").agg(
+        F.max((is_last & ends_complete("text")).cast("int")).alias("c"), F.max(strong).alias("s"),
+        F.max((last_single & (F.col("dangling") == 1)).cast("int")).alias("d"))
+    raw = (0.5 * F.col("c") + 0.25 * F.col("s") + F.when(F.col("_d") <= 35000, 0.25).otherwise(0.0) - 0.35 * F.col("d"))
     return g.select("media_id", "span_id", clamp(raw).alias("replay"))
 
 
@@ -267,13 +281,6 @@ def candidate_spans(sents: DataFrame, settings: DataFrame, width_ms: int = 60_00
                    & (F.col(tall) - F.col("a_start_ms") <= F.col("max_len_ms")))
 
 
-def candidate_sentence_columns(n_phrases: int) -> list[str]:
-    return (["media_id", "sid", "start_ms", "end_ms", "pos_lo", "pos_hi", "end_max", "complete", "first_dangling",
-             "f_hook", "f_instant_hook", "f_swipe", "r_hook", "r_instant_hook", "r_swipe", "next_q", "tok_lo", "mk_last",
-             "mk2_last", "x_pair", "x_emotion", "x_quote", "x_enumeration", "x_controversy"]
-            + [f"b_{c}" for c in ADDITIVE] + [f"e_{c}" for c in ADDITIVE] + [f"ph_{i}" for i in range(n_phrases)])
-
-
 def passage_features(cands: DataFrame, n_phrases: int) -> DataFrame:
     """Turn joined sentence pairs into candidates with the eleven features ``f_*``."""
     def span(c, x=None):
@@ -305,8 +312,7 @@ def passage_features(cands: DataFrame, n_phrases: int) -> DataFrame:
     answers = (F.col("z_mk_last") >= split) | (F.col("z_mk2_last") > split)
     qa = F.when(~asks, 0.0).when(answers, 0.8).otherwise(0.4)
     return cands.select(
-        "media_id", "platform", "min_len_ms", "max_len_ms", "target_clips", F.col("a_sid").alias("sid_lo"),
-        F.col("z_sid").alias("sid_hi"), F.col("a_start_ms").alias("start_ms"), F.col("z_end_ms").alias("end_ms"),
+        "media_id", "platform", "min_len_ms", "max_len_ms", "target_clips", F.col("a_start_ms").alias("start_ms"), F.col("z_end_ms").alias("end_ms"),
         F.col("a_pos_lo").alias("pos_lo"), F.col("z_pos_hi").alias("pos_hi"), n_words.alias("n_words"),
         F.col("a_f_instant_hook").alias("f_instant_hook"), F.col("a_f_swipe").alias("f_swipe"), F.col("a_f_hook").alias("f_hook"),
         emotion.alias("f_emotion"), clamp(clarity).alias("f_clarity"), quote.alias("f_quote"), pace.alias("f_pace"),
@@ -321,7 +327,7 @@ def span_counts(cands: DataFrame) -> DataFrame:
         return v - F.col(f"a_{x}") if x else v
     some = span("n_single") > 0
     return cands.select(
-        "media_id", F.col("a_sid").alias("sid_lo"), F.col("z_sid").alias("sid_hi"),
+        "media_id", F.col("a_pos_lo").alias("pos_lo"), F.col("z_pos_hi").alias("pos_hi"),
         (F.col("z_pos_hi") - F.col("a_pos_lo") + 1).alias("n_words"),
         *[F.when(some, e).otherwise(0).alias(n) for n, e in (
             ("n_tokens", span("n_single") + span("n_pair", "x_pair")), ("emotion", span("h_emotion", "x_emotion")),
