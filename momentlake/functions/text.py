@@ -50,7 +50,7 @@ def fold_text(text) -> Column:
 
 def clean_caption_token(text) -> Column:
     """Without leading punctuation; null when no letter or digit is left."""
-    t = F.trim(F.regexp_replace(F.trim(as_col(text)), "^[,.;:!?]+\\s*", ""))
+    t = F.trim(F.regexp_replace(F.trim(as_col(text)), "^[\\s,;:.\\-–—]+", ""))
     return F.when(t.rlike("[A-Za-z0-9]"), t)
 
 

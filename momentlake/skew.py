@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 CHUNK_ROWS = 1 << 16
@@ -115,6 +116,46 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Co
             .withColumn(out, F.col(out) + F.col("_brk")).drop("_brk"))
 
 
+def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Column) -> DataFrame:
+    """Position inside the current run (``run_pos``, from 0) and the index of the run's first row
+    (``run_start``); a run starts wherever ``breaks`` is true, and on the first row."""
+    keys = list(keys)
+    part = W.partitionBy(*keys, CHUNK).orderBy(*order)
+    w = df.withColumn("_b", F.coalesce(breaks, F.lit(False))).withColumn("_rn", F.row_number().over(part).cast("bigint"))
+    w = w.withColumn("_lb", F.max(F.when(F.col("_b"), F.col("_rn"))).over(part.rowsBetween(W.unboundedPreceding, 0)))
+    s = w.groupBy(*keys, CHUNK).agg(F.count("*").alias("_n"), F.max(F.when(F.col("_b"), F.col("_rn"))).alias("_l"))
+    past = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    s = s.withColumn("_off", F.sum("_n").over(past))
+    s = s.withColumn("_g", F.last(F.coalesce("_off", F.lit(0)) + F.col("_l"), True).over(past)).where("_off is not null")
+    j = w.join(s.select(*keys, CHUNK, "_off", "_g"), [*keys, CHUNK], "left").withColumn("_off", F.coalesce("_off", F.lit(0)))
+    j = j.withColumn("_st", F.when(F.col("_lb").isNotNull(), F.col("_off") + F.col("_lb")).otherwise(F.coalesce("_g", F.lit(1))))
+    return j.select(*df.columns, (F.col("_off") + F.col("_rn") - F.col("_st")).alias("run_pos"), (F.col("_st") - 1).alias("run_start"))
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, bucket: Column) -> DataFrame:
+    """Distinct values per key with their count and the number of rows below; chunked by value
+    bucket (monotone in the value) so that no key is sorted in one task."""
+    d = df.groupBy(*keys, value).agg(F.count("*").alias("n")).withColumn(CHUNK, bucket)
+    return scan(d, keys, [value], sums={"below": F.col("n")}).drop(CHUNK)
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Mapping[str, Column], bucket: Column) -> DataFrame:
+    """Exact percentiles with linear interpolation; ``ps`` maps output names to shares in [0, 1]
+    (columns constant per key)."""
+    total = df.groupBy(*keys).agg(F.count("*").alias("_total"), *[F.max(p).alias(f"_p_{o}") for o, p in ps.items()])
+    r = value_ranks(df, keys, value, bucket).join(total, list(keys))
+    aggs = []
+    for o in ps:
+        at = F.col(f"_p_{o}") * (F.col("_total") - 1)
+        lo, hi = F.floor(at), F.ceil(at)
+
+        def pick(i):
+            return F.max(F.when((F.col("below") <= i) & (i < F.col("below") + F.col("n")), F.col(value)))
+        aggs += [pick(lo).alias(f"_lo_{o}"), pick(hi).alias(f"_hi_{o}"), F.max(at - lo).alias(f"_f_{o}")]
+    g = r.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, *[(F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o) for o in ps])
+
+
 def spread(df: DataFrame, lo: Column, hi: Column, width: int, out: str = "_bucket") -> DataFrame:
     """Copy an interval row into every time bucket it touches."""
     w = F.lit(float(width))
@@ -146,6 +187,19 @@ def range_join(points: DataFrame, spans: DataFrame, t: str, lo: Column, hi: Colu
                                                                 *[f"_k_{k}" for k in keys])
 
 
+def overlap_join(points: DataFrame, spans: DataFrame, lo: Column, hi: Column, s_lo: Column, s_hi: Column,
+                 keys: Sequence[str] = ("media_id",), width: int = 60_000) -> DataFrame:
+    """Inner join of rows whose intervals overlap (``hi > s_lo and lo < s_hi``), on (keys, bucket).
+    A pair is emitted only in the bucket where the overlap starts, so nothing repeats."""
+    a = spread(points.withColumns({"_alo": lo, "_ahi": hi}), F.col("_alo"), F.col("_ahi"), width)
+    b = spread(spans.withColumns({"_blo": s_lo, "_bhi": s_hi}), F.col("_blo"), F.col("_bhi"), width, "_bb")
+    b = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = [a[k] == b[f"_k_{k}"] for k in keys] + [
+        a["_bucket"] == b["_bb"], a["_ahi"] > b["_blo"], a["_alo"] < b["_bhi"],
+        a["_bucket"] == bucket_of(F.greatest(a["_alo"], b["_blo"]), width)]
+    return a.join(b, on).drop("_alo", "_ahi", "_blo", "_bhi", "_bucket", "_bb", *[f"_k_{k}" for k in keys])
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage on shared storage (``spark.checkpoint.dir``); tests fall back to /tmp."""
     sc = df.sparkSession.sparkContext
@@ -157,42 +211,56 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def overlap_above(limit: float):
+    """Conflict rule: intersection over union of two spans exceeds ``limit``."""
+    def rule(lo, hi, los, his):
+        inter = np.maximum(0, np.minimum(hi, his) - np.maximum(lo, los))
+        union = (hi - lo) + (his - los) - inter
+        return np.where(union > 0, inter / np.maximum(union, 1), 0.0) > limit
+    return rule
+
+
+def closer_than(gap: int):
+    """Conflict rule: two points lie less than ``gap`` apart."""
+    def rule(lo, hi, los, his):
+        return np.abs(los - lo) < gap
+    return rule
+
+
 def greedy_select(
     df: DataFrame,
     keys: Sequence[str],
     rank: Sequence[Column],
     lo: str,
     hi: str,
-    conflict: Callable[[Column, Column], Column],
+    conflict: Callable,
     reach_ms: int,
     *,
     chunk_ms: int = CHUNK_MS,
 ) -> DataFrame:
-    """Exact greedy suppression: take rows by ``rank`` ascending, drop those in conflict
-    with a row already taken.
-
-    ``conflict(a, b)`` compares structs with fields ``lo`` and ``hi`` and may only hold for
-    rows whose ``lo`` differ by at most ``reach_ms``. Each task folds one time chunk plus a
-    halo of ``reach_ms``. A row next to a chunk edge stays *open* while a stronger open
-    neighbour is out of sight; later rounds move the edges by half a chunk until no row is
-    open. The strongest open row always closes, so the loop ends; keys shorter than a chunk
-    close in the first round.
+    """Exact greedy suppression: take rows by ``rank`` ascending (a total order), drop those in
+    conflict with a row already taken.
+
+    ``conflict`` may only hold for rows whose ``lo`` differ by at most ``reach_ms``. Each task
+    handles one time chunk plus a halo of ``reach_ms``. A row next to a chunk edge stays *open*
+    while a stronger open neighbour is out of sight; later rounds move the edges by half a chunk
+    until no row is open. The strongest open row always closes, so the loop ends; keys shorter
+    than a chunk close in the first round.
     """
-    if chunk_ms < 4 * reach_ms:
-        chunk_ms = 4 * reach_ms
+    chunk_ms = max(chunk_ms, 4 * reach_ms)
     keys = list(keys)
-    payload = F.struct(*df.columns)
-    state = df.select(*keys, F.struct(*rank).alias("_rank"), F.col(lo).alias("_lo"),
-                      F.col(hi).alias("_hi"), F.lit(False).alias("_kept"), payload.alias("_row"))
+    ranks = {f"_r{i}": c for i, c in enumerate(rank)}
+    state = df.select(*keys, *[c.alias(n) for n, c in ranks.items()], F.col(lo).alias("_lo"), F.col(hi).alias("_hi"),
+                      F.lit(False).alias("_kept"), F.struct(*df.columns).alias("_row"))
     shift = 0
     while True:
-        state = durable(_greedy_round(state, keys, conflict, reach_ms, chunk_ms, shift))
+        state = durable(_greedy_round(state, keys, list(ranks), conflict, reach_ms, chunk_ms, shift))
         if state.where(~F.col("_kept")).isEmpty():
             return state.select("_row.*")
         shift = chunk_ms // 2 if shift == 0 else 0
 
 
-def _greedy_round(state, keys, conflict, reach_ms, chunk_ms, shift):
+def _greedy_round(state, keys, ranks, conflict, reach_ms, chunk_ms, shift):
     def at(t):
         return F.floor((t + shift) / F.lit(float(chunk_ms)))
 
@@ -200,28 +268,30 @@ def _greedy_round(state, keys, conflict, reach_ms, chunk_ms, shift):
     placed = placed.withColumn(
         "_at", F.explode(F.array_distinct(F.array(
             at(F.col("_lo") - reach_ms), F.col("_home"), at(F.col("_lo") + reach_ms)))))
-    item = F.struct("_rank", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
-                    (F.col("_at") == F.col("_home")).alias("core"), F.col("_kept").alias("kept"),
-                    F.when(F.col("_at") == F.col("_home"), F.col("_row")).alias("row"))
-    grouped = placed.groupBy(*keys, "_at").agg(F.sort_array(F.collect_list(item)).alias("_items"))
-
-    def step(acc, c):
-        clash = F.filter(acc, lambda k: conflict(k, c))
-        lost = F.exists(clash, lambda k: k["kept"])
-        unsure = (F.size(clash) > 0) | ~c["core"]
-        entry = F.struct(c["_rank"].alias("_rank"), c["lo"].alias("lo"), c["hi"].alias("hi"),
-                         c["core"].alias("core"), (c["kept"] | ~unsure).alias("kept"),
-                         c["row"].alias("row"))
-        return (F.when(c["kept"], F.concat(acc, F.array(entry)))
-                .when(lost, acc)
-                .otherwise(F.concat(acc, F.array(entry))))
-
-    kind = grouped.schema["_items"].dataType.simpleString()
-    folded = grouped.select(*keys, F.explode(F.aggregate(
-        "_items", F.array().cast(kind), step)).alias("_x")).where("_x.core")
-    return folded.select(*keys, F.col("_x._rank").alias("_rank"), F.col("_x.lo").alias("_lo"),
-                         F.col("_x.hi").alias("_hi"), F.col("_x.kept").alias("_kept"),
-                         F.col("_x.row").alias("_row"))
+
+    columns = list(state.columns)
+
+    def close(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(r, "ascending") for r in ranks])
+        los, his = table["_lo"].to_numpy(), table["_hi"].to_numpy()
+        core = table["_home"].to_numpy() == table["_at"].to_numpy()
+        kept = table["_kept"].to_numpy().copy()
+        dead = np.zeros(len(los), dtype=bool)
+        unsure = ~core & ~kept
+        for i in range(len(los)):
+            if dead[i]:
+                continue
+            weaker = np.flatnonzero(conflict(los[i], his[i], los[i + 1:], his[i + 1:])) + i + 1
+            if kept[i] or not unsure[i]:
+                kept[i] = True
+                dead[weaker] = True
+            else:
+                unsure[weaker[~kept[weaker]]] = True
+        out = table.select(columns)
+        out = out.set_column(out.schema.get_field_index("_kept"), "_kept", pa.array(kept))
+        return out.filter(pa.array(core & ~dead))
+
+    return placed.groupBy(*keys, "_at").applyInArrow(close, state.schema)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k, out: str | None = None) -> DataFrame:
