@@ -99,16 +99,17 @@ def viral_boost(df: DataFrame, viral: str = "viral", reason: str = "viral_reason
 
 def excitement_bonus(df: DataFrame, arousal: str = "arousal", max_bonus: float = 10.0) -> DataFrame:
     a = F.col(arousal)
-    d = F.greatest(F.lit(-int(max_bonus)), F.least(F.lit(int(max_bonus)), half_even((a - 0.45) / 0.55 * max_bonus)))
-    return _bonus(df, d, a.isNotNull(), F.when(a >= 0.45, "Excited delivery").otherwise("Flat delivery"),
-                  F.concat(F.lit("Voice excitement "), F.floor(a * 100).cast("string"), F.lit("/100")))
+    swing = int(max_bonus)
+    d = F.greatest(F.lit(-swing), F.least(F.lit(swing), half_even((clamp(a) - 0.45) / 0.55 * max_bonus)))
+    return _bonus(df, d, a.isNotNull(), F.when(d > 0, "High-energy delivery").otherwise("Flat delivery"),
+                  F.concat(F.lit("Speech-emotion arousal "), F.floor(a * 100).cast("string"), F.lit("/100 (emotion2vec)")))
 
 
 def event_bonus(df: DataFrame, hype: str = "hype", reason: str = "hype_reason", max_bonus: float = 10.0) -> DataFrame:
     h = F.col(hype)
     d = half_even(clamp(h) * max_bonus)
-    return _bonus(df, d, h.isNotNull() & (d > 0), F.concat(F.lit("Audio: "), F.col(reason)),
-                  F.concat(F.lit("Sound event strength "), F.floor(h * 100).cast("string"), F.lit("/100")))
+    return _bonus(df, d, h.isNotNull() & (d > 0), first_upper(F.lower(reason)),
+                  F.concat(F.lit("Audio event detection heard "), F.col(reason), F.lit(" ("), F.floor(h * 100).cast("string"), F.lit("/100)")))
 
 
 def score_band(score) -> Column:

@@ -49,8 +49,11 @@ def evidence_text(matched: Column, raw: Column) -> Column:
 def text_grams(reads: DataFrame, max_words: int) -> DataFrame:
     """Folded n-grams of every read, whole text, n up to the longest phrase."""
     t = reads.withColumn("_w", F.filter(F.split(fold_text("text"), " "), lambda x: x != ""))
-    grams = [F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)),
-                                                   lambda i, n=n: F.array_join(F.slice("_w", i, n), " "))) for n in range(1, max_words + 1)]
+
+    def of_length(n):
+        return F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " ")))
+
+    grams = [of_length(n) for n in range(1, max_words + 1)]
     return t.select("*", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*grams))))).alias("gram")).drop("_w")
 
 
@@ -69,24 +72,23 @@ def match_keywords(reads: DataFrame, phrases: DataFrame, max_words: int = 5) ->
 
 
 def match_keywords_fuzzy(reads: DataFrame, phrases: DataFrame, min_ratio: float = 86, max_words: int = 5) -> DataFrame:
-    """Near matches by edit similarity, for labels the exact pass missed. Candidates share the word
-    count, the first or the last two letters and a similar length, so that the join has equi keys; a pair that differs at both ends is
-    below the ratio for phrases of up to 14 letters."""
+    """Near matches by edit similarity, for labels the exact pass missed.
+
+    Each distinct n-gram is compared once with the phrases of its word count whose length is close
+    enough to reach the ratio (an equi-join on word count and length), then joined to its reads.
+    """
     exact = match_keywords(reads, phrases, max_words).select("read_id", "label")
-    p = fold_phrases(phrases).withColumn("n", F.size(F.split("phrase", " "))).where((F.col("n") > 1) | (F.length("phrase") >= 5))
-
-    def keyed(df, c):
-        return df.withColumn("_key", F.explode(F.array(
-            F.concat_ws(":", F.lit("a"), F.size(F.split(c, " ")), F.substring(c, 1, 2)),
-            F.concat_ws(":", F.lit("z"), F.size(F.split(c, " ")), F.substring(c, -2, 2)))))
-
-    g = keyed(text_grams(reads.select("read_id", "text"), max_words).select("read_id", "gram").where("length(gram) >= 4"), "gram")
-    j = g.join(keyed(p, "phrase"), "_key")
-    size = F.greatest(F.length("gram"), F.length("phrase"))
-    ratio = 100.0 * (1.0 - F.levenshtein("gram", "phrase") / size)
-    near = j.where((F.abs(F.length("gram") - F.length("phrase")) <= size * (1 - min_ratio / 100.0)) & (ratio >= min_ratio))
-    near = near.join(exact, ["read_id", "label"], "left_anti")
-    best = near.groupBy("read_id", "label").agg(F.max_by("phrase", F.struct(F.length("phrase"), "phrase")).alias("phrase"))
+    words = F.size(F.split("phrase", " "))
+    p = fold_phrases(phrases).where((words > 1) | (F.length("phrase") >= 5))
+    slack = 1.0 - min_ratio / 100.0
+    size = F.length("phrase")
+    p = p.withColumns({"n": words, "len": F.explode(F.sequence(F.ceil(size * (1 - slack)).cast("int"), F.floor(size / (1 - slack)).cast("int")))})
+    grams = text_grams(reads.select("read_id", "text"), max_words).select("read_id", "gram")
+    d = grams.select("gram").distinct().withColumns({"n": F.size(F.split("gram", " ")), "len": F.length("gram")})
+    ratio = 100.0 * (1.0 - F.levenshtein("gram", "phrase") / F.greatest(F.length("gram"), size))
+    near = d.join(p, ["n", "len"]).where(ratio >= min_ratio).select("gram", "label", "phrase")
+    hits = grams.join(near, "gram").join(exact, ["read_id", "label"], "left_anti")
+    best = hits.groupBy("read_id", "label").agg(F.max_by("phrase", F.struct(F.length("phrase"), "phrase")).alias("phrase"))
     return reads.join(best, "read_id")
 
 
@@ -95,8 +97,8 @@ def drop_false_positives(matches: DataFrame, false_phrases: DataFrame) -> DataFr
 
     Substring search has no equi key; the marked phrases are one small array per game."""
     f = fold_phrases(false_phrases).groupBy("game").agg(F.collect_set("phrase").alias("_f"))
-    common = f.where("game = 'common'").select(F.col("_f").alias("_common"), F.lit(1).alias("_one"))
-    m = matches.join(f, "game", "left").withColumn("_one", F.lit(1)).join(common, "_one", "left")
+    common = fold_phrases(false_phrases).where("game = 'common'").groupBy().agg(F.collect_set("phrase")).scalar()
+    m = matches.join(f, "game", "left").withColumn("_common", common)
     none = F.array().cast("array<string>")
     bad = F.exists(F.concat(F.coalesce("_f", none), F.coalesce("_common", none)), lambda p: F.contains(fold_text("text"), p))
     return m.where(~bad).select(*matches.columns)
@@ -112,8 +114,11 @@ def manual_matches(reads: DataFrame, cues: DataFrame, max_words: int = 5) -> Dat
 def merge_text_lexicon(generic: DataFrame, profile: DataFrame, saved: DataFrame) -> DataFrame:
     """Phrases per (game, label): generic, profile and saved ones, first source wins its place."""
     games = profile.select("game").union(saved.select("game")).where("game != 'common'").distinct()
-    g = games.join(generic.select("label", "phrase").withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one")).drop("_one")
-    common = games.join(saved.where("game = 'common'").select("label", "phrase").withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one")).drop("_one")
+    def for_all(df):
+        pack = df.groupBy().agg(F.collect_list(F.struct("label", "phrase"))).scalar()
+        return games.withColumn("_x", F.explode(pack)).select("game", "_x.label", "_x.phrase")
+
+    g, common = for_all(generic), for_all(saved.where("game = 'common'"))
     parts = [(g, 0), (profile, 1), (common, 2), (saved.where("game != 'common'"), 3)]
     u = None
     for df, p in parts:
@@ -556,8 +561,8 @@ def detect_profile(reads: DataFrame, markers: DataFrame) -> DataFrame:
     """Game with the most distinct markers found in the reads; ties by the markers' order.
 
     Markers are loose substrings, so they are tested inside each row; only hits are shuffled."""
-    packed = markers.groupBy().agg(F.collect_list(F.struct("profile", "ord", F.lower("marker").alias("marker"))).alias("_m"))
-    r = reads.select("media_id", F.lower("text").alias("_t"), F.lit(1).alias("_one")).join(packed.withColumn("_one", F.lit(1)), "_one")
+    packed = markers.groupBy().agg(F.collect_list(F.struct("profile", "ord", F.lower("marker").alias("marker")))).scalar()
+    r = reads.select("media_id", F.lower("text").alias("_t")).withColumn("_m", packed)
     hits = r.select("media_id", F.explode(F.filter("_m", lambda m: F.contains(F.col("_t"), m["marker"]))).alias("h")).select(
         "media_id", "h.profile", "h.ord", "h.marker").distinct()
     n = hits.groupBy("media_id", "profile").agg(F.count("*").alias("n"), F.min("ord").alias("o"))
@@ -577,7 +582,7 @@ def template_quality(cues: DataFrame, rate: int = 16000) -> DataFrame:
     x = F.col("pcm")
     peak = F.array_max(F.transform(x, lambda v: F.abs(v)))
     ms = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x)
-    active = F.size(F.filter(x, lambda v: F.abs(v) > F.greatest(peak * 0.18, F.lit(0.01)))) / F.size(x)
+    active = F.size(F.filter(x, lambda v: F.abs(v) > F.greatest(peak * 0.20, F.lit(0.015)))) / F.size(x)
     return cues.where((F.size(x) >= rate * 0.25) & (peak >= 0.025) & (F.sqrt(ms) >= 0.004) & (active <= 0.92))
 
 
