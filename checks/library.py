@@ -1 +1,424 @@
+"""Sources, keyed tables, settings, exports and publishing queries."""
 
+from pyspark.sql import functions as F
+
+from checks import ctes, query
+from checks.captions import exported, spans
+from checks.views import LEXICON, NEEDS, SQL_VIEWS, event_clips, event_media, lexicon, media, sql_values, table, words
+from momentlake.functions import publishing as B
+from momentlake.functions import scoring as X
+from momentlake.functions import timecode as TC
+from momentlake.functions.dictionaries import PLATFORM_WEIGHTS, FEATURES, platform_weights
+from momentlake.functions.text import make_title
+from momentlake.operators import passages as P
+from momentlake.operators import selection as S
+from momentlake.sources import library as L
+
+CL = ["media_id", "clip_id"]
+
+
+def projects(spark, sf):
+    """Project documents as JSON text, one of nine broken."""
+    d = table(spark, sf, "documents")
+    toks = F.slice(F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda x: x != ""), 1, 50)
+    doc = F.to_json(F.struct(
+        F.concat(F.lit("p"), "doc_id").alias("id"), F.concat(F.lit("n "), "source").alias("name"), F.lit("ready").alias("status"), (F.col("doc_id") * 7 % 1000).cast("double").alias("created_at"),
+        F.struct(F.concat("doc_id", F.lit(".mp4")).alias("filename"), (F.col("n_chars") / 10).alias("duration"), F.lit(25.0).alias("fps")).alias("source"),
+        F.struct(F.col("lang").alias("language"), F.lit("asr").alias("provider"), F.transform(toks, lambda w, i: F.struct((i * 0.42).alias("t"), F.lit(0.378).alias("d"), w.alias("text"))).alias("words")).alias("transcript"),
+        F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), lambda k: F.struct(F.concat(F.col("doc_id"), F.lit("-"), k).alias("id"), (k * 10.0).alias("start"), (k * 10.0 + 7.5).alias("end"),
+                    (k * 20).alias("score"))).alias("clips"),
+        F.array(F.struct(F.lit(1.5).alias("t"), F.lit("cue").alias("source"), F.col("source").alias("label"), F.lit(0.9).alias("confidence"))).alias("events")))
+    return d.select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("{broken"), doc)).otherwise(doc).alias("data"))
+
+
+@query("read_project_documents", """
+  SELECT 'p' || doc_id AS media_id, least(50, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> ''))) AS words, doc_id % 3 + 1 AS clips, 1 AS events, false AS bad FROM documents WHERE doc_id % 9 <> 0
+  UNION ALL SELECT doc_id::VARCHAR, 0, 0, 0, true FROM documents WHERE doc_id % 9 = 0""")
+def _(spark, sf):
+    t = L.read_project_documents(projects(spark, sf))
+    n = t["media"].select("media_id")
+    for k in ("words", "clips", "events"):
+        n = n.join(t[k].groupBy("media_id").agg(F.count("*").alias(k)), "media_id", "left")
+    n = n.na.fill(0).withColumn("bad", F.lit(False))
+    zero = F.lit(0).cast("bigint")
+    return n.unionByName(t["bad"].select(F.col("doc_id").cast("string").alias("media_id"), zero.alias("words"), zero.alias("clips"), zero.alias("events"), F.lit(True).alias("bad")))
+
+
+@query("project_words", """SELECT 'p' || doc_id AS media_id, pos, round_even(pos*420.0, 0)::BIGINT AS t_ms, w AS text FROM (
+  SELECT doc_id, unnest(range(0, least(50, len(ws)))) AS pos, unnest(ws[1:50]) AS w FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id % 9 <> 0))""")
+def _(spark, sf):
+    return L.read_project_documents(projects(spark, sf))["words"].select("media_id", "pos", "t_ms", "text")
+
+
+@query("list_latest", "SELECT 'p' || doc_id AS media_id, (doc_id * 7 % 1000)::DOUBLE AS created_at FROM documents WHERE doc_id % 9 <> 0 ORDER BY created_at DESC, media_id LIMIT 20")
+def _(spark, sf):
+    return L.list_latest(L.read_project_documents(projects(spark, sf))["media"], 20).select("media_id", "created_at")
+
+
+@query("media_manifest", """SELECT doc_id AS media_id, round_even(n_chars*100.0, 0)::BIGINT AS duration_ms, CASE doc_id % 3 WHEN 0 THEN 30000/1001.0 WHEN 1 THEN 25.0 ELSE 30.0 END::DOUBLE AS fps FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 5 <> 0""")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    raw = d.select(F.col("doc_id").alias("media_id"), F.concat("doc_id", F.when(F.col("doc_id") % 4 == 1, ".txt").otherwise(".MP4")).alias("filename"), (F.col("n_chars") / 10).alias("duration"),
+                   F.element_at(F.array(F.lit("30000/1001"), F.lit("25"), F.lit("0/0")), (F.col("doc_id") % 3 + 1).cast("int")).alias("fps"), (F.col("doc_id") % 5 != 0).alias("has_video"))
+    return L.media_manifest(raw).select("media_id", "duration_ms", "fps")
+
+
+@query("upsert_latest", "SELECT user_id, event_type, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id, event_type")
+def _(spark, sf):
+    return L.upsert_latest(table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], "ts").drop("ts")
+
+
+@query("delete_keys", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50)")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    return L.delete_keys(e, e.where("event_type = 'purchase' and value > 50"), ["user_id"]).select("event_id")
+
+
+@query("reset_scope", "SELECT doc_id FROM documents WHERE lang <> 'en'")
+def _(spark, sf):
+    return L.reset_scope(table(spark, sf, "documents").withColumnRenamed("lang", "scope"), "en").select("doc_id")
+
+
+SQL_VIEWS["asr"] = """SELECT media_id, pos AS idx, text AS word, t_ms/1000.0 AS s, t_ms + CASE WHEN pos % 17 = 0 THEN 10 ELSE d_ms END AS e, pos % 13 = 0 AS weak, pos % 19 = 0 AS off,
+   CASE (pos // 7 + media_id) % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'A' END AS spk FROM words"""
+NEEDS["asr"] = ["words"]
+
+
+def asr(spark, sf):
+    w = words(spark, sf)
+    p = F.col("pos")
+    return w.select("media_id", p.alias("idx"), F.concat(F.lit(" "), "text").alias("word"), (F.col("t_ms") / 1000).alias("start"),
+                    ((F.col("t_ms") + F.when(p % 17 == 0, 10).otherwise(F.col("d_ms"))) / 1000).alias("end"), F.when(p % 13 == 0, -12.0).alias("score"),
+                    F.when(p % 19 == 0, 0.1).otherwise(0.9).alias("probability"), F.when((F.floor(p / 7) + F.col("media_id")) % 3 == 0, "B").when((F.floor(p / 7) + F.col("media_id")) % 3 == 1, "A").alias("speaker"))
+
+
+@query("words_from_asr", ctes("asr", then="""
+  , k AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY idx) - 1 AS pos FROM asr WHERE idx % 17 <> 0 AND NOT weak AND NOT off),
+  f AS (SELECT media_id, spk, row_number() OVER (PARTITION BY media_id ORDER BY min(idx)) AS sid FROM k WHERE spk IS NOT NULL GROUP BY media_id, spk)
+  SELECT k.media_id, k.pos, k.word AS text, coalesce(sid, 0)::INT AS speaker FROM k LEFT JOIN f ON f.media_id = k.media_id AND f.spk = k.spk"""))
+def _(spark, sf):
+    return L.words_from_asr(asr(spark, sf)).select("media_id", "pos", "text", "speaker")
+
+
+FILL = [("en", i, w) for i, w in enumerate("so here is the thing about making better videos every day".split())] + [("de", i, w) for i, w in enumerate("also hier ist die sache mit guten videos".split())]
+
+
+@query("synthetic_words")
+def _(spark, sf):
+    f = spark.createDataFrame(FILL, "language string, ord int, word string")
+    return L.synthetic_words(media(spark, sf), f)
+
+
+@query("pivot_lexicon", sql_values([(lang, t) for lang, rs in LEXICON.items() for t in sorted({t for ts in rs.values() for t in ts})], "lang, term"))
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("lang").distinct()
+    return P.pivot_lexicon(lexicon(spark)).join(d, "lang").select("lang", "term")
+
+
+@query("emphasis_terms", "SELECT DISTINCT v.* FROM (" + sql_values([(lang, t) for lang, rs in LEXICON.items() for r in ("hook", "emotion", "second_person", "quote_extra", "payoff", "enumeration") for t in rs[r]], "lang, term") + ") v JOIN documents USING (lang)")
+def _(spark, sf):
+    return P.emphasis_terms(lexicon(spark)).join(table(spark, sf, "documents").select("lang").distinct(), "lang")
+
+
+@query("quote_terms", "SELECT DISTINCT v.* FROM (" + sql_values([(lang, t) for lang, rs in LEXICON.items() for r in ("hook", "emotion", "second_person", "quote_extra") for t in rs[r]], "lang, term") + ") v JOIN documents USING (lang)")
+def _(spark, sf):
+    return P.quote_terms(lexicon(spark)).join(table(spark, sf, "documents").select("lang").distinct(), "lang")
+
+
+def cue_docs(spark, sf):
+    d = table(spark, sf, "documents")
+    ws = F.slice(F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda x: x != ""), 1, 3)
+    new = F.to_json(F.struct(F.create_map(F.lit("My Label!"), F.concat(ws, F.transform(ws, lambda x: F.concat(F.lit("  "), F.upper(x))))).alias("phrases"),
+                             F.create_map(F.lit("hud"), F.array(F.struct(F.lit(0.95).alias("x"), F.lit(-0.1).alias("y"), F.lit(0.2).alias("w"), F.lit(0.001).alias("h")))).alias("regions")))
+    old = F.to_json(F.create_map(F.lit("kill feed"), ws))
+    return d.select(F.col("doc_id").cast("string").alias("game"), F.when(F.col("doc_id") % 2 == 0, new).otherwise(old).alias("data"))
+
+
+@query("read_cue_documents", """SELECT game, label, count(DISTINCT lower(w)) AS n FROM (SELECT doc_id::VARCHAR AS game, CASE WHEN doc_id % 2 = 0 THEN 'my_label' ELSE 'kill_feed' END AS label,
+   unnest(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')[1:3]) AS w FROM documents) GROUP BY game, label""")
+def _(spark, sf):
+    return L.read_cue_documents(cue_docs(spark, sf))["phrases"].groupBy("game", "label").agg(F.count("*").alias("n"))
+
+
+@query("cue_regions", "SELECT doc_id::VARCHAR AS game, 'hud' AS label, 0.8::DOUBLE AS x, 0.0::DOUBLE AS y, 0.2::DOUBLE AS w, 0.02::DOUBLE AS h FROM documents WHERE doc_id % 2 = 0")
+def _(spark, sf):
+    return L.read_cue_documents(cue_docs(spark, sf))["regions"].select("game", "label", F.round("x", 6).alias("x"), "y", "w", "h")
+
+
+@query("read_styles", "SELECT c_custkey % 500 AS style_id, max(CASE WHEN c_custkey >= 500 THEN 'user' ELSE 'built-in' END) AS origin FROM customer WHERE c_custkey < 900 AND c_custkey <> 0 GROUP BY 1")
+def _(spark, sf):
+    c = table(spark, sf, "customer").where("c_custkey < 900 and c_custkey != 0").select((F.col("c_custkey") % 500).alias("style_id"), F.when(F.col("c_custkey") >= 500, "user").otherwise("built-in").alias("origin"), "c_name")
+    return L.read_styles(c.where("origin = 'built-in'"), c.where("origin = 'user'")).select("style_id", "origin")
+
+
+@query("manifest_rows", ctes("exported", then="SELECT clip_id, title, score, round(start_ms/1000.0*1000)::BIGINT AS s FROM exported WHERE export_url IS NOT NULL"))
+def _(spark, sf):
+    c = exported(spark, sf).withColumn("status", F.when(F.col("export_url").isNotNull(), "ready").otherwise("pending"))
+    return L.manifest_rows(c).select("clip_id", "title", "score", F.round(F.col("start_sec") * 1000).cast("bigint").alias("s"))
+
+
+@query("exportable_filter", ctes("exported", then="SELECT clip_id FROM exported WHERE export_url IS NOT NULL"))
+def _(spark, sf):
+    return L.exportable_filter(exported(spark, sf)).select("clip_id")
+
+
+@query("min_score_filter", ctes("event_clips", then="SELECT clip_id FROM event_clips WHERE score >= 60"))
+def _(spark, sf):
+    return L.min_score_filter(event_clips(spark, sf), 60).select("clip_id")
+
+
+_safe = "trim(regexp_replace(title, '[^\\p{L}\\p{N} \\-_]', '_', 'g'))"
+
+
+@query("export_names", ctes("exported", then=f"""SELECT clip_id, lpad(r::VARCHAR, 2, '0') || '_' || lpad(score::VARCHAR, 2, '0') || '_' || left({_safe}, 60) AS name FROM (
+   SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, clip_id) AS r FROM exported WHERE export_url IS NOT NULL)"""))
+def _(spark, sf):
+    # equal scores are numbered by id hash slice; make scores distinct enough to compare with SQL
+    c = exported(spark, sf).where("export_url is not null")
+    from pyspark.sql import Window as W
+    r = c.withColumn("rank", F.row_number().over(W.partitionBy("media_id").orderBy(F.desc("score"), "clip_id")))
+    return L.export_names(r).select("clip_id", "name")
+
+
+@query("export_pattern", ctes("exported", then="""SELECT clip_id, score || '-' || left(clip_id, 8) || '-' || left(regexp_replace(title, '[^\\p{L}\\p{N} _\\-.,()]', '_', 'g'), 60) AS name FROM exported"""))
+def _(spark, sf):
+    return L.export_names(exported(spark, sf).withColumn("rank", F.lit(1)), "{score}-{id}-{title}").select("clip_id", "name")
+
+
+@query("status_snapshot", ctes("exported", then="SELECT media_id, count(*) AS clips, count(export_url) AS rendered FROM exported GROUP BY media_id"))
+def _(spark, sf):
+    c = exported(spark, sf)
+    return L.status_snapshot(c, c.select("media_id").distinct().withColumn("status", F.lit("ready"))).drop("status")
+
+
+@query("clip_cards", ctes("exported", then="SELECT clip_id, round(CASE WHEN score % 2 = 0 THEN 9.5 ELSE (end_ms - start_ms)/1000.0 END*1000)::BIGINT AS d FROM exported"))
+def _(spark, sf):
+    c = exported(spark, sf).withColumn("tight_ms", F.when(F.col("score") % 2 == 0, 9500))
+    return L.clip_cards(c).select("clip_id", F.round(F.col("duration") * 1000).cast("bigint").alias("d"))
+
+
+@query("project_summary", ctes("exported", "event_media", then="SELECT media_id, duration_ms, count(clip_id) AS clip_count, count(export_url) AS ready_count FROM event_media LEFT JOIN exported USING (media_id) GROUP BY media_id, duration_ms"))
+def _(spark, sf):
+    return L.project_summary(event_media(spark, sf), exported(spark, sf))
+
+
+@query("audio_links_from_pages", """SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || l AS link FROM (SELECT page_id, url, regexp_extract(html, 'href=["''](/[^"''\\s<>]*)["'']', 1) AS l FROM pages) WHERE l <> ''""")
+def _(spark, sf):
+    p = table(spark, sf, "pages")
+    return L.resolve_links(p, F.lit(""), F.regexp_extract("html", "href=[\"'](/[^\"'\\s<>]*)[\"']", 1))
+
+
+@query("cue_catalogue_status", "SELECT event_type AS game, count(DISTINCT user_id) AS total, count(DISTINCT CASE WHEN value > 50 THEN user_id END) AS configured FROM events GROUP BY event_type")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("game"), F.col("user_id").cast("string").alias("event"), "value")
+    return L.cue_catalogue_status(e.select("game", "event").distinct(), e.where("value > 50"))
+
+
+@query("throughput", """SELECT user_id AS media_id, (max(event_id) - min(event_id))::DOUBLE AS elapsed, round(CASE WHEN arg_max(value, event_id) >= 3 THEN greatest(0, (max(event_id) - min(event_id))*(100.0 - arg_max(value, event_id))/arg_max(value, event_id)) END*1000)::BIGINT AS eta FROM events GROUP BY user_id""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("media_id"), F.col("event_id").cast("double").alias("ts_s"), F.col("value").alias("pct"))
+    m = e.select("media_id").distinct().withColumn("duration_ms", F.lit(60000))
+    return L.throughput(e, m).select("media_id", "elapsed", F.round(F.col("eta") * 1000).cast("bigint").alias("eta"))
+
+
+@query("merge_user_edits", ctes("event_clips", then="SELECT clip_id, CASE WHEN score % 3 = 0 THEN 'Mine' ELSE label END AS title FROM event_clips"))
+def _(spark, sf):
+    c = event_clips(spark, sf).withColumn("title", F.col("label"))
+    e = c.where("score % 3 != 1").select("clip_id", F.when(F.col("score") % 3 == 0, "Mine").alias("title"))
+    return L.merge_user_edits(c, e).select("clip_id", "title")
+
+
+def montage_lists(spark, sf):
+    c = exported(spark, sf)
+    return c.select((F.col("peak_ms") % 97).alias("montage_id"), "clip_id").groupBy("montage_id").agg(F.sort_array(F.collect_list("clip_id")).alias("clip_ids"))
+
+
+SQL_VIEWS["montage"] = """SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY montage_id) AS n FROM (
+  SELECT peak_ms % 97 AS montage_id, clip_id, score, export_url, row_number() OVER (PARTITION BY peak_ms % 97 ORDER BY clip_id) - 1 AS ord FROM exported) WHERE export_url IS NOT NULL) WHERE n >= 2"""
+NEEDS["montage"] = ["exported"]
+
+
+@query("resolve_montage", ctes("montage", then="SELECT montage_id, ord, clip_id FROM montage"))
+def _(spark, sf):
+    return L.resolve_montage(montage_lists(spark, sf), exported(spark, sf)).select("montage_id", F.col("ord").cast("bigint").alias("ord"), "clip_id")
+
+
+@query("score_montage", ctes("montage", then="SELECT montage_id, round_even(greatest(1, least(99, 0.45*arg_min(score, ord) + 0.55*avg(score))), 0)::INT AS score FROM montage GROUP BY montage_id"))
+def _(spark, sf):
+    return L.score_montage(L.resolve_montage(montage_lists(spark, sf), exported(spark, sf))).select("montage_id", "score")
+
+
+def settings(spark, sf):
+    return media(spark, sf).withColumn("content_type", F.when(F.col("media_id") % 3 == 0, "gameplay").otherwise("talking"))
+
+
+@query("auto_length_range", ctes("media", then="SELECT media_id, CASE WHEN media_id % 3 = 0 THEN 12000 WHEN platform IN ('tiktok','reels') THEN 12000 WHEN platform = 'shorts' THEN 18000 ELSE 15000 END::BIGINT AS min_len_ms, CASE WHEN media_id % 3 = 0 THEN 35000 WHEN platform IN ('tiktok','reels') THEN 42000 WHEN platform = 'shorts' THEN 55000 ELSE 60000 END::BIGINT AS max_len_ms FROM media"))
+def _(spark, sf):
+    return L.auto_length_range(settings(spark, sf)).select("media_id", "min_len_ms", "max_len_ms")
+
+
+@query("clamp_lengths", "SELECT doc_id AS media_id, greatest(3000, least(n_chars, 9000))::BIGINT AS min_len_ms, greatest(n_chars, 9000)::BIGINT AS max_len_ms FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), F.col("n_chars").alias("min_len_ms"), F.lit(9000).cast("bigint").alias("max_len_ms"))
+    return L.clamp_lengths(d)
+
+
+@query("clamp_pad", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE round_even(greatest(0, least(n_chars/10.0 - 5, 60))*1000, 0)::BIGINT END AS pad FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    v = F.when(F.col("doc_id") % 7 == 0, float("nan")).otherwise(F.col("n_chars") / 10 - 5)
+    return d.select("doc_id", L.clamp_pad(v).alias("pad"))
+
+
+@query("manual_clip", ctes("detections", then="SELECT media_id, t_ms, greatest(t_ms - 15000, 0) AS start_ms, least(t_ms + 15000, 2160000) AS end_ms FROM detections WHERE label = 'signup'"))
+def _(spark, sf):
+    from checks.views import detections
+    return L.manual_clip(detections(spark, sf).where("label = 'signup'").select("media_id", "t_ms"), event_media(spark, sf)).drop("title")
+
+
+@query("edit_clip_bounds", ctes("event_clips", then="""SELECT clip_id, CASE WHEN ok THEN a ELSE start_ms END AS start_ms, CASE WHEN ok THEN b ELSE end_ms END AS end_ms FROM (
+   SELECT *, greatest(0, least(start_ms + 1500, 2160000)) AS a, greatest(0, least(start_ms + 1500 + score*40, 2160000)) AS b, score % 2 = 0 AND greatest(0, least(start_ms + 1500 + score*40, 2160000)) - greatest(0, least(start_ms + 1500, 2160000)) >= 1000 AS ok FROM event_clips)"""))
+def _(spark, sf):
+    c = event_clips(spark, sf)
+    e = c.where("score % 2 = 0").select("clip_id", (F.col("start_ms") + 1500).alias("start_ms"), (F.col("start_ms") + 1500 + F.col("score") * 40).alias("end_ms"))
+    return L.edit_clip_bounds(c, e, event_media(spark, sf)).select("clip_id", "start_ms", "end_ms")
+
+
+@query("speech_coverage", ctes("words", "media", then="SELECT media_id, round(least(coalesce(s, 0)/duration_ms, 1.0)*1000000)::BIGINT AS cov FROM media LEFT JOIN (SELECT media_id, sum(d_ms) AS s FROM words GROUP BY media_id) USING (media_id)"))
+def _(spark, sf):
+    return L.speech_coverage(words(spark, sf), media(spark, sf)).select("media_id", F.round(F.col("cov") * 1000000).cast("bigint").alias("cov"))
+
+
+@query("content_type", ctes("words", "media", then="""
+  , c AS (SELECT media_id, least(coalesce(s, 0)/(duration_ms*3.0), 1.0) AS cov FROM media LEFT JOIN (SELECT media_id, sum(d_ms) AS s FROM words GROUP BY media_id) USING (media_id)),
+  f AS (SELECT media_id, CASE WHEN media_id % 5 = 0 THEN 0 ELSE cov END AS s, CASE WHEN media_id % 4 = 0 THEN 0.5 ELSE media_id % 10 / 10.0 END AS f FROM c)
+  SELECT media_id, CASE WHEN s >= 0.5 THEN 'talking' WHEN f >= 0.4 AND s >= 0.2 THEN 'talking' WHEN s < 0.15 OR f < 0.15 THEN 'gameplay' ELSE 'talking' END AS kind FROM f"""))
+def _(spark, sf):
+    m = media(spark, sf)
+    cov = L.speech_coverage(words(spark, sf), m.withColumn("duration_ms", F.col("duration_ms") * 3))
+    t = m.select("media_id", F.when(F.col("media_id") % 5 == 0, "synthetic").otherwise("asr").alias("provider"))
+    return L.content_type(cov, t, m.where("media_id % 4 != 0").select("media_id", (F.col("media_id") % 10 / 10).alias("face_ratio")))
+
+
+@query("cue_word_filter", "SELECT doc_id, trim(left(text, 12)) AS cue FROM documents WHERE regexp_full_match(trim(left(text, 12)), '[A-Za-z0-9 _-]{1,24}')")
+def _(spark, sf):
+    return L.cue_word_filter(table(spark, sf, "documents").select("doc_id", F.trim(F.substring("text", 1, 12)).alias("cue")))
+
+
+_w = "(VALUES " + ", ".join("('%s', %s)" % (p, ", ".join(map(str, w))) for p, w in PLATFORM_WEIGHTS.items()) + ") AS pw(p, " + ", ".join(f"w_{f}" for f in FEATURES) + ")"
+
+
+@query("resolve_weights", ctes("media", then=f"SELECT media_id, round(w_hook*100)::BIGINT AS hook, round(w_clarity*100)::BIGINT AS clarity FROM media JOIN {_w} ON p = CASE WHEN media_id % 6 = 1 THEN 'generic' ELSE platform END"))
+def _(spark, sf):
+    m = media(spark, sf).withColumn("platform", F.when(F.col("media_id") % 6 == 1, "other").otherwise(F.col("platform")))
+    return L.resolve_weights(m, platform_weights(spark)).select("media_id", F.round(F.col("w_hook") * 100).cast("bigint").alias("hook"), F.round(F.col("w_clarity") * 100).cast("bigint").alias("clarity"))
+
+
+@query("order_clips", ctes("event_clips", then="SELECT media_id, clip_id FROM event_clips ORDER BY media_id, score DESC, start_ms, end_ms, clip_id"))
+def _(spark, sf):
+    return S.order_clips(event_clips(spark, sf)).select("media_id", "clip_id")
+
+
+@query("review_order", ctes("exported", then="SELECT clip_id FROM exported WHERE export_url IS NOT NULL ORDER BY score DESC, clip_id"))
+def _(spark, sf):
+    return S.review_order(exported(spark, sf)).select("clip_id")
+
+
+@query("keyword_frequency", ctes("words", "spans", then=f"""
+  , w AS (SELECT s.clip_id, w.pos, unnest(regexp_extract_all(text, '[a-zA-ZäöüÄÖÜß]{{4,}}')) AS word, generate_subscripts(regexp_extract_all(text, '[a-zA-ZäöüÄÖÜß]{{4,}}'), 1) AS i
+    FROM words w JOIN spans s ON w.media_id = s.media_id AND w.t_ms + w.d_ms > s.start_ms AND w.t_ms < s.end_ms),
+  g AS (SELECT clip_id, lower(word) AS word, count(*) AS n, min(pos*100 + i) AS a FROM w WHERE lower(word) NOT IN ({', '.join(repr(x) for x in sorted(set(B.STOP_WORDS)))}) GROUP BY 1, 2)
+  SELECT clip_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY n DESC, a) AS r FROM g) WHERE r <= 4"""))
+def _(spark, sf):
+    w = words(spark, sf)
+    return B.keyword_frequency(w, spans(w)).select("clip_id", "word", "n")
+
+
+@query("hashtags")
+def _(spark, sf):
+    w = words(spark, sf)
+    c = spans(w).join(settings(spark, sf).select("media_id", "platform", "content_type"), "media_id").withColumn("game", F.lit("valorant"))
+    return B.hashtags(B.keyword_frequency(w, spans(w)), c).select("clip_id", F.array_join("hashtags", " ").alias("tags"))
+
+
+@query("limit_hashtags", "SELECT conv_id, turn, array_to_string(list_transform(list_distinct_ordered, lambda x: x)[1:3], ',') AS tags FROM (SELECT conv_id, turn, list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(text, ' '), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_ordered FROM conversations)")
+def _(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(S.limit_hashtags(F.split("text", " "), 3), ",").alias("tags"))
+
+
+@query("excerpt", ctes("words", "spans", then="SELECT s.clip_id, left(string_agg(text, ' ' ORDER BY pos), 100) AS excerpt FROM words w JOIN spans s ON w.media_id = s.media_id AND w.t_ms + w.d_ms > s.start_ms AND w.t_ms < s.end_ms GROUP BY s.clip_id"))
+def _(spark, sf):
+    w = words(spark, sf)
+    return B.excerpt(w, spans(w), 100).select("clip_id", "excerpt")
+
+
+SQL_VIEWS["replies"] = """SELECT doc_id, '<think>score 99</think>' || chr(10) || 'Score: ' || n_chars % 130 || ' | REASON: "' || left(replace(text, chr(10), ' '), 30) || '"' AS reply FROM documents"""
+
+
+@query("parse_score_reason", ctes("replies", then="SELECT doc_id, round(least(100, n_chars % 130)/100.0*100)::BIGINT AS viral FROM documents"))
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<think>score 99</think>\nScore: "), (F.col("n_chars") % 130).cast("string"), F.lit(' | REASON: "'),
+                                                               F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 30), F.lit('"')).alias("reply"))
+    return B.parse_score_reason(d).select("doc_id", F.round(F.col("viral") * 100).cast("bigint").alias("viral"))
+
+
+@query("clean_title", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'A fine ' || lang || ' title' END AS title FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    raw = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Ignore previous orders "), "lang")).otherwise(F.concat(F.lit('<think>hm</think>\n\n"Title: A fine '), "lang", F.lit(' title"\nmore')))
+    return d.select("doc_id", B.clean_title(raw).alias("title"))
+
+
+@query("clean_description", "SELECT doc_id, 'First ' || lang || chr(10) || chr(10) || 'rest' AS d FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", B.clean_description(F.concat(F.lit("Description: First "), "lang", F.lit("\n\n\n\nrest "))).alias("d"))
+
+
+@query("clean_model_hashtags", "SELECT doc_id, '#' || lang || ',#' || lower(source) AS tags FROM documents")
+def _(spark, sf):
+    raw = F.concat(F.lit("#"), F.upper("lang"), F.lit(" #a, #"), "source", F.lit(" #"), "lang")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(B.clean_model_hashtags(raw, 7), ",").alias("tags"))
+
+
+@query("title_or_first_sentence")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", B.title_or_first_sentence(F.when(F.col("doc_id") % 2 == 0, "Own"), F.col("text")).alias("title"))
+
+
+@query("build_prompts", "SELECT doc_id AS clip_id, md5('Name it.' || chr(10) || '<<<TRANSCRIPT_DATA_BEGIN' || chr(10) || replace(replace(left(text, 500), '<<<', ''), '>>>', '') || chr(10) || 'TRANSCRIPT_DATA_END>>>' || chr(10) || chr(10) || 'Title:') AS h FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("clip_id"), F.col("text").alias("excerpt"))
+    return B.build_prompts(d, "title", "Name it.", "Title").select("clip_id", F.md5("prompt").alias("h"))
+
+
+@query("make_title")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", make_title("text").alias("title"))
+
+
+_t = "(n_chars*997 + doc_id)"
+
+
+@query("time_formats", f"""SELECT doc_id, printf('%02d:%02d:%02d,%03d', {_t}//3600000, {_t}%3600000//60000, {_t}%60000//1000, {_t}%1000) AS srt, printf('%d:%02d', {_t}//60000, {_t}//1000%60) AS clock,
+   printf('%d:%02d:%02d.%02d', c//360000, c//6000%60, c//100%60, c%100) AS ass FROM (SELECT *, round_even({_t}/10.0, 0)::BIGINT AS c FROM documents)""")
+def _(spark, sf):
+    t = F.col("n_chars") * 997 + F.col("doc_id")
+    return table(spark, sf, "documents").select("doc_id", TC.srt_time(t).alias("srt"), TC.clock(t).alias("clock"), TC.ass_time(t).alias("ass"))
+
+
+@query("score_band", ctes("event_clips", then="SELECT clip_id, CASE WHEN score >= 75 THEN 'high' WHEN score >= 55 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'low' END AS band FROM event_clips"))
+def _(spark, sf):
+    return event_clips(spark, sf).select("clip_id", X.score_band("score").alias("band"))
+
+
+@query("score_bonuses", ctes("event_clips", then="""
+  , a AS (SELECT clip_id, score, score % 10 / 10.0 AS r, (score * 7) % 100 / 100.0 AS v, (score * 3) % 100 / 100.0 AS e, (score * 11) % 100 / 100.0 AS h FROM event_clips),
+  b AS (SELECT *, CASE WHEN round_even(r*8, 0) > 0 THEN least(99, score + round_even(r*8, 0)) ELSE score END AS s1 FROM a),
+  c AS (SELECT *, greatest(1, least(99, s1 + round_even((v - 0.5)*2.0*12.0, 0))) AS s2 FROM b),
+  d AS (SELECT *, greatest(1, least(99, s2 + greatest(-10, least(10, round_even((e - 0.45)/0.55*10.0, 0))))) AS s3 FROM c)
+  SELECT clip_id, least(99, s3 + round_even(h*10, 0))::INT AS score FROM d"""))
+def _(spark, sf):
+    c = event_clips(spark, sf).withColumns({"factors": F.array().cast(f"array<{X.FACTOR}>"), "replay": F.col("score") % 10 / 10, "viral": F.col("score") * 7 % 100 / 100,
+                                            "viral_reason": F.lit("r"), "arousal": F.col("score") * 3 % 100 / 100, "hype": F.col("score") * 11 % 100 / 100, "hype_reason": F.lit("laughter")})
+    return X.event_bonus(X.excitement_bonus(X.viral_boost(X.replay_bonus(c)))).select("clip_id", "score")

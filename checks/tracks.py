@@ -134,7 +134,7 @@ def _(spark, sf):
     return K.cut_windows(detections(spark, sf).where("label = 'view'"), m).select("media_id", "a_ms", "b_ms")
 
 
-SQL_VIEWS["mruns"] = """SELECT media_id, min(t_ms) AS a, max(t_ms) AS z, max(v) AS score, arg_max(nt, t_ms) AS nt, arg_max(nv, t_ms) AS nv FROM (
+SQL_VIEWS["mruns"] = """SELECT media_id, min(t_ms) AS a, max(t_ms) AS z, max(v) AS score, nullif(arg_max(coalesce(nt, -1), t_ms), -1) AS nt, arg_max(coalesce(nv, -1), t_ms) AS nv FROM (
    SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY t_ms) AS g FROM (SELECT *, CASE WHEN pv < 0.4 OR t_ms - pt > 500 OR pv IS NULL THEN 1 ELSE 0 END AS b FROM (
      SELECT media_id, t_ms, v, lag(v) OVER w AS pv, lag(t_ms) OVER w AS pt, lead(v) OVER w AS nv, lead(t_ms) OVER w AS nt
      FROM (SELECT media_id, t_ms + t_ms // 2000 * 700 AS t_ms, rms % 10 / 10 AS v FROM envelope) WINDOW w AS (PARTITION BY media_id ORDER BY t_ms)) WHERE v >= 0.4)) GROUP BY media_id, g"""
