@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from momentlake.functions.text import clamp
 from momentlake.skew import CHUNK, CHUNK_ROWS, chunk_by_pos, scan, top_k
@@ -10,7 +10,7 @@ from momentlake.skew import CHUNK, CHUNK_ROWS, chunk_by_pos, scan, top_k
 # fixed values: accepted video file endings
 VIDEO_ENDINGS = ["mp4", "mov", "mkv", "webm", "avi", "m4v", "mpg", "mpeg", "flv"]
 
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = (
     "media_id string, filename string, path string, url string, duration double, width int, height int, fps string, "
     "size_bytes bigint, has_audio boolean, has_video boolean, codec string")
 
