@@ -68,10 +68,10 @@ def _(spark, sf):
     return L.upsert_latest(table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], "ts").drop("ts")
 
 
-@query("delete_keys", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50)")
+@query("delete_keys", "SELECT event_id FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 50 = 0)")
 def _(spark, sf):
     e = table(spark, sf, "events")
-    return L.delete_keys(e, e.where("event_type = 'purchase' and value > 50"), ["user_id"]).select("event_id")
+    return L.delete_keys(e, e.where("event_id % 50 = 0"), ["user_id", "event_type"]).select("event_id")
 
 
 @query("reset_scope", "SELECT doc_id FROM documents WHERE lang <> 'en'")
@@ -128,7 +128,7 @@ def _(spark, sf):
 def cue_docs(spark, sf):
     d = table(spark, sf, "documents")
     ws = F.slice(F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda x: x != ""), 1, 3)
-    new = F.to_json(F.struct(F.create_map(F.lit("My Label!"), F.concat(ws, F.transform(ws, lambda x: F.concat(F.lit("  "), F.upper(x))))).alias("phrases"),
+    new = F.to_json(F.struct(F.create_map(F.lit("My Label!"), F.concat(ws, F.transform(ws, lambda x: F.concat(F.lit("  "), F.lower(x))))).alias("phrases"),
                              F.create_map(F.lit("hud"), F.array(F.struct(F.lit(0.95).alias("x"), F.lit(-0.1).alias("y"), F.lit(0.2).alias("w"), F.lit(0.001).alias("h")))).alias("regions")))
     old = F.to_json(F.create_map(F.lit("kill feed"), ws))
     return d.select(F.col("doc_id").cast("string").alias("game"), F.when(F.col("doc_id") % 2 == 0, new).otherwise(old).alias("data"))

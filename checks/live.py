@@ -1 +1,113 @@
+"""Streaming queries: the given tables as file streams, run until all files are read."""
 
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from checks import ctes, query
+from checks.views import NEEDS, SQL_VIEWS
+from momentlake.streaming import live as V
+
+
+def root(spark) -> str:
+    """Shared folder of the cluster; a local one only in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return f"{shared or tempfile.mkdtemp(prefix='momentlake-live-')}/{uuid.uuid4().hex}"
+
+
+def finish(spark, df, mode="append"):
+    """Run the stream over all available files and read back what it wrote."""
+    base = root(spark)
+    w = df.writeStream.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
+    if mode == "complete":
+        w = w.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out"))
+    else:
+        w = w.outputMode("append").format("parquet").option("path", f"{base}/out")
+    w.start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def stream(spark, sf, name):
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return V.watch_table(spark, sf, schema, glob=f"{name}.parquet")
+
+
+def detections(spark, sf):
+    ev = stream(spark, sf, "events")
+    src = F.element_at(F.array(F.lit("cue"), F.lit("ocr"), F.lit("audio")), (F.col("event_id") % 3 + 1).cast("int"))
+    ms = (F.hour("ts") * 3600 + F.minute("ts") * 60) * 1000 + F.floor(F.extract(F.lit("SECOND"), "ts") * 1000)
+    return ev.select(F.dayofmonth("ts").cast("bigint").alias("media_id"), "event_id", F.floor(ms / 40).cast("bigint").alias("t_ms"),
+                     src.alias("source"), F.col("event_type").alias("label"), F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"))
+
+
+@query("watch_table", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(spark, sf):
+    return finish(spark, stream(spark, sf, "events")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("live_streaks")
+def _(spark, sf):
+    return finish(spark, V.live_streaks(detections(spark, sf).where("source = 'cue'"), chain=("purchase", "signup")))
+
+
+@query("live_dedupe")
+def _(spark, sf):
+    return finish(spark, V.live_dedupe(detections(spark, sf).where("source = 'ocr'")))
+
+
+def reads(spark, sf):
+    d = stream(spark, sf, "documents")
+    return d.select((F.col("doc_id") % 5).alias("media_id"), F.col("doc_id").alias("read_id"), (F.col("doc_id") * 1000).alias("t_ms"), F.col("source").alias("roi"),
+                    F.when(F.col("doc_id") % 11 < 5, "").otherwise(F.substring("text", 1, 60)).alias("text"))
+
+
+@query("live_text_change")
+def _(spark, sf):
+    return finish(spark, V.live_text_change(reads(spark, sf)))
+
+
+@query("live_region_health")
+def _(spark, sf):
+    return finish(spark, V.live_region_health(reads(spark, sf), 2))
+
+
+@query("live_corroboration", ctes("detections", then="SELECT c.media_id, c.event_id AS cue_id, t.event_id AS text_id FROM detections c JOIN detections t ON c.media_id = t.media_id AND c.source = 'cue' AND t.source = 'ocr' AND abs(c.t_ms - t.t_ms) <= 3000"))
+def _(spark, sf):
+    d = detections(spark, sf)
+    return finish(spark, V.live_corroboration(d.where("source = 'cue'"), detections(spark, sf).where("source = 'ocr'"))).select("media_id", "cue_id", "text_id")
+
+
+@query("live_marks", ctes("detections", then="SELECT media_id, t_ms, greatest(t_ms - 15000, 0) AS start_ms, least(t_ms + 15000, 2160000) AS end_ms FROM detections WHERE label = 'signup'"))
+def _(spark, sf):
+    from checks.views import event_media
+    return finish(spark, V.live_marks(detections(spark, sf).where("label = 'signup'").select("media_id", "t_ms"), event_media(spark, sf))).drop("title")
+
+
+@query("feedback_upsert", "SELECT user_id AS clip_id, event_type AS source, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    base = root(spark)
+    r = stream(spark, sf, "events").select(F.col("user_id").alias("clip_id"), F.col("event_type").alias("source"), "event_id", "ts")
+    V.feedback_upsert(r, f"{base}/table").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/table/version=0").select("clip_id", "source", "event_id")
+
+
+@query("progress_rollup", ctes("detections", then="SELECT media_id, label AS stage, t_ms // 5000 * 5000 AS start_ms, arg_max(event_id, t_ms*100000 + event_id) AS pct, max(t_ms) - min(t_ms) AS span_ms FROM detections GROUP BY 1, 2, 3"))
+def _(spark, sf):
+    p = detections(spark, sf).select("media_id", F.col("label").alias("stage"), "t_ms", F.struct("t_ms", "event_id").alias("pct"))
+    return finish(spark, V.progress_rollup(p), "complete").withColumn("pct", F.col("pct.event_id"))
+
+
+@query("event_activity_windows", ctes("detections", then="SELECT media_id, s AS start_ms, count(*) AS n, round(max(confidence)*10000)::BIGINT AS top FROM (SELECT *, unnest(CASE WHEN t_ms % 5000 < 1000 THEN [t_ms // 5000 * 5000, t_ms // 5000 * 5000 - 5000] ELSE [t_ms // 5000 * 5000] END) AS s FROM detections) GROUP BY 1, 2"))
+def _(spark, sf):
+    return finish(spark, V.event_activity_windows(detections(spark, sf)), "complete").withColumn("top", F.round(F.col("top") * 10000).cast("bigint"))
+
+
+@query("live_track_links")
+def _(spark, sf):
+    d = detections(spark, sf).where("source = 'cue'")
+    b = d.select("media_id", F.concat_ws("-", "media_id", F.floor(F.col("t_ms") / 120000)).alias("clip_id"), F.floor(F.col("t_ms") / 400).alias("frame"), "t_ms",
+                 (F.col("confidence") / 2).alias("x"), F.lit(0.2).alias("y"), F.lit(0.3).alias("w"), F.lit(0.3).alias("h"))
+    return finish(spark, V.live_track_links(b))
