@@ -291,7 +291,7 @@ def _(spark, sf):
     return text_reads(spark, sf).select("read_id", F.md5(fold_text("text")).alias("h"))
 
 
-@query("match_keywords", ctes("folded", "kw", then="SELECT read_id, label, arg_max(phrase, length(phrase)) AS phrase FROM folded, kw WHERE contains(f, ' ' || phrase || ' ') GROUP BY read_id, label"))
+@query("match_keywords", ctes("folded", "kw", then="SELECT read_id, label, arg_min(phrase, printf('%04d', 1000 - length(phrase)) || phrase) AS phrase FROM folded, kw WHERE contains(f, ' ' || phrase || ' ') GROUP BY read_id, label"))
 def _(spark, sf):
     p = spark.createDataFrame(PHRASES, "label string, phrase string")
     return E.match_keywords(text_reads(spark, sf), p, 3).select("read_id", "label", "phrase")
@@ -307,7 +307,7 @@ FUZZY = [("a", "therre"), ("b", "quedes"), ("a", "and"), ("c", "of thes")]
   d AS (SELECT DISTINCT gram, n FROM g),
   near AS (SELECT gram, label, phrase FROM d JOIN kw2 ON n = len(string_split(phrase, ' ')) AND (n > 1 OR length(phrase) >= 5) AND abs(length(gram) - length(phrase)) <= 2
      WHERE 100.0*(1.0 - levenshtein(gram, phrase)/greatest(length(gram), length(phrase))) >= 80)
-  SELECT read_id, label, max(phrase) AS phrase FROM g JOIN near USING (gram) WHERE (read_id, label) NOT IN (SELECT (read_id, label) FROM ex) GROUP BY read_id, label"""))
+  SELECT read_id, label, arg_min(phrase, printf('%04d', 1000 - length(phrase)) || phrase) AS phrase FROM g JOIN near USING (gram) WHERE (read_id, label) NOT IN (SELECT (read_id, label) FROM ex) GROUP BY read_id, label"""))
 def _(spark, sf):
     p = spark.createDataFrame(FUZZY, "label string, phrase string")
     return E.match_keywords_fuzzy(text_reads(spark, sf), p, 80, 2).select("read_id", "label", "phrase")

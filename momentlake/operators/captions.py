@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from momentlake.functions.text import clean_caption_token, has_number, tokens
 from momentlake.functions.timecode import frame_timecode, frames, srt_time, vtt_time, whole_fps
 from momentlake.operators.passages import emphasis_terms
-from momentlake.skew import chain_marks, overlap_join, range_join
+from momentlake.skew import overlap_join, range_join
 
 CLIP = ("media_id", "clip_id")
 
@@ -188,9 +188,10 @@ def apply_corrections(words: DataFrame, corrections: DataFrame, min_words: int =
 
 def zoom_spikes(caps: DataFrame, cuts: DataFrame, gap_ms: int = 600) -> DataFrame:
     """Emphasised words at least ``gap_ms`` after the last kept one, plus softer spikes on cuts."""
-    e = caps.where("emphasis").select(F.concat_ws("/", *CLIP).alias("_k"), *CLIP, "pos", "t_ms")
-    kept = chain_marks(e, "_k", ["t_ms", "pos"], "t_ms", gap_ms, out="_keep").where("_keep")
-    a = kept.select(*CLIP, "t_ms", F.lit(1.12).alias("peak"), F.lit(450).alias("span_ms"))
+    e = caps.where("emphasis").groupBy(*CLIP).agg(F.sort_array(F.collect_list("t_ms")).alias("_t"))  # a bounded clip
+    kept = F.aggregate("_t", F.array().cast("array<bigint>"), lambda acc, t: F.when(
+        (F.size(acc) > 0) & (t - F.element_at(acc, -1) < gap_ms), acc).otherwise(F.concat(acc, F.array(t))))
+    a = e.select(*CLIP, F.explode(kept).alias("t_ms"), F.lit(1.12).alias("peak"), F.lit(450).alias("span_ms"))
     return a.unionByName(cuts.select(*CLIP, "t_ms", F.lit(1.08).alias("peak"), F.lit(300).alias("span_ms")))
 
 

@@ -67,7 +67,7 @@ def match_keywords(reads: DataFrame, phrases: DataFrame, max_words: int = 5) ->
     an equi-join of n-grams with ``phrases(label, phrase)``."""
     p = fold_phrases(phrases).withColumnRenamed("phrase", "gram")
     g = text_grams(reads.select("read_id", "text"), max_words).select("read_id", "gram").join(p, "gram")
-    best = g.groupBy("read_id", "label").agg(F.max_by("gram", F.struct(F.length("gram"), "gram")).alias("phrase"))
+    best = g.groupBy("read_id", "label").agg(F.min_by("gram", F.struct(-F.length("gram"), "gram")).alias("phrase"))
     return reads.join(best, "read_id")
 
 
@@ -88,7 +88,7 @@ def match_keywords_fuzzy(reads: DataFrame, phrases: DataFrame, min_ratio: float
     ratio = 100.0 * (1.0 - F.levenshtein("gram", "phrase") / F.greatest(F.length("gram"), size))
     near = d.join(p, ["n", "len"]).where(ratio >= min_ratio).select("gram", "label", "phrase")
     hits = grams.join(near, "gram").join(exact, ["read_id", "label"], "left_anti")
-    best = hits.groupBy("read_id", "label").agg(F.max_by("phrase", F.struct(F.length("phrase"), "phrase")).alias("phrase"))
+    best = hits.groupBy("read_id", "label").agg(F.min_by("phrase", F.struct(-F.length("phrase"), "phrase")).alias("phrase"))
     return reads.join(best, "read_id")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from momentlake.functions.text import (ANSWER_MARKERS, FILLER_OPENERS, clamp, ends_complete, ends_sentence,
                                        has_number, tokens)
-from momentlake.skew import CHUNK, CHUNK_ROWS, chunk_by_pos, range_join, scan
+from momentlake.skew import CHUNK, CHUNK_ROWS, chunk_by_pos, pin, range_join, scan, share_shuffle
 
 ROLES = ("hook", "emotion", "payoff", "dangling", "second_person", "quote_extra", "enumeration", "controversy")
 FEATURES = ("instant_hook", "swipe", "hook", "emotion", "clarity", "quote", "pace", "length", "list",
@@ -66,7 +66,9 @@ def transcript_scan(words: DataFrame, pause_ms: int = 650, horizon_ms: int = 300
     summary = w.groupBy(*keys).agg(
         F.min_by(F.struct("pos", "t_ms"), "pos").alias("_first"), F.max_by(row, "pos").alias("_last"),
         F.max(F.when(F.col("_st"), F.col("pos"))).alias("_start"), F.max_by("_recent", "pos").alias("_tail"),
-        F.max_by("_tok", F.when(F.col("_tok").isNotNull(), F.col("pos"))).alias("_tok"))
+        F.max_by("_tok", F.when(F.col("_tok").isNotNull(), F.col("pos"))).alias("_tok"),
+        pin(words.columns + ["toks"]))
+    summary = share_shuffle(summary)
     over = W.partitionBy("media_id").orderBy(CHUNK)
     before = over.rowsBetween(W.unboundedPreceding, -1)
     c = summary.select("*", F.lag("_last").over(over).alias("_cl"), F.last("_tok", True).over(before).alias("_ct"))
@@ -74,11 +76,15 @@ def transcript_scan(words: DataFrame, pause_ms: int = 650, horizon_ms: int = 300
     c = c.withColumn("_edge", edge)
     own = F.coalesce("_start", F.when(F.col("_edge"), F.col("_first.pos")))
     tail = F.filter("_tail", lambda x: F.col("_edge") | (x["pos"] != F.col("_first.pos")))
-    c = c.select(*keys, "_cl", "_ct", "_edge", F.last(own, True).over(before).alias("_cs"), F.lag(tail).over(over).alias("_cr"))
+    c = c.select(*keys, "_cl", "_ct", "_edge", F.last(own, True).over(before).alias("_cs"), F.lag(tail).over(over).alias("_pt"),
+                 F.col("_first.t_ms").alias("_t0"))
+    # the chunk before this one, and before every chunk that began within the horizon
+    close = W.partitionBy("media_id").orderBy("_t0").rangeBetween(-horizon_ms, 0)
+    c = c.select(*keys, "_cl", "_ct", "_edge", "_cs", F.flatten(F.collect_list("_pt").over(close)).alias("_cr"))
     j = w.join(c.where(F.col(CHUNK) > 0), keys, "left")
     at_edge = F.coalesce("_edge", F.lit(True))
     known = F.when(F.col("_cr").isNull(), F.col("_recent")).otherwise(F.concat("_cr", "_recent"))
-    heads = F.filter(known, lambda x: (x["pos"] <= F.col("pos")) & (F.col("t_ms") - x["t_ms"] < horizon_ms)
+    heads = F.filter(F.array_distinct(known), lambda x: (x["pos"] <= F.col("pos")) & (F.col("t_ms") - x["t_ms"] < horizon_ms)
                      & (at_edge | (x["pos"] != F.col("_pos0"))))
     return j.select(*words.columns, CHUNK, "toks",
                     F.coalesce("_ls", F.when(at_edge, F.col("_pos0")).otherwise(F.col("_cs"))).alias("sid"),

@@ -30,6 +30,20 @@ def chunk_by_time(df: DataFrame, t: str = "t_ms", ms: int = CHUNK_MS) -> DataFra
     return df.withColumn(CHUNK, F.expr(f"cast(floor({t} / {ms}) as bigint)"))
 
 
+def share_shuffle(summary: DataFrame) -> DataFrame:
+    """Keep ``_pin`` (a value over every column of the main branch) alive in the summary.
+
+    Column pruning would otherwise give the two branches different shuffles, and Spark would read
+    and shuffle the rows twice; with equal columns it reuses the first shuffle. The condition holds
+    for every row.
+    """
+    return summary.where(F.xxhash64("_pin") >= F.lit(-(1 << 63))).drop("_pin")
+
+
+def pin(columns: Sequence[str]) -> Column:
+    return F.max(F.xxhash64(*columns)).alias("_pin")
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -90,7 +104,8 @@ def scan(
         ends.append(F.max(col).alias(f"_s_{out}"))
         carries[out] = F.max(f"_s_{out}").over(past_chunks)
     # keys living in a single chunk need no carry: only the others enter the join
-    summary = df.groupBy(*keys, chunk).agg(*ends)
+    summary = df.groupBy(*keys, chunk).agg(*ends, pin(df.columns))
+    summary = share_shuffle(summary)
     carry = summary.select(
         *keys, chunk, *[c.alias(f"_c_{o}") for o, c in carries.items()]
     )
@@ -123,7 +138,8 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Colum
     part = W.partitionBy(*keys, CHUNK).orderBy(*order)
     w = df.withColumn("_b", F.coalesce(breaks, F.lit(False))).withColumn("_rn", F.row_number().over(part).cast("bigint"))
     w = w.withColumn("_lb", F.max(F.when(F.col("_b"), F.col("_rn"))).over(part.rowsBetween(W.unboundedPreceding, 0)))
-    s = w.groupBy(*keys, CHUNK).agg(F.count("*").alias("_n"), F.max(F.when(F.col("_b"), F.col("_rn"))).alias("_l"))
+    s = w.groupBy(*keys, CHUNK).agg(F.count("*").alias("_n"), F.max(F.when(F.col("_b"), F.col("_rn"))).alias("_l"), pin(df.columns))
+    s = share_shuffle(s)
     past = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     s = s.withColumn("_off", F.sum("_n").over(past))
     s = s.withColumn("_g", F.last(F.coalesce("_off", F.lit(0)) + F.col("_l"), True).over(past)).where("_off is not null")
