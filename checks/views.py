@@ -12,10 +12,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle whole texts by key before they are exploded: far fewer bytes than their words, and
+    the steps that follow need the same partitioning."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def words(spark, sf) -> DataFrame:
     """``documents`` as a transcript: one row per word at a fixed pace."""
-    docs = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("media_id"), "lang",
+    docs = spread_rows(table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), "lang", "text"), "media_id").select(
+        "media_id", "lang",
         F.posexplode(F.filter(F.split("text", SPLIT), lambda x: x != "")).alias("pos", "text"))
     w = docs.withColumns({"pos": F.col("pos").cast("bigint"), "fin": F.col("text").rlike(FIN).cast("int")})
     past = W.partitionBy("media_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from momentlake.functions.text import (ANSWER_MARKERS, FILLER_OPENERS, clamp, ends_complete, ends_sentence,
                                        has_number, tokens)
-from momentlake.skew import CHUNK, CHUNK_ROWS, chunk_by_pos, pin, range_join, scan, share_shuffle
+from momentlake.skew import CHUNK, CHUNK_MS, CHUNK_ROWS, chain_marks, chunk_by_pos, pin, range_join, scan, share_shuffle
 
 ROLES = ("hook", "emotion", "payoff", "dangling", "second_person", "quote_extra", "enumeration", "controversy")
 FEATURES = ("instant_hook", "swipe", "hook", "emotion", "clarity", "quote", "pace", "length", "list",
@@ -287,6 +287,18 @@ def candidate_spans(sents: DataFrame, settings: DataFrame, width_ms: int = 60_00
                    & (F.col(tall) - F.col("a_start_ms") <= F.col("max_len_ms")))
 
 
+def fixed_windows(words: DataFrame, settings: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Consecutive windows of about half the sum of the length limits, snapped to words; for
+    recordings whose sentences never fit. Always advances by at least one word."""
+    lim = settings.select("media_id", ((F.col("min_len_ms") + F.col("max_len_ms")) / 2).cast("bigint").alias("_target"))
+    w = words.select("media_id", "pos", "t_ms", (F.col("t_ms") + F.col("d_ms")).alias("end")).join(lim, "media_id")
+    m = chain_marks(w, "media_id", ["t_ms", "pos"], "t_ms", F.col("_target"), value="end", out="_first", chunk_ms=chunk_ms)
+    m = chunk_by_pos(m).withColumn("_own", F.when(F.col("_first"), F.col("pos")))
+    m = scan(m, ["media_id"], ["pos"], before={"_past": F.col("_own")})
+    return m.groupBy("media_id", F.coalesce("_own", "_past").alias("pos_lo")).agg(
+        F.max("pos").alias("pos_hi"), F.min_by("t_ms", "pos").alias("start_ms"), F.max_by("end", "pos").alias("end_ms"))
+
+
 def passage_features(cands: DataFrame, n_phrases: int) -> DataFrame:
     """Turn joined sentence pairs into candidates with the eleven features ``f_*``."""
     def span(c, x=None):

@@ -402,5 +402,7 @@ def session(name: str = "momentlake", cpus: str = "8") -> SparkSession:
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.driver.memory", "16g")
+            # wide feature projections: methods over 8000 bytes are never compiled by the JVM
+            .config("spark.sql.codegen.hugeMethodLimit", "8000")
             .config("spark.ui.enabled", "false")
             .getOrCreate())
