@@ -25,9 +25,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def norm(v: Column) -> Column:
+    return F.greatest(F.sqrt(dot(v, v)), F.lit(1e-6))
+
+
 def unit(v: Column) -> Column:
-    n = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-6))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    # the outer transform binds the norm once; inlined it would be computed for every element
+    return F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n)), 1)
 
 
 def packed(df: DataFrame, *cols) -> Column:
@@ -61,9 +65,9 @@ def embedding_similarity(windows: DataFrame, prompts: DataFrame) -> DataFrame:
     """Cosine of every window with every prompt, kept in one row per window (``sims``).
     The prompt set is a dictionary; windows are never shuffled."""
     p = packed(prompts.withColumn("_v", unit(F.col("embedding"))), "label", "polarity", F.col("_v").alias("v"))
-    w = windows.withColumns({"_p": p, "_e": unit(F.col("embedding"))})
-    return w.withColumn("sims", F.transform("_p", lambda x: F.struct(
-        x["label"].alias("label"), x["polarity"].alias("polarity"), dot(F.col("_e"), x["v"]).alias("sim")))).drop("_p", "_e")
+    e = F.col("embedding")
+    return windows.withColumn("_p", p).withColumn("sims", F.element_at(F.transform(F.array(norm(e)), lambda n: F.transform("_p", lambda x: F.struct(
+        x["label"].alias("label"), x["polarity"].alias("polarity"), (dot(e, x["v"]) / n).alias("sim")))), 1)).drop("_p")
 
 
 def prompt_group_max(sims: Column, polarity: str) -> Column:
