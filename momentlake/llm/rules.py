@@ -21,15 +21,16 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 FEATURES = ("word_len", "symbol_rate", "upper_rate", "shout_rate", "digit_rate", "distinct_rate", "repeat_rate", "dup_line_rate", "words_per_line", "n_words")
 
 
-def unused(docs: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = "_" + name
-    return name
+def free_prefix(docs: DataFrame, prefix: str = "q_") -> str:
+    """A prefix that no column of ``docs`` has."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
 
 
-def with_stats(docs: DataFrame, out: str) -> DataFrame:
-    """Adds struct ``out`` with the base counts and the features of ``text``. Other columns are kept as they are."""
-    t, w, h, g, s, p = (unused(docs, f"_{out}_{x}") for x in "twhgsp")
+def with_stats(docs: DataFrame, q: str) -> DataFrame:
+    """Adds the base counts and the features of ``text`` as columns named with prefix ``q``. Other columns are kept."""
+    t, w, h, g, s, p = (f"{q}_{x}" for x in "twhgsp")
     blanks = " \t\n\x0b\x0c\r"
     df = docs.withColumn(t, whole_text())
     cut = F.btrim(F.col(t), F.lit(blanks))
@@ -59,15 +60,22 @@ def with_stats(docs: DataFrame, out: str) -> DataFrame:
     base = {"n_words": n, "word_chars": chars, "n_symbols": count(SYMBOLS), "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
             "n_repeat_words": F.when(F.size(p) > 1, covered).otherwise(0), "n_lines": F.size(lines), "n_distinct": F.size(F.array_distinct(h)),
             "n_upper": count("\\p{Lu}"), "n_shout": count("!"), "n_digits": count("[0-9]")}
-    df = df.withColumn(out, F.struct(*[v.cast("bigint").alias(k) for k, v in base.items()]))
-    c, per_word, per_char = (lambda k: F.col(out)[k]), F.greatest(F.col(out)["n_words"], F.lit(1)), F.greatest(F.col(out)["word_chars"], F.lit(1))
-    rates = {"word_len": c("word_chars") / per_word, "symbol_rate": c("n_symbols") / per_char, "upper_rate": c("n_upper") / per_char,
-             "shout_rate": c("n_shout") / per_word, "digit_rate": c("n_digits") / per_char, "distinct_rate": c("n_distinct") / per_word,
-             "repeat_rate": c("n_repeat_words") / per_word, "dup_line_rate": c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)),
-             "words_per_line": c("n_words") / F.greatest(c("n_lines"), F.lit(1))}
-    failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
-    df = df.withColumn(out, F.struct(*[c(k).alias(k) for k in base], *[v.alias(k) for k, v in rates.items()], failed.alias("base_failed")))
-    return df.drop(t, w, h, g, s, p)
+    # plain columns, not a struct: Catalyst would copy a struct's expensive fields into each of their uses
+    # The row number keeps filters above this step: below it they would hold copies of all these expressions.
+    df = df.withColumns({q + k: v.cast("bigint") for k, v in base.items()} | {q + "row": F.monotonically_increasing_id()}).drop(t, w, h, g, s, p)
+    c = lambda k: F.col(q + k)
+    words, chars, lines = (F.greatest(c(k), F.lit(1)) for k in ("n_words", "word_chars", "n_lines"))
+    return df.withColumns({
+        f"{q}word_len": c("word_chars") / words, f"{q}symbol_rate": c("n_symbols") / chars, f"{q}upper_rate": c("n_upper") / chars,
+        f"{q}shout_rate": c("n_shout") / words, f"{q}digit_rate": c("n_digits") / chars, f"{q}distinct_rate": c("n_distinct") / words,
+        f"{q}repeat_rate": c("n_repeat_words") / words, f"{q}dup_line_rate": c("n_dup_lines") / lines, f"{q}words_per_line": c("n_words") / lines,
+        f"{q}base_failed": (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))})
+
+
+def stats_of(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the statistics, without prefix, as a durable table."""
+    df = with_stats(docs.select("doc_id", "text"), "q_")
+    return durable(df.select("doc_id", *[F.col(x).alias(x[2:]) for x in df.columns if x.startswith("q_") and x != "q_row"]))
 
 
 @dataclass(frozen=True)
@@ -123,7 +131,7 @@ def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, max_rules: int
     cuts = {f: sorted({v for r in cells.values() for v in (r[f] or []) if v is not None}) for f in features}
     binned = rows.where("bad is not null").select(
         "bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"),
-        *[sum((F.when(F.col(f) >= v, 1).otherwise(0) for v in cuts[f]), F.lit(0)).alias(f) for f in features])
+        *[_bin(F.col(f), cuts[f]).alias(f) for f in features])
     binned = durable(binned)
     total_bad = cells[True].n
 
@@ -161,6 +169,11 @@ def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES, max_rules: int
     return found
 
 
+def _bin(x: Column, cuts: list[float]) -> Column:
+    """How many cuts lie at or under ``x``."""
+    return F.size(F.filter(F.lit([float(v) for v in cuts]).cast("array<double>"), lambda v: v <= x))
+
+
 def _best_literal(counts, cuts):
     """(precision, literal) with the best gain p * (log2 precision after - log2 precision before), or None."""
     by: dict[str, dict[int, tuple[int, int]]] = {}
@@ -198,16 +211,14 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null, empty and blank texts have counts 0 and fail the base rules; repeated rows are judged each; other columns
     are not read; without usable labels only the base rules reject.
     """
-    stats = durable(with_stats(docs.select("doc_id", "text"), "q").select("doc_id", "q.*"))
+    stats = stats_of(docs)
     rules = learn(labelled(stats, labels))
     return stats.withColumn("rule", F.when(~F.col("base_failed"), rules.number())).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that base rules and learned rules keep, with all their columns."""
-    q = unused(docs, "_quality")
-    marked = with_stats(docs, q)
+    q = free_prefix(docs)
     known = labels.where("quality is not null").select("doc_id").distinct()
-    stats = durable(docs.select("doc_id", "text").join(known, "doc_id", "left_semi").transform(lambda d: with_stats(d, "q")).select("doc_id", "q.*"))
-    rules = learn(labelled(stats, labels))
-    return marked.where(~F.col(f"{q}.base_failed") & rules.keeps(f"{q}.")).drop(q)
+    found = learn(labelled(stats_of(docs.join(known, "doc_id", "left_semi")), labels))
+    return with_stats(docs, q).where(~F.col(f"{q}base_failed") & found.keeps(q) & (F.col(q + "row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
