@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlake.llm import neardup, packing, rules, spiece, tokens, toxicity
+from momentlake.llm import cotrain, neardup, packing, rules, spiece, tokens, toxicity
 from momentlake.llm.common import table
 
 QUERIES: dict = {}
@@ -49,3 +49,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The examples are a bounded sample of the labelled rows (``max_examples`` per class, by hash of doc_id); the index is
-therefore small whatever the corpus, and goes to every task. Terms are words and the first five characters of longer
-words. Only terms that the examples tie to a class (chi-square and odds ratio) span the vectors; their document
-frequencies are counted over all documents. Votes of the nearest examples, weighted by similarity, are calibrated by
+The examples are a bounded sample of the labelled rows (``max_toxic`` and ``max_clean``, by hash of doc_id; near copies
+count once); the index is therefore small whatever the corpus, and goes to every task. Terms are words and the first
+five characters of longer words. Only terms that the examples tie to toxic texts beyond chance span the vectors; their
+document frequencies are counted over all documents. Votes of the nearest examples, weighted by similarity, are calibrated by
 monotone regression on votes that leave out the example itself.
 """
 
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from momentlake.llm.common import durable, slices, whole_text
+from momentlake.llm.neardup import Shingler
 
 TOKEN = re.compile(r"\w+")
 STEM = 5
@@ -128,36 +129,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def examples_of(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[DataFrame, float]:
-    """``doc_id, toxic, terms, counts`` of the sampled labelled documents (equal texts once), and the share of toxic labels."""
+def examples_of(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> tuple[DataFrame, float]:
+    """``doc_id, toxic, terms, counts`` of the sampled labelled documents, and the share of toxic labels. Texts of a class
+    with the same least shingle hash, so equal texts and most near copies, are one example."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    sample = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples) for y in (0, 1)]
-    # at most 2 * max_examples rows of two numbers: safe to send to every task
+    sample = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, max_clean), (1, max_toxic))]
+    # at most max_toxic + max_clean rows of two numbers: safe to send to every task
     found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample[0].union(sample[1])), "doc_id")
 
     def run(batches):
+        shingle = Shingler(4)
         for b in slices(batches):
-            made = [term_counts(t) for t in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
+            made, least = [term_counts(t) for t in texts], [int(x[0] >> np.uint64(1)) if len(x := shingle(t.encode())) else -1 for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("toxic"), pa.array([list(c) for c in made], pa.list_(pa.string())),
-                                              pa.array([list(c.values()) for c in made], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+                                              pa.array([list(c.values()) for c in made], pa.list_(pa.int32())), pa.array(least, pa.int64())], ["doc_id", "toxic", "terms", "counts", "least"])
 
-    once = found.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text")).drop("h")
-    return durable(once.mapInArrow(run, "doc_id bigint, toxic int, terms array<string>, counts array<int>")), share
+    made = found.mapInArrow(run, "doc_id bigint, toxic int, terms array<string>, counts array<int>, least bigint")
+    once = made.groupBy("least", "toxic").agg(F.min_by(F.struct("doc_id", "terms", "counts"), "doc_id").alias("x"))
+    return durable(once.select("x.doc_id", "toxic", "x.terms", "x.counts")), share
 
 
-def tied_terms(examples: DataFrame, max_terms: int, min_chi: float, min_odds: float) -> list[str]:
+def tied_terms(examples: DataFrame, max_terms: int, min_evidence: float) -> list[str]:
+    """Terms whose share of toxic examples is above the share of all by ``min_evidence`` (n times the Kullback-Leibler
+    divergence, in nats: a term without any tie passes with probability under exp(-min_evidence))."""
     size = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    p, q = size.get(1, 0), size.get(0, 0)
-    if not p or not q:
+    if not size.get(1) or not size.get(0):
         return []
-    by = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where("n >= 3")
-    a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
-    c, d = p - a, q - b
-    chi = (p + q) * (a * d - b * c) ** 2 / ((a + b) * F.greatest(c + d, F.lit(1)) * p * q)
-    odds = F.abs(F.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))))
-    best = by.where((chi >= min_chi) & (odds >= log(min_odds))).orderBy(chi.desc(), "term").limit(max_terms)
+    s = size[1] / (size[0] + size[1])
+    by = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where("a >= 3")
+    p = F.col("a") / F.col("n")
+    evidence = F.col("n") * (p * F.log(p / s) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - s))).otherwise(0))
+    best = by.where((p > s) & (evidence >= min_evidence)).orderBy(evidence.desc(), "term").limit(max_terms)
     return [r.term for r in best.collect()]
 
 
@@ -174,8 +179,8 @@ def kept_terms(examples: DataFrame, terms: list[str]) -> DataFrame:
     return examples.mapInArrow(run, examples.schema)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_terms: int = 4096, k: int = 15, min_chi: float = 20.0,
-                    min_odds: float = 6.0, threshold: float = 0.3) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 16000, max_terms: int = 4096,
+                    min_evidence: float = 12.0, k: int = 15, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence, similarity`` per row of ``docs`` (needs doc_id, an integer, and text).
 
     Null and empty texts, and texts without a tied term, have no neighbours and the calibrated share of such examples
@@ -183,8 +188,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = 4000
     as toxic if one says so; null labels and held-out rows are not learned from; with no usable labels the score is
     0. Other columns are not read; an empty table gives an empty result.
     """
-    examples, share = examples_of(docs, labels, max_examples)
-    terms = tied_terms(examples, max_terms, min_chi, min_odds)
+    examples, share = examples_of(docs, labels, max_toxic, max_clean)
+    terms = tied_terms(examples, max_terms, min_evidence)
     number = {t: i for i, t in enumerate(terms)}
 
     def numbered(counts):

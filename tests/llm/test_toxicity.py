@@ -6,20 +6,20 @@ import numpy as np
 from momentlake.llm import queries, toxicity
 from tests.llm.edge import ROWS, edge_docs, no_docs
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def test_held_out_rows(spark):
-    got = queries.op3_toxicity(spark, SF).collect()
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = queries.op3_toxicity(spark, LARGER).collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
     test = [(labels[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in labels]
-    assert sum(p for y, p in test if y) >= 0.8 * sum(y for y, _ in test)
-    assert sum(p for y, p in test if not y) <= 0.01 * len(test)
+    assert sum(p for y, p in test if y) >= 0.85 * sum(y for y, _ in test)
+    assert sum(p for y, p in test if not y) <= 0.02 * len(test)
 
 
 def test_held_out_labels_are_not_read(spark):
