@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlake.llm import cotrain, neardup, packing, rules, spiece, tokens, toxicity
+from momentlake.llm import cotrain, fingerprint, neardup, packing, pseudonyms, rules, spiece, tokens, toxicity
 from momentlake.llm.common import table
 
 QUERIES: dict = {}
@@ -54,3 +54,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+PII_KEY = "a key for the registered query; real ones come from the caller"
+
+
+@query
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
