@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlake.llm import cotrain, fingerprint, neardup, packing, pseudonyms, rules, spiece, tokens, toxicity
+from momentlake.llm import cotrain, fingerprint, neardup, packing, pseudonyms, rules, spiece, tokens, toxicity, warc
 from momentlake.llm.common import table
 
 QUERIES: dict = {}
@@ -67,3 +68,13 @@ PII_KEY = "a key for the registered query; real ones come from the caller"
 @query
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
