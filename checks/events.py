@@ -249,22 +249,22 @@ def _(spark, sf):
     return E.uniform_segments(event_media(spark, sf)).select("media_id", "start_ms", "end_ms")
 
 
-@query("sample_times", ctes("media", then="""SELECT media_id, round_even(s*(i + 0.5), 0)::BIGINT AS t_ms FROM (SELECT media_id, duration_ms, greatest(1000.0, duration_ms/200.0) AS s FROM media) , range(0, 200) r(i)
+@query("sample_times", ctes("media", then="""SELECT media_id, round_even(s*(i + 0.5), 0)::BIGINT AS t_ms FROM (SELECT media_id, duration_ms, greatest(1000.0, duration_ms/2000.0) AS s FROM media) , range(0, 2000) r(i)
    WHERE round(s*(i + 0.5), 6) < duration_ms"""))
 def _(spark, sf):
     from checks.views import media
-    return E.sample_times(media(spark, sf), 1000, 200)
+    return E.sample_times(media(spark, sf), 1000)
 
 
 @query("focused_times", ctes("detections", "event_media", then="""
   , a AS (SELECT media_id, 0 AS p, t_ms AS src, o, least(greatest(t_ms + [-1000, 0, 1500, 3000][o + 1], 250), 2159750) AS t_ms FROM detections, range(0, 4) r(o) WHERE source = 'cue'
-     UNION ALL SELECT media_id, 1, s.t, 0, s.t FROM event_media, (SELECT i*43200 + 21600 AS t FROM range(0, 50) r(i)) s),
+     UNION ALL SELECT media_id, 1, s.t, 0, s.t FROM event_media, (SELECT i*12000 + 6000 AS t FROM range(0, 180) r(i)) s),
   b AS (SELECT media_id, round_even(t_ms/750.0, 0) AS bk, arg_min(t_ms, p*100000000000 + src*10 + o) AS t_ms FROM a GROUP BY 1, 2),
   c AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY t_ms, bk) - 1 AS i, count(*) OVER (PARTITION BY media_id) AS n FROM b)
-  SELECT media_id, t_ms FROM c WHERE n <= 200 OR i IN (SELECT j*n//200 FROM range(0, 200) r(j))"""))
+  SELECT media_id, t_ms FROM c WHERE n <= 2000 OR i IN (SELECT j*n//2000 FROM range(0, 2000) r(j))"""))
 def _(spark, sf):
     f = detections(spark, sf).where("source = 'cue'").select("media_id", "t_ms")
-    return E.focused_times(event_media(spark, sf), f, 1000, 200)
+    return E.focused_times(event_media(spark, sf), f, 1000)
 
 
 @query("cut_density", ctes("detections", "event_media", then="SELECT media_id, round(greatest(2.0 - least(coalesce(n, 0)/2160.0, 1.0)*1.4, 0.6)*1000000)::BIGINT AS step FROM event_media LEFT JOIN (SELECT media_id, count(*) AS n FROM detections WHERE label = 'view' GROUP BY media_id) USING (media_id)"))
@@ -335,13 +335,13 @@ def _(spark, sf):
     return E.garbled_filter(text_reads(spark, sf), 0.2).select("read_id")
 
 
-SQL_VIEWS["reads5"] = "SELECT * REPLACE (CASE WHEN read_id % 11 < 5 THEN '' ELSE left(text, 60) END AS text) FROM text_reads"
+SQL_VIEWS["reads5"] = "SELECT * REPLACE (CASE WHEN read_id % 11 < 5 THEN '' ELSE text END AS text) FROM text_reads"
 NEEDS["reads5"] = ["text_reads"]
 
 
 def _reads5(spark, sf):
     r = text_reads(spark, sf)
-    return r.withColumn("text", F.when(F.col("read_id") % 11 < 5, "").otherwise(F.substring("text", 1, 60)))
+    return r.withColumn("text", F.when(F.col("read_id") % 11 < 5, "").otherwise(F.col("text")))
 
 
 @query("text_change_events", ctes("reads5", then="SELECT read_id, media_id, t_ms FROM (SELECT *, lag(text) OVER (PARTITION BY media_id, roi ORDER BY t_ms) AS prev FROM reads5 WHERE text <> '') WHERE prev IS NOT NULL AND length(text) > 3 AND text <> prev"))
@@ -369,11 +369,11 @@ MARK = [("game_a", 1, "the"), ("game_a", 2, "tion"), ("game_b", 3, "und"), ("gam
 
 
 @query("detect_profile", ctes("text_reads", then=f"""
-  , m AS ({sql_values(MARK, 'profile, ord, marker')}), h AS (SELECT DISTINCT read_id, profile, ord, marker FROM text_reads, m WHERE contains(lower(left(text, 40)), marker)),
+  , m AS ({sql_values(MARK, 'profile, ord, marker')}), h AS (SELECT DISTINCT read_id, profile, ord, marker FROM text_reads, m WHERE contains(lower(text), marker)),
   n AS (SELECT read_id, profile, count(*) AS n, min(ord) AS o FROM h GROUP BY read_id, profile)
   SELECT read_id AS media_id, coalesce(profile, 'generic') AS profile FROM (SELECT read_id FROM text_reads) LEFT JOIN (SELECT read_id, arg_max(profile, n*100 - o) AS profile FROM n GROUP BY read_id) USING (read_id)"""))
 def _(spark, sf):
-    r = text_reads(spark, sf).select(F.col("read_id").alias("media_id"), F.substring("text", 1, 40).alias("text"))
+    r = text_reads(spark, sf).select(F.col("read_id").alias("media_id"), "text")
     return E.detect_profile(r, spark.createDataFrame(MARK, "profile string, ord int, marker string"))
 
 

@@ -42,14 +42,14 @@ def _(spark, sf):
 @query("logistic_importance", ctes("ratings", then="""
   , r AS (SELECT scope, hook::DOUBLE AS x1, emotion::DOUBLE AS x2, clarity::DOUBLE AS x3, (label >= 0.5)::INT::DOUBLE AS y, weight::DOUBLE AS w FROM ratings),
   t AS (SELECT scope, list({'x1': x1, 'x2': x2, 'x3': x3, 'y': y, 'w': w}) AS rs, sum(w) AS tot FROM r GROUP BY scope),
-  gd AS (SELECT scope, list_reduce(list_prepend([0.0, 0.0, 0.0, 0.0]::DOUBLE[], list_transform(range(0, 60), lambda i: []::DOUBLE[])), lambda c, i:
+  gd AS (SELECT scope, list_reduce(list_prepend([0.0, 0.0, 0.0, 0.0]::DOUBLE[], list_transform(range(0, 300), lambda i: []::DOUBLE[])), lambda c, i:
       [c[1] - 0.5*(list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)*q.x1)) + 0.5*c[1])/tot,
        c[2] - 0.5*(list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)*q.x2)) + 0.5*c[2])/tot,
        c[3] - 0.5*(list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)*q.x3)) + 0.5*c[3])/tot,
        c[4] - 0.5*list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)))/tot]) AS c FROM t)
   SELECT scope, ['hook','emotion','clarity'][k] AS feature, round(greatest(c[k], 0)*100000)::BIGINT AS imp FROM gd, range(1, 4) s(k)"""))
 def _(spark, sf):
-    return L.logistic_importance(ratings(spark, sf), KEYS, steps=60).select("scope", "feature", F.round(F.col("imp") * 100000).cast("bigint").alias("imp"))
+    return L.logistic_importance(ratings(spark, sf), KEYS).select("scope", "feature", F.round(F.col("imp") * 100000).cast("bigint").alias("imp"))
 
 
 @query("boundary_correction", ctes("trims", then="SELECT scope, round_even(greatest(-3000, least(3000, 0.8*median(ds_ms))), 0)::BIGINT AS ds_ms, round_even(greatest(-3000, least(3000, 0.8*median(de_ms))), 0)::BIGINT AS de_ms FROM trims GROUP BY scope"))

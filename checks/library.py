@@ -20,7 +20,7 @@ CL = ["media_id", "clip_id"]
 def projects(spark, sf):
     """Project documents as JSON text, one of nine broken."""
     d = table(spark, sf, "documents")
-    toks = F.slice(F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda x: x != ""), 1, 50)
+    toks = F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda x: x != "")
     doc = F.to_json(F.struct(
         F.concat(F.lit("p"), "doc_id").alias("id"), F.concat(F.lit("n "), "source").alias("name"), F.lit("ready").alias("status"), (F.col("doc_id") * 7 % 1000).cast("double").alias("created_at"),
         F.struct(F.concat("doc_id", F.lit(".mp4")).alias("filename"), (F.col("n_chars") / 10).alias("duration"), F.lit(25.0).alias("fps")).alias("source"),
@@ -32,7 +32,7 @@ def projects(spark, sf):
 
 
 @query("read_project_documents", """
-  SELECT 'p' || doc_id AS media_id, least(50, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> ''))) AS words, doc_id % 3 + 1 AS clips, 1 AS events, false AS bad FROM documents WHERE doc_id % 9 <> 0
+  SELECT 'p' || doc_id AS media_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) AS words, doc_id % 3 + 1 AS clips, 1 AS events, false AS bad FROM documents WHERE doc_id % 9 <> 0
   UNION ALL SELECT doc_id::VARCHAR, 0, 0, 0, true FROM documents WHERE doc_id % 9 = 0""")
 def _(spark, sf):
     t = L.read_project_documents(projects(spark, sf))
@@ -45,7 +45,7 @@ def _(spark, sf):
 
 
 @query("project_words", """SELECT 'p' || doc_id AS media_id, pos, round_even(pos*420.0, 0)::BIGINT AS t_ms, w AS text FROM (
-  SELECT doc_id, unnest(range(0, least(50, len(ws)))) AS pos, unnest(ws[1:50]) AS w FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id % 9 <> 0))""")
+  SELECT doc_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS w FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id % 9 <> 0))""")
 def _(spark, sf):
     return L.read_project_documents(projects(spark, sf))["words"].select("media_id", "pos", "t_ms", "text")
 
@@ -127,7 +127,7 @@ def _(spark, sf):
 
 def cue_docs(spark, sf):
     d = table(spark, sf, "documents")
-    ws = F.slice(F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda x: x != ""), 1, 3)
+    ws = F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda x: x != "")
     new = F.to_json(F.struct(F.create_map(F.lit("My Label!"), F.concat(ws, F.transform(ws, lambda x: F.concat(F.lit("  "), F.lower(x))))).alias("phrases"),
                              F.create_map(F.lit("hud"), F.array(F.struct(F.lit(0.95).alias("x"), F.lit(-0.1).alias("y"), F.lit(0.2).alias("w"), F.lit(0.001).alias("h")))).alias("regions")))
     old = F.to_json(F.create_map(F.lit("kill feed"), ws))
@@ -135,7 +135,7 @@ def cue_docs(spark, sf):
 
 
 @query("read_cue_documents", """SELECT game, label, count(DISTINCT lower(w)) AS n FROM (SELECT doc_id::VARCHAR AS game, CASE WHEN doc_id % 2 = 0 THEN 'my_label' ELSE 'kill_feed' END AS label,
-   unnest(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')[1:3]) AS w FROM documents) GROUP BY game, label""")
+   unnest(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY game, label""")
 def _(spark, sf):
     return L.read_cue_documents(cue_docs(spark, sf))["phrases"].groupBy("game", "label").agg(F.count("*").alias("n"))
 
@@ -145,9 +145,9 @@ def _(spark, sf):
     return L.read_cue_documents(cue_docs(spark, sf))["regions"].select("game", "label", F.round("x", 6).alias("x"), "y", "w", "h")
 
 
-@query("read_styles", "SELECT c_custkey % 500 AS style_id, max(CASE WHEN c_custkey >= 500 THEN 'user' ELSE 'built-in' END) AS origin FROM customer WHERE c_custkey < 900 AND c_custkey <> 0 GROUP BY 1")
+@query("read_styles", "SELECT c_custkey % 500 AS style_id, max(CASE WHEN c_custkey >= 500 THEN 'user' ELSE 'built-in' END) AS origin FROM customer WHERE c_custkey <> 0 GROUP BY 1")
 def _(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey < 900 and c_custkey != 0").select((F.col("c_custkey") % 500).alias("style_id"), F.when(F.col("c_custkey") >= 500, "user").otherwise("built-in").alias("origin"), "c_name")
+    c = table(spark, sf, "customer").where("c_custkey != 0").select((F.col("c_custkey") % 500).alias("style_id"), F.when(F.col("c_custkey") >= 500, "user").otherwise("built-in").alias("origin"), "c_name")
     return L.read_styles(c.where("origin = 'built-in'"), c.where("origin = 'user'")).select("style_id", "origin")
 
 
@@ -300,9 +300,9 @@ def _(spark, sf):
     return L.content_type(cov, t, m.where("media_id % 4 != 0").select("media_id", (F.col("media_id") % 10 / 10).alias("face_ratio")))
 
 
-@query("cue_word_filter", "SELECT doc_id, trim(left(text, 12)) AS cue FROM documents WHERE regexp_full_match(trim(left(text, 12)), '[A-Za-z0-9 _-]{1,24}')")
+@query("cue_word_filter", "SELECT doc_id, trim(w) AS cue FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(trim(w), '[A-Za-z0-9 _-]{1,24}')")
 def _(spark, sf):
-    return L.cue_word_filter(table(spark, sf, "documents").select("doc_id", F.trim(F.substring("text", 1, 12)).alias("cue")))
+    return L.cue_word_filter(table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("cue")))
 
 
 _w = "(VALUES " + ", ".join("('%s', %s)" % (p, ", ".join(map(str, w))) for p, w in PLATFORM_WEIGHTS.items()) + ") AS pw(p, " + ", ".join(f"w_{f}" for f in FEATURES) + ")"
@@ -346,19 +346,19 @@ def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(S.limit_hashtags(F.split("text", " "), 3), ",").alias("tags"))
 
 
-@query("excerpt", ctes("words", "spans", then="SELECT s.clip_id, left(string_agg(text, ' ' ORDER BY pos), 100) AS excerpt FROM words w JOIN spans s ON w.media_id = s.media_id AND w.t_ms + w.d_ms > s.start_ms AND w.t_ms < s.end_ms GROUP BY s.clip_id"))
+@query("excerpt", ctes("words", "spans", then="SELECT s.clip_id, left(string_agg(text, ' ' ORDER BY pos), 400) AS excerpt FROM words w JOIN spans s ON w.media_id = s.media_id AND w.t_ms + w.d_ms > s.start_ms AND w.t_ms < s.end_ms GROUP BY s.clip_id"))
 def _(spark, sf):
     w = words(spark, sf)
-    return B.excerpt(w, spans(w), 100).select("clip_id", "excerpt")
+    return B.excerpt(w, spans(w)).select("clip_id", "excerpt")
 
 
-SQL_VIEWS["replies"] = """SELECT doc_id, '<think>score 99</think>' || chr(10) || 'Score: ' || n_chars % 130 || ' | REASON: "' || left(replace(text, chr(10), ' '), 30) || '"' AS reply FROM documents"""
+SQL_VIEWS["replies"] = """SELECT doc_id, '<think>score 99</think>' || chr(10) || 'Score: ' || n_chars % 130 || ' | REASON: "' || replace(text, chr(10), ' ') || '"' AS reply FROM documents"""
 
 
 @query("parse_score_reason", ctes("replies", then="SELECT doc_id, round(least(100, n_chars % 130)/100.0*100)::BIGINT AS viral FROM documents"))
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<think>score 99</think>\nScore: "), (F.col("n_chars") % 130).cast("string"), F.lit(' | REASON: "'),
-                                                               F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 30), F.lit('"')).alias("reply"))
+                                                               F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"')).alias("reply"))
     return B.parse_score_reason(d).select("doc_id", F.round(F.col("viral") * 100).cast("bigint").alias("viral"))
 
 

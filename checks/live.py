@@ -61,7 +61,7 @@ def _(spark, sf):
 def reads(spark, sf):
     d = stream(spark, sf, "documents")
     return d.select((F.col("doc_id") % 5).alias("media_id"), F.col("doc_id").alias("read_id"), (F.col("doc_id") * 1000).alias("t_ms"), F.col("source").alias("roi"),
-                    F.when(F.col("doc_id") % 11 < 5, "").otherwise(F.substring("text", 1, 60)).alias("text"))
+                    F.when(F.col("doc_id") % 11 < 5, "").otherwise(F.col("text")).alias("text"))
 
 
 @query("live_text_change")

@@ -107,16 +107,16 @@ def _(spark, sf):
 
 
 @query("stable_face_region", ctes("boxes", then="""
-  , s AS (SELECT media_id, frame, x, w, h, y, count(*) OVER (PARTITION BY media_id) AS n, row_number() OVER (PARTITION BY media_id ORDER BY x + w/2) - 1 AS r FROM boxes WHERE is_person AND frame % 16 = 0)
+  , s AS (SELECT media_id, frame, x, w, h, y, count(*) OVER (PARTITION BY media_id) AS n, row_number() OVER (PARTITION BY media_id ORDER BY x + w/2) - 1 AS r FROM boxes WHERE is_person)
   SELECT media_id, round(((x + w/2) - 0.1)*1000000)::BIGINT AS x FROM s WHERE r = n//2 AND n >= 6 AND media_id IN (SELECT media_id FROM s GROUP BY media_id HAVING stddev_pop(x) <= 0.025)"""))
 def _(spark, sf):
-    b = boxes(spark, sf).where("frame % 16 = 0").select("media_id", F.col("frame").alias("sample"), F.when(F.col("is_person"), 0).otherwise(1).alias("ord"), "x", "y", "w", "h")
+    b = boxes(spark, sf).select("media_id", F.col("frame").alias("sample"), F.when(F.col("is_person"), 0).otherwise(1).alias("ord"), "x", "y", "w", "h")
     return K.stable_face_region(b).select("media_id", F.round(F.col("x") * 1000000).cast("bigint").alias("x"))
 
 
 @query("stable_person_region")
 def _(spark, sf):
-    b = boxes(spark, sf).where("frame % 16 = 0").select("media_id", F.col("frame").alias("sample"), F.when(F.col("is_person"), 0).otherwise(1).alias("ord"), "x", "y", "w", "h")
+    b = boxes(spark, sf).select("media_id", F.col("frame").alias("sample"), F.when(F.col("is_person"), 0).otherwise(1).alias("ord"), "x", "y", "w", "h")
     return K.stable_person_region(b)
 
 
@@ -162,10 +162,10 @@ def _(spark, sf):
 
 
 @query("select_thumbnail_time", ctes("boxes", then="""
-  , f AS (SELECT clip_id, t_ms, count(*)*sum(w*h) AS s FROM boxes WHERE frame % 7 = 0 AND frame // 50 % 2 = 0 GROUP BY ALL), c AS (SELECT DISTINCT clip_id FROM boxes)
+  , f AS (SELECT clip_id, t_ms, count(*)*sum(w*h) AS s FROM boxes WHERE frame // 50 % 2 = 0 GROUP BY ALL), c AS (SELECT DISTINCT clip_id FROM boxes)
   SELECT c.clip_id, coalesce(arg_max(t_ms, round(s*1000)*100000000 - t_ms), 5000)::BIGINT AS t_ms FROM c LEFT JOIN f USING (clip_id) GROUP BY c.clip_id"""))
 def _(spark, sf):
     b = boxes(spark, sf)
     c = b.select(*CL).distinct().withColumns({"start_ms": F.lit(0), "end_ms": F.lit(10000)})
-    f = b.where("frame % 7 = 0").where(F.floor(F.col("frame") / 50) % 2 == 0)
+    f = b.where(F.floor(F.col("frame") / 50) % 2 == 0)
     return K.select_thumbnail_time(f, c).select("clip_id", F.col("t_ms").cast("bigint").alias("t_ms"))

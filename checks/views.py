@@ -80,8 +80,8 @@ def envelope(spark, sf) -> DataFrame:
 
 
 def peaks(spark, sf) -> DataFrame:
-    """Every 40th envelope frame as a peak with a clip around it."""
-    e = envelope(spark, sf).where("frame % 40 = 20")
+    """Every envelope frame as a peak with a clip around it."""
+    e = envelope(spark, sf)
     return e.select("media_id", F.concat_ws("-", "media_id", "frame").alias("clip_id"),
                     F.col("frame").alias("peak_frame"), F.col("t_ms").alias("peak_ms"),
                     F.greatest(F.col("t_ms") - 2000, F.lit(0)).alias("start_ms"),
@@ -90,7 +90,7 @@ def peaks(spark, sf) -> DataFrame:
 
 def event_clips(spark, sf) -> DataFrame:
     """Clips around every confident detection, as the gameplay builders would make."""
-    d = detections(spark, sf).where("event_id % 7 = 0")
+    d = detections(spark, sf)
     return d.select("media_id", F.concat_ws("-", F.lit("c"), F.col("event_id")).alias("clip_id"),
                     F.greatest(F.col("t_ms") - 12000, F.lit(0)).alias("start_ms"),
                     (F.col("t_ms") + 9000).alias("end_ms"), F.col("t_ms").alias("peak_ms"),
@@ -202,11 +202,11 @@ SQL_VIEWS = {
            value AS rms FROM events)""",
     "peaks": """
   SELECT media_id, media_id || '-' || frame AS clip_id, frame AS peak_frame, t_ms AS peak_ms,
-         greatest(t_ms - 2000, 0) AS start_ms, t_ms + 3000 AS end_ms FROM envelope WHERE frame % 40 = 20""",
+         greatest(t_ms - 2000, 0) AS start_ms, t_ms + 3000 AS end_ms FROM envelope""",
     "event_clips": """
   SELECT media_id, 'c-' || event_id AS clip_id, greatest(t_ms - 12000, 0) AS start_ms, t_ms + 9000 AS end_ms, t_ms AS peak_ms,
          source AS kind, label, CAST(40 + event_id % 50 AS INT) AS score,
-         CASE WHEN source = 'cue' THEN [t_ms] ELSE CAST([] AS BIGINT[]) END AS cue_times FROM detections WHERE event_id % 7 = 0""",
+         CASE WHEN source = 'cue' THEN [t_ms] ELSE CAST([] AS BIGINT[]) END AS cue_times FROM detections""",
     "rating_base": """
   SELECT d.doc_id AS clip_id, 'score:talking:' || lang AS scope, quality, toxic,
          len(list_filter(ws, lambda x: regexp_matches(x, '[.!?]$'))) / greatest(len(list_filter(ws, lambda x: x <> '')), 1) AS hook,
