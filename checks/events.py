@@ -294,7 +294,7 @@ def _(spark, sf):
 @query("match_keywords", ctes("folded", "kw", then="SELECT read_id, label, arg_min(phrase, printf('%04d', 1000 - length(phrase)) || phrase) AS phrase FROM folded, kw WHERE contains(f, ' ' || phrase || ' ') GROUP BY read_id, label"))
 def _(spark, sf):
     p = spark.createDataFrame(PHRASES, "label string, phrase string")
-    return E.match_keywords(text_reads(spark, sf), p, 3).select("read_id", "label", "phrase")
+    return E.match_keywords(text_reads(spark, sf), p).select("read_id", "label", "phrase")
 
 
 FUZZY = [("a", "therre"), ("b", "quedes"), ("a", "and"), ("c", "of thes")]
@@ -303,14 +303,18 @@ FUZZY = [("a", "therre"), ("b", "quedes"), ("a", "and"), ("c", "of thes")]
 @query("match_keywords_fuzzy", ctes("folded", then=f"""
   , kw2 AS ({sql_values(FUZZY, 'label, phrase')}), t AS (SELECT read_id, unnest(string_split(trim(f), ' ')) AS w, generate_subscripts(string_split(trim(f), ' '), 1) AS i FROM folded WHERE trim(f) <> ''),
   g AS (SELECT DISTINCT read_id, w AS gram, 1 AS n FROM t UNION SELECT DISTINCT a.read_id, a.w || ' ' || b.w, 2 FROM t a JOIN t b ON a.read_id = b.read_id AND b.i = a.i + 1),
-  ex AS (SELECT DISTINCT read_id, label FROM g JOIN kw2 ON gram = phrase),
+  ex AS (SELECT read_id, label, phrase FROM g JOIN kw2 ON gram = phrase),
   d AS (SELECT DISTINCT gram, n FROM g),
-  near AS (SELECT gram, label, phrase FROM d JOIN kw2 ON n = len(string_split(phrase, ' ')) AND (n > 1 OR length(phrase) >= 5) AND abs(length(gram) - length(phrase)) <= 2
-     WHERE 100.0*(1.0 - levenshtein(gram, phrase)/greatest(length(gram), length(phrase))) >= 80)
-  SELECT read_id, label, arg_min(phrase, printf('%04d', 1000 - length(phrase)) || phrase) AS phrase FROM g JOIN near USING (gram) WHERE (read_id, label) NOT IN (SELECT (read_id, label) FROM ex) GROUP BY read_id, label"""))
+  c AS (SELECT gram, label, phrase FROM d JOIN kw2 ON n = len(string_split(phrase, ' ')) AND (n > 1 OR length(phrase) >= 5) AND levenshtein(gram, phrase) <= 0.2*(length(gram) + length(phrase))),
+  lcs AS (SELECT *, list_reduce(list_prepend(list_transform(range(0, length(phrase) + 1), lambda z: 0::BIGINT), list_transform(range(1, length(gram) + 1), lambda i: [i])), lambda prev, x:
+     list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(phrase) + 1), lambda j: [j])), lambda acc, y:
+       list_append(acc, greatest(prev[y[1] + 1], acc[-1], prev[y[1]] + (gram[x[1]] = phrase[y[1]])::BIGINT))))[-1] AS l FROM c),
+  near AS (SELECT gram, label, phrase FROM lcs WHERE 200.0*l/(length(gram) + length(phrase)) >= 80)
+  SELECT read_id, label, arg_min(phrase, printf('%04d', 1000 - length(phrase)) || phrase) AS phrase
+  FROM (SELECT read_id, label, phrase FROM g JOIN near USING (gram) UNION ALL SELECT * FROM ex) GROUP BY read_id, label"""))
 def _(spark, sf):
     p = spark.createDataFrame(FUZZY, "label string, phrase string")
-    return E.match_keywords_fuzzy(text_reads(spark, sf), p, 80, 2).select("read_id", "label", "phrase")
+    return E.match_keywords_fuzzy(text_reads(spark, sf), p, 80).select("read_id", "label", "phrase")
 
 
 @query("drop_false_positives", ctes("folded", "kw", then="""
@@ -318,7 +322,7 @@ def _(spark, sf):
    WHERE NOT (contains(f, 'the and') OR (game = 'g1' AND contains(f, 'pour')))"""))
 def _(spark, sf):
     p = spark.createDataFrame(PHRASES, "label string, phrase string")
-    m = E.match_keywords(text_reads(spark, sf), p, 3).withColumn("game", F.when(F.col("read_id") % 2 == 0, "g1").otherwise("g2"))
+    m = E.match_keywords(text_reads(spark, sf), p).withColumn("game", F.when(F.col("read_id") % 2 == 0, "g1").otherwise("g2"))
     f = spark.createDataFrame([("common", "The and!"), ("g1", "Pour")], "game string, phrase string")
     return E.drop_false_positives(m, f).select("read_id", "label")
 
@@ -327,7 +331,7 @@ def _(spark, sf):
 def _(spark, sf):
     r = text_reads(spark, sf)
     cues = r.select("media_id").distinct().withColumn("phrase", F.when(F.col("media_id") < 25, "und der").otherwise("Là"))
-    return E.manual_matches(r, cues, 2).select("media_id", "read_id", "phrase")
+    return E.manual_matches(r, cues).select("media_id", "read_id", "phrase")
 
 
 @query("garbled_filter", ctes("text_reads", then="SELECT read_id FROM text_reads WHERE length(text) > 0 AND length(regexp_replace(text, '[^\\p{L}\\p{N}''._-]', '', 'g')) / length(text) >= 0.8"))

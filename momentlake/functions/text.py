@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 # fixed values: weak spoken openers
@@ -11,11 +16,6 @@ FILLER_OPENERS = ["um", "uh", "okay", "ok", "so", "well", "like", "yeah", "also"
 ANSWER_MARKERS = ["because", "so", "reason", "explain", "means", "actually", "turns out", "the truth", "answer",
                   "weil", "deshalb", "deswegen", "erklärung", "bedeutet", "eigentlich"]
 
-# fixed values: base letters of accented Latin letters; letters without a decomposition vanish
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžơư"
-BASE_LETTER = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzzou"
-DROPPED = "ßłøđðþæœħıŧŋ"
-
 
 def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -41,9 +41,29 @@ def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
 
+@cache
+def ascii_forms() -> tuple[str, str, dict[str, str]]:
+    """What the ASCII part of each character's compatibility decomposition is: characters with one letter or mark, these
+    letters and marks, and the characters that become several letters."""
+    one, to, several = [], [], {}
+    for c in map(chr, range(0x80, 0x20000)):
+        base = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if sum(x.isalnum() for x in base) > 1 or (len(base) > 1 and any(x.isalnum() for x in base)):
+            several[c] = base
+        elif base:
+            one.append(c)
+            to.append(base if len(base) == 1 else " ")
+    return "".join(one), "".join(to), several
+
+
 def fold_text(text) -> Column:
-    """Lower-case ASCII letters and digits, single-spaced; accents removed."""
-    plain = F.translate(F.lower(as_col(text)), ACCENTED + DROPPED, BASE_LETTER)
+    """Lower-case ASCII letters and digits, single-spaced: compatibility forms taken apart, other characters dropped."""
+    one, to, several = ascii_forms()
+    t = as_col(text)
+    forms = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # one constant
+    parts = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c))
+    t = F.when(t.rlike("[" + "".join(map(re.escape, several)) + "]"), F.array_join(parts, "")).otherwise(t)
+    plain = F.lower(F.translate(t, one, to))
     ascii_only = F.regexp_replace(plain, "[^\\x00-\\x7f]", "")
     return F.trim(F.regexp_replace(ascii_only, "[^a-z0-9]+", " "))
 

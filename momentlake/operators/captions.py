@@ -139,18 +139,17 @@ def word_display_end(lined: DataFrame, silence_ms: int = 350, linger_ms: int = 1
     return lined.withColumn("end_ms", F.greatest(end, F.col("t_ms") + min_ms))
 
 
-def remove_phrases(caps: DataFrame, phrases: DataFrame, max_words: int = 5) -> DataFrame:
-    """Drop every word of a matched phrase (``phrases(phrase)``), matched on folded tokens."""
+def remove_phrases(caps: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Drop every word of a matched phrase of any length (``phrases(phrase)``), matched on folded tokens: a place where
+    the phrase's first word stands meets the clip's words at the places of the others."""
     tok = F.regexp_replace(F.lower("text"), "[^a-zà-ÿ0-9]", "")
-    order = W.partitionBy(*CLIP).orderBy("pos")
-    w = caps.withColumn("_tok", tok)
-    grams = [F.struct(F.lit(i).alias("n"), F.concat_ws(" ", *["_tok", *[f"_t{j}" for j in range(1, i)]]).alias("phrase"),
-                      (F.col(f"_t{i - 1}") if i > 1 else F.col("_tok")).isNotNull().alias("full")) for i in range(1, max_words + 1)]
-    w = w.withColumn("_i", F.row_number().over(order)).select("*", *[F.lead("_tok", j).over(order).alias(f"_t{j}") for j in range(1, max_words)])
-    g = w.select(*CLIP, "_i", F.explode(F.array(*grams)).alias("_g")).where("_g.full")
-    hits = g.select(*CLIP, "_i", F.col("_g.n").alias("n"), F.col("_g.phrase").alias("phrase")).join(
-        phrases.select("phrase").distinct(), "phrase")
-    gone = hits.select(*CLIP, F.explode(F.sequence(F.col("_i"), F.col("_i") + F.col("n") - 1)).alias("_i")).distinct()
+    w = caps.withColumn("_tok", tok).withColumn("_i", F.row_number().over(W.partitionBy(*CLIP).orderBy("pos")))
+    p = phrases.select("phrase").distinct().withColumn("_p", F.split("phrase", " "))
+    start = w.select(*CLIP, "_i", "_tok").join(p, F.col("_tok") == F.get("_p", F.lit(0)))
+    need = start.select(*CLIP, "_i", "phrase", F.size("_p").alias("_n"), F.posexplode("_p").alias("_j", "_tok"))
+    met = need.withColumn("_k", F.col("_i") + F.col("_j")).join(w.select(*CLIP, F.col("_i").alias("_k"), "_tok"), [*CLIP, "_k", "_tok"])
+    full = met.groupBy(*CLIP, "_i", "phrase", "_n").agg(F.count("*").alias("_m")).where("_m = _n")
+    gone = full.select(*CLIP, F.explode(F.sequence(F.col("_i"), F.col("_i") + F.col("_n") - 1)).alias("_i")).distinct()
     return w.join(gone, [*CLIP, "_i"], "left_anti").select(*caps.columns)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from momentlake.functions.dictionaries import GAME_ALIASES, GAME_PROFILES, KILL_CHAIN, MENU_WORDS, game_profiles
 from momentlake.functions.scoring import factor, half_even, prepend
@@ -46,15 +47,15 @@ def evidence_text(matched: Column, raw: Column) -> Column:
 
 
 # ---- phrase matching ---------------------------------------------------------------------------
-def text_grams(reads: DataFrame, max_words: int) -> DataFrame:
-    """Folded n-grams of every read, whole text, n up to the longest phrase."""
+def text_grams(reads: DataFrame, sizes) -> DataFrame:
+    """Folded n-grams of every read, whole text, for the given word counts."""
     t = reads.withColumn("_w", F.filter(F.split(fold_text("text"), " "), lambda x: x != ""))
 
     def of_length(n):
         return F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " ")))
 
-    grams = [of_length(n) for n in range(1, max_words + 1)]
-    return t.select("*", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*grams))))).alias("gram")).drop("_w")
+    grams = F.array_compact(F.array(*[of_length(n) for n in sizes])) if sizes else F.array().cast("array<array<string>>")
+    return t.select("*", F.explode(F.array_distinct(F.flatten(grams))).alias("gram")).drop("_w")
 
 
 def fold_phrases(phrases: DataFrame) -> DataFrame:
@@ -62,34 +63,59 @@ def fold_phrases(phrases: DataFrame) -> DataFrame:
                           ).where("phrase != ''").distinct()
 
 
-def match_keywords(reads: DataFrame, phrases: DataFrame, max_words: int = 5) -> DataFrame:
-    """Longest phrase of each label that occurs in the read as whole words:
-    an equi-join of n-grams with ``phrases(label, phrase)``."""
-    p = fold_phrases(phrases).withColumnRenamed("phrase", "gram")
-    g = text_grams(reads.select("read_id", "text"), max_words).select("read_id", "gram").join(p, "gram")
-    best = g.groupBy("read_id", "label").agg(F.min_by("gram", F.struct(-F.length("gram"), "gram")).alias("phrase"))
-    return reads.join(best, "read_id")
+def phrase_hits(reads: DataFrame, phrases: DataFrame, keys=(), carry=()) -> DataFrame:
+    """``read_id``, ``carry`` and the columns of ``phrases`` for each folded phrase of any length that a read holds as whole
+    words. A read meets a phrase on the phrase's first word (and ``keys``); longer phrases are then looked up in the
+    read's folded text."""
+    p = fold_phrases(phrases).withColumn("_head", F.substring_index("phrase", " ", 1))
+    r = reads.select("read_id", *keys, *carry, fold_text("text").alias("_f"))
+    heads = r.select("read_id", *keys, *carry, F.explode(F.array_distinct(F.split("_f", " "))).alias("_head"))
+    met = heads.join(p, [*keys, "_head"]).drop("_head")
+    one_word = ~F.contains("phrase", F.lit(" "))
+    whole = F.contains(F.concat(F.lit(" "), "_f", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    return met.where(one_word).unionByName(met.where(~one_word).join(r.select("read_id", "_f"), "read_id").where(whole).drop("_f"))
 
 
-def match_keywords_fuzzy(reads: DataFrame, phrases: DataFrame, min_ratio: float = 86, max_words: int = 5) -> DataFrame:
-    """Near matches by edit similarity, for labels the exact pass missed.
+def longest(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("read_id", "label").agg(F.min_by("phrase", F.struct(-F.length("phrase"), "phrase")).alias("phrase"))
 
-    Each distinct n-gram is compared once with the phrases of its word count whose length is close
-    enough to reach the ratio (an equi-join on word count and length), then joined to its reads.
+
+def match_keywords(reads: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Longest phrase of each label of ``phrases(label, phrase)`` that occurs in the read as whole words."""
+    return reads.join(longest(phrase_hits(reads, phrases)), "read_id")
+
+
+@F.pandas_udf(T.DoubleType())
+def insert_delete_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """100 * (1 - insertions and deletions / both lengths), from the longest common subsequence."""
+    def ratio(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = 0
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
+        return 200.0 * row[-1] / (len(x) + len(y))
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def match_keywords_fuzzy(reads: DataFrame, phrases: DataFrame, min_ratio: float = 86) -> DataFrame:
+    """As ``match_keywords``, with near hits pooled: each phrase that a run of as many words is near to counts as well.
+
+    Each distinct n-gram is compared once with the phrases of its word count whose length lets them reach the ratio
+    (an equi-join on word count and length). The edit distance, never more than the insert/delete distance, sorts out
+    most pairs; the ratio decides the rest. Single words need five letters.
     """
-    exact = match_keywords(reads, phrases, max_words).select("read_id", "label")
-    words = F.size(F.split("phrase", " "))
-    p = fold_phrases(phrases).where((words > 1) | (F.length("phrase") >= 5))
-    slack = 1.0 - min_ratio / 100.0
-    size = F.length("phrase")
-    p = p.withColumns({"n": words, "len": F.explode(F.sequence(F.ceil(size * (1 - slack)).cast("int"), F.floor(size / (1 - slack)).cast("int")))})
-    grams = text_grams(reads.select("read_id", "text"), max_words).select("read_id", "gram")
+    p = fold_phrases(phrases).withColumn("n", F.size(F.split("phrase", " "))).where((F.col("n") > 1) | (F.length("phrase") >= 5))
+    sizes = [r.n for r in p.select("n").distinct().orderBy("n").collect()]  # word counts, a handful of numbers
+    slack, size = 1.0 - min_ratio / 100.0, F.length("phrase")
+    low, high = F.ceil(F.round(size * ((1 - slack) / (1 + slack)), 6)), F.floor(F.round(size * ((1 + slack) / (1 - slack)), 6))
+    p = p.withColumn("len", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    grams = text_grams(reads.select("read_id", "text"), sizes).select("read_id", "gram")
     d = grams.select("gram").distinct().withColumns({"n": F.size(F.split("gram", " ")), "len": F.length("gram")})
-    ratio = 100.0 * (1.0 - F.levenshtein("gram", "phrase") / F.greatest(F.length("gram"), size))
-    near = d.join(p, ["n", "len"]).where(ratio >= min_ratio).select("gram", "label", "phrase")
-    hits = grams.join(near, "gram").join(exact, ["read_id", "label"], "left_anti")
-    best = hits.groupBy("read_id", "label").agg(F.min_by("phrase", F.struct(-F.length("phrase"), "phrase")).alias("phrase"))
-    return reads.join(best, "read_id")
+    close = F.levenshtein("gram", "phrase") <= F.round(slack * (F.col("len") + size), 6)
+    near = d.join(p, ["n", "len"]).where(close).where(insert_delete_ratio("gram", "phrase") >= min_ratio).select("gram", "label", "phrase")
+    hits = phrase_hits(reads, phrases).select("read_id", "label", "phrase").unionByName(grams.join(near, "gram").select("read_id", "label", "phrase"))
+    return reads.join(longest(hits), "read_id")
 
 
 def drop_false_positives(matches: DataFrame, false_phrases: DataFrame) -> DataFrame:
@@ -104,11 +130,10 @@ def drop_false_positives(matches: DataFrame, false_phrases: DataFrame) -> DataFr
     return m.where(~bad).select(*matches.columns)
 
 
-def manual_matches(reads: DataFrame, cues: DataFrame, max_words: int = 5) -> DataFrame:
+def manual_matches(reads: DataFrame, cues: DataFrame) -> DataFrame:
     """User phrases (media_id, phrase) found as whole words."""
-    c = fold_phrases(cues).withColumnRenamed("phrase", "gram")
-    g = text_grams(reads, max_words).join(c, ["media_id", "gram"])
-    return g.select("media_id", "read_id", "t_ms", F.lit("manual_visual").alias("label"), F.col("gram").alias("phrase")).distinct()
+    g = phrase_hits(reads, cues.select("media_id", "phrase"), ["media_id"], ["t_ms"])
+    return g.select("media_id", "read_id", "t_ms", F.lit("manual_visual").alias("label"), "phrase").distinct()
 
 
 def merge_text_lexicon(generic: DataFrame, profile: DataFrame, saved: DataFrame) -> DataFrame:

@@ -55,9 +55,10 @@ def test_sentence_features(spark, words):
         assert got == want
 
 
-def test_greedy_iou(spark):
+@pytest.mark.parametrize("longest", [20_000, 200_000])
+def test_greedy_iou(spark, longest):
     rng = random.Random(5)
-    cand = [(m, s, s + rng.randint(3000, 20000), rng.randint(0, 40) / 10) for m in (1, 2) for s in (rng.randrange(0, 400_000) for _ in range(150))]
+    cand = [(m, s, s + rng.randint(3000, longest), rng.randint(0, 40) / 10) for m in (1, 2) for s in (rng.randrange(0, 20 * longest) for _ in range(150))]
     cand = list(dict.fromkeys(cand))
     df = spark.createDataFrame(cand, "media_id bigint, start_ms bigint, end_ms bigint, salience double")
 
@@ -72,7 +73,7 @@ def test_greedy_iou(spark):
                 kept.append(c)
         want += kept
     for chunk in (1, 100_000, 10_000_000):
-        got = nms_iou(df, k=None, reach_ms=20_000, chunk_ms=chunk)
+        got = nms_iou(df, k=None, chunk_ms=chunk)
         assert rows(got, "media_id", "start_ms", "end_ms", "salience") == sorted(want)
 
 
