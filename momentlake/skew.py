@@ -257,8 +257,8 @@ def greedy_select(
     """Exact greedy suppression: take rows by ``rank`` ascending (a total order), drop those in
     conflict with a row already taken.
 
-    ``conflict`` may only hold for rows whose ``lo`` differ by at most ``reach_ms``. Each task
-    handles one time chunk plus a halo of ``reach_ms``. A row next to a chunk edge stays *open*
+    ``conflict`` may only hold for rows whose ``lo`` differ by at most ``reach_ms``. The rounds move
+    keys, ranks and bounds only; whole rows are joined back to what is kept. Each task handles one time chunk plus a halo of ``reach_ms``. A row next to a chunk edge stays *open*
     while a stronger open neighbour is out of sight; later rounds move the edges by half a chunk
     until no row is open. The strongest open row always closes, so the loop ends; keys shorter
     than a chunk close in the first round.
@@ -266,13 +266,14 @@ def greedy_select(
     chunk_ms = max(chunk_ms, 4 * reach_ms)
     keys = list(keys)
     ranks = {f"_r{i}": c for i, c in enumerate(rank)}
-    state = df.select(*keys, *[c.alias(n) for n, c in ranks.items()], F.col(lo).alias("_lo"), F.col(hi).alias("_hi"),
-                      F.lit(False).alias("_kept"), F.struct(*df.columns).alias("_row"))
+    rows = durable(df.withColumn("_id", F.monotonically_increasing_id()))
+    state = rows.select(*keys, "_id", *[c.alias(n) for n, c in ranks.items()], F.col(lo).alias("_lo"), F.col(hi).alias("_hi"),
+                        F.lit(False).alias("_kept"))
     shift = 0
     while True:
         state = durable(_greedy_round(state, keys, list(ranks), conflict, reach_ms, chunk_ms, shift))
         if state.where(~F.col("_kept")).isEmpty():
-            return state.select("_row.*")
+            return rows.join(state.select("_id"), "_id", "left_semi").select(*df.columns)
         shift = chunk_ms // 2 if shift == 0 else 0
 
 
@@ -294,10 +295,15 @@ def _greedy_round(state, keys, ranks, conflict, reach_ms, chunk_ms, shift):
         kept = table["_kept"].to_numpy().copy()
         dead = np.zeros(len(los), dtype=bool)
         unsure = ~core & ~kept
+        by_start = np.argsort(los, kind="stable")
+        starts = los[by_start]
+        first, end = np.searchsorted(starts, los - reach_ms), np.searchsorted(starts, los + reach_ms, side="right")
         for i in range(len(los)):
             if dead[i]:
                 continue
-            weaker = np.flatnonzero(conflict(los[i], his[i], los[i + 1:], his[i + 1:])) + i + 1
+            near = by_start[first[i]:end[i]]
+            near = near[near > i]
+            weaker = near[conflict(los[i], his[i], los[near], his[near])]
             if kept[i] or not unsure[i]:
                 kept[i] = True
                 dead[weaker] = True
