@@ -20,12 +20,24 @@ def _(spark, sf):
     return L.weighted_feature_means(ratings(spark, sf)).select("scope", "feature", *[F.round(F.col(c) * 1000000).cast("bigint").alias(c) for c in ("pos", "neg")])
 
 
+SQL_VIEWS["importance"] = """SELECT scope, ['hook','emotion','clarity'][k] AS feature, greatest(c[k], 0) AS imp FROM (
+  WITH r AS (SELECT scope, hook::DOUBLE AS x1, emotion::DOUBLE AS x2, clarity::DOUBLE AS x3, (label >= 0.5)::INT::DOUBLE AS y, weight::DOUBLE AS w FROM ratings),
+  t AS (SELECT scope, list({'x1': x1, 'x2': x2, 'x3': x3, 'y': y, 'w': w}) AS rs, sum(w) AS tot FROM r GROUP BY scope),
+  gd AS (SELECT scope, list_reduce(list_prepend([0.0, 0.0, 0.0, 0.0]::DOUBLE[], list_transform(range(0, 300), lambda i: []::DOUBLE[])), lambda c, i:
+      [c[1] - 0.5*(list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)*q.x1)) + 0.5*c[1])/tot,
+       c[2] - 0.5*(list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)*q.x2)) + 0.5*c[2])/tot,
+       c[3] - 0.5*(list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)*q.x3)) + 0.5*c[3])/tot,
+       c[4] - 0.5*list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)))/tot]) AS c FROM t)
+  SELECT * FROM gd), range(1, 4) s(k)"""
+NEEDS["importance"] = ["ratings"]
+
+
 SQL_VIEWS["learned"] = """SELECT scope, feature, CASE WHEN n >= 1 AND s > 1e-9 AND cp > 0 THEN mix * sum(w0) OVER (PARTITION BY scope) / sum(mix) OVER (PARTITION BY scope) ELSE w0 END AS w FROM (
   SELECT *, (1 - n/(n + 8.0))*w0 + n/(n + 8.0)*imp/s AS mix FROM (
     SELECT *, sum(imp) OVER (PARTITION BY scope) AS s FROM (
       SELECT fmeans.*, CASE feature WHEN 'hook' THEN 0.5 WHEN 'emotion' THEN 0.3 ELSE 0.2 END AS w0,
-        CASE WHEN cp > 0 AND cn > 0 THEN greatest(pos - neg, 0) WHEN cp > 0 THEN greatest(pos - 0.4, 0) ELSE 0 END AS imp FROM fmeans)))"""
-NEEDS["learned"] = ["fmeans"]
+        CASE WHEN cp > 0 AND cn > 0 AND n >= 30 AND sum(importance.imp) OVER (PARTITION BY scope) > 1e-6 THEN importance.imp WHEN cp > 0 AND cn > 0 THEN greatest(pos - neg, 0) WHEN cp > 0 THEN greatest(pos - 0.4, 0) ELSE 0 END AS imp FROM fmeans JOIN importance USING (scope, feature))))"""
+NEEDS["learned"] = ["fmeans", "importance"]
 
 
 def base(spark):
@@ -39,15 +51,7 @@ def _(spark, sf):
 
 
 
-@query("logistic_importance", ctes("ratings", then="""
-  , r AS (SELECT scope, hook::DOUBLE AS x1, emotion::DOUBLE AS x2, clarity::DOUBLE AS x3, (label >= 0.5)::INT::DOUBLE AS y, weight::DOUBLE AS w FROM ratings),
-  t AS (SELECT scope, list({'x1': x1, 'x2': x2, 'x3': x3, 'y': y, 'w': w}) AS rs, sum(w) AS tot FROM r GROUP BY scope),
-  gd AS (SELECT scope, list_reduce(list_prepend([0.0, 0.0, 0.0, 0.0]::DOUBLE[], list_transform(range(0, 300), lambda i: []::DOUBLE[])), lambda c, i:
-      [c[1] - 0.5*(list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)*q.x1)) + 0.5*c[1])/tot,
-       c[2] - 0.5*(list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)*q.x2)) + 0.5*c[2])/tot,
-       c[3] - 0.5*(list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)*q.x3)) + 0.5*c[3])/tot,
-       c[4] - 0.5*list_sum(list_transform(rs, lambda q: q.w*(1/(1 + exp(-(q.x1*c[1] + q.x2*c[2] + q.x3*c[3] + c[4]))) - q.y)))/tot]) AS c FROM t)
-  SELECT scope, ['hook','emotion','clarity'][k] AS feature, round(greatest(c[k], 0)*100000)::BIGINT AS imp FROM gd, range(1, 4) s(k)"""))
+@query("logistic_importance", ctes("importance", then="SELECT scope, feature, round(imp*100000)::BIGINT AS imp FROM importance"))
 def _(spark, sf):
     return L.logistic_importance(ratings(spark, sf), KEYS).select("scope", "feature", F.round(F.col("imp") * 100000).cast("bigint").alias("imp"))
 

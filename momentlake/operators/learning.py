@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from momentlake.skew import top_k
+from momentlake.skew import durable, top_k
 
 
 def _kept(label="label"):
@@ -29,67 +29,45 @@ def weighted_feature_means(feedback: DataFrame) -> DataFrame:
                                        "n", "c_pos", "c_neg")
 
 
-def _fit(X, y, sw, steps, lam=0.5, lr=0.5):
-    w, b, total = np.zeros(X.shape[1]), 0.0, max(float(sw.sum()), 1e-9)
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(X @ w + b, -30, 30)))
-        g = sw * (p - y)
-        w, b = w - lr * (X.T @ g + lam * w) / total, b - lr * float(g.sum()) / total
-    return w
-
-
-def logistic_importance(feedback: DataFrame, keys: Sequence[str], steps: int = 300, small: int = 100_000) -> DataFrame:
+def logistic_importance(feedback: DataFrame, keys: Sequence[str], steps: int = 300, lam: float = 0.5, lr: float = 0.5) -> DataFrame:
     """Positive part of the coefficients of a weighted, regularised logistic regression per scope.
 
-    Ratings are first merged by feature vector. A scope of at most ``small`` distinct vectors is
-    fitted in one task; larger scopes run the same gradient steps as one distributed sum each.
+    Ratings are merged by feature vector into a durable table. A gradient step for all scopes is one pass over it
+    without a shuffle: each task sums its rows, and one row of scopes times features per task comes to the driver.
     """
     vec = F.array(*[F.coalesce(F.element_at("features", k), F.lit(0.0)).cast("double") for k in keys])
-    d = feedback.groupBy("scope", vec.alias("x"), _kept().cast("double").alias("y")).agg(F.sum("weight").alias("w"))
-    size = d.groupBy("scope").agg(F.count("*").alias("_n"))
-    names = list(keys)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = _fit(np.stack(pdf["x"]), pdf["y"].to_numpy(), pdf["w"].to_numpy(), steps)
-        return pd.DataFrame({"scope": pdf["scope"].iloc[0], "feature": names, "imp": np.maximum(w, 0.0)})
-
-    fits = d.join(size.where(F.col("_n") <= small).select("scope"), "scope").groupBy("scope").applyInPandas(
-        fit, "scope string, feature string, imp double")
-    big = size.where(F.col("_n") > small)
-    if big.isEmpty():
-        return fits
-    return fits.unionByName(_fit_large(d.join(big.select("scope"), "scope"), names, steps))
-
-
-def _fit_large(d: DataFrame, names: list[str], steps: int, lam=0.5, lr=0.5) -> DataFrame:
-    """Gradient steps over all large scopes at once; only coefficients come to the driver."""
-    spark = d.sparkSession
-    d = d.persist()
-    m = len(names)
-    total = {r.scope: max(r.t, 1e-9) for r in d.groupBy("scope").agg(F.sum("w").alias("t")).collect()}
-    coef = {s: np.zeros(m + 1) for s in total}
-    for _ in range(steps):
-        c = spark.createDataFrame([(s, [float(v) for v in w[:m]], float(w[m])) for s, w in coef.items()], "scope string, c array<double>, b double")
-        z = F.aggregate(F.zip_with("x", "c", lambda a, b: a * b), F.col("b"), lambda a, v: a + v)
-        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))
-        g = F.col("w") * (1.0 / (1.0 + F.exp(-z)) - F.col("y"))
-        j = d.join(c, "scope").withColumn("g", g)
-        for r in j.groupBy("scope").agg(*[F.sum(F.col("g") * F.col("x")[i]).alias(f"g{i}") for i in range(m)], F.sum("g").alias("gb")).collect():
-            w = coef[r.scope]
-            grad = np.array([r[f"g{i}"] for i in range(m)] + [r.gb])
-            coef[r.scope] = w - lr * (grad + np.r_[lam * w[:m], 0.0]) / total[r.scope]
-    d.unpersist()
-    return spark.createDataFrame([(s, n, float(max(w[i], 0.0))) for s, w in coef.items() for i, n in enumerate(names)],
-                                 "scope string, feature string, imp double")
+    d = durable(feedback.where("scope is not null").groupBy("scope", vec.alias("x"), _kept().cast("double").alias("y")).agg(F.sum("weight").alias("w")))
+    m, totals = len(keys), sorted((r.scope, max(r.t or 0.0, 1e-9)) for r in d.groupBy("scope").agg(F.sum("w").alias("t")).collect())
+    number, total = {s: i for i, (s, _) in enumerate(totals)}, np.array([[t] for _, t in totals])
+    coef = np.zeros((len(totals), m + 1))
+
+    def gradient(coef):
+        def run(batches):
+            acc = np.zeros_like(coef)
+            for b in batches:
+                s = np.array([number[x] for x in b.column("scope").to_pylist()], np.int64)
+                x = np.asarray(b.column("x").flatten()).reshape(len(s), m)
+                z = np.clip((x * coef[s, :m]).sum(axis=1) + coef[s, m], -30, 30)
+                g = np.asarray(b.column("w")) * (1.0 / (1.0 + np.exp(-z)) - np.asarray(b.column("y")))
+                np.add.at(acc, s, np.column_stack([x * g[:, None], g]))
+            yield pa.RecordBatch.from_arrays([pa.array([acc.ravel().tolist()], pa.list_(pa.float64()))], ["g"])
+        return sum((np.array(r.g) for r in d.mapInArrow(run, "g array<double>").collect()), np.zeros(coef.size)).reshape(coef.shape)
+
+    for _ in range(steps if len(totals) else 0):
+        coef = coef - lr * (gradient(coef) + lam * np.column_stack([coef[:, :m], np.zeros(len(totals))])) / total
+    found = [(s, k, float(max(coef[i, j], 0.0))) for s, i in number.items() for j, k in enumerate(keys)]
+    return feedback.sparkSession.createDataFrame(found, "scope string, feature string, imp double")
 
 
 def learn_weights(feedback: DataFrame, base: DataFrame, k: float = 8.0, baseline: float = 0.4, logistic_min: float = 30.0,
                   logistic: DataFrame | None = None) -> DataFrame:
     """Blend learned importances into ``base(feature, w)`` per scope.
 
-    Kept against rejected means; kept only minus ``baseline``; the logistic fit (if given) once both
+    Kept against rejected means; kept only minus ``baseline``; the logistic fit (made here unless given) once both
     classes exist and the weights reach ``logistic_min``. Too little data leaves the base.
     """
+    if logistic is None:  # the base has one row per feature
+        logistic = logistic_importance(feedback, [r.feature for r in base.select("feature").distinct().orderBy("feature").collect()])
     means = weighted_feature_means(feedback)
     scopes = feedback.groupBy("scope").agg(F.sum("weight").alias("n"), F.count_if(_kept()).alias("c_pos"), F.count_if(~_kept()).alias("c_neg"))
     table = base.groupBy().agg(F.collect_list(F.struct("feature", "w"))).scalar()
@@ -98,11 +76,10 @@ def learn_weights(feedback: DataFrame, base: DataFrame, k: float = 8.0, baseline
     pos, neg = F.coalesce("pos", F.lit(0.0)), F.coalesce("neg", F.lit(0.0))
     imp = F.when((F.col("c_pos") > 0) & (F.col("c_neg") > 0), F.greatest(pos - neg, F.lit(0.0))).when(
         F.col("c_pos") > 0, F.greatest(pos - baseline, F.lit(0.0))).otherwise(0.0)
-    if logistic is not None:
-        usable = logistic.groupBy("scope").agg(F.sum("imp").alias("_t")).where("_t > 1e-6").select("scope", F.lit(True).alias("_ok"))
-        g = g.join(logistic, ["scope", "feature"], "left").join(usable, "scope", "left")
-        use = (F.col("c_pos") > 0) & (F.col("c_neg") > 0) & (F.col("n") >= logistic_min) & F.coalesce("_ok", F.lit(False))
-        imp = F.when(use, F.coalesce("imp", F.lit(0.0))).otherwise(imp)
+    usable = logistic.groupBy("scope").agg(F.sum("imp").alias("_t")).where("_t > 1e-6").select("scope", F.lit(True).alias("_ok"))
+    g = g.join(logistic, ["scope", "feature"], "left").join(usable, "scope", "left")
+    use = (F.col("c_pos") > 0) & (F.col("c_neg") > 0) & (F.col("n") >= logistic_min) & F.coalesce("_ok", F.lit(False))
+    imp = F.when(use, F.coalesce("imp", F.lit(0.0))).otherwise(imp)
     per = W.partitionBy("scope")  # a scope has one row per feature here
     g = g.withColumn("_imp", imp).withColumn("_s", F.sum("_imp").over(per))
     alpha = F.col("n") / (F.col("n") + k)
