@@ -263,3 +263,42 @@ def pick_cutaway(clips: DataFrame, cuts: DataFrame, window_ms: int = 1500, min_l
     mid = (F.col("start_ms") + F.col("end_ms")) / 2
     return j.groupBy(*CLIP).agg(F.min_by("cut_ms", F.struct(F.abs(F.col("cut_ms") - mid), F.col("cut_ms"))).alias("a_ms")
                                 ).withColumn("b_ms", F.col("a_ms") + window_ms)
+
+
+# fixed values: advice on weak openings, by what is missing
+ADVICE = {
+    ("promise", "en"): "Lead with a question or a payoff promise in the first two seconds (e.g. 'The reason this works…' / 'Nobody tells you…').",
+    ("promise", "de"): "Starte mit einer Frage oder einem Versprechen in den ersten zwei Sekunden (z.B. 'Der Grund, warum das funktioniert…').",
+    ("shorter", "en"): "Tighten the opener — cut any warm-up and land the hook inside the first 1.5 seconds.",
+    ("shorter", "de"): "Straffe den Einstieg — schneide Aufwärmphasen weg und setze den Hook in die ersten 1,5 Sekunden.",
+    ("silence", "en"): "Open on speech in the first second — silence kills retention.",
+    ("silence", "de"): "Sprich in der ersten Sekunde — Stille killt die Verweildauer.",
+}
+
+
+def hook_analysis(words: DataFrame, clips: DataFrame, lexicon: DataFrame, threshold: float = 0.5, window_ms: int = 3000) -> DataFrame:
+    """Strength, verdict, advice and first words of each clip's opening.
+
+    ``clips(media_id, clip_id, start_ms, end_ms, lang, hook)`` carry the opening score; ``lexicon(lang, role, term)`` the
+    terms. Words without trailing ``?!,.`` are looked up among quotable terms, lower-case words among payoff terms. A clip
+    without words is weak and gets no advice.
+    """
+    spoken = words_in_span(words.select("media_id", "pos", "t_ms", "d_ms", "text"), clips)
+    first = spoken.groupBy(*CLIP).agg(F.min("t_ms").alias("_t"))
+    head = spoken.join(first, [*CLIP]).where(F.col("t_ms") - F.col("_t") < window_ms)
+    text = head.groupBy(*CLIP).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("_text"))
+    said = head.join(clips.select(*CLIP, "lang"), [*CLIP])
+    quotable = lexicon.where(F.col("role").isin("hook", "emotion", "second_person", "quote_extra")).select("lang", F.col("term").alias("_term")).distinct()
+    promised = lexicon.where("role = 'payoff'").select("lang", F.col("term").alias("_term")).distinct()
+    met = (said.withColumn("_term", F.regexp_replace("text", "[?!,.]+$", "")).join(quotable, ["lang", "_term"]).select(*CLIP)
+           .union(said.withColumn("_term", F.lower("text")).join(promised, ["lang", "_term"]).select(*CLIP))).distinct().withColumn("_met", F.lit(True))
+    out = clips.join(text, [*CLIP], "left").join(met, [*CLIP], "left")
+    strength = F.when(F.col("_text").isNull(), 0.0).otherwise(F.col("hook"))
+    verdict = F.when(strength >= threshold + 0.2, "strong").when(strength >= threshold, "ok").otherwise("weak")
+
+    def advice(what):
+        return F.when(F.col("lang") == "de", ADVICE[what, "de"]).otherwise(ADVICE[what, "en"])
+
+    say = F.when(F.col("_text").isNull() | (verdict == "strong"), "").when(F.trim("_text") == "", advice("silence")).when(F.col("_met").isNull(), advice("promise")).otherwise(advice("shorter"))
+    return out.select(*CLIP, F.round(strength, 2).alias("strength"), verdict.alias("verdict"), say.alias("suggestion"),
+                      F.substring(F.trim(F.coalesce("_text", F.lit(""))), 1, 120).alias("first_words"))
