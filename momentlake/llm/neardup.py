@@ -4,8 +4,8 @@
 2. Documents with equal sets form a class; only classes go on, so exact copies cost nothing more.
 3. Classes meet in band buckets. Each member is compared with its bucket's first class (a star, not all pairs).
    Components of these links leave few buckets with more than one component; there, and only there, members outside
-   the bucket's largest component are compared with the others. Every pair that shares a bucket is then either in
-   one component or was compared, as if all pairs had been emitted.
+   the bucket's largest component are compared with the others, tile by tile: a task holds two tiles of bounded size
+   and emits links, never pairs. Every pair that shares a bucket is then either in one component or was compared.
 4. A comparison looks at the signatures batch by batch and stops when the posterior probability of reaching the
    threshold falls under ``miss``; survivors are decided on their full shingle sets, made again from their texts.
 """
@@ -109,15 +109,16 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """``bucket, cid``: a row per class and band."""
+    """``bucket, band, cid``: a row per class and band."""
     def run(batches):
         for b in slices(batches, 1024):
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
             key = mix((sig * BAND_MULTIPLY).sum(axis=2, dtype=np.uint64) + BAND_ADD)
             cid = np.repeat(b.column("cid").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(cid)], ["bucket", "cid"])
+            band = np.tile(np.arange(BANDS, dtype=np.int16), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(cid)], ["bucket", "band", "cid"])
 
-    return classes.select("cid", "sig").mapInArrow(run, "bucket bigint, cid bigint")
+    return classes.select("cid", "sig").mapInArrow(run, "bucket bigint, band smallint, cid bigint")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -143,14 +144,21 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> D
     return full.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity; their texts are read again by the classes' first rows."""
-    need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    need = classes.select("cid", "rep.*").join(need, "cid", "left_semi").select("cid", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+def texts_of(classes: DataFrame, cids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``cid, text`` for the classes in ``cids``, read again by each class's one row."""
+    need = classes.select("cid", "rep.*").join(cids, "cid", "left_semi").select("cid", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("th", F.xxhash64("text"))
     texts = rows.join(need, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "text")
-    texts = durable(texts.dropDuplicates(["cid"]))
+    return durable(texts.dropDuplicates(["cid"]))
 
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity."""
     def run(batches):
         shingle, held = Shingler(width), (None, None)
         for b in slices(batches, 256):
@@ -158,9 +166,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             for k, (ta, tb) in enumerate(zip(text_bytes(b, "text_a"), text_bytes(b, "text_b"), strict=True)):
                 if held[0] != a[k]:
                     held = (a[k], shingle(ta))
-                x, y = held[1], shingle(tb)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(y) - same):
+                if alike(held[1], shingle(tb), percent):
                     links.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in links], pa.int64()), pa.array([c[k] for k in links], pa.int64())], ["a", "b"])
 
@@ -169,6 +175,75 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def tiles(inside: DataFrame, rows: int) -> DataFrame:
+    """``bucket, band, i, j, cid, label, odd`` for buckets with several components: members outside the largest component
+    (odd) are cut into tiles of about ``rows``, so are the others; (i, j) names a pair of tiles to compare. j under 0 is
+    tile -j - 1 of the odd ones. A bucket of at most ``rows`` members is one tile."""
+    sizes = inside.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("bucket", F.col("top.label").alias("top"), F.col("n").alias("_all"), F.ceil((F.col("n") - F.col("top.n")) / rows).alias("_o"), F.ceil(F.col("top.n") / rows).alias("_p"))
+    x = inside.join(mixed, "bucket").withColumn("odd", F.col("label") != F.col("top"))
+    x = x.withColumn("_t", F.pmod(F.xxhash64("cid"), F.when(F.col("odd"), F.col("_o")).otherwise(F.col("_p"))))
+    others = F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda u: F.struct(F.greatest(u, F.col("_t")).alias("i"), (-F.least(u, F.col("_t")) - 1).alias("j")))
+    tops = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda u: F.struct(F.col("_t").alias("i"), u.alias("j")))
+    mine = F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda u: F.struct(u.alias("i"), F.col("_t").alias("j")))
+    one = F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j")))
+    cells = F.when(F.col("_all") <= rows, one).when(F.col("odd"), F.concat(others, tops)).otherwise(mine)
+    return x.select("bucket", "band", "cid", "label", "odd", "_t", "_all", F.explode(cells).alias("c")).select("bucket", "band", "c.i", "c.j", "cid", "label", "odd", "_t", (F.col("_all") <= rows).alias("whole"))
+
+
+def tile_links(cells: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) within the pairs of tiles: sequential tests, then full sets, all where the tiles lie. A pair is tested in
+    its first common band only."""
+    least = least_matches(percent, miss)
+    cells = cells.join(classes.select("cid", "sig"), "cid").join(texts, "cid")
+    n = max(1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = cells.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "band", "whole", "cid", "label", "odd", "_t", "sig", "text")
+
+    def compare(cell, shingle):
+        band, whole, j = cell[0][3], cell[0][4], cell[0][2]
+        cid, label, odd, tile = (np.array([r[k] for r in cell]) for k in (5, 6, 7, 8))
+        sig, sets = np.frombuffer(b"".join(r[9] for r in cell), "<u2").reshape(-1, HASHES), {}
+        out = []
+        for a in np.flatnonzero(odd):
+            rest = (label != label[a]) & ((np.arange(len(cid)) > a) | ~odd)  # two odd ones once
+            if not whole:
+                rest &= (odd & ((tile != tile[a]) | (cell[0][1] == -j - 1))) if j < 0 else ~odd
+            alive = np.flatnonzero(rest)
+            matches = np.zeros(len(alive), np.int64)
+            for k, m in enumerate(least):
+                cut = slice(k * BATCH, (k + 1) * BATCH)
+                matches = matches + (sig[alive, cut] == sig[a, cut]).sum(axis=1)
+                alive, matches = alive[matches >= m], matches[matches >= m]
+                if not len(alive):
+                    break
+            if len(alive):
+                bands = (sig[alive] == sig[a]).reshape(-1, BANDS, ROWS).all(axis=2)
+                alive = alive[bands.argmax(axis=1) == band]
+            for b in alive:
+                for r in (a, b):
+                    if r not in sets:
+                        sets[r] = shingle(cell[r][10].encode())
+                if alike(sets[a], sets[b], percent):
+                    out.append((int(cid[a]), int(cid[b])))
+        return out
+
+    def run(batches):
+        shingle, cell = Shingler(width), []
+        for b in slices(batches, 512):
+            links = []
+            for row in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
+                if cell and cell[0][:3] != row[:3]:
+                    links += compare(cell, shingle)
+                    cell = []
+                cell.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+        links = compare(cell, shingle) if cell else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    return cells.mapInArrow(run, "a bigint, b bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node reachable, for each node with a link. Alternating large and small stars; a
     round costs a few aggregates and joins over the links, and their number falls to one per node."""
@@ -192,7 +267,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6, tile_rows: int = 512) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs`` (needs doc_id and text).
 
     Texts without words (null, empty, blank) have no shingles and are alone. A text of fewer than ``width`` words is
@@ -208,21 +283,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     multi = shared.groupBy("bucket").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last")
     members = durable(shared.join(multi.select("bucket", "first"), "bucket"))
     star = members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    links = durable(confirmed(durable(likely(star, classes, percent, miss)), classes, docs, width, percent))
+    texts = texts_of(classes, members.select("cid").distinct(), docs)
+    links = durable(confirmed(likely(star, classes, percent, miss), texts, width, percent))
     labels = components(links)
-
-    inside = members.select("bucket", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    inside = durable(inside)
-    sizes = inside.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.label").alias("top"))
-    inside = inside.join(mixed, "bucket")
-    odd = inside.where("label <> top").select("bucket", F.col("cid").alias("x"), F.col("label").alias("lx"))
-    cross = odd.join(inside.select("bucket", F.col("cid").alias("y"), F.col("label").alias("ly")), "bucket").where("lx <> ly")
-    cross = durable(likely(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), classes, percent, miss))
-    if not cross.isEmpty():
-        more = durable(confirmed(cross, classes, docs, width, percent))
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    inside = members.select("bucket", "band", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    more = durable(tile_links(tiles(durable(inside), tile_rows), classes, texts, width, percent, miss))
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     named = classes.select("set_key", "cid", "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = durable(named.select("set_key", "label", "first_id"))

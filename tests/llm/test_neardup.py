@@ -70,7 +70,25 @@ def test_chains_and_large_groups(spark):
             rows.append((len(rows), " ".join(words)))
     rows += [(1000 + i, " ".join(rng.choice(vocab) for _ in range(60))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert as_rows(neardup.near_duplicates(df, width=4)) == brute(rows, 4)
+    want = brute(rows, 4)
+    assert as_rows(neardup.near_duplicates(df, width=4)) == want
+    assert as_rows(neardup.near_duplicates(df, width=4, tile_rows=5)) == want
+
+
+def test_borderline_group_by_tiles(spark):
+    """Copies with many edits share buckets, but only some are linked."""
+    rng, rows = random.Random(9), []
+    first = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    for k in range(90):
+        words = list(first)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(5000)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4)
+    assert 1 < len({r[2] for r in want}) < 90
+    for n in (7, 30, 512):
+        assert as_rows(neardup.near_duplicates(df, width=4, tile_rows=n)) == want
 
 
 def test_components(spark):
