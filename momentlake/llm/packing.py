@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from momentlake.llm.common import durable, slices, text_bytes, whole_text
-from momentlake.llm.tokens import WordMemo
+from momentlake.llm.tokens import memo_of
 
 GROUP_ROWS = 4000
 
@@ -29,7 +29,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) ->
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
-        memo = WordMemo(path)
+        memo = memo_of(path)
         for b in slices(batches):
             rows: list[list] = [[], [], [], [], []]
             for doc, ids in zip(b.column("doc_id").to_pylist(), memo.encode(text_bytes(b)), strict=True):

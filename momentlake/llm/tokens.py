@@ -15,8 +15,10 @@ import json
 import os
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -26,6 +28,7 @@ from momentlake.llm.common import durable, slices, text_bytes, whole_text
 HUGE_BYTES = 1 << 16
 CHUNK_CHARS = 1 << 14
 OVERLAP_CHARS = 1 << 9
+CLOSING = (b".", b",", b";", b":", b"!", b"?")
 BLANKS = " \t\n\r\x0b\x0c"
 ALPHABET_STEPS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
 
@@ -65,32 +68,73 @@ def _matches_no_blank(pattern: str) -> bool:
 
 
 class WordMemo:
-    """Ids of words as little-endian 32-bit bytes, from the library, remembered up to ``limit_bytes`` of words and ids."""
+    """Ids of words as little-endian 32-bit bytes, from the library, remembered up to ``limit_bytes`` of words and ids.
 
-    def __init__(self, path: str, limit_bytes: int = 96_000_000):
+    Unknown words go to the library together, with a special token between them: the library splits at it before
+    anything else, so each word is encoded as if alone. Where the tokenizer lowers letters anyway, A-Z are lowered
+    first (not beside combining marks or special tokens), and a closing mark after a letter is a piece of its own.
+    """
+
+    def __init__(self, path: str, limit_bytes: int = 160_000_000):
         self.path, self.limit, self.held, self.ids = path, limit_bytes, 0, {}
         self.tokenizer, self.by_word = load(path), splits_at_blanks(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        norm = spec.get("normalizer") or {}
+        self.lowers = any(x["type"] == "Lowercase" for x in norm.get("normalizers", [norm]) if x)
+        self.special = next(((t["content"], t["id"]) for t in spec["added_tokens"] if t["special"]), None)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [array("I", e.ids).tobytes() for e in found]
-        split = [t.split() for t in texts]
-        self.learn(chain.from_iterable(split))
+        split = [self.lower(t).split() for t in texts]
+        self.learn(set(chain.from_iterable(split)))
         get = self.ids.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def learn(self, words: Iterator[bytes]) -> None:
-        every = set(words)
-        new = [w for w in every if w not in self.ids]
+    def lower(self, text: bytes) -> bytes:
+        """A-Z as a-z. U+0300 to U+036F, the marks that compose with letters, are written with bytes CC and CD."""
+        return text.lower() if self.lowers and b"\xcc" not in text and b"\xcd" not in text and b"<" not in text else text
+
+    def learn(self, every: set[bytes]) -> None:
         if self.held > self.limit:
-            self.ids, self.held, new = {}, 0, list(every)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
+            self.ids, self.held = {}, 0
+        new = [w for w in every if w not in self.ids]
+        closed = {w: w[:-1] for w in new if w[-1:] in CLOSING and w[:-1].isalnum() and w.isascii()}
+        bare = {b for b in closed.values() if b not in self.ids} | {w[-1:] for w in closed if w[-1:] not in self.ids}
+        self.ask(list({w for w in new if w not in closed} | bare))
+        for w, base in closed.items():
+            self.put(w, self.ids[base] + self.ids[w[-1:]])
+
+    def put(self, word: bytes, ids: bytes) -> None:
+        self.ids[word] = ids
+        self.held += 130 + len(word) + len(ids)
+
+    def ask(self, words: list[bytes]) -> None:
+        alone = words if self.special is None else [w for w in words if b"<" in w]
+        for at in range(0, len(alone), 4096):
+            part = alone[at:at + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             for w, e in zip(part, found, strict=True):
-                ids = self.ids[w] = array("I", e.ids).tobytes()
-                self.held += 120 + len(w) + len(ids)
+                self.put(w, array("I", e.ids).tobytes())
+        if self.special is None:
+            return
+        between, number = self.special
+        rest = [w for w in words if b"<" not in w]
+        groups = [rest[at:at + 512] for at in range(0, len(rest), 512)]
+        found = self.tokenizer.encode_batch_fast([between.join(w.decode("utf-8", "replace") for w in g) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, ends = ids.tobytes(), [4 * int(x) for x in np.flatnonzero(ids == number)]
+            for w, lo, hi in zip(g, [0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True):
+                self.put(w, raw[lo:hi])
+
+
+@lru_cache(maxsize=2)
+def memo_of(path: str) -> WordMemo:
+    """One memo per Python worker: it outlives a task where Spark reuses its workers."""
+    return WordMemo(path)
 
 
 def count_tokens(docs: DataFrame, path: str, max_tokens: int = 2048, huge_bytes: int = HUGE_BYTES,
@@ -103,7 +147,7 @@ def count_tokens(docs: DataFrame, path: str, max_tokens: int = 2048, huge_bytes:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def small(batches):
-        memo = WordMemo(path)
+        memo = memo_of(path)
         for b in slices(batches):
             texts = text_bytes(b)
             n = [len(x) // 4 for x in memo.encode(texts)]
@@ -163,7 +207,7 @@ def _encoder(path: str, overlap: int):
     """A chunk's tokens, and for each overlap flat triples (boundary, tokens beyond it to the chunk's end or before it,
     hash of the tokens from it to the last stable boundary both chunks can see)."""
     def encode(batches):
-        tok = load(path)
+        tok = memo_of(path).tokenizer
         for b in slices(batches, 16):
             out = []
             for key, i, n, start, text in zip(*(b.column(c).to_pylist() for c in ("key", "i", "n", "start", "text")), strict=True):

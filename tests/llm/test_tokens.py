@@ -28,6 +28,15 @@ def test_blank_rule():
     assert not tokens.splits_at_blanks(BYTE)
 
 
+def test_words_alone_and_together(word):
+    """Case, closing marks, composing marks and special tokens change nothing."""
+    texts = ["J\u030c J\u030cA.", "A, a. A! it's IT'S! x.. e\u0301, É, İ I\u0307 ΑΣ ΑΣ.", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>B", "a<b <|x", "ﬁ K \u212a ½ 1,5 x2,", "..., ?! ,", "\u2000 \u3000 x\u00a0y\u2028z \u200b"]
+    memo = tokens.WordMemo(WORD)
+    for batch in (texts, [t * 2 for t in texts], [t.upper() for t in texts]):
+        got = memo.encode([t.encode() for t in batch])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids(word, t) for t in batch]
+
+
 def test_counts_of_whole_table(spark, word):
     got = {r.doc_id: r for r in queries.op5_token_counts(spark, SF).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
