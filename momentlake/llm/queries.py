@@ -72,9 +72,20 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+    read = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+ORACLE["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT t, max(page_id) AS first FROM p GROUP BY t),
+d AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5*i + 1, 5))::BIGINT) AS v FROM p JOIN f USING (t))
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> k & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""

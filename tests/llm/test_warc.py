@@ -73,3 +73,14 @@ def test_large_last_record():
     data = warc.gz(b"x" * (17 << 20))
     assert data[-1:] != b"\0" and warc.gz(b"")[-1:] == b"\0"
     assert [r[2] for r in warc.members_of(data + warc.gz(b""))] == [b"x" * (17 << 20), b""]
+
+
+def test_sql_twin(spark):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    twin = con.execute(queries.ORACLE["op2_warc"])
+    columns = [c[0] for c in twin.description]
+    df = queries.op2_warc(spark, SF)
+    assert df.columns == columns
+    assert sorted(map(tuple, df.collect())) == sorted(twin.fetchall())
