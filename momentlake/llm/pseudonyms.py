@@ -198,9 +198,8 @@ def with_pseudonyms(docs: DataFrame, key: str, out: str, found: str) -> DataFram
     """Adds ``out``, the text with pseudonyms, and ``found``, an array of kinds replaced, to ``docs``."""
     t, c, n = (f"{found}_{x}" for x in "tcn")
     df = docs.withColumn(t, whole_text())
-    # most texts hold no digits and no mail sign, and are not searched further
-    maybe = F.col(t).rlike(r"[0-9]{2}|@|[=:]")
-    df = df.withColumn(c, F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    # every text is searched: the kinds have no character in common that a text without values lacks
+    df = df.withColumn(c, F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     steps = F.transform(c, lambda x: F.struct(x.alias("x"), _kind(x).alias("kind"), F.regexp_replace(x, "[^0-9]", "").alias("d")))
     for step in (_read, lambda s: _permute(s, key), _write):
         steps = _each(steps, step)
