@@ -1,9 +1,9 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF vectors over an index of the examples.
 
-The examples are a bounded sample of the labelled rows (``max_toxic`` and ``max_clean``, by hash of doc_id; near copies
-count once); the index is therefore small whatever the corpus, and goes to every task. Terms are words and the first
-five characters of longer words. Only terms that the examples tie to toxic texts beyond chance span the vectors; their
-document frequencies are counted over all documents. Votes of the nearest examples, weighted by similarity, are calibrated by
+The examples are a bounded sample of the labelled rows (``max_toxic`` and ``max_clean``, by hash of doc_id; equal texts
+count once); the index is therefore bounded whatever the corpus, and goes to every task. Terms are words and the first
+five characters of longer words. All terms of the examples span the vectors; those that the examples tie to toxic texts
+weigh more. Their document frequencies are counted over all documents. Votes of the nearest examples, weighted by similarity, are calibrated by
 monotone regression on votes that leave out the example itself.
 """
 
@@ -18,11 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from momentlake.llm.common import durable, slices, whole_text
-from momentlake.llm.neardup import Shingler
 
 TOKEN = re.compile(r"\w+")
 STEM = 5
 BLOCK = 64
+#: At most so many terms, each of over a sixteenth of the examples, have a column of the dense matrix.
+DENSE = 1024
+#: Beyond the rounding of scores in single precision.
+SLACK = 1e-5
+#: A term's weight grows with its tie to toxic texts up to so many nats.
+MOST_EVIDENCE = 60.0
 
 
 def term_counts(text: str) -> Counter:
@@ -37,80 +42,158 @@ def term_counts(text: str) -> Counter:
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit vectors, each list with its largest weight per block of examples."""
+    """Unit vectors by term: terms of many vectors in a dense matrix, the others in inverted lists. The largest scores of
+    blocks of vectors bound the search for the best ones, whose similarities are then summed in double precision."""
 
     def __init__(self, vectors: list[list[tuple[int, float]]], terms: int):
-        self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for e, v in enumerate(vectors):
-            for t, w in v:
-                lists[t].append((e, w))
-        self.at = [np.array([e for e, _ in x], np.int32) for x in lists]
-        self.weight = [np.array([w for _, w in x], np.float64) for x in lists]
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.cut = [np.searchsorted(a, edges) for a in self.at]
-        self.most = []
-        for w, cut in zip(self.weight, self.cut, strict=True):
-            m = np.zeros(self.blocks)
-            for b in np.flatnonzero(cut[1:] > cut[:-1]):
-                m[b] = w[cut[b]:cut[b + 1]].max()
-            self.most.append(m)
+        self._keep(np.cumsum([0, *map(len, vectors)]), np.array([t for v in vectors for t, _ in v], np.int32), np.array([w for v in vectors for _, w in v], np.float64), terms)
+
+    @classmethod
+    def of_rows(cls, ends: np.ndarray, ids: np.ndarray, weights: np.ndarray, terms: int) -> BlockMaxIndex:
+        """The vectors one after the other; ``ends`` begins with 0."""
+        made = cls.__new__(cls)
+        made._keep(ends, ids, weights, terms)
+        return made
+
+    def _keep(self, ends, ids, weights, terms):
+        self.ends, self.ids, self.weights, self.terms, self.n = ends, ids, weights, terms, len(ends) - 1
+        self.lists = None
+
+    def _build(self):
+        often = np.bincount(self.ids, minlength=self.terms)
+        dense = np.argsort(-often, kind="stable")[:DENSE]
+        dense = dense[often[dense] * 16 > self.n]
+        place = np.full(self.terms, -1, np.int32)
+        place[dense] = np.arange(len(dense))
+        row, at = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends)), place[self.ids]
+        matrix = np.zeros((-(-self.n // BLOCK) * BLOCK, len(dense)), np.float32)
+        matrix[row[at >= 0], at[at >= 0]] = self.weights[at >= 0]
+        rest = np.flatnonzero(at < 0)
+        rest = rest[np.argsort(self.ids[rest], kind="stable")]
+        starts = np.concatenate([[0], np.cumsum(np.where(place < 0, often, 0))])
+        self.lists = place, matrix, starts, row[rest], self.weights[rest].astype(np.float32)
+
+    def search(self, ends: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int, skip: list | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (laid out as in ``of_rows``) what ``nearest`` gives."""
+        if not self.n:
+            return [[] for _ in ends[1:]]
+        if self.lists is None:
+            self._build()
+        place, matrix, starts, at, weight = self.lists
+        asked, col = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), place[ids]
+        q = np.zeros((len(ends) - 1, matrix.shape[1]), np.float32)
+        q[asked[col >= 0], col[col >= 0]] = weights[col >= 0]
+        scores, out, full = q @ matrix.T, [], np.zeros(self.terms)
+        for i, score in enumerate(scores):
+            t, w = ids[ends[i]:ends[i + 1]], weights[ends[i]:ends[i + 1]]
+            rare = place[t] < 0
+            lo, long = starts[t[rare]], starts[t[rare] + 1] - starts[t[rare]]
+            put = np.repeat(lo - np.cumsum(long) + long, long) + np.arange(long.sum())
+            score += np.bincount(at[put], weight[put] * np.repeat(w[rare], long), len(score))
+            left_out = skip[i] if skip else ()
+            need = k + len(left_out)
+            blocks = score.reshape(-1, BLOCK).max(axis=1)
+            floor = np.partition(blocks, -need)[-need] if len(blocks) >= need else 0.0
+            found = np.flatnonzero((score >= floor - SLACK) & (score > 0))
+            if len(found) > need:
+                found = found[score[found] >= np.partition(score[found], -need)[-need] - SLACK]
+            full[t] = w
+            best = sorted((-round(float(full[self.ids[a:b]] @ self.weights[a:b]), 12), int(e)) for e in found for a, b in [self.ends[e:e + 2]] if e not in left_out)
+            full[t] = 0
+            out.append([(-s, e) for s, e in best if s < 0][:k])
+        return out
 
     def nearest(self, query: list[tuple[int, float]], k: int, skip: frozenset[int] | set[int] = frozenset()) -> list[tuple[float, int]]:
         """The exact ``k`` most similar examples as (similarity, number), ties by number; only similarities over 0."""
-        if not query:
-            return []
-        bound = sum(w * self.most[t] for t, w in query)
-        best: list[tuple[float, int]] = []  # as (-similarity, number), sorted
-        for b in np.argsort(-bound, kind="stable"):
-            # no example of this or a later block can be among the best
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in query:
-                lo, hi = self.cut[t][b], self.cut[t][b + 1]
-                if hi > lo:
-                    score[self.at[t][lo:hi] - b * BLOCK] += w * self.weight[t][lo:hi]
-            floor = -best[-1][0] - 1e-12 if len(best) == k else 0.0
-            for j in np.flatnonzero(score > floor):
-                e = int(b) * BLOCK + int(j)
-                if e not in skip:
-                    best.append((-round(float(score[j]), 12), e))
-            best = sorted(best)[:k]
-        return [(-s, e) for s, e in best]
+        return self.search(np.array([0, len(query)]), np.array([t for t, _ in query], np.int32), np.array([w for _, w in query], np.float64), k, [skip])[0]
 
 
-class Model:
-    """Vocabulary, index, labels and calibration; a few MB, bounded by the examples."""
-
-    def __init__(self, terms: list[str], df: dict[int, int], n_docs: int, examples: list[tuple[int, int, dict[int, int]]], k: int, share: float):
-        self.idf = [log((n_docs + 1) / (df.get(t, 0) + 1)) + 1 for t in range(len(terms))]
-        made = [(self.vector(counts), doc, y) for doc, y, counts in examples]
-        # similar examples side by side: blocks with few strong terms have tight bounds
-        made.sort(key=lambda x: (max(x[0], key=lambda p: p[1])[0] if x[0] else -1, -len(x[0]), x[1]))
-        self.ids, self.labels, self.k = [d for _, d, _ in made], np.array([y for *_, y in made], float), k
-        self.index = BlockMaxIndex([v for v, *_ in made], len(terms))
-        self.share, self.steps, self.values = share, [0.0], [share]
-        n_pos = self.labels.sum()
-        if 0 < n_pos < len(self.labels):
-            votes = [self.vote(self.index.nearest(v, k, {e})) for e, (v, *_) in enumerate(made)]
-            # examples stand for as many rows as their class has
-            weight = np.where(self.labels == 1, share / n_pos, (1 - share) / (len(self.labels) - n_pos))
-            self.steps, self.values = monotone(votes, self.labels, weight)
+def evidence(toxic: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """How far the toxic share of terms (``toxic`` of ``n`` examples) is above ``share``: n times the Kullback-Leibler divergence, in nats."""
+    p = toxic / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > share, n * (p * np.log(p / share) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - share)), 0)), 0.0)
 
-    def vector(self, counts: dict[int, int]) -> list[tuple[int, float]]:
-        raw = [(t, (1 + log(n)) * self.idf[t]) for t, n in sorted(counts.items())]
-        size = sum(w * w for _, w in raw) ** 0.5
-        return [(t, w / size) for t, w in raw] if size else []
+
+class Model:
+    """Index over all terms of the examples, and their labels; bounded by the examples."""
+
+    def __init__(self, made: pa.Table, df: np.ndarray, n_docs: int, k: int, share: float):
+        self.ids, self.labels, self.k, self.share = made["doc_id"].to_pylist(), made["toxic"].to_numpy().astype(float), k, share
+        ends, ids, counts = rows_of(made["terms"].combine_chunks(), made["counts"].combine_chunks())
+        order = np.lexsort((ids, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))
+        self.ends, self.terms, self.counts = ends, ids[order], counts[order]
+        n, toxic = np.bincount(ids, minlength=len(df)), np.bincount(ids, np.repeat(self.labels, np.diff(ends)), len(df))
+        self.factor = np.log((n_docs + 1) / (df + 1)) + 1
+        if 0 < self.labels.sum() < len(self.labels):
+            self.factor *= 1 + np.minimum(evidence(toxic, n, self.labels.mean()), MOST_EVIDENCE)
+        self._index()
+
+    def _index(self):
+        self.index = BlockMaxIndex.of_rows(self.ends, self.terms, self.weigh(self.ends, self.terms, self.counts), len(self.factor))
+
+    def __getstate__(self):
+        # each executor keeps a copy on its disk: steps between the terms of a row and counts are small numbers
+        return {k: v for k, v in self.__dict__.items() if k != "index"} | {"terms": packed(np.diff(self.terms, prepend=0)), "counts": packed(self.counts)}
+
+    def __setstate__(self, state):
+        n = int(state["ends"][-1])
+        self.__dict__ |= state | {"terms": np.cumsum(unpacked(state["terms"], n), dtype=np.int32), "counts": unpacked(state["counts"], n)}
+        self._index()
+
+    def weigh(self, ends: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of unit vectors."""
+        w = (1 + np.log(counts)) * self.factor[ids]
+        size = np.sqrt(np.bincount(np.repeat(np.arange(len(ends) - 1), np.diff(ends)), w * w, len(ends) - 1))
+        return w / np.repeat(size, np.diff(ends))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic labels weighted by similarity, drawn to the prior where neighbours are few or far."""
         return (sum(s * self.labels[e] for s, e in near) + self.share) / (sum(s for s, _ in near) + 1)
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        near = self.index.nearest(self.vector(counts), self.k)
-        v = min(1.0, max(0.0, float(np.interp(self.vote(near), self.steps, self.values))))
-        return v, [self.ids[e] for _, e in near], [s for s, _ in near]
+    def left_out_votes(self, numbers: np.ndarray) -> list[float]:
+        """Votes of the others on the examples ``numbers`` (in sequence)."""
+        a, b = self.index.ends[numbers[0]], self.index.ends[numbers[-1] + 1]
+        ends = self.index.ends[numbers[0]:numbers[-1] + 2] - a
+        return [self.vote(x) for x in self.index.search(ends, self.index.ids[a:b], self.index.weights[a:b], self.k, [{int(e)} for e in numbers])]
+
+    def calibrated(self, votes: list[float]) -> tuple[list[float], list[float]]:
+        n_pos = self.labels.sum()
+        if not votes:
+            return [0.0], [self.share]
+        # examples stand for as many rows as their class has
+        weight = np.where(self.labels == 1, self.share / n_pos, (1 - self.share) / (len(self.labels) - n_pos))
+        return monotone(votes, self.labels, weight)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, those of equal rank together."""
+    return pa.compress(np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(x, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view(np.int32).reshape(n)
+
+
+class Numbers(dict):
+    """Terms (none has a line break) and their numbers; sent compressed."""
+
+    def __init__(self, terms: list[str]):
+        super().__init__(zip(terms, range(len(terms)), strict=True))
+
+    def __reduce__(self):
+        text = "\n".join(self).encode()
+        return Numbers.read, (pa.compress(text, codec="zstd", asbytes=True), len(text))
+
+    @staticmethod
+    def read(x: bytes, size: int) -> Numbers:
+        return Numbers(pa.decompress(x, size, codec="zstd", asbytes=True).decode().split("\n") if size else [])
+
+
+def rows_of(terms: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the rows, beginning with 0, and all their numbers."""
+    sizes = terms.value_lengths().to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), terms.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False)
 
 
 def monotone(x: list[float], y: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float]]:
@@ -130,87 +213,82 @@ def held_out(doc_id: Column) -> Column:
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> tuple[DataFrame, float]:
-    """``doc_id, toxic, terms, counts`` of the sampled labelled documents, and the share of toxic labels. Texts of a class
-    with the same least shingle hash, so equal texts and most near copies, are one example."""
+    """``doc_id, toxic, terms, counts`` of the sampled labelled documents, and the share of toxic labels. Equal texts of a class
+    are one example."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     sample = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, max_clean), (1, max_toxic))]
     # at most max_toxic + max_clean rows of two numbers: safe to send to every task
     found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample[0].union(sample[1])), "doc_id")
+    once = found.groupBy(F.sha2("text", 256).alias("same"), "toxic").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("x"))
 
     def run(batches):
-        shingle = Shingler(4)
         for b in slices(batches):
-            texts = b.column("text").to_pylist()
-            made, least = [term_counts(t) for t in texts], [int(x[0] >> np.uint64(1)) if len(x := shingle(t.encode())) else -1 for t in texts]
+            made = [term_counts(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("toxic"), pa.array([list(c) for c in made], pa.list_(pa.string())),
-                                              pa.array([list(c.values()) for c in made], pa.list_(pa.int32())), pa.array(least, pa.int64())], ["doc_id", "toxic", "terms", "counts", "least"])
-
-    made = found.mapInArrow(run, "doc_id bigint, toxic int, terms array<string>, counts array<int>, least bigint")
-    once = made.groupBy("least", "toxic").agg(F.min_by(F.struct("doc_id", "terms", "counts"), "doc_id").alias("x"))
-    return durable(once.select("x.doc_id", "toxic", "x.terms", "x.counts")), share
-
+                                              pa.array([list(c.values()) for c in made], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
-def tied_terms(examples: DataFrame, max_terms: int, min_evidence: float) -> list[str]:
-    """Terms whose share of toxic examples is above the share of all by ``min_evidence`` (n times the Kullback-Leibler
-    divergence, in nats: a term without any tie passes with probability under exp(-min_evidence))."""
-    size = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not size.get(1) or not size.get(0):
-        return []
-    s = size[1] / (size[0] + size[1])
-    by = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where("a >= 3")
-    p = F.col("a") / F.col("n")
-    evidence = F.col("n") * (p * F.log(p / s) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - s))).otherwise(0))
-    best = by.where((p > s) & (evidence >= min_evidence)).orderBy(evidence.desc(), "term").limit(max_terms)
-    return [r.term for r in best.collect()]
+    made = once.select("x.doc_id", "toxic", "x.text").mapInArrow(run, "doc_id bigint, toxic int, terms array<string>, counts array<int>")
+    return durable(made), share
 
 
-def kept_terms(examples: DataFrame, terms: list[str]) -> DataFrame:
-    """The examples with the tied terms only, so that the driver gets a few numbers per example."""
-    known = frozenset(terms)
-
-    def run(batches):
-        for b in slices(batches):
-            kept = [[(t, n) for t, n in zip(ts, ns, strict=True) if t in known] for ts, ns in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([[t for t, _ in x] for x in kept], pa.list_(pa.string())),
-                                              pa.array([[n for _, n in x] for x in kept], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
-
-    return examples.mapInArrow(run, examples.schema)
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 16000, max_terms: int = 4096,
-                    min_evidence: float = 12.0, k: int = 15, threshold: float = 0.3) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 16000, k: int = 15, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence, similarity`` per row of ``docs`` (needs doc_id, an integer, and text).
 
-    Null and empty texts, and texts without a tied term, have no neighbours and the calibrated share of such examples
-    as their score; repeated rows are scored each; a null doc_id is not held out. A doc_id with several labels counts
+    Null and empty texts, and texts without a term of any example, have no neighbours and the calibrated share of such
+    examples as their score; repeated rows are scored each; a null doc_id is not held out. A doc_id with several labels counts
     as toxic if one says so; null labels and held-out rows are not learned from; with no usable labels the score is
     0. Other columns are not read; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     examples, share = examples_of(docs, labels, max_toxic, max_clean)
-    terms = tied_terms(examples, max_terms, min_evidence)
-    number = {t: i for i, t in enumerate(terms)}
+    terms = sorted(examples.select(F.explode("terms").alias("t")).distinct().toArrow()["t"].to_pylist())
+    size, number = len(terms), spark.sparkContext.broadcast(Numbers(terms))
 
-    def numbered(counts):
-        return {number[t]: n for t, n in counts if t in number}
+    def pairs(found):
+        made = [[(number.value[t], n) for t, n in c if t in number.value] for c in found]
+        return pa.array([[t for t, _ in c] for c in made], pa.list_(pa.int32())), pa.array([[n for _, n in c] for c in made], pa.list_(pa.int32()))
 
     def run(batches):
         for b in slices(batches):
-            made = [numbered(term_counts(t).items()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([list(c) for c in made], pa.list_(pa.int32())),
-                                              pa.array([list(c.values()) for c in made], pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *pairs(term_counts(t).items() for t in b.column("text").to_pylist())], ["doc_id", "terms", "counts"])
+
+    def lean(batches):
+        for b in slices(batches):
+            found = [zip(t, n, strict=True) for t, n in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *pairs(found)], ["doc_id", "toxic", "terms", "counts"])
+
+    def tally(batches):
+        n = np.zeros(size, np.int64)
+        for b in batches:
+            n += np.bincount(b.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=size)
+        t = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(n[t], pa.int64())], ["t", "n"])
 
     vectors = durable(docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id bigint, terms array<int>, counts array<int>"))
-    df = {r.t: r.n for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most max_terms
-    lean = [(r.doc_id, r.toxic, numbered(zip(r.terms, r.counts, strict=True))) for r in kept_terms(examples, terms).collect()]
-    model = Model(terms, df, vectors.count(), lean, k, share)
+    df, counted = np.zeros(size), vectors.select("terms").mapInArrow(tally, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df[counted["t"].to_numpy()] = counted["n"].to_numpy()
+    known = examples.mapInArrow(lean, "doc_id bigint, toxic int, terms array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    made = Model(known, df, vectors.count(), k, share)
+    model = spark.sparkContext.broadcast(made)
+
+    def left_out(batches):
+        for b in (x for y in batches for x in slices([y], 64)):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.value.left_out_votes(b.column("id").to_numpy()), pa.float64())], ["id", "vote"])
+
+    both = 0 < made.labels.sum() < len(made.labels)
+    votes = spark.range(0, len(made.labels), 1, -(-len(made.labels) // 512)).mapInArrow(left_out, "id bigint, vote double").collect() if both else []
+    steps, values = made.calibrated([r.vote for r in sorted(votes)])
 
     def score(batches):
-        for b in slices(batches, 1024):
-            out = [model.score(dict(zip(t, c, strict=True))) for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())),
-                                              pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "similarity"])
+        for b in slices(batches, 64):
+            m = model.value
+            ends, ids, counts = rows_of(b.column("terms"), b.column("counts"))
+            near = m.index.search(ends, ids, m.weigh(ends, ids, counts), m.k)
+            out = np.clip(np.interp([m.vote(x) for x in near], steps, values), 0.0, 1.0)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), pa.array([[m.ids[e] for _, e in x] for x in near], pa.list_(pa.int64())),
+                                              pa.array([[s for s, _ in x] for x in near], pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "similarity"])
 
     scored = vectors.mapInArrow(score, "doc_id bigint, score double, evidence array<bigint>, similarity array<double>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "similarity")

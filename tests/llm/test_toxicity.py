@@ -50,6 +50,17 @@ def test_block_max_is_exact():
         assert [e for _, e in index.nearest(q, 15)] == [e for _, e in want]
 
 
+def test_rare_words_find_copies(spark):
+    rows = [(i, f"plain words about gardens number{i}", 0) for i in range(40)] + [(100 + i, f"common insult{i} once{i}", 1) for i in range(12)]
+    texts = {d: t for d, t, _ in rows}
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()] + [(1000 + d, t) for d, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
+    for d, y in ((d, y) for d, _, y in rows if zlib.crc32(str(d).encode()) % 4 != 2):
+        r = got[1000 + d]
+        assert r.evidence[0] == d and abs(r.similarity[0] - 1) < 1e-9, (d, r)
+
+
 def test_monotone():
     x, y = toxicity.monotone([0.1, 0.2, 0.3, 0.3, 0.9], np.array([0, 1, 0, 1, 1.0]), np.ones(5))
     assert y == sorted(y) and x == sorted(x) and y[0] == 0 and y[-1] == 1
