@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlake.llm import cotrain, fingerprint, neardup, packing, pseudonyms, rules, spiece, tokens, toxicity, warc
+from momentlake.llm import bytebpe, collocations, cotrain, fingerprint, neardup, packing, periodic, pseudonyms, rules, spiece, tokens, toxicity, warc
 from momentlake.llm.common import table
 
 QUERIES: dict = {}
@@ -76,6 +76,21 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -89,3 +104,30 @@ SELECT page_id, strlen(t)::BIGINT AS payload_bytes, array_to_string(list_transfo
     lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> k & 31)::INT + 1, 1)), '')), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
 """
+
+ORACLE["op12_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM (SELECT *, row_number() OVER () AS doc FROM documents)),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+grams AS (SELECT lang, i, w, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM places),
+counts AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE k >= 2),
+cuts AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS cut FROM cand),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n, cut,
+    ((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN total t USING (lang)
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:c.k], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+sizes AS (SELECT lang, w, k, a, unnest(range(2, k)) AS size FROM cand WHERE k >= 3),
+inner_parts AS (SELECT lang, w, a, size, unnest(range(1, k - size + 2)) AS p FROM sizes),
+longer AS (SELECT lang, array_to_string(w[p:p + size - 1], ' ') AS phrase, max(a) AS b FROM inner_parts GROUP BY ALL),
+kept AS (SELECT o.* FROM lowest o LEFT JOIN longer USING (lang, phrase) WHERE b IS NULL OR 100 * b < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
