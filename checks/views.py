@@ -142,11 +142,11 @@ def prompts(spark, sf) -> DataFrame:
 
 LEXICON = {
     "en": dict(hook=["that"], emotion=["with"], payoff=["for"], dangling=["and"], second_person=["it"],
-               quote_extra=["from"], enumeration=["to"], controversy=["by", "of the"]),
+               quote_extra=["from"], enumeration=["to"], controversy=["by", "of the", "the the the the the"]),
     "fr": dict(hook=["que"], emotion=["pour"], payoff=["par"], dangling=["et"], second_person=["la"],
-               quote_extra=["dans"], enumeration=["un"], controversy=["sur", "de la"]),
+               quote_extra=["dans"], enumeration=["un"], controversy=["sur", "de la", "la des et"]),
     "de": dict(hook=["das"], emotion=["mit"], payoff=["auf"], dangling=["und"], second_person=["sich"],
-               quote_extra=["von"], enumeration=["ein"], controversy=["für", "in der"]),
+               quote_extra=["von"], enumeration=["ein"], controversy=["für", "in der", "der der der"]),
     "es": dict(hook=["que"], emotion=["con"], payoff=["por"], dangling=["y"], second_person=["se"],
                quote_extra=["para"], enumeration=["un"], controversy=["no", "de la"]),
 }

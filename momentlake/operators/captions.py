@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from momentlake.functions.text import clean_caption_token, has_number, tokens
 from momentlake.functions.timecode import frame_timecode, frames, srt_time, vtt_time, whole_fps
 from momentlake.operators.passages import emphasis_terms
+from momentlake.phrases import phrases_in_stream
 from momentlake.skew import overlap_join, range_join
 
 CLIP = ("media_id", "clip_id")
@@ -140,16 +141,11 @@ def word_display_end(lined: DataFrame, silence_ms: int = 350, linger_ms: int = 1
 
 
 def remove_phrases(caps: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Drop every word of a matched phrase of any length (``phrases(phrase)``), matched on folded tokens: a place where
-    the phrase's first word stands meets the clip's words at the places of the others."""
+    """Drop every word of a matched phrase of any length (``phrases(phrase)``), matched on folded tokens of the clip."""
     tok = F.regexp_replace(F.lower("text"), "[^a-zà-ÿ0-9]", "")
-    w = caps.withColumn("_tok", tok).withColumn("_i", F.row_number().over(W.partitionBy(*CLIP).orderBy("pos")))
-    p = phrases.select("phrase").distinct().withColumn("_p", F.split("phrase", " "))
-    start = w.select(*CLIP, "_i", "_tok").join(p, F.col("_tok") == F.get("_p", F.lit(0)))
-    need = start.select(*CLIP, "_i", "phrase", F.size("_p").alias("_n"), F.posexplode("_p").alias("_j", "_tok"))
-    met = need.withColumn("_k", F.col("_i") + F.col("_j")).join(w.select(*CLIP, F.col("_i").alias("_k"), "_tok"), [*CLIP, "_k", "_tok"])
-    full = met.groupBy(*CLIP, "_i", "phrase", "_n").agg(F.count("*").alias("_m")).where("_m = _n")
-    gone = full.select(*CLIP, F.explode(F.sequence(F.col("_i"), F.col("_i") + F.col("_n") - 1)).alias("_i")).distinct()
+    w = caps.withColumn("_i", F.row_number().over(W.partitionBy(*CLIP).orderBy("pos")))
+    met = phrases_in_stream(w.withColumn("_tok", F.array(tok)), CLIP, phrases, "_tok", pos="_i")
+    gone = met.select(*CLIP, F.explode(F.sequence("pos_lo", "pos_hi")).alias("_i")).distinct()
     return w.join(gone, [*CLIP, "_i"], "left_anti").select(*caps.columns)
 
 

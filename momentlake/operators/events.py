@@ -9,6 +9,7 @@ from momentlake.functions.dictionaries import GAME_ALIASES, GAME_PROFILES, KILL_
 from momentlake.functions.scoring import factor, half_even, prepend
 from momentlake.functions.text import clamp, fold_text
 from momentlake.functions.timecode import clock
+from momentlake.phrases import phrases_in_texts
 from momentlake.skew import (CHUNK, CHUNK_MS, bucket_of, chain_marks, chunk_by_pos, chunk_by_time, percentiles, range_join, runs,
                              scan, value_ranks)
 
@@ -65,15 +66,9 @@ def fold_phrases(phrases: DataFrame) -> DataFrame:
 
 def phrase_hits(reads: DataFrame, phrases: DataFrame, keys=(), carry=()) -> DataFrame:
     """``read_id``, ``carry`` and the columns of ``phrases`` for each folded phrase of any length that a read holds as whole
-    words. A read meets a phrase on the phrase's first word (and ``keys``); longer phrases are then looked up in the
-    read's folded text."""
-    p = fold_phrases(phrases).withColumn("_head", F.substring_index("phrase", " ", 1))
-    r = reads.select("read_id", *keys, *carry, fold_text("text").alias("_f"))
-    heads = r.select("read_id", *keys, *carry, F.explode(F.array_distinct(F.split("_f", " "))).alias("_head"))
-    met = heads.join(p, [*keys, "_head"]).drop("_head")
-    one_word = ~F.contains("phrase", F.lit(" "))
-    whole = F.contains(F.concat(F.lit(" "), "_f", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
-    return met.where(one_word).unionByName(met.where(~one_word).join(r.select("read_id", "_f"), "read_id").where(whole).drop("_f"))
+    words (with equal ``keys``). One automaton pass over the texts; only hits meet the phrases' other columns."""
+    p = fold_phrases(phrases)
+    return phrases_in_texts(reads.select("read_id", *keys, *carry, "text"), p).join(p, [*keys, "phrase"])
 
 
 def longest(hits: DataFrame) -> DataFrame:

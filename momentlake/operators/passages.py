@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from momentlake.functions.text import (ANSWER_MARKERS, FILLER_OPENERS, clamp, ends_complete, ends_sentence,
                                        has_number, tokens)
+from momentlake.phrases import phrases_in_stream
 from momentlake.skew import CHUNK, CHUNK_MS, CHUNK_ROWS, chain_marks, chunk_by_pos, pin, range_join, scan, share_shuffle
 
 ROLES = ("hook", "emotion", "payoff", "dangling", "second_person", "quote_extra", "enumeration", "controversy")
@@ -137,28 +138,23 @@ ADDITIVE = ("n_single", "n_pair", "h_emotion", "h_quote", "h_enumeration", "h_co
 EDGE = ("x_pair", "x_emotion", "x_quote", "x_enumeration", "x_controversy")
 
 
-def sentence_features(words: DataFrame, lexicon: DataFrame, phrases: Sequence[str],
-                      markers: Sequence[str] = tuple(ANSWER_MARKERS), question: str = "?",
+def sentence_features(words: DataFrame, lexicon: DataFrame, markers: Sequence[str] = tuple(ANSWER_MARKERS), question: str = "?",
                       pause_ms: int = 650, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per sentence: features of the seconds after its start, flags of its last word and
-    running totals. One shuffle of the words, then everything is sentence-sized.
+    running totals. One shuffle of the words, then everything is sentence-sized. ``mk_last`` is the
+    first word of the last answer marker that ended up to here; phrases come with ``phrase_starts``.
 
     Opening features are exact for passages of at least 3 s, which is the shortest allowed.
     """
     w = transcript_scan(resolve_language(words, lexicon), pause_ms, chunk_rows=chunk_rows)
-    low, prev = F.lower("text"), F.lower("prev_text")
-    marker2 = F.lit(False)
-    for m in markers:
-        if " " in m:
-            a, b = m.split(" ")
-            marker2 = marker2 | (prev.endswith(a) & low.startswith(b))
-    one = [m for m in markers if " " not in m]
+    low = F.lower("text")
+    one, more = [m for m in markers if " " not in m], [m for m in markers if " " in m]
     w = w.withColumns({
         "digit": has_number("text").cast("int"), "asks": F.rtrim("text").endswith(question), "complete": ends_complete("text"),
-        "marker": F.exists(F.array(*[F.lit(m) for m in one]), lambda m: F.contains(low, m)),
-        "marker2": F.coalesce(marker2, F.lit(False)), "end": F.col("t_ms") + F.col("d_ms")})
+        "marker": F.exists(F.array(*[F.lit(m) for m in one]), lambda m: F.contains(low, m)) if one else F.lit(False),
+        "end": F.col("t_ms") + F.col("d_ms")})
     toks = lexicon_hits(explode_tokens(w, ["media_id", "lang", "pos", "t_ms", "end", "sid", "prev_tok_pos", "heads", "digit", "asks",
-                                           "complete", "marker", "marker2"]), lexicon)
+                                           "complete", "marker"]), lexicon)
     own = F.array(F.struct(F.col("sid").alias("pos"), F.lit(None).cast("bigint").alias("t_ms")))
     rows = toks.withColumn("_g", F.explode(F.concat(own, F.col("heads"))))
     target, t0 = F.col("_g.pos"), F.col("_g.t_ms")
@@ -186,30 +182,26 @@ def sentence_features(words: DataFrame, lexicon: DataFrame, phrases: Sequence[st
         "m_digit": F.when(mine & word, F.col("digit")).otherwise(0),
         "m_code": F.when(mine & (F.col("cross") | (word & (F.col("n_toks") > 0) & F.col("prev_tok_pos").isNull())), code),
         "m_dang": num(mine & opener & (F.col("pos") == target) & (F.col("dangling") == 1)),
-        "m_mk": F.when(mine & F.col("marker"), F.col("pos")), "m_mk2": F.when(mine & F.col("marker2"), F.col("pos")),
+        "m_mk": F.when(mine & F.col("marker"), F.col("pos")),
         "g_n3": num(~mine & single), "g_n2": num(~mine & single & two), "g_words2": num(~mine & word & two),
         "g_hooks": F.when(~mine & inside, F.col("hook")).otherwise(0), "g_you": F.when(~mine & inside, F.col("second_person")).otherwise(0),
         "g_q3": num(~mine & F.col("asks")), "g_num3": num(~mine & (F.col("digit") > 0)),
         "g_early": num(~mine & early & (F.col("asks") | (F.col("digit") > 0) | (inside & (F.col("hook") + F.col("second_person") > 0)))),
         "g_hook2": num(~mine & two & inside & (F.col("hook") > 0)), "g_you2": num(~mine & two & inside & (F.col("second_person") > 0)),
         "g_q2": num(~mine & two & F.col("asks")), "g_num2": num(~mine & two & (F.col("digit") > 0)), "g_weak": num(~mine & two & weak)}
-    for i, p in enumerate(phrases):
-        a, b = p.split(" ")
-        hit = mine & F.col("pair") & F.col("a").endswith(a) & F.substring_index("token", " ", -1).startswith(b)
-        flags[f"m_p{i}"] = F.when(hit, F.col("pos") * 2 + num(~F.col("cross")))
     flat = rows.select("media_id", *[c.alias(n) for n, c in flags.items()])
     sums = ["g_n3", "g_n2", "g_words2", "g_hooks", "g_you"]
-    tops = ["g_q3", "g_num3", "g_early", "g_hook2", "g_you2", "g_q2", "g_num2", "g_weak", "m_dang", "m_mk", "m_mk2"]
+    tops = ["g_q3", "g_num3", "g_early", "g_hook2", "g_you2", "g_q2", "g_num2", "g_weak", "m_dang", "m_mk"]
     at_word = F.when(F.col("m_word"), F.col("pos"))
     s = flat.groupBy("media_id", F.col("target").alias("sid")).agg(
         F.max("start").alias("start_ms"), F.max_by("end", at_word).alias("end_ms"), F.max(at_word).alias("pos_hi"),
         F.max_by("complete", at_word).alias("complete"), F.max_by("asks", at_word).alias("_asks"), F.min("m_code").alias("_code"),
-        *[F.sum(f"m_{c}").alias(f"s_{c}") for c in ADDITIVE], *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in tops],
-        *[F.max(f"m_p{i}").alias(f"_p{i}") for i in range(len(phrases))])
-    n = range(len(phrases))
+        *[F.sum(f"m_{c}").alias(f"s_{c}") for c in ADDITIVE], *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in tops])
+    if more:
+        s = _longer_markers(words, s, more, chunk_rows)
     sc = scan(chunk_by_pos(s, "sid", chunk_rows), ["media_id"], ["sid"],
               sums={f"b_{c}": F.col(f"s_{c}") for c in ADDITIVE},
-              maxes={"_end_b": F.col("end_ms"), "_mk_b": F.col("m_mk"), "_mk2_b": F.col("m_mk2"), **{f"_pb{i}": F.col(f"_p{i}") for i in n}},
+              maxes={"_end_b": F.col("end_ms"), "_mk_b": F.col("m_mk")},
               after={"_q_a": F.when(F.col("_asks"), F.col("pos_hi")), "_code_a": F.col("_code")})
     none = F.lit(-1).cast("bigint")
 
@@ -221,10 +213,40 @@ def sentence_features(words: DataFrame, lexicon: DataFrame, phrases: Sequence[st
     return _opening(sc).select(
         "media_id", "sid", "start_ms", "end_ms", F.col("sid").alias("pos_lo"), "pos_hi", "complete", F.col("m_dang").alias("first_dangling"),
         F.greatest("end_ms", "_end_b").alias("end_max"), "f_hook", "f_instant_hook", "f_swipe", "r_hook", "r_instant_hook", "r_swipe",
-        F.when(F.col("_asks"), F.col("pos_hi")).otherwise(F.col("_q_a")).alias("next_q"), F.floor(first_code / 64).alias("tok_lo"),
-        upto("m_mk", "_mk_b").alias("mk_last"), upto("m_mk2", "_mk2_b").alias("mk2_last"), *[c.alias(x) for x, c in edge.items()],
-        *[f"b_{c}" for c in ADDITIVE], *[(F.col(f"b_{c}") + F.col(f"s_{c}")).alias(f"e_{c}") for c in ADDITIVE],
-        *[upto(f"_p{i}", f"_pb{i}").alias(f"ph_{i}") for i in n])
+        F.when(F.col("_asks"), F.col("pos_hi")).otherwise(F.col("_q_a")).alias("next_q"),
+        upto("m_mk", "_mk_b").alias("mk_last"), *[c.alias(x) for x, c in edge.items()],
+        *[f"b_{c}" for c in ADDITIVE], *[(F.col(f"b_{c}") + F.col(f"s_{c}")).alias(f"e_{c}") for c in ADDITIVE])
+
+
+def _in_sentences(hits: DataFrame, sents: DataFrame) -> DataFrame:
+    """Hits with ``sid`` and ``start_ms`` of the sentence that their last word is in."""
+    spans = sents.select("media_id", "sid", "start_ms", F.col("pos_hi").alias("_z"))
+    return range_join(hits, spans, "pos_hi", F.col("sid"), F.col("_z"), width=1024).drop("_z")
+
+
+def _longer_markers(words: DataFrame, sents: DataFrame, markers: Sequence[str], chunk_rows: int) -> DataFrame:
+    """Markers of several words: the last one that ends in a sentence counts by its first word."""
+    book = words.sparkSession.createDataFrame([(m,) for m in markers], "phrase string")
+    hits = phrases_in_stream(words, ["media_id"], book, F.array(F.lower("text")), whole=False, chunk_rows=chunk_rows)
+    last = _in_sentences(hits.select("media_id", "pos_lo", "pos_hi"), sents).groupBy("media_id", "sid").agg(F.max("pos_lo").alias("_mk"))
+    return sents.join(last, ["media_id", "sid"], "left").withColumn("m_mk", F.greatest("m_mk", "_mk")).drop("_mk")
+
+
+def phrase_starts(words: DataFrame, sents: DataFrame, lexicon: DataFrame, settings: DataFrame, role: str = "controversy",
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``starts`` to the sentences: of each phrase of several words of the language's ``role`` terms the first word of its
+    last place that ends up to here, within the reach of the longest passage. A passage from word a on holds as many
+    distinct phrases as entries are a or more. Phrases may begin and end within a word, as in a text search.
+    """
+    terms = lexicon.where((F.col("role") == role) & F.contains("term", F.lit(" "))).select("lang", F.col("term").alias("phrase")).distinct()
+    w = resolve_language(words, lexicon).select("media_id", "lang", "pos", tokens("text").alias("toks"))
+    hits = phrases_in_stream(w, ["media_id", "lang"], terms, whole=False, chunk_rows=chunk_rows).join(terms, ["lang", "phrase"], "left_semi")
+    reach = settings.groupBy("media_id").agg(F.max("max_len_ms").alias("_reach"))
+    placed = _in_sentences(hits.select("media_id", "phrase", "pos_lo", "pos_hi"), sents).join(reach, "media_id")
+    placed = placed.select("media_id", "phrase", "pos_lo", F.col("sid").alias("_from"), F.col("start_ms").alias("_t"), "_reach")
+    seen = range_join(sents.select("media_id", "sid", "start_ms"), placed, "start_ms", F.col("_t"), F.col("_t") + F.col("_reach")).where("sid >= _from")
+    last = seen.groupBy("media_id", "sid", "phrase").agg(F.max("pos_lo").alias("_s")).groupBy("media_id", "sid").agg(F.collect_list("_s").alias("starts"))
+    return sents.join(last, ["media_id", "sid"], "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<bigint>")))
 
 
 def _opening(g: DataFrame) -> DataFrame:
@@ -299,7 +321,7 @@ def fixed_windows(words: DataFrame, settings: DataFrame, chunk_ms: int = CHUNK_M
         F.max("pos").alias("pos_hi"), F.min_by("t_ms", "pos").alias("start_ms"), F.max_by("end", "pos").alias("end_ms"))
 
 
-def passage_features(cands: DataFrame, n_phrases: int) -> DataFrame:
+def passage_features(cands: DataFrame) -> DataFrame:
     """Turn joined sentence pairs into candidates with the eleven features ``f_*``."""
     def span(c, x=None):
         v = F.col(f"z_e_{c}") - F.col(f"a_b_{c}")
@@ -314,10 +336,7 @@ def passage_features(cands: DataFrame, n_phrases: int) -> DataFrame:
     quote = clamp(0.5 * F.least(span("h_quote", "x_quote"), F.lit(4)) / 4 + F.when(n_words <= 28, 0.5).otherwise(0.2))
     enum = has_toks & (span("h_enumeration", "x_enumeration") > 0)
     listy = clamp(0.6 * (span("digit") > 0).cast("int") + 0.6 * enum.cast("int"))
-    hits = span("h_controversy", "x_controversy")
-    for i in range(n_phrases):
-        # an own pair counts from the first word on, a crossing pair only after the first token word
-        hits = hits + 2 * (F.col(f"z_ph_{i}") > F.col("a_tok_lo") * 2).cast("int")
+    hits = span("h_controversy", "x_controversy") + 2 * F.size(F.filter("z_starts", lambda x: x >= F.col("a_pos_lo")))
     contr = F.when(has_toks, clamp(hits / toks * 15.0)).otherwise(0.0)
     wps = n_words / dur
     pace = F.when(dur <= 0, 0.0).otherwise(clamp(F.when((wps < 1.4) | (wps > 4.5), 0.2).otherwise(1.0 - F.abs(wps - 2.8) / 2.0)))
@@ -327,7 +346,7 @@ def passage_features(cands: DataFrame, n_phrases: int) -> DataFrame:
     clarity = F.when(dangling, 0.0).otherwise(0.55) + F.when(F.col("z_complete"), 0.45).otherwise(0.0)
     split = F.col("a_pos_lo") + F.greatest(F.floor(n_words / 5), F.lit(3))
     asks = F.coalesce((F.col("a_next_q") < split) & (F.col("a_next_q") <= F.col("z_pos_hi")), F.lit(False))
-    answers = (F.col("z_mk_last") >= split) | (F.col("z_mk2_last") > split)
+    answers = F.col("z_mk_last") >= split
     qa = F.when(~asks, 0.0).when(answers, 0.8).otherwise(0.4)
     return cands.select(
         "media_id", "platform", "min_len_ms", "max_len_ms", "target_clips", F.col("a_start_ms").alias("start_ms"), F.col("z_end_ms").alias("end_ms"),

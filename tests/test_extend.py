@@ -1,8 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from checks.text import MARKERS, PHRASES
-from checks.views import lexicon, media, words
+from checks.views import MARKERS, lexicon, media, words
 from momentlake.plans import extend, talking
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +16,7 @@ def clean():
 
 def moments(spark):
     w = words(spark, SF).where("media_id < 12")
-    return talking.best_moments(w, media(spark, SF), lexicon(spark), phrases=PHRASES, markers=MARKERS, question="!")
+    return talking.best_moments(w, media(spark, SF), lexicon(spark), markers=MARKERS, question="!")
 
 
 def test_hooks_features_and_sinks(spark):

@@ -1,3 +1,9 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from momentlake import phrases as PH
 from momentlake.functions.text import fold_text
 from momentlake.operators import captions as C, events as E
 
@@ -44,3 +50,45 @@ def test_folding(spark):
         plain = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()
         return re.sub("[^a-z0-9]+", " ", plain).strip()
     assert got == [None if t is None else want(t) for t in texts]
+    assert [None if t is None else PH.fold(t) for t in texts] == got
+
+
+def places(toks, phrases, whole):
+    """Every place of every phrase in (position, token) pairs by plain comparison."""
+    out = set()
+    for p in phrases:
+        w = p.split(" ")
+        for i in range(len(toks) - len(w) + 1):
+            t = [x for _, x in toks[i:i + len(w)]]
+            if whole or len(w) > 1:
+                ok = t[1:-1] == w[1:-1] and (t == w if whole else t[0].endswith(w[0]) and t[-1].startswith(w[-1]))
+            else:
+                ok = w[0] in t[0]
+            if ok:
+                out.add((p, toks[i][0], toks[i + len(w) - 1][0]))
+    return out
+
+
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("chunk, block", [(1, 2), (2, 100), (7, 1), (1000, 100)])
+def test_phrases_across_chunks(spark, whole, chunk, block, monkeypatch):
+    """Rows with none, one or several tokens; chunks shorter than the phrases; dictionaries of several blocks."""
+    monkeypatch.setattr(PH, "DICTIONARY_BLOCK", block)
+    monkeypatch.setattr(PH.read_blocks, "__defaults__", ("phrase", block))
+    rng = random.Random(chunk)
+    rows = [(m, i, [rng.choice(["a", "b", "ab", "ba"]) for _ in range(rng.choice([0, 0, 1, 1, 2, 3]))]) for m in (1, 2) for i in range(60)]
+    phrases = ["a", "ab", "a b", "b a b", "a a a a a", "ab ba", "b b a a b ab a", "a b"]
+    df = spark.createDataFrame(rows, "media_id int, pos long, toks array<string>")
+    book = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    got = {(r.media_id, r.phrase, r.pos_lo, r.pos_hi) for r in PH.phrases_in_stream(df, ["media_id"], book, whole=whole, chunk_rows=chunk).collect()}
+    want = set()
+    for m in (1, 2):
+        want |= {(m, *h) for h in places([(i, t) for k, i, ts in rows if k == m for t in ts], set(phrases), whole)}
+    assert got == want and len(want) > 20
+
+
+def test_no_phrases(spark):
+    df = spark.createDataFrame([(1, 0, ["a"])], "media_id int, pos long, toks array<string>")
+    none = spark.createDataFrame([("",), (None,)], "phrase string")
+    assert PH.phrases_in_stream(df, ["media_id"], none).collect() == []
+    assert PH.phrases_in_texts(df.select("media_id", F.lit("a").alias("text")), none).collect() == []
