@@ -233,6 +233,7 @@ def overlap_above(limit: float):
         inter = np.maximum(0, np.minimum(hi, his) - np.maximum(lo, los))
         union = (hi - lo) + (his - los) - inter
         return np.where(union > 0, inter / np.maximum(union, 1), 0.0) > limit
+    rule.length_ratio = limit  # spans in conflict differ in length by less than this factor
     return rule
 
 
@@ -250,54 +251,89 @@ def greedy_select(
     lo: str,
     hi: str,
     conflict: Callable,
-    reach_ms: int,
+    reach_ms: int | None = None,
     *,
-    chunk_ms: int = CHUNK_MS,
+    chunk_ms: int | None = None,
 ) -> DataFrame:
     """Exact greedy suppression: take rows by ``rank`` ascending (a total order), drop those in
     conflict with a row already taken.
 
-    ``conflict`` may only hold for rows whose ``lo`` differ by at most ``reach_ms``. The rounds move
-    keys, ranks and bounds only; whole rows are joined back to what is kept. Each task handles one time chunk plus a halo of ``reach_ms``. A row next to a chunk edge stays *open*
-    while a stronger open neighbour is out of sight; later rounds move the edges by half a chunk
-    until no row is open. The strongest open row always closes, so the loop ends; keys shorter
-    than a chunk close in the first round.
+    ``conflict`` may only hold for rows whose ``lo`` differ by at most ``reach_ms`` (default: the longest span, for
+    rules that need an overlap). The rows are computed once; the rounds move keys, ranks and bounds only, and whole
+    rows are joined back to what is kept. Each task handles one time chunk plus a halo. A row next to a chunk edge
+    stays *open* while a stronger open neighbour is out of sight; later rounds move the edges by half a chunk until no
+    row is open. The strongest open row always closes, so the loop ends; keys shorter than a chunk close in the first
+    round.
+
+    Chunks follow the data: their width is halved while one holds more than ``CHUNK_ROWS`` rows, down to four halos
+    (``chunk_ms`` fixes it). Where the rule bounds the ratio of lengths, spans over a quarter of ``CHUNK_MS`` fall into
+    classes of their own with wider chunks, which see the neighbouring classes only: a few long spans do not widen the
+    chunks of the others.
     """
-    chunk_ms = max(chunk_ms, 4 * reach_ms)
     keys = list(keys)
     ranks = {f"_r{i}": c for i, c in enumerate(rank)}
     rows = durable(df.withColumn("_id", F.monotonically_increasing_id()))
+    ratio = getattr(conflict, "length_ratio", 0.0)
+    growth = max(4.0, 1.0 / ratio) if ratio >= 0.01 and reach_ms is None else None
+    size = F.col(hi) - F.col(lo)
+    level = F.lit(0)
+    if growth:
+        level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(size, F.lit(1)) / F.lit(CHUNK_MS / 4.0)) / F.lit(float(np.log(growth))))).cast("int")
     state = rows.select(*keys, "_id", *[c.alias(n) for n, c in ranks.items()], F.col(lo).alias("_lo"), F.col(hi).alias("_hi"),
-                        F.lit(False).alias("_kept"))
-    shift = 0
-    while True:
-        state = durable(_greedy_round(state, keys, list(ranks), conflict, reach_ms, chunk_ms, shift))
+                        F.lit(False).alias("_kept"), level.alias("_cls"))
+    longest = {r["_cls"]: int(r["m"]) for r in state.groupBy("_cls").agg(F.max(F.col("_hi") - F.col("_lo")).alias("m")).collect()}
+    reach = {c: max(1, reach_ms if reach_ms is not None else max(longest.get(x, 0) for x in ((c, c + 1) if growth else longest))) for c in longest}
+    if growth:
+        reach = {c: max(1, min(r, int(longest[c] / ratio) + 1)) for c, r in reach.items()}
+    width = {c: max(chunk_ms, 4 * r) if chunk_ms else _chunk_width(state.where(F.col("_cls") == c), keys, 4 * r) for c, r in reach.items()}
+    half = False
+    while longest:
+        state = durable(_greedy_round(state, keys, list(ranks), conflict, reach, width, half))
         if state.where(~F.col("_kept")).isEmpty():
-            return rows.join(state.select("_id"), "_id", "left_semi").select(*df.columns)
-        shift = chunk_ms // 2 if shift == 0 else 0
-
-
-def _greedy_round(state, keys, ranks, conflict, reach_ms, chunk_ms, shift):
-    def at(t):
-        return F.floor((t + shift) / F.lit(float(chunk_ms)))
-
-    placed = state.withColumn("_home", at(F.col("_lo")))
-    placed = placed.withColumn(
-        "_at", F.explode(F.array_distinct(F.array(
-            at(F.col("_lo") - reach_ms), F.col("_home"), at(F.col("_lo") + reach_ms)))))
-
+            break
+        half = not half
+    return rows.join(state.select("_id"), "_id", "left_semi").select(*df.columns)
+
+
+def _chunk_width(state: DataFrame, keys: list[str], unit: int) -> int:
+    """The widest of ``unit`` * 2^j up to ``CHUNK_MS`` whose chunks all hold at most ``CHUNK_ROWS`` rows; at least ``unit``."""
+    steps = max(0, int(np.ceil(np.log2(CHUNK_MS / unit)))) if unit < CHUNK_MS else 0
+    if not steps:
+        return unit
+    counts = state.groupBy(*keys, F.floor(F.col("_lo") / F.lit(float(unit))).alias("_u")).agg(F.count("*").alias("_n"))
+    wide = counts.select(*keys, "_n", F.posexplode(F.array(*[F.floor(F.col("_u") / F.lit(float(1 << j))) for j in range(steps + 1)])).alias("_j", "_b"))
+    full = {r["_j"]: r["m"] for r in wide.groupBy(*keys, "_j", "_b").agg(F.sum("_n").alias("_n")).groupBy("_j").agg(F.max("_n").alias("m")).collect()}
+    fit = [j for j in range(steps + 1) if full.get(j, 0) <= CHUNK_ROWS]
+    return unit << (max(fit) if fit else 0)
+
+
+def _greedy_round(state, keys, ranks, conflict, reach, width, half):
+    def at(t, c):
+        return F.floor((t + (width[c] // 2 if half else 0)) / F.lit(float(width[c])))
+
+    place = "array<struct<c:int,at:bigint>>"
+    tasks = [F.when(F.col("_cls").between(c - 1, c + 1), F.array_distinct(F.array(
+        *[F.struct(F.lit(c).alias("c"), at(t, c).alias("at")) for t in (F.col("_lo") - reach[c], F.col("_lo"), F.col("_lo") + reach[c])]))).otherwise(F.array().cast(place))
+        for c in reach]
+    home = F.lit(None).cast("bigint")
+    for c in reach:
+        home = F.when(F.col("_cls") == c, at(F.col("_lo"), c)).otherwise(home)
     columns = list(state.columns)
+    placed = state.withColumn("_home", home).withColumn("_to", F.explode(F.concat(*tasks)))
+    placed = placed.select(*columns, F.col("_to.c").alias("_c"), F.col("_to.at").alias("_at"),
+                           ((F.col("_to.c") == F.col("_cls")) & (F.col("_to.at") == F.col("_home"))).alias("_core"))
 
     def close(table: pa.Table) -> pa.Table:
         table = table.sort_by([(r, "ascending") for r in ranks])
         los, his = table["_lo"].to_numpy(), table["_hi"].to_numpy()
-        core = table["_home"].to_numpy() == table["_at"].to_numpy()
+        core = table["_core"].to_numpy()
         kept = table["_kept"].to_numpy().copy()
+        near_ms = reach[table["_c"][0].as_py()]
         dead = np.zeros(len(los), dtype=bool)
         unsure = ~core & ~kept
         by_start = np.argsort(los, kind="stable")
         starts = los[by_start]
-        first, end = np.searchsorted(starts, los - reach_ms), np.searchsorted(starts, los + reach_ms, side="right")
+        first, end = np.searchsorted(starts, los - near_ms), np.searchsorted(starts, los + near_ms, side="right")
         for i in range(len(los)):
             if dead[i]:
                 continue
@@ -313,7 +349,7 @@ def _greedy_round(state, keys, ranks, conflict, reach_ms, chunk_ms, shift):
         out = out.set_column(out.schema.get_field_index("_kept"), "_kept", pa.array(kept))
         return out.filter(pa.array(core & ~dead))
 
-    return placed.groupBy(*keys, "_at").applyInArrow(close, state.schema)
+    return placed.groupBy(*keys, "_c", "_at").applyInArrow(close, state.schema)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k, out: str | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from momentlake.operators import events as E
+from momentlake import skew
 from momentlake.operators import passages as P
+from momentlake.operators import selection as S
 from momentlake.operators.selection import nms_gap, nms_iou
 from momentlake.skew import chain_marks, chunk_by_pos, percentiles, runs, scan
 
@@ -55,6 +57,30 @@ def test_sentence_features(spark, words):
         assert got == want
 
 
+def test_chunk_width_follows_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "CHUNK_ROWS", 50)
+    dense = [(1, t * 1000) for t in range(1000)]
+    df = spark.createDataFrame(dense + [(2, t * 60_000) for t in range(30)], "media_id bigint, _lo bigint")
+    assert skew._chunk_width(df, ["media_id"], 4000) == 32_000
+    assert skew._chunk_width(df.where("media_id = 2"), ["media_id"], 4000) >= 1_000_000
+    assert skew._chunk_width(df, ["media_id"], 9_000_000) == 9_000_000
+
+
+def test_greedy_with_long_spans(spark):
+    """Lengths from seconds to days: classes with chunks of their own, conflicts between neighbouring classes."""
+    rng = random.Random(9)
+    cand = [(1, s, s + int(10 ** rng.uniform(3.5, 8.3)), rng.randint(0, 40) / 10) for s in (rng.randrange(0, 400_000_000) for _ in range(500))]
+    cand += [(1, s, s + int(3_000_000 * rng.uniform(0.5, 3)), rng.randint(0, 40) / 10) for s in (rng.randrange(0, 20_000_000) for _ in range(200))]
+    cand = list({c[:3]: c for c in cand}.values())
+    kept = []
+    for c in sorted(cand, key=lambda c: (-c[3], c[1], c[2])):
+        if all((max(0, min(c[2], k[2]) - max(c[1], k[1]))) <= 0.35 * ((c[2] - c[1]) + (k[2] - k[1]) - max(0, min(c[2], k[2]) - max(c[1], k[1]))) for k in kept):
+            kept.append(c)
+    df = spark.createDataFrame(cand, "media_id bigint, start_ms bigint, end_ms bigint, salience double")
+    assert sorted(tuple(r) for r in S.nms_iou(df, k=None).collect()) == sorted(kept)
+    assert S.nms_iou(df.where("false"), k=None).collect() == []
+
+
 @pytest.mark.parametrize("longest", [20_000, 200_000])
 def test_greedy_iou(spark, longest):
     rng = random.Random(5)
