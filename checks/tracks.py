@@ -56,16 +56,16 @@ def _(spark, sf):
 
 
 @query("crop_position", ctes("track", then="""
-  , p AS (SELECT *, lead(t_ms) OVER w AS t1, lead(cx) OVER w AS c1 FROM track WHERE t_ms % 700 = 0 WINDOW w AS (PARTITION BY clip_id ORDER BY t_ms)),
-  q AS (SELECT clip_id, t_ms + 130 AS t FROM track WHERE t_ms % 300 = 0)
-  SELECT clip_id, t AS t_ms, round((CASE WHEN p.t_ms IS NULL THEN f.c0 WHEN t1 IS NULL THEN cx ELSE cx + (c1 - cx)*(t - p.t_ms)/(t1 - p.t_ms) END)*1000000 - 0.0001)::BIGINT AS cx
-  FROM q JOIN (SELECT clip_id, arg_min(cx, t_ms) AS c0 FROM p GROUP BY clip_id) f USING (clip_id) LEFT JOIN p USING (clip_id) WHERE (p.t_ms <= t AND t < coalesce(t1, 1000000000))
-  OR (t < (SELECT min(t_ms) FROM p p2 WHERE p2.clip_id = q.clip_id) AND p.t_ms = (SELECT min(t_ms) FROM p p2 WHERE p2.clip_id = q.clip_id) AND false)
+  , p AS (SELECT *, lead(t_ms) OVER w AS t1, lead(cx) OVER w AS c1 FROM track WINDOW w AS (PARTITION BY clip_id ORDER BY t_ms)),
+  q AS (SELECT clip_id, t_ms + 30 AS t FROM track UNION ALL SELECT clip_id, min(t_ms) - 70 FROM track GROUP BY clip_id)
+  SELECT clip_id, t AS t_ms, round((CASE WHEN t1 IS NULL THEN cx ELSE cx + (c1 - cx)*((t - p.t_ms)/(t1 - p.t_ms)) END)*1000000 - 0.0001)::BIGINT AS cx
+  FROM q JOIN p USING (clip_id) WHERE p.t_ms <= t AND t < coalesce(t1, 1000000000)
   UNION ALL SELECT clip_id, t, round(c0*1000000 - 0.0001)::BIGINT FROM q JOIN (SELECT clip_id, min(t_ms) AS m, arg_min(cx, t_ms) AS c0 FROM p GROUP BY clip_id) USING (clip_id) WHERE t < m"""))
 def _(spark, sf):
     t = track(spark, sf)
-    times = t.where("t_ms % 300 = 0").select(*CL, (F.col("t_ms") + 130).alias("t_ms"))
-    return K.crop_position(t.where("t_ms % 700 = 0"), times).select("clip_id", "t_ms", F.round(F.col("cx") * 1000000 - 0.0001).cast("bigint").alias("cx"))
+    early = t.groupBy(*CL).agg((F.min("t_ms") - 70).alias("t_ms"))
+    times = t.select(*CL, (F.col("t_ms") + 30).alias("t_ms")).unionByName(early)
+    return K.crop_position(t, times).select("clip_id", "t_ms", F.round(F.col("cx") * 1000000 - 0.0001).cast("bigint").alias("cx"))
 
 
 def boxes(spark, sf):
@@ -88,11 +88,28 @@ def _(spark, sf):
     return K.link_boxes(boxes(spark, sf)).select("clip_id", "frame", "is_person", "track_id")
 
 
-@query("choose_speaker_track")
+# per frame both faces' motion, then one step after the other: state is the followed face and the winning frames
+SQL_VIEWS["duel"] = """SELECT *, speech AND NOT coalesce(lag(speech) OVER (PARTITION BY clip_id ORDER BY frame), false) AS onset FROM (
+   SELECT clip_id, frame, frame % 20 < 10 AS speech, max(motion) FILTER (is_person) AS m1, max(motion) FILTER (NOT is_person) AS m2,
+     max(x + w/2) FILTER (is_person) AS c1, max(x + w/2) FILTER (NOT is_person) AS c2 FROM boxes GROUP BY clip_id, frame)"""
+NEEDS["duel"] = ["boxes"]
+_lead = "CASE WHEN coalesce(c[1].m2 > c[1].m1, false) THEN 2 ELSE 1 END"
+_gone = "(l.tg = 0 OR (l.tg = 2 AND c[1].m2 IS NULL))"
+_ahead = "coalesce(CASE l.tg WHEN 1 THEN c[1].m2 > c[1].m1 + 0.35 ELSE c[1].m1 > c[1].m2 + 0.35 END, false)"
+
+
+@query("choose_speaker_track", ctes("duel", then=f"""
+  , s AS (SELECT clip_id, unnest(list_reduce(list([{{'f': frame, 'o': onset, 'm1': m1, 'm2': m2, 'c1': c1, 'c2': c2, 'tg': 0, 'vt': 0}}] ORDER BY frame), lambda acc, c: list_concat(acc,
+      list_transform([CASE WHEN len(acc) = 0 THEN {{'tg': 0, 'vt': 0}} ELSE {{'tg': acc[len(acc)].tg, 'vt': acc[len(acc)].vt}} END], lambda l:
+        {{'f': c[1].f, 'o': c[1].o, 'm1': c[1].m1, 'm2': c[1].m2, 'c1': c[1].c1, 'c2': c[1].c2,
+          'tg': CASE WHEN {_gone} THEN {_lead} WHEN {_ahead} AND (c[1].o OR l.vt >= 2) THEN {_lead} ELSE l.tg END,
+          'vt': CASE WHEN {_gone} THEN l.vt WHEN {_ahead} THEN CASE WHEN c[1].o THEN l.vt ELSE l.vt + 1 END ELSE 0 END}})),
+      CAST([] AS STRUCT(f BIGINT, o BOOLEAN, m1 DOUBLE, m2 DOUBLE, c1 DOUBLE, c2 DOUBLE, tg INTEGER, vt INTEGER)[]))) AS x FROM duel GROUP BY clip_id)
+  SELECT clip_id, x.f AS frame, x.tg::BIGINT AS track_id, round(CASE x.tg WHEN 1 THEN x.c1 ELSE x.c2 END * 1000000)::BIGINT AS cx FROM s"""))
 def _(spark, sf):
     b = K.link_boxes(boxes(spark, sf)).withColumn("speech", F.col("frame") % 20 < 10)
     return K.choose_speaker_track(b.select(*CL, "frame", "t_ms", "track_id", (F.col("x") + F.col("w") / 2).alias("cx"), "motion", "speech")).select(
-        "clip_id", "frame", "track_id", F.round("cx", 6).alias("cx"))
+        "clip_id", "frame", "track_id", F.round(F.col("cx") * 1000000).cast("bigint").alias("cx"))
 
 
 @query("active_speaker_center", ctes("boxes", then="""SELECT clip_id, frame, round_even(frame*40.0, 0)::BIGINT AS t_ms, round(arg_max(x, motion)*1000000)::BIGINT AS cx FROM boxes WHERE motion >= 0.3 AND motion <> 0.5 GROUP BY clip_id, frame"""))
@@ -114,10 +131,16 @@ def _(spark, sf):
     return K.stable_face_region(b).select("media_id", F.round(F.col("x") * 1000000).cast("bigint").alias("x"))
 
 
-@query("stable_person_region")
+@query("stable_person_region", ctes("boxes", then="""
+  , s AS (SELECT media_id, x, w, y, row_number() OVER (PARTITION BY media_id ORDER BY x + w/2) - 1 AS r, count(*) OVER (PARTITION BY media_id) AS n FROM boxes WHERE NOT is_person)
+  SELECT media_id, round((x + w/2 - 0.075)*1000000)::BIGINT AS x, 300000 AS y, 150000 AS w FROM s WHERE r = n//2 AND media_id IN (
+    SELECT media_id FROM boxes GROUP BY media_id HAVING count(DISTINCT frame) >= 6 AND stddev_pop(x) FILTER (NOT is_person) <= 0.045
+      AND count(*) FILTER (NOT is_person) >= greatest(4, floor(count(DISTINCT frame)*0.35)))"""))
 def _(spark, sf):
-    b = boxes(spark, sf).select("media_id", F.col("frame").alias("sample"), F.when(F.col("is_person"), 0).otherwise(1).alias("ord"), "x", "y", "w", "h")
-    return K.stable_person_region(b)
+    """The wide boxes count as samples only: they are over the width of a cutout."""
+    wide = F.when(F.col("is_person"), 0.5).otherwise(F.col("w"))
+    b = boxes(spark, sf).select("media_id", F.col("frame").alias("sample"), "x", "y", wide.alias("w"), "h")
+    return K.stable_person_region(b).select("media_id", *[F.round(F.col(c) * 1000000).cast(t).alias(c) for c, t in (("x", "bigint"), ("y", "int"), ("w", "int"))])
 
 
 @query("expand_regions", ctes("boxes", then="""SELECT clip_id, frame, is_person, round(greatest(0, least(CASE WHEN is_person THEN x - w*0.2 ELSE x + w/2 - w*2.1/2 END, 1 - least(1.0, CASE WHEN is_person THEN w*1.4 ELSE w*2.1 END)))*1000000)::BIGINT AS x,

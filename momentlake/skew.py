@@ -7,6 +7,7 @@ per-chunk summary is scanned per key, and the carry is joined back on (key, chun
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Callable, Mapping, Sequence
 
@@ -14,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHUNK_ROWS = 1 << 16
 CHUNK_MS = 3_600_000
@@ -437,6 +439,50 @@ def chain_marks(df: DataFrame, key: str, order: Sequence[str], t: str, gap: Colu
     return full.groupBy(key, CHUNK).applyInPandas(mark, schema)
 
 
+def state_machine(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start, enter: Callable, run: Callable, settle: Callable,
+                  out: str, chunk: str = CHUNK) -> DataFrame:
+    """Run a state machine over ordered rows without holding a whole key in one task.
+
+    ``enter(rows)`` lists what a chunk tells apart about the state it is entered with; ``run(rows, state)`` gives the
+    output rows (lists of values for ``out``, the columns after the keys) and the leaving state. A first pass maps each
+    entering class of a chunk to its leaving state. These few maps are scanned per key: ``settle(map, state)`` gives the
+    state after the chunk for a true state before it. Then each chunk is replayed from its true state. States are
+    JSON values.
+    """
+    keys = list(keys)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, chunk).schema)
+
+    def records(table: pa.Table) -> list[dict]:
+        return table.sort_by([(c, "ascending") for c in order]).to_pylist()
+
+    def first(table: pa.Table, n: int) -> list:
+        return [table[c].take(pa.array([0] * n, pa.int64())) for c in (*keys, chunk)]
+
+    def maps(table: pa.Table) -> pa.Table:
+        r = records(table)
+        found = json.dumps([[s, run(r, s)[1]] for s in enter(r)])
+        return pa.table([*first(table, 1), pa.array([found])], names=[*keys, chunk, "_map"])
+
+    def walk(table: pa.Table) -> pa.Table:
+        table, state, states = table.sort_by(chunk), start, []
+        for m in table["_map"].to_pylist():
+            states.append(json.dumps(state))
+            state = settle(json.loads(m), state)
+        return table.set_column(table.schema.get_field_index("_map"), "_state", pa.array(states, pa.string()))
+
+    entered = rows.groupBy(*keys, chunk).applyInArrow(maps, f"{kinds}, _map string").groupBy(*keys).applyInArrow(walk, f"{kinds}, _state string")
+    schema = T.StructType([*rows.select(*keys).schema, *T.StructType.fromDDL(out)])
+    target = to_arrow_schema(schema)
+
+    def replay(table: pa.Table) -> pa.Table:
+        made, _ = run(records(table.drop_columns("_state")), json.loads(table["_state"][0].as_py()))
+        left = first(table, len(made))[:-1]
+        right = [pa.array([m[i] for m in made], f.type) for i, f in enumerate(list(target)[len(keys):])]
+        return pa.table([*left, *right], names=schema.names)
+
+    return rows.join(entered, [*keys, chunk]).groupBy(*keys, chunk).applyInArrow(replay, schema)
+
+
 def session(name: str = "momentlake", cpus: str = "8") -> SparkSession:
     """Local session for tests and the benchmark; a cluster brings its own settings."""
     return (SparkSession.builder.master(f"local[{cpus}]").appName(name)
