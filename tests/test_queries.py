@@ -1,12 +1,16 @@
-"""Every registered query against its SQL twin at the smallest scale."""
+"""Every registered query of the library against its SQL twin at the smallest scale."""
 
 import pytest
 
 import __spark_entry__ as entry
+import checks
 from tests.compare import check, oracle
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+entry._load()
+NAMES = sorted(checks.QUERIES)
+# fixed values: queries that SQL cannot say; tests hold them against plain loops
+WITHOUT_TWIN = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,4 +21,4 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     status = check(spark, con, SF, name)[3]
-    assert status in ("ok", "rows-only", "ok-EMPTY", "EMPTY"), status
+    assert status == ("rows-only" if name in WITHOUT_TWIN else "ok"), status
