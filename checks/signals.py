@@ -17,15 +17,16 @@ def sims(spark, sf):
     return G.embedding_similarity(windows_(spark, sf), prompts(spark, sf)).drop("embedding")
 
 
-@query("embedding_similarity", ctes("sims", then="SELECT vec_id, label, round(sim*1000000)::BIGINT AS sim FROM sims"))
+@query("embedding_similarity", ctes("sims", then="SELECT vec_id, polarity, arg_max(label, sim) AS label, round(max(sim)*1000000)::BIGINT AS sim FROM sims GROUP BY vec_id, polarity"))
 def _(spark, sf):
-    return sims(spark, sf).select("vec_id", F.explode("sims").alias("s")).select("vec_id", "s.label", F.round(F.col("s.sim") * 1000000).cast("bigint").alias("sim"))
+    s = sims(spark, sf).select("vec_id", F.explode(F.create_map(F.lit("pos"), "pos", F.lit("neg"), "neg")).alias("polarity", "s"))
+    return s.select("vec_id", "polarity", "s.label", F.round(F.col("s.sim") * 1000000).cast("bigint").alias("sim"))
 
 
 @query("prompt_group_max", ctes("sims", then="SELECT vec_id, arg_max(label, sim) FILTER (polarity = 'pos') AS best, arg_max(label, sim) FILTER (polarity = 'neg') AS worst FROM sims GROUP BY vec_id"))
 def _(spark, sf):
-    s = F.col("sims")
-    return sims(spark, sf).select("vec_id", G.prompt_group_max(s, "pos")["label"].alias("best"), G.prompt_group_max(s, "neg")["label"].alias("worst"))
+    s = sims(spark, sf)
+    return s.select("vec_id", G.prompt_group_max(s, "pos")["label"].alias("best"), G.prompt_group_max(s, "neg")["label"].alias("worst"))
 
 
 SQL_VIEWS["gated"] = """SELECT * FROM (SELECT *, CASE WHEN p < 0.20 OR p - n < 0.06 THEN NULL WHEN n < 0.22 THEN hype

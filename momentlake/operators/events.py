@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from momentlake.functions.dictionaries import GAME_ALIASES, GAME_PROFILES, KILL_CHAIN, MENU_WORDS, game_profiles
 from momentlake.functions.scoring import factor, half_even, prepend
-from momentlake.functions.text import clamp, fold_text
+from momentlake.functions.text import fold_text
 from momentlake.functions.timecode import clock
-from momentlake.phrases import phrases_in_texts
-from momentlake.skew import (CHUNK, CHUNK_MS, bucket_of, chain_marks, chunk_by_pos, chunk_by_time, percentiles, range_join, runs,
+from momentlake.phrases import phrases_in_texts, texts_without
+from momentlake.skew import (CHUNK, CHUNK_MS, chain_marks, chunk_by_time, percentiles, range_join, runs,
                              scan, value_ranks)
 
 
@@ -48,27 +47,16 @@ def evidence_text(matched: Column, raw: Column) -> Column:
 
 
 # ---- phrase matching ---------------------------------------------------------------------------
-def text_grams(reads: DataFrame, sizes) -> DataFrame:
-    """Folded n-grams of every read, whole text, for the given word counts."""
-    t = reads.withColumn("_w", F.filter(F.split(fold_text("text"), " "), lambda x: x != ""))
-
-    def of_length(n):
-        return F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " ")))
-
-    grams = F.array_compact(F.array(*[of_length(n) for n in sizes])) if sizes else F.array().cast("array<array<string>>")
-    return t.select("*", F.explode(F.array_distinct(F.flatten(grams))).alias("gram")).drop("_w")
-
-
 def fold_phrases(phrases: DataFrame) -> DataFrame:
     return phrases.select(*[c for c in phrases.columns if c != "phrase"], fold_text("phrase").alias("phrase")
                           ).where("phrase != ''").distinct()
 
 
-def phrase_hits(reads: DataFrame, phrases: DataFrame, keys=(), carry=()) -> DataFrame:
+def phrase_hits(reads: DataFrame, phrases: DataFrame, keys=(), carry=(), near: float | None = None) -> DataFrame:
     """``read_id``, ``carry`` and the columns of ``phrases`` for each folded phrase of any length that a read holds as whole
     words (with equal ``keys``). One automaton pass over the texts; only hits meet the phrases' other columns."""
     p = fold_phrases(phrases)
-    return phrases_in_texts(reads.select("read_id", *keys, *carry, "text"), p).join(p, [*keys, "phrase"])
+    return phrases_in_texts(reads.select("read_id", *keys, *carry, "text"), p, near=near).join(p, [*keys, "phrase"])
 
 
 def longest(hits: DataFrame) -> DataFrame:
@@ -80,49 +68,14 @@ def match_keywords(reads: DataFrame, phrases: DataFrame) -> DataFrame:
     return reads.join(longest(phrase_hits(reads, phrases)), "read_id")
 
 
-@F.pandas_udf(T.DoubleType())
-def insert_delete_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 * (1 - insertions and deletions / both lengths), from the longest common subsequence."""
-    def ratio(x, y):
-        row = [0] * (len(y) + 1)
-        for c in x:
-            last = 0
-            for j, d in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-        return 200.0 * row[-1] / (len(x) + len(y))
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
-
-
 def match_keywords_fuzzy(reads: DataFrame, phrases: DataFrame, min_ratio: float = 86) -> DataFrame:
-    """As ``match_keywords``, with near hits pooled: each phrase that a run of as many words is near to counts as well.
-
-    Each distinct n-gram is compared once with the phrases of its word count whose length lets them reach the ratio
-    (an equi-join on word count and length). The edit distance, never more than the insert/delete distance, sorts out
-    most pairs; the ratio decides the rest. Single words need five letters.
-    """
-    p = fold_phrases(phrases).withColumn("n", F.size(F.split("phrase", " "))).where((F.col("n") > 1) | (F.length("phrase") >= 5))
-    sizes = [r.n for r in p.select("n").distinct().orderBy("n").collect()]  # word counts, a handful of numbers
-    slack, size = 1.0 - min_ratio / 100.0, F.length("phrase")
-    low, high = F.ceil(F.round(size * ((1 - slack) / (1 + slack)), 6)), F.floor(F.round(size * ((1 + slack) / (1 - slack)), 6))
-    p = p.withColumn("len", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    grams = text_grams(reads.select("read_id", "text"), sizes).select("read_id", "gram")
-    d = grams.select("gram").distinct().withColumns({"n": F.size(F.split("gram", " ")), "len": F.length("gram")})
-    close = F.levenshtein("gram", "phrase") <= F.round(slack * (F.col("len") + size), 6)
-    near = d.join(p, ["n", "len"]).where(close).where(insert_delete_ratio("gram", "phrase") >= min_ratio).select("gram", "label", "phrase")
-    hits = phrase_hits(reads, phrases).select("read_id", "label", "phrase").unionByName(grams.join(near, "gram").select("read_id", "label", "phrase"))
-    return reads.join(longest(hits), "read_id")
+    """As ``match_keywords``, with near hits pooled: each phrase that a run of as many words is near to counts as well."""
+    return reads.join(longest(phrase_hits(reads, phrases, near=min_ratio)), "read_id")
 
 
 def drop_false_positives(matches: DataFrame, false_phrases: DataFrame) -> DataFrame:
-    """Drop matches whose folded text contains a marked phrase of the game or of ``common``.
-
-    Substring search has no equi key; the marked phrases are one small array per game."""
-    f = fold_phrases(false_phrases).groupBy("game").agg(F.collect_set("phrase").alias("_f"))
-    common = fold_phrases(false_phrases).where("game = 'common'").groupBy().agg(F.collect_set("phrase")).scalar()
-    m = matches.join(f, "game", "left").withColumn("_common", common)
-    none = F.array().cast("array<string>")
-    bad = F.exists(F.concat(F.coalesce("_f", none), F.coalesce("_common", none)), lambda p: F.contains(fold_text("text"), p))
-    return m.where(~bad).select(*matches.columns)
+    """Drop matches whose folded text contains a marked phrase of the game or of ``common``: one automaton pass."""
+    return texts_without(matches, fold_phrases(false_phrases), "game", "common")
 
 
 def manual_matches(reads: DataFrame, cues: DataFrame) -> DataFrame:

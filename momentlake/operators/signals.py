@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from momentlake.functions.text import clamp
 from momentlake.operators.selection import nms_gap
@@ -34,11 +39,6 @@ def unit(v: Column) -> Column:
     return F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n)), 1)
 
 
-def packed(df: DataFrame, *cols) -> Column:
-    """A dictionary table as one array value (scalar subquery), read by every task without a join."""
-    return df.groupBy().agg(F.collect_list(F.struct(*cols))).scalar()
-
-
 def hype_from_tags(tags: DataFrame, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Strongest member per highlight group, groups combined by probabilistic or.
     ``tags(span_id, label, prob)``."""
@@ -61,44 +61,144 @@ def arousal(emotions: DataFrame, labels=tuple(HIGH_AROUSAL)) -> DataFrame:
     return emotions.groupBy("span_id").agg(clamp(F.sum(F.when(hit, F.col("prob")).otherwise(0.0))).alias("arousal"))
 
 
-def embedding_similarity(windows: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Cosine of every window with every prompt, kept in one row per window (``sims``).
-    The prompt set is a dictionary; windows are never shuffled."""
-    p = packed(prompts.withColumn("_v", unit(F.col("embedding"))), "label", "polarity", F.col("_v").alias("v"))
-    e = F.col("embedding")
-    return windows.withColumn("_p", p).withColumn("sims", F.element_at(F.transform(F.array(norm(e)), lambda n: F.transform("_p", lambda x: F.struct(
-        x["label"].alias("label"), x["polarity"].alias("polarity"), (dot(e, x["v"]) / n).alias("sim")))), 1)).drop("_p")
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as rows; null lists become zeros."""
+    if not len(column):
+        return np.zeros((0, 0))
+    width = int(pc.max(pc.list_value_length(column)).as_py() or 0)
+    out = np.zeros((len(column), width))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = np.asarray(column.flatten(), dtype=float).reshape(-1, width)
+    return out
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-6)
+
+
+BEST = "struct<sim:double,label:string>"
 
 
-def prompt_group_max(sims: Column, polarity: str) -> Column:
+def embedding_similarity(windows: DataFrame, prompts: DataFrame, block: int = 4096) -> DataFrame:
+    """Best cosine of every window per polarity with its label: columns ``pos`` and ``neg``, null without prompts of the
+    polarity or without an embedding. Equal cosines go to the greater label.
+
+    Prompts are read in blocks. A block and an Arrow batch of windows make one matrix product, of which only the best
+    per polarity stays and is merged with that of the blocks before; windows are never shuffled, pairs never listed.
+    """
+    spark = windows.sparkSession
+    names = [c for c in windows.columns if c not in ("pos", "neg")]
+    out = windows.select(*names, F.lit(None).cast(BEST).alias("pos"), F.lit(None).cast(BEST).alias("neg"))
+    schema = out.schema
+    kind = pa.struct([("sim", pa.float64()), ("label", pa.string())])
+
+    def better(labels, matrices):
+        def run(batches):
+            book = matrices.value
+            for b in batches:
+                x = _units(_matrix(b.column("embedding")))
+                there = b.column("embedding").is_valid().to_pylist()
+                cols = [b.column(c) for c in names]
+                for side in ("pos", "neg"):
+                    best = b.column(side).to_pylist()
+                    if labels[side] and len(x):
+                        sims = np.round(x @ book[side].T, 12)  # products of equal vectors may differ in the last bit
+                        at = sims.shape[1] - 1 - np.argmax(sims[:, ::-1], axis=1)  # labels rise, so the last best one counts
+                        for i, (k, v) in enumerate(zip(at.tolist(), sims[np.arange(len(x)), at].tolist(), strict=True)):
+                            if there[i] and (best[i] is None or (v, labels[side][k]) > (best[i]["sim"], best[i]["label"])):
+                                best[i] = {"sim": v, "label": labels[side][k]}
+                    cols.append(pa.array(best, kind))
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
+        return run
+
+    part: list = []
+    rows = prompts.select("label", "polarity", "embedding").orderBy("label").toLocalIterator()
+    while part := list(islice(rows, block)):
+        mine = {side: [r for r in part if r.polarity == side] for side in ("pos", "neg")}
+        labels = {side: [r.label for r in rs] for side, rs in mine.items()}
+        matrices = spark.sparkContext.broadcast({side: _units(np.array([r.embedding for r in rs], dtype=float)) if rs else None for side, rs in mine.items()})
+        out = out.mapInArrow(better(labels, matrices), schema)
+    return out
+
+
+def prompt_group_max(sims: DataFrame, polarity: str) -> Column:
     """Best similarity of a polarity and its label: ``struct<sim, label>``; null without prompts."""
-    mine = F.filter(sims, lambda x: x["polarity"] == polarity)
-    return F.array_max(F.transform(mine, lambda x: F.struct(x["sim"].alias("sim"), x["label"].alias("label"))))
+    return sims[polarity]
 
 
 def zero_shot_gate(sims: DataFrame) -> DataFrame:
     """Positive prompt against negative prompts: floors, margin and risk gate."""
-    d = sims.withColumns({"_pos": prompt_group_max(F.col("sims"), "pos"), "_neg": prompt_group_max(F.col("sims"), "neg")})
-    p, n = F.col("_pos.sim"), F.coalesce(F.col("_neg.sim"), F.lit(-1.0))
+    p, n = F.col("pos.sim"), F.coalesce(F.col("neg.sim"), F.lit(-1.0))
     hype = clamp((p - 0.20) / 0.28)
     risk = F.when(n >= 0.22, clamp((n - 0.22) / 0.28))
     left = F.greatest(F.lit(0.0), hype - risk * 0.45)
     out = (F.when(p.isNull() | (p < 0.20) | (p - n < 0.06), None).when(risk.isNull(), hype)
            .when((risk >= F.greatest(F.lit(0.45), hype * 0.85)) | (left < 0.25), None).otherwise(left))
-    return d.withColumns({"hype": out, "reason": F.col("_pos.label")}).where("hype is not null").drop("_pos", "_neg", "sims")
+    return sims.withColumns({"hype": out, "reason": F.col("pos.label")}).where("hype is not null").drop("pos", "neg")
+
+
+def template_hits(frames: DataFrame, cue_frames: DataFrame, threshold: float, chunk_frames: int = 4096, block_frames: int = 4096) -> DataFrame:
+    """``media_id, label, frame, sim``: every frame at which a cue of two frames or more lies wholly over present frames
+    with a mean product of ``threshold``.
+
+    Overlap-save: a chunk of frames gets the first frames of the next one as a halo, as many as the longest cue needs.
+    Cues are read in blocks; a chunk times a cue is one matrix product whose diagonals are summed, and only hits leave
+    the task.
+    """
+    spark = frames.sparkSession
+    sizes = [(r.label, r.n) for r in cue_frames.groupBy("label").agg(F.count("*").alias("n")).where("n >= 2").orderBy("label").toLocalIterator()]
+    schema = T.StructType([frames.schema["media_id"], T.StructField("label", T.StringType()), T.StructField("frame", T.LongType()), T.StructField("sim", T.DoubleType())])
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    halo = max(n for _, n in sizes) - 1
+    chunk = max(chunk_frames, 4 * halo)
+    blocks, held = [[]], 0
+    for label, n in sizes:
+        if held and held + n > block_frames:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(label)
+        held += n
+    here = F.floor(F.col("frame") / chunk)
+    both = F.when((F.col("frame") % chunk < halo) & (here > 0), F.array(here - 1, here)).otherwise(F.array(here))
+    placed = frames.select("media_id", F.col("frame").cast("bigint").alias("frame"), "vec", F.explode(both).alias("_at"))
+
+    def correlate(cues: dict[str, np.ndarray]):
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by("frame").combine_chunks()
+            at, x = table["frame"].to_numpy(), _matrix(table["vec"].combine_chunks())
+            own = at // chunk == table["_at"][0].as_py()
+            found = []
+            for label, cue in cues.items():
+                n = len(cue)
+                if len(at) < n:
+                    continue
+                last = len(at) - n + 1
+                product = x @ cue.T
+                sim = sum(product[i:last + i, i] for i in range(n)) / n
+                ok = (at[n - 1:] - at[:last] == n - 1) & own[:last] & (sim >= threshold)
+                found += [(label, int(at[k]), float(sim[k])) for k in np.flatnonzero(ok)]
+            media = table["media_id"].take(pa.array([0] * len(found), pa.int64()))
+            return pa.table([media, *(pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.float64())))], names=schema.names)
+        return run
+
+    parts = []
+    for labels in blocks:
+        cues: dict[str, list] = {}
+        for r in cue_frames.where(F.col("label").isin(labels)).select("label", "i", "vec").orderBy("label", "i").collect():  # at most block_frames, or one cue
+            cues.setdefault(r.label, []).append(r.vec)
+        parts.append(placed.groupBy("media_id", "_at").applyInArrow(correlate({k: np.array(v, dtype=float) for k, v in cues.items()}), schema))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def template_match(frames: DataFrame, cue_frames: DataFrame, threshold: float = 0.84, gap_frames: int = 94, k: int = 24,
-                   chunk_frames: int = 36_000) -> DataFrame:
+                   chunk_frames: int = 4096) -> DataFrame:
     """Positions where a cue (``cue_frames(label, i, vec)``, unit vectors) correlates with the frames
     (``frames(media_id, frame, vec)``), strongest first and ``gap_frames`` apart."""
-    size = cue_frames.groupBy("label").agg(F.count("*").alias("n"))
-    c = packed(cue_frames.join(size, "label"), "label", "i", "n", "vec")
-    x = frames.select("media_id", "frame", F.col("vec").alias("_f"), F.explode(c).alias("c"))
-    x = x.select("media_id", F.col("c.label").alias("label"), (F.col("frame") - F.col("c.i")).alias("frame"), F.col("c.n").alias("n"), dot(F.col("_f"), F.col("c.vec")).alias("d"))
-    s = x.where("frame >= 0").groupBy("media_id", "label", "frame").agg(F.sum("d").alias("d"), F.count("*").alias("c"), F.max("n").alias("n"))
-    hits = s.where((F.col("c") == F.col("n")) & (F.col("n") >= 2)).select("media_id", "label", "frame", (F.col("d") / F.col("n")).alias("sim")).where(F.col("sim") >= threshold)
-    return nms_gap(hits, "sim", gap_frames, k, t="frame", tie=("frame",), keys=("media_id", "label"), chunk_ms=chunk_frames)
+    hits = template_hits(frames, cue_frames, threshold, chunk_frames)
+    return nms_gap(hits, "sim", gap_frames, k, t="frame", tie=("frame",), keys=("media_id", "label"))
 
 
 def reaction_energy(frames: DataFrame, clips: DataFrame, scale: float = 0.04) -> DataFrame:

@@ -92,3 +92,44 @@ def test_no_phrases(spark):
     none = spark.createDataFrame([("",), (None,)], "phrase string")
     assert PH.phrases_in_stream(df, ["media_id"], none).collect() == []
     assert PH.phrases_in_texts(df.select("media_id", F.lit("a").alias("text")), none).collect() == []
+
+
+def plain_near(phrase, text, ratio=86):
+    """The ratio of every run of as many words by the usual table."""
+    n, words = phrase.count(" ") + 1, text.split(" ") if text else []
+    if n == 1 and len(phrase) < 5:
+        return False
+    for i in range(len(words) - n + 1):
+        x, row = " ".join(words[i:i + n]), [0] * (len(phrase) + 1)
+        for c in x:
+            last = 0
+            for j, d in enumerate(phrase, 1):
+                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
+        if 200.0 * row[-1] / (len(x) + len(phrase)) >= ratio:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("ratio", [86, 70, 95])
+def test_near_phrases_are_all_found(ratio):
+    """Random edits of letters and blanks against the plain loop: nothing missed, nothing extra."""
+    rng = random.Random(ratio)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 8)))
+    phrases = list({" ".join(word() for _ in range(rng.choice([1, 1, 2, 3, 6]))) for _ in range(60)})
+    book, hits = PH.NearDictionary(phrases, ratio), 0
+    for _ in range(400):
+        t = list(" ".join([word(), rng.choice(phrases), word()]))
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(t))
+            t[k:k + rng.choice([0, 1])] = rng.choice(["", "a", "e", " "])
+        text = PH.fold("".join(t))
+        want = {i for i, p in enumerate(phrases) if plain_near(p, text, ratio)}
+        assert book.find(text) == want
+        hits += len(want)
+    assert hits > 200
+
+
+def test_false_phrases_in_any_part(spark):
+    rows = spark.createDataFrame([(1, "cs", "the bomb squadron"), (2, "cs", "nothing"), (3, "val", "bomb squad"), (4, "val", "free ADS here"), (5, None, None)], "read_id int, game string, text string")
+    false = spark.createDataFrame([("cs", "Bomb squad"), ("common", "ads")], "game string, phrase string")
+    assert sorted(r.read_id for r in E.drop_false_positives(rows, false).collect()) == [2, 3, 5]
