@@ -19,7 +19,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from momentlake.llm.common import durable, slices, text_bytes
@@ -29,6 +28,8 @@ BLOCK_WORDS = 1 << 19
 TASK_SUFFIXES = 1 << 21
 MAX_TASKS = 1 << 17  # bounds the broadcast; over 2.7e11 words a task gets more suffixes than TASK_SUFFIXES
 TABLE_BITS = 1 << 25
+COUNTED_WORDS = 1 << 20
+CODED_WORDS = 1 << 17
 SAMPLE_RATE = 1 << 10
 SAMPLE_PER_TASK = 64
 BREAK = b"\xff"  # no byte of UTF-8
@@ -97,21 +98,30 @@ def _merge_equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def count_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per language and word its count, and a sample of suffixes ``lang, word_1..``: one position in ``SAMPLE_RATE``."""
+    def table(out):
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["lang", "word", "n", "sample"])
+
+    def counted(found):
+        return table([(lang, w.decode("utf-8", "replace"), n, False) for lang, c in found.items() for w, n in c.items() if w != BREAK])
+
     def run(batches):
+        found: dict[str, Counter] = {}
         for langs, texts in _blocks(batches, BLOCK_WORDS):
-            found: dict[str, Counter] = {}
+            out = []
             for lang, words in zip(langs, texts, strict=True):
                 found.setdefault(lang, Counter()).update(words)
-            out = [(lang, w.decode("utf-8", "replace"), n, False) for lang, c in found.items() for w, n in c.items() if w != BREAK]
-            for lang, words in zip(langs, texts, strict=True):
                 seed = zlib.crc32(b" ".join(words[:64]))
                 for i in range(seed % SAMPLE_RATE, len(words), SAMPLE_RATE):
                     stop = next((j for j in range(i, min(i + MAX_WORDS, len(words))) if words[j] == BREAK), min(i + MAX_WORDS, len(words)))
                     if stop - i > 1:
                         out.append((lang, b" ".join(words[i:stop]).decode("utf-8", "replace"), (seed + i * 2654435761) % (1 << 32), True))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["lang", "word", "n", "sample"])
+            yield table(out)
+            if sum(map(len, found.values())) > COUNTED_WORDS:  # partial counts leave the task's memory
+                yield counted(found)
+                found = {}
+        yield counted(found)
 
     rows = durable(docs.mapInArrow(run, "lang string, word string, n bigint, sample boolean"))
     return durable(rows.where("not sample").groupBy("lang", "word").agg(F.sum("n").alias("n"))), rows.where("sample")
@@ -161,24 +171,52 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int = MAX_WORDS
     total = durable(words.groupBy("lang").agg(F.sum("n").alias("n")))
     positions = total.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-positions // TASK_SUFFIXES), MAX_TASKS))
-    bounds = _bounds(sample, tasks)
-    shared = spark.sparkContext.broadcast((_bit_table(often), bounds))  # 4 MB of bits and at most MAX_TASKS suffixes
+    bounds, coded = _bounds(sample, tasks), _code_words(often)
+    # 4 MB of bits, at most MAX_TASKS suffixes and CODED_WORDS words
+    shared = spark.sparkContext.broadcast((_bit_table(often), bounds, coded))
 
     def route(batches):
-        table, cuts = shared.value
+        table, cuts, book = shared.value
         bits = np.unpackbits(np.frombuffer(table, np.uint8)).astype(bool)
+        code = {w: i + 1 for i, w in enumerate(book)}
         for langs, texts in _blocks(batches, BLOCK_WORDS):
-            yield from _route_block(langs, texts, bits, cuts, max_words)
+            yield from _route_block(langs, texts, bits, cuts, code, max_words)
 
-    routed = docs.mapInArrow(route, "task int, lang string, suffix string, n bigint").repartitionById(tasks, "task")
-    counted = routed.mapInArrow(lambda batches: _count_task(batches, min_count, max_words), "lang string, phrase string, k int, f bigint")
+    def count(batches):
+        return _count_task(batches, shared.value[2], min_count, max_words)
+
+    routed = docs.mapInArrow(route, "task int, lang string, size int, spelled string, rows binary").repartitionById(tasks, "task")
+    counted = routed.mapInArrow(count, "lang string, phrase string, k int, f bigint")
     longer = counted.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
     single = often.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), F.col("n").alias("f"))
     return durable(longer.unionByName(single)), total
 
 
-def _route_block(langs, texts, bits, cuts, depth):
-    """The block's distinct suffixes in order, each with its count and task."""
+def _code_words(often: DataFrame) -> list[bytes]:
+    """At most ``CODED_WORDS`` of the most frequent words, in byte order. They travel as numbers, all others spelled out."""
+    best = often.groupBy("word").agg(F.max("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 8))
+    sizes, least, held = best.groupBy("level").agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect(), None, 0
+    for r in sizes:
+        held += r.c
+        if held > CODED_WORDS:
+            break
+        least = r.level
+    return sorted(r.word.encode() for r in best.where(F.col("level") >= least).select("word").collect()) if least is not None else []
+
+
+def _pack(cells: np.ndarray) -> bytes:
+    """Rows of numbers, column by column and byte by byte: most bytes repeat, so the codec finds little to keep."""
+    planes = np.ascontiguousarray(cells.T.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, size: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * size * width, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(width, size).T.astype(np.int64)
+
+
+def _route_block(langs, texts, bits, cuts, code, depth):
+    """The block's distinct suffixes in order with their counts, one packed row for each language and task."""
     flat = [w for t in texts for w in t]
     if not flat:
         return
@@ -186,11 +224,12 @@ def _route_block(langs, texts, bits, cuts, depth):
     number = {w: i + 1 for i, w in enumerate(vocabulary)}
     numbers = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
     names = sorted(set(langs))
-    which = np.repeat([names.index(x) for x in langs], [len(t) for t in texts])
-    pairs = np.unique(which * (len(vocabulary) + 1) + numbers)
-    rare = [p for p in pairs.tolist()
-            if not bits[_slot(names[p // (len(vocabulary) + 1)], vocabulary[p % (len(vocabulary) + 1) - 1])]]
-    breaks = np.isin(which * (len(vocabulary) + 1) + numbers, np.array(rare, np.int64)) | (numbers == number.get(BREAK, 0))
+    place = {x: i for i, x in enumerate(names)}
+    which = np.repeat([place[x] for x in langs], [len(t) for t in texts])
+    keyed = which * (len(vocabulary) + 1) + numbers
+    pairs = np.unique(keyed)
+    rare = np.array([not bits[_slot(names[p // (len(vocabulary) + 1)], vocabulary[p % (len(vocabulary) + 1) - 1])] for p in pairs.tolist()])
+    breaks = rare[np.searchsorted(pairs, keyed)] | (numbers == number.get(BREAK, 0))
     cols, rows = _suffixes(numbers, breaks, depth)
     if not cols.shape[1]:
         return
@@ -204,52 +243,63 @@ def _route_block(langs, texts, bits, cuts, depth):
 
     at = [bisect_left(range(keys.shape[1]), c, key=key) for c in cuts]
     task = np.repeat(np.arange(len(cuts) + 1), np.diff([0, *at, keys.shape[1]]))
-    vocab = pa.array([None, *(w.decode("utf-8", "replace") for w in vocabulary)], pa.string())
-    parts = [vocab.take(pa.array(c)) for c in keys[1:]]
-    joined = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
-    out = pa.table({"task": pa.array(task, pa.int32()), "lang": pa.array(names, pa.string()).take(pa.array(keys[0])), "suffix": joined, "n": pa.array(n, pa.int64())})
-    yield from out.to_batches(max_chunksize=65536)
+    global_code = np.array([0, *(code.get(w, -i - 1) for i, w in enumerate(vocabulary))], np.int64)
+    starts = np.flatnonzero(np.r_[True, (task[1:] != task[:-1]) | (keys[0, 1:] != keys[0, :-1])])
+    out = []
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(task)], strict=True):
+        cells = global_code[keys[1:, lo:hi].T]
+        extra = np.unique(cells[cells < 0])[::-1]  # words without a code: numbered behind the codes, in this row's order
+        cells = np.where(cells < 0, len(code) + 1 + np.searchsorted(-extra, -cells), cells)
+        spelled = b" ".join(vocabulary[-x - 1] for x in extra.tolist()).decode("utf-8", "replace")
+        out.append((int(task[lo]), names[keys[0, lo]], hi - lo, spelled, _pack(np.concatenate((cells, n[lo:hi, None]), 1))))
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["task", "lang", "size", "spelled", "rows"])
 
 
-def _count_task(batches, min_count: int, depth: int):
+def _count_task(batches, book: list[bytes], min_count: int, depth: int):
     """Phrases of a task's suffixes with their counts: the frequent ones and those that touch the task's bounds."""
-    numbers: dict[str, int] = {}
-    parts, weights, langs = [], [], []
+    spelled: dict[bytes, int] = {}
+    names: dict[str, int] = {}
+    parts, weights = [], []
     for b in batches:
-        lists = pc.split_pattern(b.column("suffix"), " ")
-        flat, sizes = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy()
-        local = np.array([numbers.setdefault(w, len(numbers) + 1) for w in flat.dictionary.to_pylist()] or [0], np.int32)
-        cells = np.zeros((len(sizes), depth), np.int32)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        cells[np.repeat(np.arange(len(sizes)), sizes), place] = local[flat.indices.to_numpy()]
-        parts.append(cells)
-        tongue = b.column("lang").dictionary_encode()
-        # a language is a word of its own kind: its name after a blank, which no word holds
-        local = np.array([numbers.setdefault(" " + x, len(numbers) + 1) for x in tongue.dictionary.to_pylist()] or [0], np.int32)
-        langs.append(local[tongue.indices.to_numpy()])
-        weights.append(b.column("n").to_numpy())
+        for lang, size, extra, raw in zip(*(b.column(c).to_pylist() for c in ("lang", "size", "spelled", "rows")), strict=True):
+            cells = _unpack(raw, size, depth + 1)
+            weights.append(cells[:, -1])
+            cells = cells[:, :-1].astype(np.int32)
+            if extra:
+                own = np.array([spelled.setdefault(w, len(book) + 1 + len(spelled)) for w in extra.encode().split(b" ")], np.int32)
+                cells = np.where(cells > len(book), own[np.maximum(cells - len(book) - 1, 0)], cells)
+            tongue = names.setdefault(lang, len(names))
+            parts.append(np.concatenate((np.full((size, 1), tongue, np.int32), cells), 1))
     if not parts:
         return
-    words = [None, *numbers]
-    # numbers in byte order of the words, so that the least and greatest suffixes are known
-    order = sorted(range(1, len(words)), key=lambda i: words[i].encode())
+    keys, weight = np.concatenate(parts), np.concatenate(weights)
+    del parts, weights
+    # numbers in byte order, so that the least and the greatest suffix are those at the task's bounds
+    words = [b"", *book, *spelled]
+    used = np.unique(keys[:, 1:])
+    order = used[sorted(range(len(used)), key=lambda i: words[used[i]])]  # the empty word, 0, stays first
     rank = np.zeros(len(words), np.int32)
-    rank[order] = np.arange(1, len(words))
-    words = [None, *(words[i] for i in order)]
-    keys = rank[np.concatenate((np.concatenate(langs)[:, None], np.concatenate(parts)), 1)]
-    weight = np.concatenate(weights)
+    rank[order] = np.arange(len(order)) + (0 if used[0] == 0 else 1)
+    by_rank = {int(rank[x]): words[x] for x in order.tolist()}
+    tongues = sorted(names, key=str.encode)
+    turn = np.zeros(len(names), np.int32)
+    turn[[names[x] for x in tongues]] = np.arange(1, len(names) + 1)
+    for j in range(1, depth + 1):
+        keys[:, j] = rank[keys[:, j]]
+    keys[:, 0] = turn[keys[:, 0]]
     out = []
-    for level, rows, count in multikey_quicksort(keys, weight, min_count):
-        head = keys[rows[0], :level + 1]
+    for level, row, count in multikey_quicksort(keys, weight, min_count):
         if level >= 2:
-            out.append((words[head[0]][1:], " ".join(words[x] for x in head[1:]), level, int(count)))
+            head = keys[row, :level + 1].tolist()
+            out.append((tongues[head[0] - 1], b" ".join(by_rank[x] for x in head[1:]).decode("utf-8", "replace"), level, int(count)))
     cols = list(zip(*out, strict=True)) if out else [[]] * 4
     kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["lang", "phrase", "k", "f"])
 
 
 def multikey_quicksort(keys: np.ndarray, weight: np.ndarray, min_count: int):
-    """Partitions equal in their first columns, as (column, rows, weight), over the rows of ``keys`` (0: no more words).
+    """Partitions equal in their first columns, as (column, one of their rows, weight), over the rows of ``keys`` (0: no more words).
 
     All open partitions are split at once: each takes the word of its middle pointer as pivot and falls into smaller,
     equal and greater rows. An equal partition is reported and goes on with its next column; one lighter than
@@ -280,7 +330,7 @@ def multikey_quicksort(keys: np.ndarray, weight: np.ndarray, min_count: int):
         equal = side == 1
         alive = ((mass >= min_count) | at_edge) & ~(equal & (value[first] == 0))
         for i in np.flatnonzero(alive & equal):
-            yield int(column[part[i]]), rows[first[i]:ends[i]], mass[i]
+            yield int(column[part[i]]), int(rows[first[i]]), int(mass[i])
         next_column = column[part] + equal
         alive &= next_column < depth
         keep = np.repeat(alive, ends - first)

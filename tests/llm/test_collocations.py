@@ -63,6 +63,8 @@ def test_against_plain_counting(spark, corpus, monkeypatch, block, task, rate):
     monkeypatch.setattr(collocations, "BLOCK_WORDS", block)
     monkeypatch.setattr(collocations, "TASK_SUFFIXES", task)
     monkeypatch.setattr(collocations, "SAMPLE_RATE", rate)
+    monkeypatch.setattr(collocations, "CODED_WORDS", 5 if rate < 1024 else 1 << 17)
+    monkeypatch.setattr(collocations, "COUNTED_WORDS", 3 if rate == 1 else 1 << 20)
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(corpus)], "doc_id bigint, lang string, text string").repartition(3)
     assert plain(collocations.collocations(df, 20, 40)) == brute(corpus, 20, 40)
 
@@ -90,7 +92,7 @@ def test_quicksort_counts_partitions():
     rng = np.random.default_rng(3)
     keys, weight = rng.integers(1, 6, (4000, 3)).astype(np.int32), rng.integers(1, 4, 4000)
     keys[rng.random(4000) < 0.2, 2] = 0
-    got = {(c, tuple(keys[rows[0], :c + 1])): m for c, rows, m in collocations.multikey_quicksort(keys, weight, 50)}
+    got = {(c, tuple(keys[row, :c + 1])): m for c, row, m in collocations.multikey_quicksort(keys, weight, 50)}
     want = Counter()
     for k, w in zip(keys.tolist(), weight.tolist()):
         for c in range(3):
