@@ -363,10 +363,16 @@ def _(spark, sf):
     return E.dead_region_filter(r, 3).select("read_id")
 
 
-@query("reuse_static_reads")
-def _(spark, sf):
-    r = text_reads(spark, sf).withColumn("phash", F.expr("xxhash64(roi) ^ shiftleft(cast(1 as bigint), cast(read_id div 3 % 60 as int)) ^ (read_id div 40 * 1234567)"))
-    return E.reuse_static_reads(r).select("read_id", "source_read")
+@query("reuse_static_reads", ctes("text_reads", then="""
+  , h AS (SELECT media_id, roi, t_ms, read_id, xor(xor(length(roi)*1234567890123, 1::BIGINT << (read_id // 3 % 60)::INT), read_id // 40 * 1234567)::BIGINT AS h FROM text_reads WHERE roi IS NOT NULL),
+  r AS (SELECT unnest(list_reduce(list([{'h': h, 'id': read_id, 'ref': h, 'src': read_id}] ORDER BY t_ms, read_id), lambda acc, c: CASE
+      WHEN len(acc) = 0 OR bit_count(xor(c[1].h, acc[len(acc)].ref)) > 3 THEN list_concat(acc, c)
+      ELSE list_append(acc, {'h': c[1].h, 'id': c[1].id, 'ref': acc[len(acc)].ref, 'src': acc[len(acc)].src}) END,
+      CAST([] AS STRUCT(h BIGINT, id BIGINT, ref BIGINT, src BIGINT)[]))) AS x FROM h GROUP BY media_id, roi)
+  SELECT x.id AS read_id, x.src AS source_read FROM r"""))
+def _(spark, sf):
+    h = "cast(length(roi) as bigint) * 1234567890123 ^ shiftleft(cast(1 as bigint), cast(read_id div 3 % 60 as int)) ^ (read_id div 40 * 1234567)"
+    return E.reuse_static_reads(text_reads(spark, sf).withColumn("phash", F.expr(h))).select("read_id", "source_read")
 
 
 MARK = [("game_a", 1, "the"), ("game_a", 2, "tion"), ("game_b", 3, "und"), ("game_b", 4, "sch"), ("game_c", 5, "que")]

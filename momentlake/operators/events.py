@@ -10,7 +10,7 @@ from momentlake.functions.text import fold_text
 from momentlake.functions.timecode import clock
 from momentlake.phrases import phrases_in_texts, texts_without
 from momentlake.skew import (CHUNK, CHUNK_MS, chain_marks, chunk_by_time, percentiles, range_join, runs,
-                             scan, value_ranks)
+                             scan, state_machine, value_ranks)
 
 
 # ---- labels ------------------------------------------------------------------------------------
@@ -132,29 +132,47 @@ def dead_region_filter(reads: DataFrame, n: int = 4, revive: bool = False) -> Da
     return k.where(F.col("_dead").isNull() | (F.struct("t_ms", "read_id") <= F.col("_dead"))).select(*reads.columns)
 
 
-def reuse_static_reads(reads: DataFrame, tol: float = 0.05, bits: int = 64) -> DataFrame:
+def reuse_static_reads(reads: DataFrame, tol: float = 0.05, bits: int = 64, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Give a read the text of the last computed read of its region whose hash (``phash`` BIGINT)
     differs by at most ``tol``.
 
-    A hash further than twice the tolerance from its predecessor is always computed, whatever came
-    before, so the series is cut there exactly; only the short static stretches are sequential.
+    Which read is computed depends on the reference that a chunk is entered with, but only up to the first computed
+    one: the chunk's map lists its distinct hashes with the reference that is left behind if that hash is the first one
+    too far from the entering reference. A hash further than twice the tolerance from its predecessor, or a missing one,
+    is computed in any case and ends the list.
     """
     limit = int(tol * bits)
-    r = scan(chunk_by_time(reads), ["media_id", "roi"], ["t_ms", "read_id"], lag={"_ph": "phash"})
-    far = F.col("_ph").isNull() | F.col("phash").isNull() | (F.bit_count(F.col("phash").bitwiseXOR(F.col("_ph"))) > 2 * limit)
-    r = runs(r, ["media_id", "roi"], ["t_ms", "read_id"], far).drop(CHUNK, "_ph", "run_pos")
-    out = "media_id bigint, roi string, read_id bigint, source_read bigint"
-
-    def follow(pdf):
-        pdf = pdf.sort_values(["t_ms", "read_id"])
-        ref, ref_id, src = None, None, []
-        for h, rid in zip(pdf["phash"], pdf["read_id"]):
-            if ref is None or h is None or h != h or bin((int(h) ^ ref) & (2**64 - 1)).count("1") > limit:
-                ref, ref_id = (None if h is None or h != h else int(h)), rid
-            src.append(ref_id)
-        return pdf[["media_id", "roi", "read_id"]].assign(source_read=src)
-
-    f = r.select("media_id", "roi", "run_start", "t_ms", "read_id", "phash").groupBy("media_id", "roi", "run_start").applyInPandas(follow, out)
+
+    def far(a, b):
+        return a is None or b is None or ((a ^ b) & ((1 << 64) - 1)).bit_count() > limit
+
+    def run(rows, state):
+        ref, source = state
+        made = []
+        for r in rows:
+            if far(r["phash"], ref):
+                ref, source = r["phash"], r["read_id"]
+            made.append((r["read_id"], source))
+        return made, [ref, source]
+
+    def summary(rows):
+        heads, seen, last = [], set(), None
+        for i, r in enumerate(rows):
+            h = r["phash"]
+            always = h is None or (i > 0 and (last is None or ((h ^ last) & ((1 << 64) - 1)).bit_count() > 2 * limit))
+            if always or h not in seen:
+                heads.append([h, always, run(rows[i:], [None, None])[1]])
+                seen.add(h)
+            if always:
+                break
+            last = h
+        return heads
+
+    def settle(heads, state):
+        return next((left for h, always, left in heads if always or far(h, state[0])), state)
+
+    lean = chunk_by_time(reads.select("media_id", "roi", F.col("t_ms").cast("bigint").alias("t_ms"), F.col("read_id").cast("bigint").alias("read_id"), "phash"), ms=chunk_ms)
+    f = state_machine(lean, ["media_id", "roi"], ["t_ms", "read_id"], [None, None], summary, run, settle, "read_id bigint, source_read bigint")
     texts = reads.select("media_id", "roi", F.col("read_id").alias("source_read"), F.col("text").alias("_t"), F.col("conf").alias("_c"))
     return (reads.join(f, ["media_id", "roi", "read_id"]).join(texts, ["media_id", "roi", "source_read"])
             .withColumns({"text": F.col("_t"), "conf": F.col("_c")}).select(*reads.columns, "source_read"))

@@ -439,15 +439,14 @@ def chain_marks(df: DataFrame, key: str, order: Sequence[str], t: str, gap: Colu
     return full.groupBy(key, CHUNK).applyInPandas(mark, schema)
 
 
-def state_machine(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start, enter: Callable, run: Callable, settle: Callable,
+def state_machine(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start, summary: Callable, run: Callable, settle: Callable,
                   out: str, chunk: str = CHUNK) -> DataFrame:
     """Run a state machine over ordered rows without holding a whole key in one task.
 
-    ``enter(rows)`` lists what a chunk tells apart about the state it is entered with; ``run(rows, state)`` gives the
-    output rows (lists of values for ``out``, the columns after the keys) and the leaving state. A first pass maps each
-    entering class of a chunk to its leaving state. These few maps are scanned per key: ``settle(map, state)`` gives the
-    state after the chunk for a true state before it. Then each chunk is replayed from its true state. States are
-    JSON values.
+    ``summary(rows)`` says how a chunk maps the state it is entered with to the state it is left with. These small maps
+    are scanned per key: ``settle(map, state)`` gives the state after the chunk for a true state before it. Then each
+    chunk is replayed from its true state: ``run(rows, state)`` gives the output rows (values for ``out``, the columns
+    after the keys) and the leaving state. Maps and states are JSON values.
     """
     keys = list(keys)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, chunk).schema)
@@ -460,7 +459,7 @@ def state_machine(rows: DataFrame, keys: Sequence[str], order: Sequence[str], st
 
     def maps(table: pa.Table) -> pa.Table:
         r = records(table)
-        found = json.dumps([[s, run(r, s)[1]] for s in enter(r)])
+        found = json.dumps(summary(r))
         return pa.table([*first(table, 1), pa.array([found])], names=[*keys, chunk, "_map"])
 
     def walk(table: pa.Table) -> pa.Table:
