@@ -482,6 +482,68 @@ def state_machine(rows: DataFrame, keys: Sequence[str], order: Sequence[str], st
     return rows.join(entered, [*keys, chunk]).groupBy(*keys, chunk).applyInArrow(replay, schema)
 
 
+def recurrence(rows: DataFrame, keys: Sequence[str], t: str, run: Callable, out: str, warm_ms: int, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Run a forgetting recurrence (a filter) over ordered rows, equal to the plain loop to the last bit.
+
+    ``run(rows, state)`` gives the output rows (values for ``out``, the columns after the keys) and the leaving state, a
+    JSON value; the state before the first row is None. Each chunk warms up on the ``warm_ms`` before it and so guesses
+    its entering state. Where the guess equals what the chunk before leaves, both are right; the others run again from
+    the true state, until all agree. Keys of one chunk need no guess. ``t`` orders the rows and is unique per key.
+    """
+    keys = list(keys)
+    base = chunk_by_time(rows, t, chunk_ms)
+    several = base.groupBy(*keys).agg(F.min(CHUNK).alias("_a"), F.max(CHUNK).alias("_z")).where("_a < _z").select(*keys, "_a")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keys, CHUNK).schema)
+
+    def lists(table: pa.Table) -> list[dict]:
+        return table.sort_by(t).to_pylist()
+
+    def named(table: pa.Table, **values) -> pa.Table:
+        left = [table[c].take(pa.array([0], pa.int64())) for c in (*keys, CHUNK)]
+        return pa.table([*left, *(pa.array([v], pa.string()) for v in values.values())], names=[*keys, CHUNK, *values])
+
+    def guess(table: pa.Table) -> pa.Table:
+        r, at = lists(table), table[CHUNK][0].as_py()
+        warm = [x for x in r if x["_own"] != at]
+        entering = run(warm, None)[1] if warm else None
+        return named(table, _guess=json.dumps(entering), _exit=json.dumps(run([x for x in r if x["_own"] == at], entering)[1]))
+
+    def again(table: pa.Table) -> pa.Table:
+        state = table["_state"][0].as_py()
+        return named(table, _guess=state, _exit=json.dumps(run(lists(table), json.loads(state))[1]))
+
+    def walk(table: pa.Table) -> pa.Table:
+        table, state, states = table.sort_by(CHUNK), "null", []
+        agree = []
+        for g, e in zip(table["_guess"].to_pylist(), table["_exit"].to_pylist(), strict=True):
+            states.append(state)
+            agree.append(state == g)
+            state = e if state is not None and state == g else None  # behind a wrong guess nothing is known yet
+        return pa.table([*(table[c] for c in (*keys, CHUNK)), pa.array(states, pa.string()), pa.array(agree)], names=[*keys, CHUNK, "_state", "_agree"])
+
+    many = base.join(several, keys)
+    ahead = F.expr(f"cast(floor(({t} + {warm_ms}) / {chunk_ms}) as bigint)")
+    placed = many.withColumn("_own", F.col(CHUNK)).withColumn(CHUNK, F.explode(F.sequence(F.col(CHUNK), ahead))).drop("_a")
+    there = many.select(*keys, CHUNK).distinct()
+    guesses = durable(placed.join(there, [*keys, CHUNK], "left_semi").groupBy(*keys, CHUNK).applyInArrow(guess, f"{kinds}, _guess string, _exit string"))
+    while True:
+        walked = durable(guesses.groupBy(*keys).applyInArrow(walk, f"{kinds}, _state string, _agree boolean"))
+        wrong = walked.where("not _agree and _state is not null").select(*keys, CHUNK, "_state")
+        if wrong.isEmpty():
+            break
+        fixed = base.join(wrong, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInArrow(again, f"{kinds}, _guess string, _exit string")
+        guesses = durable(guesses.join(wrong, [*keys, CHUNK], "left_anti").unionByName(fixed))
+    schema = T.StructType([*base.select(*keys).schema, *T.StructType.fromDDL(out)])
+    target = list(to_arrow_schema(schema))[len(keys):]
+
+    def replay(table: pa.Table) -> pa.Table:
+        made, _ = run(lists(table.drop_columns("_state")), json.loads(table["_state"][0].as_py() or "null"))
+        left = [table[c].take(pa.array([0] * len(made), pa.int64())) for c in keys]
+        return pa.table([*left, *(pa.array([m[i] for m in made], f.type) for i, f in enumerate(target))], names=schema.names)
+
+    return base.join(walked.select(*keys, CHUNK, "_state"), [*keys, CHUNK], "left").groupBy(*keys, CHUNK).applyInArrow(replay, schema)
+
+
 def session(name: str = "momentlake", cpus: str = "8") -> SparkSession:
     """Local session for tests and the benchmark; a cluster brings its own settings."""
     return (SparkSession.builder.master(f"local[{cpus}]").appName(name)
