@@ -7,6 +7,7 @@ multithreaded batches and compared with the sentencepiece library, so parity is
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -15,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from momentlake.llm.common import slices, whole_text
 
@@ -146,7 +147,12 @@ class Encoder:
         split = [self.segments(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
         get, odd = self.ids.__getitem__, self.odd
-        return [b"".join(map(get, s)) for s in split], [not odd or odd.isdisjoint(s) for s in split]
+        ids = [b"".join(map(get, s)) for s in split]
+        if self.plain:
+            return ids, [not odd or odd.isdisjoint(s) for s in split]
+        # a normaliser may work across segments: the whole texts are compared
+        wanted = self.reference.encode(texts, num_threads=self.threads)
+        return ids, [np.array(w, "<u4").tobytes() == i for w, i in zip(wanted, ids, strict=True)]
 
     def learn(self, every: set[str]) -> None:
         new = [s for s in every if s not in self.ids]
@@ -168,7 +174,8 @@ def encode(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     """``doc_id, ids array<int>, parity`` per row of ``docs`` (needs doc_id and text).
 
     Null and empty texts have no ids; repeated rows are encoded each; a null doc_id stays null; other columns are
-    not read. ``parity``: each segment has the ids that the sentencepiece library gives.
+    not read. ``parity``: each segment, or with a model whose normaliser changes texts the whole text, has the ids that
+    the sentencepiece library gives.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -209,9 +216,49 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     return out.mapInArrow(run, schema)
 
 
+class Pieces:
+    """Bytes of ids by one gather from a table of all pieces' bytes and their offsets."""
+
+    def __init__(self, model: Model):
+        raw = model.piece_bytes()
+        self.starts = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
+        self.blob = np.frombuffer(b"".join(raw), np.uint8)
+        self.cut = model.dummy_prefix
+
+    def texts(self, ids: list[bytes]) -> list[str]:
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        first = self.starts[flat]
+        sizes = self.starts[flat + 1] - first
+        ends = np.cumsum(sizes)
+        take = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        whole = self.blob[take].tobytes()
+        at = np.concatenate(([0], ends))[np.cumsum([0] + [len(x) // 4 for x in ids])].tolist()
+        return [self._text(whole[lo:hi]) for lo, hi in zip(at, at[1:])]
+
+    def _text(self, raw: bytes) -> str:
+        return (raw[1:] if self.cut and raw[:1] == b" " else raw).decode(errors="replace")
+
+
 def round_trip(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32, parity, n_chars, decoded_sha256``: encoded, then decoded from the ids."""
-    back = decode(encode(docs, path, threads), path)
-    crc = F.crc32(F.array_join("ids", " ").cast("binary"))
-    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), crc.alias("ids_crc32"), "parity",
-                       F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+    """``doc_id, n_tokens, ids_crc32, parity, n_chars, decoded_sha256`` per row of ``docs`` (needs doc_id and text):
+    encoded, then decoded from the ids, in one pass. ``ids_crc32`` is taken of the ids in decimal, joined by blanks.
+
+    Null and empty texts have no ids and decode to the empty text; repeated rows come out each; a null doc_id stays
+    null; other columns are not read; an empty table gives an empty result; long texts are coded whole.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids_crc32", "parity", "n_chars", "decoded_sha256"]
+
+    def run(batches):
+        enc = Encoder(path, threads)
+        pieces, digits = Pieces(enc.model), [b"%d" % i for i in range(len(enc.model.pieces))]
+        for b in slices(batches):
+            ids, same = enc.encode(b.column("text").to_pylist())
+            crcs = [zlib.crc32(b" ".join(map(digits.__getitem__, memoryview(x).cast("I")))) for x in ids]
+            texts = pieces.texts(ids)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.int64()), pa.array(same),
+                 pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])], names)
+
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(
+        run, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, parity boolean, n_chars bigint, decoded_sha256 string")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -136,6 +137,20 @@ def test_sentencepiece_edge(spark):
     assert LONG in {r.text for r in back}
 
 
+def test_round_trip_columns(spark):
+    """Each column against the sentencepiece library, on the table and on odd rows."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+
+    def want(doc_id, text):
+        i = sp.encode(text or "")
+        back = sp.decode(i)
+        return (doc_id or -1, len(i), zlib.crc32(" ".join(map(str, i)).encode()), True, len(back), hashlib.sha256(back.encode()).hexdigest())
+
+    for df in (spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), edge_docs(spark, "ids", "parity", "n_tokens").select("doc_id", "text", "ids", "parity")):
+        got = [(r.doc_id or -1, r.n_tokens, r.ids_crc32, r.parity, r.n_chars, r.decoded_sha256) for r in spiece.round_trip(df, PIECE).collect()]
+        assert sorted(got) == sorted(want(r.doc_id, r.text) for r in df.collect())
+
+
 def test_unigram_model_is_rebuilt(tmp_path):
     """A unigram model file written by hand: same ids as the sentencepiece library."""
     def varint(n):
@@ -156,5 +171,7 @@ def test_unigram_model_is_rebuilt(tmp_path):
     open(path, "wb").write(data)
     sp, enc = sentencepiece.SentencePieceProcessor(model_file=path), spiece.Encoder(path, 1)
     texts = ["hello  hello", "héllo w", " hell  ", "", "wello\nh"]
-    got, _ = enc.encode(texts)
-    assert [list(np.frombuffer(g, "<u4")) for g in got] == [sp.encode(t) for t in texts]
+    got, same = enc.encode(texts)
+    assert [list(np.frombuffer(g, "<u4")) for g in got] == [sp.encode(t) for t in texts] and same == [True] * len(texts)
+    enc.ids = {k: v[4:] for k, v in enc.ids.items()}  # a wrong id is seen
+    assert enc.encode(texts)[1] == [not t for t in texts]
