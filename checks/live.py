@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import ctes, query
 from checks.views import NEEDS, SQL_VIEWS
+from momentlake.sources.library import read_keyed
 from momentlake.streaming import live as V
 
 
@@ -18,15 +19,11 @@ def root(spark) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='momentlake-live-')}/{uuid.uuid4().hex}"
 
 
-def finish(spark, df, mode="append"):
-    """Run the stream over all available files and read back what it wrote."""
+def finish(spark, df):
+    """Run the stream over all available files and read back what it wrote; windows behind the watermark only."""
     base = root(spark)
     w = df.writeStream.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
-    if mode == "complete":
-        w = w.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out"))
-    else:
-        w = w.outputMode("append").format("parquet").option("path", f"{base}/out")
-    w.start().awaitTermination()
+    w.outputMode("append").format("parquet").option("path", f"{base}/out").start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
@@ -91,18 +88,18 @@ def _(spark, sf):
     base = root(spark)
     r = stream(spark, sf, "events").select(F.col("user_id").alias("clip_id"), F.col("event_type").alias("source"), "event_id", "ts")
     V.feedback_upsert(r, f"{base}/table").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/table/version=0").select("clip_id", "source", "event_id")
+    return read_keyed(spark, f"{base}/table").select("clip_id", "source", "event_id")
 
 
-@query("progress_rollup", ctes("detections", then="SELECT media_id, label AS stage, t_ms // 5000 * 5000 AS start_ms, arg_max(event_id, t_ms*100000 + event_id) AS pct, max(t_ms) - min(t_ms) AS span_ms FROM detections GROUP BY 1, 2, 3"))
+@query("progress_rollup", ctes("detections", then="SELECT media_id, label AS stage, t_ms // 5000 * 5000 AS start_ms, arg_max(event_id, t_ms*100000 + event_id) AS pct, max(t_ms) - min(t_ms) AS span_ms FROM detections GROUP BY 1, 2, 3 HAVING t_ms // 5000 * 5000 + 5000 <= (SELECT max(t_ms) FROM detections) - 10000"))
 def _(spark, sf):
     p = detections(spark, sf).select("media_id", F.col("label").alias("stage"), "t_ms", F.struct("t_ms", "event_id").alias("pct"))
-    return finish(spark, V.progress_rollup(p), "complete").withColumn("pct", F.col("pct.event_id"))
+    return finish(spark, V.progress_rollup(p)).withColumn("pct", F.col("pct.event_id"))
 
 
-@query("event_activity_windows", ctes("detections", then="SELECT media_id, s AS start_ms, count(*) AS n, round(max(confidence)*10000)::BIGINT AS top FROM (SELECT *, unnest(CASE WHEN t_ms % 5000 < 1000 THEN [t_ms // 5000 * 5000, t_ms // 5000 * 5000 - 5000] ELSE [t_ms // 5000 * 5000] END) AS s FROM detections) GROUP BY 1, 2"))
+@query("event_activity_windows", ctes("detections", then="SELECT media_id, s AS start_ms, count(*) AS n, round(max(confidence)*10000)::BIGINT AS top FROM (SELECT *, unnest(CASE WHEN t_ms % 5000 < 1000 THEN [t_ms // 5000 * 5000, t_ms // 5000 * 5000 - 5000] ELSE [t_ms // 5000 * 5000] END) AS s FROM detections) GROUP BY 1, 2 HAVING s + 6000 <= (SELECT max(t_ms) FROM detections) - 10000"))
 def _(spark, sf):
-    return finish(spark, V.event_activity_windows(detections(spark, sf)), "complete").withColumn("top", F.round(F.col("top") * 10000).cast("bigint"))
+    return finish(spark, V.event_activity_windows(detections(spark, sf))).withColumn("top", F.round(F.col("top") * 10000).cast("bigint"))
 
 
 @query("live_track_links")

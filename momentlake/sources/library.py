@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from momentlake.functions.text import clamp
 from momentlake.skew import CHUNK, CHUNK_ROWS, chunk_by_pos, scan, top_k
@@ -134,8 +135,46 @@ def list_latest(projects: DataFrame, n: int = 100) -> DataFrame:
 
 
 def upsert_latest(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Last write per key; aggregation keeps one row per key before the shuffle."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.col(ts)).alias("_r")).select("_r.*")
+    """Last write per key; aggregation keeps one row per key before the shuffle. Writes of equal time go by the row's hash."""
+    order = F.struct(F.col(ts), F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")
+
+
+def _keyed(df: DataFrame, keys: list[str], buckets: int, gone: bool) -> DataFrame:
+    return df.withColumns({"_gone": F.lit(gone), "_bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")})
+
+
+def write_keyed(rows: DataFrame, folder: str, keys: list[str], ts: str, buckets: int = 64, gone: bool = False) -> None:
+    """Merge rows into the keyed table under ``folder``: last write per key.
+
+    The table is partitioned by a bucket of the key. Only buckets that the rows touch are read, merged and replaced by
+    Spark's dynamic partition overwrite, so the cost follows the batch and no old version stays behind. Writing the
+    same rows again changes nothing. ``gone`` marks keys as deleted from ``ts`` on; the marks keep late rows out.
+    ``buckets`` must stay the same for a table.
+    """
+    spark = rows.sparkSession
+    rows = _keyed(rows, keys, buckets, gone)
+    touched = [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    try:
+        old = spark.read.parquet(folder).where(F.col("_bucket").isin(touched))
+        rows = old.unionByName(rows, allowMissingColumns=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    merged = upsert_latest(rows, keys, ts).repartition("_bucket")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(folder)
+
+
+def read_keyed(spark: SparkSession, folder: str) -> DataFrame:
+    """Present rows of a keyed table."""
+    return spark.read.parquet(folder).where("not _gone").drop("_gone", "_bucket")
+
+
+def delete_keyed(tombstones: DataFrame, folder: str, keys: list[str], ts: str, buckets: int = 64) -> None:
+    """Delete keys of a keyed table as of their ``ts``."""
+    write_keyed(tombstones.select(*keys, ts), folder, keys, ts, buckets, gone=True)
 
 
 def delete_keys(df: DataFrame, tombstones: DataFrame, keys: list[str]) -> DataFrame:

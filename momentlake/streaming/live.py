@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from momentlake.functions.dictionaries import KILL_CHAIN
 from momentlake.operators.tracks import BoxLinker
-from momentlake.sources.library import manual_clip, upsert_latest
+from momentlake.sources.library import manual_clip, write_keyed
 
 EPOCH = "timestamp '2024-01-01 00:00:00'"
 
@@ -171,15 +171,10 @@ def live_marks(marks: DataFrame, media: DataFrame, length_ms: int = 30_000) -> D
     return manual_clip(marks, media, length_ms)
 
 
-def feedback_upsert(ratings: DataFrame, folder: str, keys=("clip_id", "source"), ts: str = "ts"):
-    """Keep the last rating per key in a versioned table under ``folder``. A version is named by its
-    batch, so a repeated batch rewrites the same version."""
-    def merge(batch: DataFrame, batch_id: int):
-        s = batch.sparkSession
-        if batch_id > 0:
-            batch = s.read.schema(batch.schema).parquet(f"{folder}/version={batch_id - 1}").unionByName(batch)
-        upsert_latest(batch, list(keys), ts).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
-    return ratings.writeStream.foreachBatch(merge)
+def feedback_upsert(ratings: DataFrame, folder: str, keys=("clip_id", "source"), ts: str = "ts", buckets: int = 64):
+    """Keep the last rating per key in the keyed table under ``folder`` (``read_keyed`` reads it). A batch rewrites the
+    buckets it touches; a repeated batch changes nothing."""
+    return ratings.writeStream.foreachBatch(lambda batch, _: write_keyed(batch, folder, list(keys), ts, buckets))
 
 
 def progress_rollup(progress: DataFrame, delay: str = "10 seconds") -> DataFrame:
