@@ -7,6 +7,7 @@ from checks.views import NEEDS, SQL_VIEWS, detections, envelope, event_clips, ev
 from momentlake.functions.dictionaries import GAME_PROFILES, GAME_WEIGHTS
 from momentlake.operators import events as E
 from momentlake.operators import selection as S
+from momentlake.plans import finish, gameplay
 
 CHAIN = ["purchase", "signup"]
 _fam = "CASE WHEN label IN ('purchase','signup') THEN 'A' WHEN label IN ('click','view') THEN 'B' ELSE label END"
@@ -108,7 +109,7 @@ def _(spark, sf):
 
 # ---- clip builders ------------------------------------------------------------------------------
 SQL_VIEWS["gprof"] = sql_values([(g, p[0] / 100.0, p[1], p[2], *GAME_WEIGHTS[g]) for g, p in GAME_PROFILES.items()], "game, thr_pct, gap_factor, lead_frac, wi, ws, wt, wp")
-SQL_VIEWS["timed"] = """SELECT m.*, thr_pct, wi, ws, wt, wp, 20000*lead_frac AS lead, 20000 - 20000*lead_frac AS tail FROM event_media m
+SQL_VIEWS["timed"] = """SELECT m.*, thr_pct, gap_factor, wi, ws, wt, wp, 20000*lead_frac AS lead, 20000 - 20000*lead_frac AS tail FROM event_media m
    JOIN gprof ON game = CASE WHEN game_profile = 'league' THEN 'generic' ELSE game_profile END"""
 NEEDS["timed"] = ["event_media", "gprof"]
 
@@ -188,6 +189,93 @@ def _(spark, sf):
     return E.peak_clips(envelope(spark, sf), peaks(spark, sf).select("media_id", "peak_frame"), event_media(spark, sf), per_unit=0.1)
 
 
+# ---- the whole gameplay flow: each step as in its own twin, on the plan's own windows --------------------
+_iou = "greatest(0, least(k.z, c[1].z) - greatest(k.a, c[1].a)) / ((k.z - k.a) + (c[1].z - c[1].a) - greatest(0, least(k.z, c[1].z) - greatest(k.a, c[1].a)))"
+SQL_VIEWS["picked"] = """SELECT media_id, unnest(kept) AS x FROM (
+   SELECT media_id, list_reduce(list([{'v': rms, 'f': frame, 't': t_ms, 'g': gap}] ORDER BY rms DESC, frame), lambda acc, c: CASE
+       WHEN len(acc) < 16 AND len(list_filter(acc, lambda a: abs(a.t - c[1].t) < c[1].g)) = 0 THEN list_concat(acc, c) ELSE acc END,
+       CAST([] AS STRUCT(v DOUBLE, f BIGINT, t BIGINT, g BIGINT)[])) AS kept
+   FROM (SELECT e.*, greatest(10000*gap_factor, 3000)::BIGINT AS gap FROM envelope e JOIN thr USING (media_id) JOIN timed USING (media_id) WHERE rms >= thr) GROUP BY media_id)"""
+NEEDS["picked"] = ["envelope", "thr", "timed"]
+SQL_VIEWS["pwin"] = """SELECT media_id, x.f AS peak_frame, x.t AS peak_ms, round_even(CASE WHEN e - s < min_len_ms THEN greatest(0, e - min_len_ms) ELSE s END, 0)::BIGINT AS start_ms, round_even(e, 0)::BIGINT AS end_ms
+   FROM (SELECT p.*, min_len_ms, greatest(0, x.t - lead) AS s, least(duration_ms, x.t + tail) AS e FROM picked p JOIN timed USING (media_id))"""
+NEEDS["pwin"] = ["picked", "timed"]
+SQL_VIEWS["pshape"] = """SELECT p.media_id, peak_frame,
+   avg((rms > thr)::INT) FILTER (frame >= w0 AND frame < w1) AS sustain, count(*) FILTER (frame >= w0 AND frame < w1 AND rms > thr AND (frame = w0 OR prev <= thr)) AS n_spikes,
+   max(rms) FILTER (frame = peak_frame) AS pk, avg(rms) FILTER (frame >= greatest(peak_frame - 20, 0) AND frame < greatest(peak_frame - 1, greatest(peak_frame - 20, 0) + 1)) AS base
+   FROM (SELECT *, start_ms // 100 AS w0, end_ms // 100 AS w1 FROM pwin) p JOIN thr USING (media_id) JOIN (
+     SELECT *, lag(rms) OVER (PARTITION BY media_id ORDER BY frame) AS prev FROM envelope) e ON e.media_id = p.media_id
+     AND e.frame BETWEEN least(w0, greatest(peak_frame - 20, 0)) AND greatest(w1, peak_frame) GROUP BY p.media_id, peak_frame"""
+NEEDS["pshape"] = ["pwin", "thr", "envelope"]
+_clock = "printf('%d:%02d', {0}//60000, {0}%60000//1000)"
+SQL_VIEWS["pclips"] = f"""SELECT media_id, start_ms, end_ms, peak_ms, 'peak' AS kind, 'Highlight — ' || {_clock.format('peak_ms')} AS title, [peak_ms] AS anchors, 0.0::DOUBLE AS cue, 0.0::DOUBLE AS ocr, 0.0::DOUBLE AS ae,
+   greatest(1, least(99, round_even(20 + 80*(wi*round(i, 4) + ws*round(coalesce(sustain, 0), 4) + wt*round(greatest(0, (pk - base)/(pk + 0.000001)), 4) + wp*round(least(n_spikes/5.0, 1.0), 4)), 0)))::INT AS score
+   FROM pwin JOIN pshape USING (media_id, peak_frame) JOIN timed USING (media_id) JOIN (
+     SELECT media_id, frame AS peak_frame, cume_dist() OVER (PARTITION BY media_id ORDER BY rms) AS i FROM envelope) USING (media_id, peak_frame)"""
+NEEDS["pclips"] = ["pwin", "pshape", "timed", "envelope"]
+SQL_VIEWS["shown"] = """SELECT * FROM fam_events e WHERE source <> 'audio' OR NOT EXISTS (SELECT 1 FROM fam_events m WHERE m.media_id = e.media_id AND m.source = 'ocr' AND m.label = 'menu' AND abs(m.t_ms - e.t_ms) <= 5000)"""
+NEEDS["shown"] = ["fam_events"]
+_word = "CASE {0} WHEN 'round win' THEN 'Round Win' ELSE upper({0}[1]) || {0}[2:] END"
+SQL_VIEWS["eclips"] = f"""
+   SELECT media_id, round_even(s, 0)::BIGINT AS start_ms, round_even(e, 0)::BIGINT AS end_ms, t0 AS peak_ms, 'cue' AS kind,
+     CASE WHEN n = 1 THEN w WHEN kinds = 1 THEN ['','Double','Triple','Quad','Penta'][n] || ' ' || w ELSE w || ' + ' || (n-1) || ' cues' END || ' — ' || {_clock.format('t0')} AS title,
+     list_distinct(list_prepend(t0, ts)) AS anchors, round(sim, 4) AS cue, 0.0::DOUBLE AS ocr, 0.0::DOUBLE AS ae, greatest(1, least(88, round_even(58 + greatest(0, sim - 0.84)*120 + (n-1)*4, 0)))::INT AS score
+   FROM (SELECT * REPLACE (CASE WHEN e - s > max_len_ms THEN greatest(t0 - 2000, e - max_len_ms) ELSE s END AS s), {_word.format('lab')} AS w FROM (
+     SELECT * REPLACE (CASE WHEN e - s < min_len_ms THEN greatest(0, e - min_len_ms) ELSE s END AS s) FROM (
+       SELECT g.*, greatest(0, t0 - lead) AS s, least(duration_ms, t1 + tail) AS e, min_len_ms, max_len_ms FROM (
+         SELECT media_id, streak, min(t_ms) AS t0, max(t_ms) AS t1, list(t_ms) AS ts, count(*) AS n, max(confidence) AS sim, arg_min(label, t_ms*1000000 + event_id) AS lab, count(DISTINCT label) AS kinds
+         FROM streaks GROUP BY media_id, streak) g JOIN timed USING (media_id))))
+   UNION ALL SELECT media_id, round_even(CASE WHEN e - s < min_len_ms THEN greatest(0, e - min_len_ms) ELSE s END, 0)::BIGINT, round_even(e, 0)::BIGINT, t_ms,
+     CASE source WHEN 'ocr' THEN 'text' ELSE 'audio' END, {_word.format('label')} || CASE source WHEN 'ocr' THEN ' — ' ELSE ' - ' END || {_clock.format('t_ms')}, [t_ms], 0.0, CASE source WHEN 'ocr' THEN round(confidence, 4) ELSE 0 END, CASE source WHEN 'audio' THEN round(confidence, 4) ELSE 0 END,
+     greatest(1, least(99, round_even(CASE source WHEN 'ocr' THEN 68 + confidence*20 ELSE 62 + confidence*24 END, 0)))::INT
+   FROM (SELECT d.*, greatest(0, t_ms - lead) AS s, least(duration_ms, t_ms + tail) AS e, min_len_ms FROM shown d JOIN timed USING (media_id) WHERE source = 'audio' OR (source = 'ocr' AND label <> 'menu'))"""
+NEEDS["eclips"] = ["streaks", "shown", "timed"]
+SQL_VIEWS["gclips"] = "SELECT *, substr(sha256(concat_ws('|', media_id, start_ms, end_ms, kind, peak_ms, title)), 1, 12) AS clip_id FROM (SELECT * FROM eclips UNION ALL SELECT * FROM pclips)"
+NEEDS["gclips"] = ["eclips", "pclips"]
+SQL_VIEWS["gkept"] = f"""SELECT g.* FROM gclips g JOIN (SELECT media_id, unnest(list_transform(kept, lambda x: x.i)) AS clip_id FROM (
+   SELECT media_id, list_reduce(list([{{'i': clip_id, 'a': start_ms, 'z': end_ms}}] ORDER BY (kind = 'peak'), score DESC, start_ms, end_ms, clip_id),
+     lambda acc, c: CASE WHEN len(acc) < 8 AND len(list_filter(acc, lambda k: {_iou} > 0.4)) = 0 THEN list_concat(acc, c) ELSE acc END,
+     CAST([] AS STRUCT(i VARCHAR, a BIGINT, z BIGINT)[])) AS kept FROM gclips GROUP BY media_id)) USING (media_id, clip_id)"""
+NEEDS["gkept"] = ["gclips"]
+SQL_VIEWS["gbacked"] = """SELECT k.* REPLACE (CAST(CASE WHEN nc > 0 AND nm > 0 THEN least(99, score + least(14, 6 + 2*greatest(nc + nm + na - 2, 0) + 2*(na > 0)::INT))
+     WHEN nc = 0 AND no > 0 AND na > 0 AND score < 89 THEN least(89, score + 3) ELSE score END AS INT) AS score), coalesce(nc > 0 AND nm > 0, false) AS sure
+   FROM gkept k LEFT JOIN (SELECT clip_id, sum(c) AS nc, coalesce(sum(o) FILTER (c > 0), 0) AS nm, sum(o) AS no, sum(a) AS na FROM (
+     SELECT clip_id, family, count(*) FILTER (source = 'cue') AS c, count(*) FILTER (source = 'ocr') AS o, count(*) FILTER (source = 'audio') AS a FROM (
+       SELECT DISTINCT c.clip_id, e.event_id, e.source, e.family FROM (SELECT *, unnest(anchors) AS at FROM gkept) c
+       JOIN shown e ON e.media_id = c.media_id AND e.t_ms BETWEEN c.start_ms AND c.end_ms AND abs(e.t_ms - c.at) <= 3000) GROUP BY ALL) GROUP BY clip_id) USING (clip_id)"""
+NEEDS["gbacked"] = ["gkept", "shown"]
+
+
+@query("pick_peaks", ctes("picked", then="SELECT media_id, x.f AS peak_frame FROM picked"))
+def _(spark, sf):
+    return E.pick_peaks(envelope(spark, sf), event_media(spark, sf), 0.1)
+
+
+def moments(spark, sf):
+    return gameplay.gameplay_moments(envelope(spark, sf), fam_events(spark, sf), event_media(spark, sf), per_unit=0.1)
+
+
+@query("gameplay_moments", ctes("gbacked", then="SELECT media_id, clip_id, start_ms, end_ms, kind, title, score FROM gbacked"))
+def _(spark, sf):
+    return moments(spark, sf).select("media_id", "clip_id", "start_ms", "end_ms", "kind", "title", "score")
+
+
+@query("finish_gameplay", ctes("gbacked", then="""
+   , c AS (SELECT *, (score * 3) % 100 / 100.0 AS ex, CASE WHEN peak_ms % 3 <> 0 THEN (peak_ms % 100) / 100.0 END AS hy, greatest(0, start_ms - 400) AS s0, end_ms + 700 AS e0 FROM gbacked),
+   d AS (SELECT *, CASE WHEN round_even((ex - 0.45)/0.55*10.0, 0) <> 0 THEN greatest(1, least(99, score + greatest(-10, least(10, round_even((ex - 0.45)/0.55*10.0, 0))))) ELSE score END AS s1 FROM c),
+   e AS (SELECT *, CASE WHEN hy IS NOT NULL AND ae <= 0 AND round_even(hy*10, 0) > 0 THEN least(99, s1 + round_even(hy*10, 0)) ELSE s1 END AS s2 FROM d)
+   SELECT media_id, clip_id, s0 AS start_ms, least(e0, 2160000) AS end_ms,
+     least(s2, CASE WHEN sure THEN 99 WHEN (ae > 0 OR coalesce(hy, 0) > 0) AND cue <= 0 AND ocr <= 0 THEN 86 WHEN cue > 0 THEN 88 ELSE 89 END)::INT AS score FROM e"""))
+def _(spark, sf):
+    """The flow's tail with speech excitement, heard events and learned shifts of the bounds."""
+    m = event_media(spark, sf)
+    c = moments(spark, sf).withColumns({"scope": F.lit("g"), "min_len_ms": F.lit(10000)})
+    aro = c.select("media_id", "clip_id", (F.col("score") * 3 % 100 / 100).alias("arousal"))
+    hype = c.where("peak_ms % 3 != 0").select("media_id", "clip_id", (F.col("peak_ms") % 100 / 100).alias("hype"), F.lit("cheer").alias("hype_reason"))
+    shifts = spark.createDataFrame([("g", -400, 700)], "scope string, ds_ms long, de_ms long")
+    return finish.finish_clips(c, m, "gameplay", arousal=aro, hype=hype, shifts=shifts).select("media_id", "clip_id", "start_ms", "end_ms", "score")
+
+
 def all_clips(spark, sf):
     f, m = fam_events(spark, sf), event_media(spark, sf)
     return E.cue_clips(f, m).unionByName(E.text_clips(f, m)).unionByName(E.audio_event_clips(f, m))

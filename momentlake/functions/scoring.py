@@ -106,9 +106,11 @@ def excitement_bonus(df: DataFrame, arousal: str = "arousal", max_bonus: float =
 
 
 def event_bonus(df: DataFrame, hype: str = "hype", reason: str = "hype_reason", max_bonus: float = 10.0) -> DataFrame:
+    """Clips born from an audio event (``features['audio_event']``) carry that evidence already and are skipped."""
     h = F.col(hype)
     d = half_even(clamp(h) * max_bonus)
-    return _bonus(df, d, h.isNotNull() & (d > 0), first_upper(F.lower(reason)),
+    born = F.coalesce(F.try_element_at("features", F.lit("audio_event")), F.lit(0.0)) > 0 if "features" in df.columns else F.lit(False)
+    return _bonus(df, d, h.isNotNull() & (d > 0) & ~born, first_upper(F.lower(reason)),
                   F.concat(F.lit("Audio event detection heard "), F.col(reason), F.lit(" ("), F.floor(h * 100).cast("string"), F.lit("/100)")))
 
 

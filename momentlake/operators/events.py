@@ -9,8 +9,8 @@ from momentlake.functions.scoring import factor, half_even, prepend
 from momentlake.functions.text import fold_text
 from momentlake.functions.timecode import clock
 from momentlake.phrases import phrases_in_texts, texts_without
-from momentlake.skew import (CHUNK, CHUNK_MS, chain_marks, chunk_by_time, percentiles, range_join, runs,
-                             scan, state_machine, value_ranks)
+from momentlake.skew import (CHUNK, CHUNK_MS, chain_marks, chunk_by_time, greedy_select, percentiles, range_join, runs,
+                             scan, state_machine, top_k, value_ranks)
 
 
 # ---- labels ------------------------------------------------------------------------------------
@@ -343,6 +343,23 @@ def peak_shape(envelope: DataFrame, peaks: DataFrame, thresholds: DataFrame, hop
                     F.greatest(F.lit(0.0), (F.col("_peak") - base) / (F.col("_peak") + 1e-6)).alias("transient"))
 
 
+def pick_peaks(envelope: DataFrame, media: DataFrame, per_unit: float = 1024.0) -> DataFrame:
+    """Loudest frames at or over the action threshold, a profile's gap (3 s at least) apart, at most two for each wanted
+    clip: ``media_id, peak_frame``. Equally loud frames go in order of time."""
+    m = with_profile(media).select("media_id", F.greatest(F.col("min_len_ms") * F.col("gap_factor"), F.lit(3000)).cast("bigint").alias("_gap"), (F.col("target_clips") * 2).alias("_k"))
+    reach = m.agg(F.max("_gap")).first()[0]
+    if reach is None:
+        return envelope.select("media_id", F.col("frame").alias("peak_frame")).where("false")
+    loud = envelope.join(loudness_thresholds(envelope, media, per_unit).select("media_id", "thr"), "media_id").where("rms >= thr")
+    e = loud.select("media_id", "frame", F.col("t_ms").cast("bigint").alias("t_ms"), "rms").join(m, "media_id").withColumn("_till", F.col("t_ms") + F.col("_gap"))
+
+    def too_close(lo, hi, los, his):
+        return abs(los - lo) < hi - lo  # a span is as long as its recording's gap
+
+    kept = greedy_select(e, ["media_id"], [-F.col("rms"), F.col("frame")], "t_ms", "_till", too_close, int(reach))
+    return top_k(kept, ["media_id"], [F.desc("rms"), F.col("frame")], "_k").select("media_id", F.col("frame").alias("peak_frame"))
+
+
 # ---- clip builders -----------------------------------------------------------------------------
 def timing_window(settings: DataFrame) -> DataFrame:
     """Milliseconds before and after an event, from the profile or the user's wish, scaled to the limits."""

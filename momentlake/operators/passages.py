@@ -42,7 +42,8 @@ def transcript_scan(words: DataFrame, pause_ms: int = 650, horizon_ms: int = 300
     """One ordered pass over the words. Adds
 
     sid                     position of the first word of the sentence (a sentence ends at ``. ! ?``
-                            or before a pause of ``pause_ms``)
+                            or before a pause of ``pause_ms``; words with a column ``last_word``
+                            end where it says)
     toks                    lower-case tokens
     prev_tok, prev_tok_pos  last token before the word
     prev_text               previous word
@@ -51,8 +52,8 @@ def transcript_scan(words: DataFrame, pause_ms: int = 650, horizon_ms: int = 300
     Every column is computed per chunk; what crosses a chunk edge is carried by a scan over one
     summary row per chunk.
     """
-    w = chunk_by_pos(words, rows=chunk_rows).withColumns({
-        "toks": tokens("text"), "_fin": ends_sentence("text"), "_end": F.col("t_ms") + F.col("d_ms")})
+    fin = F.col("last_word") if "last_word" in words.columns else ends_sentence("text")
+    w = chunk_by_pos(words, rows=chunk_rows).withColumns({"toks": tokens("text"), "_fin": fin, "_end": F.col("t_ms") + F.col("d_ms")})
     keys = ["media_id", CHUNK]
     part = W.partitionBy(*keys).orderBy("pos")
     recent = W.partitionBy(*keys).orderBy("t_ms").rangeBetween(1 - horizon_ms, 0)
@@ -195,14 +196,14 @@ def sentence_features(words: DataFrame, lexicon: DataFrame, markers: Sequence[st
     at_word = F.when(F.col("m_word"), F.col("pos"))
     s = flat.groupBy("media_id", F.col("target").alias("sid")).agg(
         F.max("start").alias("start_ms"), F.max_by("end", at_word).alias("end_ms"), F.max(at_word).alias("pos_hi"),
-        F.max_by("complete", at_word).alias("complete"), F.max_by("asks", at_word).alias("_asks"), F.min("m_code").alias("_code"),
+        F.max_by("complete", at_word).alias("complete"), F.min(F.when(F.col("m_word") & F.col("asks"), F.col("pos"))).alias("_q"), F.min("m_code").alias("_code"),
         *[F.sum(f"m_{c}").alias(f"s_{c}") for c in ADDITIVE], *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in tops])
     if more:
         s = _longer_markers(words, s, more, chunk_rows)
     sc = scan(chunk_by_pos(s, "sid", chunk_rows), ["media_id"], ["sid"],
               sums={f"b_{c}": F.col(f"s_{c}") for c in ADDITIVE},
               maxes={"_end_b": F.col("end_ms"), "_mk_b": F.col("m_mk")},
-              after={"_q_a": F.when(F.col("_asks"), F.col("pos_hi")), "_code_a": F.col("_code")})
+              after={"_q_a": F.col("_q"), "_code_a": F.col("_code")})
     none = F.lit(-1).cast("bigint")
 
     def upto(own_col, past_col):
@@ -213,7 +214,7 @@ def sentence_features(words: DataFrame, lexicon: DataFrame, markers: Sequence[st
     return _opening(sc).select(
         "media_id", "sid", "start_ms", "end_ms", F.col("sid").alias("pos_lo"), "pos_hi", "complete", F.col("m_dang").alias("first_dangling"),
         F.greatest("end_ms", "_end_b").alias("end_max"), "f_hook", "f_instant_hook", "f_swipe", "r_hook", "r_instant_hook", "r_swipe",
-        F.when(F.col("_asks"), F.col("pos_hi")).otherwise(F.col("_q_a")).alias("next_q"),
+        F.coalesce("_q", "_q_a").alias("next_q"),
         upto("m_mk", "_mk_b").alias("mk_last"), *[c.alias(x) for x, c in edge.items()],
         *[f"b_{c}" for c in ADDITIVE], *[(F.col(f"b_{c}") + F.col(f"s_{c}")).alias(f"e_{c}") for c in ADDITIVE])
 
@@ -321,6 +322,22 @@ def fixed_windows(words: DataFrame, settings: DataFrame, chunk_ms: int = CHUNK_M
         F.max("pos").alias("pos_hi"), F.min_by("t_ms", "pos").alias("start_ms"), F.max_by("end", "pos").alias("end_ms"))
 
 
+def window_sentences(words: DataFrame, lexicon: DataFrame, settings: DataFrame, markers: Sequence[str] = tuple(ANSWER_MARKERS), question: str = "?",
+                     chunk_rows: int = CHUNK_ROWS, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Fixed windows as sentences with their features; a window is a passage by itself."""
+    win = fixed_windows(words, settings, chunk_ms).select("media_id", F.col("pos_hi").alias("pos"), F.lit(True).alias("_last"))
+    w = words.join(win, ["media_id", "pos"], "left").withColumn("last_word", F.coalesce("_last", F.lit(False))).drop("_last")
+    return sentence_features(w, lexicon, markers, question, pause_ms=1 << 60, chunk_rows=chunk_rows)
+
+
+def own_spans(sents: DataFrame, settings: DataFrame) -> DataFrame:
+    """Each sentence as a candidate by itself, whatever its length."""
+    lim = settings.select("media_id", "platform", "min_len_ms", "max_len_ms", "target_clips")
+    extra = [c for c in sents.columns if c != "media_id"]
+    return sents.join(lim, "media_id").select("media_id", "platform", "min_len_ms", "max_len_ms", "target_clips",
+                                              *[F.col(c).alias(f"{p}_{c}") for p in ("a", "z") for c in extra])
+
+
 def passage_features(cands: DataFrame) -> DataFrame:
     """Turn joined sentence pairs into candidates with the eleven features ``f_*``."""
     def span(c, x=None):
