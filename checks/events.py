@@ -184,9 +184,6 @@ def _(spark, sf):
         "clip_id", F.round(F.col("sustain") * 1000000).cast("bigint").alias("sustain"), "n_spikes", F.round(F.col("transient") * 1000000).cast("bigint").alias("transient"))
 
 
-@query("peak_clips")
-def _(spark, sf):
-    return E.peak_clips(envelope(spark, sf), peaks(spark, sf).select("media_id", "peak_frame"), event_media(spark, sf), per_unit=0.1)
 
 
 # ---- the whole gameplay flow: each step as in its own twin, on the plan's own windows --------------------
@@ -251,6 +248,12 @@ def _(spark, sf):
     return E.pick_peaks(envelope(spark, sf), event_media(spark, sf), 0.1)
 
 
+@query("peak_clips", ctes("pclips", then="SELECT media_id, start_ms, end_ms, peak_ms, title, score FROM pclips"))
+def _(spark, sf):
+    e, m = envelope(spark, sf), event_media(spark, sf)
+    return E.peak_clips(e, E.pick_peaks(e, m, 0.1), m, per_unit=0.1).select("media_id", "start_ms", "end_ms", "peak_ms", "title", "score")
+
+
 def moments(spark, sf):
     return gameplay.gameplay_moments(envelope(spark, sf), fam_events(spark, sf), event_media(spark, sf), per_unit=0.1)
 

@@ -103,7 +103,12 @@ def _(spark, sf):
 FILL = [("en", i, w) for i, w in enumerate("so here is the thing about making better videos every day".split())] + [("de", i, w) for i, w in enumerate("also hier ist die sache mit guten videos".split())]
 
 
-@query("synthetic_words")
+@query("synthetic_words", ctes("media", then=f"""
+  , f AS (SELECT language, list(word ORDER BY ord) AS f FROM ({sql_values(FILL, 'language, ord, word')}) GROUP BY language),
+  m AS (SELECT media_id, greatest(duration_ms, 5000) AS d, f FROM media JOIN f ON f.language = CASE WHEN lower(media.language[1:2]) IN ('en', 'de') THEN lower(media.language[1:2]) ELSE 'en' END),
+  e AS (WITH RECURSIVE ends(s, a, z) AS (SELECT 0, 0::BIGINT, 9::BIGINT UNION ALL SELECT s + 1, z + 1, z + 10 + z % 5 FROM ends WHERE z*420 < (SELECT max(d) FROM m)) SELECT * FROM ends),
+  p AS (SELECT s, z, unnest(range(a, z + 1)) AS pos FROM e)
+  SELECT media_id, pos, pos*420 + s*700 AS t_ms, 378::BIGINT AS d_ms, f[pos % len(f) + 1] || CASE WHEN pos = z THEN '.' ELSE '' END AS text FROM m JOIN p ON pos*420 + s*700 + 420 <= d"""))
 def _(spark, sf):
     f = spark.createDataFrame(FILL, "language string, ord int, word string")
     return L.synthetic_words(media(spark, sf), f)
@@ -380,7 +385,11 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(B.clean_model_hashtags(raw, 7), ",").alias("tags"))
 
 
-@query("title_or_first_sentence")
+_cut = lambda sep: f"contains(t, {sep}) AND trim(split_part(t, {sep}, 1)) <> '' THEN left(trim(split_part(t, {sep}, 1)), 60)"
+
+
+@query("title_or_first_sentence", f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Own' WHEN t = '' THEN 'Untitled' WHEN {_cut("'.'")} WHEN {_cut("'!'")} WHEN {_cut("'?'")} WHEN {_cut("chr(10)")}
+   ELSE left(t, 60) END AS title FROM (SELECT doc_id, trim(coalesce(text, '')) AS t FROM documents)""")
 def _(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", B.title_or_first_sentence(F.when(F.col("doc_id") % 2 == 0, "Own"), F.col("text")).alias("title"))
@@ -392,7 +401,11 @@ def _(spark, sf):
     return B.build_prompts(d, "title", "Name it.", "Title").select("clip_id", F.md5("prompt").alias("h"))
 
 
-@query("make_title")
+@query("make_title", """
+  WITH a AS (SELECT doc_id, trim(text) AS t, regexp_extract(trim(text), '(?s)^(.*?[.!?])\\s', 1) AS f FROM documents),
+  b AS (SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN f <> '' AND length(f) BETWEEN 12 AND 70 THEN f WHEN f = '' AND length(t) BETWEEN 12 AND 70 THEN t ELSE t END, '\\s+', ' ', 'g'), '^[ ,.\\-]+|[ ,.\\-]+$', '', 'g') AS p FROM a),
+  c AS (SELECT doc_id, CASE WHEN len(string_split(p, ' ')) > 11 THEN array_to_string(string_split(p, ' ')[1:11], ' ') || '…' ELSE p END AS p FROM b)
+  SELECT doc_id, CASE WHEN p = '' THEN 'Untitled clip' ELSE upper(p[1]) || p[2:] END AS title FROM c""")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", make_title("text").alias("title"))
 

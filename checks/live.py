@@ -45,12 +45,26 @@ def _(spark, sf):
     return finish(spark, stream(spark, sf, "events")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("live_streaks")
+# what the watermark has passed when the stream has read everything: 10 s behind the newest row
+_WM = "(SELECT max(t_ms) - 10000 AS wm FROM {0})"
+
+
+@query("live_streaks", ctes("streaks", then=f"""
+  , g AS (SELECT media_id, streak, arg_min(event_id, t_ms*1000000 + event_id) AS first_event, min(t_ms) AS start_ms, max(t_ms) AS end_ms, count(*) AS n, any_value(wm) AS wm
+     FROM streaks, {_WM.format('streaks')} WHERE t_ms < wm GROUP BY media_id, streak)
+  SELECT media_id, first_event, start_ms, end_ms, n FROM (SELECT *, lead(streak) OVER (PARTITION BY media_id ORDER BY streak) AS nx FROM g) WHERE nx IS NOT NULL OR n = 5 OR wm > end_ms + 6000"""))
 def _(spark, sf):
     return finish(spark, V.live_streaks(detections(spark, sf).where("source = 'cue'"), chain=("purchase", "signup")))
 
 
-@query("live_dedupe")
+@query("live_dedupe", ctes("detections", then=f"""
+  , e AS (SELECT * FROM detections WHERE source = 'ocr'), w AS {_WM.format('e')},
+  o AS (SELECT media_id, list_reduce(list([t_ms] ORDER BY t_ms, event_id), lambda acc, c: CASE WHEN len(acc) = 0 OR c[1] - acc[len(acc)] >= 4000 THEN list_concat(acc, c) ELSE acc END,
+        CAST([] AS BIGINT[])) AS anchors FROM e GROUP BY media_id),
+  g AS (SELECT d.*, wm, len(list_filter(anchors, lambda a: a <= d.t_ms)) AS grp FROM e d JOIN o USING (media_id), w WHERE t_ms < wm),
+  r AS (SELECT *, row_number() OVER (PARTITION BY media_id, grp, label ORDER BY confidence DESC, t_ms, event_id) AS rn,
+     min(t_ms) OVER (PARTITION BY media_id, grp) AS t0, max(grp) OVER (PARTITION BY media_id) AS newest FROM g)
+  SELECT media_id, event_id, t_ms, label FROM r WHERE rn = 1 AND (grp < newest OR wm >= t0 + 4000)"""))
 def _(spark, sf):
     return finish(spark, V.live_dedupe(detections(spark, sf).where("source = 'ocr'")))
 
@@ -61,12 +75,18 @@ def reads(spark, sf):
                     F.when(F.col("doc_id") % 11 < 5, "").otherwise(F.col("text")).alias("text"))
 
 
-@query("live_text_change")
+SQL_VIEWS["live_reads"] = """SELECT * FROM (SELECT doc_id % 5 AS media_id, doc_id AS read_id, doc_id*1000 AS t_ms, source AS roi, CASE WHEN doc_id % 11 < 5 THEN '' ELSE text END AS text FROM documents)
+   WHERE t_ms < (SELECT max(doc_id)*1000 - 10000 FROM documents)"""
+
+
+@query("live_text_change", ctes("live_reads", then="""SELECT media_id, roi, read_id, t_ms FROM (
+   SELECT *, lag(text) OVER (PARTITION BY media_id, roi ORDER BY t_ms, read_id) AS before FROM live_reads WHERE text <> '') WHERE before <> text AND length(text) > 3"""))
 def _(spark, sf):
     return finish(spark, V.live_text_change(reads(spark, sf)))
 
 
-@query("live_region_health")
+@query("live_region_health", ctes("live_reads", then="""SELECT media_id, roi, min(read_id) AS read_id, min(t_ms) AS t_ms FROM (
+   SELECT *, lag(coalesce(text, '')) OVER (PARTITION BY media_id, roi ORDER BY t_ms, read_id) AS before FROM live_reads) WHERE coalesce(text, '') = '' AND before = '' GROUP BY media_id, roi"""))
 def _(spark, sf):
     return finish(spark, V.live_region_health(reads(spark, sf), 2))
 

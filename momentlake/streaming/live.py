@@ -74,7 +74,8 @@ def ordered_fold(events: DataFrame, keys: list[str], columns: list[str], fold: C
         if rest:
             state.update((rest,))
         if pending or (rest and not context):
-            state.setTimeoutTimestamp(max(zero + rest[-1][0] + idle_ms, state.getCurrentWatermarkMs() + 1))
+            # the oldest row wakes the key up, so ready rows never wait for the key's last one
+            state.setTimeoutTimestamp(max(zero + rest[0][0] + idle_ms, state.getCurrentWatermarkMs() + 1))
         elif not rest and state.exists:
             state.remove()
         yield pd.DataFrame([(*key, *o) for o in out], columns=names)
