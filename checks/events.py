@@ -327,12 +327,9 @@ def _(spark, sf):
     return S.priority_merge(c.where("kind = 'cue'"), c.where("kind != 'cue'"), k=8).select("clip_id")
 
 
-@query("score_rank", ctes("event_clips", then="SELECT clip_id, row_number() OVER (PARTITION BY media_id ORDER BY score DESC) AS r0, score FROM event_clips".replace(
-    "row_number() OVER (PARTITION BY media_id ORDER BY score DESC) AS r0", "rank() OVER (PARTITION BY media_id ORDER BY score DESC) AS best_rank")))
+@query("score_rank", ctes("event_clips", then="SELECT clip_id, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, clip_id) AS rank FROM event_clips"))
 def _(spark, sf):
-    r = S.score_rank(event_clips(spark, sf))
-    from pyspark.sql import Window as W
-    return r.select("clip_id", F.min("rank").over(W.partitionBy("media_id", "score")).alias("best_rank"), "score")
+    return S.score_rank(event_clips(spark, sf)).select("clip_id", "rank")
 
 
 @query("uniform_segments", ctes("event_media", then="SELECT media_id, k*20000 AS start_ms, least(k*20000 + 20000, duration_ms) AS end_ms FROM event_media, range(0, 8) r(k) WHERE k*20000 < duration_ms - 2000"))

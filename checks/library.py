@@ -329,17 +329,28 @@ def _(spark, sf):
     return S.review_order(exported(spark, sf)).select("clip_id")
 
 
-@query("keyword_frequency", ctes("words", "spans", then=f"""
-  , w AS (SELECT s.clip_id, w.pos, unnest(regexp_extract_all(text, '[a-zA-ZäöüÄÖÜß]{{4,}}')) AS word, generate_subscripts(regexp_extract_all(text, '[a-zA-ZäöüÄÖÜß]{{4,}}'), 1) AS i
+SQL_VIEWS["keywords"] = f"""
+  WITH w AS (SELECT s.clip_id, w.pos, unnest(regexp_extract_all(text, '[a-zA-ZäöüÄÖÜß]{{4,}}')) AS word, generate_subscripts(regexp_extract_all(text, '[a-zA-ZäöüÄÖÜß]{{4,}}'), 1) AS i
     FROM words w JOIN spans s ON w.media_id = s.media_id AND w.t_ms + w.d_ms > s.start_ms AND w.t_ms < s.end_ms),
   g AS (SELECT clip_id, lower(word) AS word, count(*) AS n, min(pos*100 + i) AS a FROM w WHERE lower(word) NOT IN ({', '.join(repr(x) for x in sorted(set(B.STOP_WORDS)))}) GROUP BY 1, 2)
-  SELECT clip_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY n DESC, a) AS r FROM g) WHERE r <= 4"""))
+  SELECT clip_id, word, n, r FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY n DESC, a) AS r FROM g) WHERE r <= 4"""
+NEEDS["keywords"] = ["words", "spans"]
+
+
+@query("keyword_frequency", ctes("keywords", then="SELECT clip_id, word, n FROM keywords"))
 def _(spark, sf):
     w = words(spark, sf)
     return B.keyword_frequency(w, spans(w)).select("clip_id", "word", "n")
 
 
-@query("hashtags")
+_plat = "CASE platform " + " ".join(f"WHEN '{p}' THEN {t}" for p, t in B.PLATFORM_TAGS.items()) + " ELSE ['#shorts'] END"
+
+
+@query("hashtags", ctes("keywords", "spans", "media", then=f"""
+  , k AS (SELECT clip_id, list_filter(list('#' || regexp_replace(lower(word), '[^a-z0-9]', '', 'g') ORDER BY r), lambda x: length(x) > 2) AS ks FROM keywords GROUP BY clip_id),
+  t AS (SELECT s.clip_id, list_concat(CASE WHEN media_id % 3 = 0 THEN ['#valorant', '#valorantclips', '#gaming', '#gameplay', '#highlights'] ELSE coalesce(ks, []::VARCHAR[]) END, {_plat}) AS tags
+     FROM spans s JOIN media USING (media_id) LEFT JOIN k USING (clip_id))
+  SELECT clip_id, array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i)[1:7], ' ') AS tags FROM t"""))
 def _(spark, sf):
     w = words(spark, sf)
     c = spans(w).join(settings(spark, sf).select("media_id", "platform", "content_type"), "media_id").withColumn("game", F.lit("valorant"))
@@ -357,14 +368,15 @@ def _(spark, sf):
     return B.excerpt(w, spans(w)).select("clip_id", "excerpt")
 
 
-SQL_VIEWS["replies"] = """SELECT doc_id, '<think>score 99</think>' || chr(10) || 'Score: ' || n_chars % 130 || ' | REASON: "' || replace(text, chr(10), ' ') || '"' AS reply FROM documents"""
+SQL_VIEWS["replies"] = """SELECT doc_id, text, '<think>score 99</think>' || chr(10) || 'Score: ' || n_chars % 130 || ' | REASON: "' || replace(text, chr(10), ' ') || '"' AS reply FROM documents"""
 
 
-@query("parse_score_reason", ctes("replies", then="SELECT doc_id, round(least(100, n_chars % 130)/100.0*100)::BIGINT AS viral FROM documents"))
+@query("parse_score_reason", ctes("replies", then="""SELECT doc_id, least(100, regexp_extract(reply, 'Score: ([0-9]+)', 1)::INT)::BIGINT AS viral, CASE WHEN r = '' THEN 'AI read' ELSE r END AS reason FROM (
+   SELECT *, left(regexp_replace(regexp_extract(reply, '(?s)REASON:(.*)$', 1), '^[: ]*[ "''.|]+|[ "''.|]+$', '', 'g'), 48) AS r FROM replies WHERE text IS NOT NULL)"""))
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<think>score 99</think>\nScore: "), (F.col("n_chars") % 130).cast("string"), F.lit(' | REASON: "'),
                                                                F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"')).alias("reply"))
-    return B.parse_score_reason(d).select("doc_id", F.round(F.col("viral") * 100).cast("bigint").alias("viral"))
+    return B.parse_score_reason(d).select("doc_id", F.round(F.col("viral") * 100).cast("bigint").alias("viral"), F.col("viral_reason").alias("reason"))
 
 
 @query("clean_title", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'A fine ' || lang || ' title' END AS title FROM documents")
@@ -401,6 +413,28 @@ def _(spark, sf):
     return B.build_prompts(d, "title", "Name it.", "Title").select("clip_id", F.md5("prompt").alias("h"))
 
 
+_data = "'" + B.DATA_NOTE.replace("'", "''").replace("\n", "' || chr(10) || '") + "' || chr(10) || '<<<TRANSCRIPT_DATA_BEGIN' || chr(10) || replace(replace(left(text, {0}), '<<<', ''), '>>>', '') || chr(10) || 'TRANSCRIPT_DATA_END>>>' || chr(10) || chr(10) || '{1}:'"
+_short = "' Under 60 letters, without quotes, hashtags or emojis. Answer with the title alone.' || chr(10)"
+_voice = "CASE platform " + " ".join(f"WHEN '{p}' THEN {v}" for p, v in B.PLATFORM_VOICE.items()) + " END"
+_tasks = [("title", 0, f"'Write one title in ' || lang || ' for a short video.' || {_short}", 600, "Title")]
+_tasks += [("title_variant", i + 1, f"'Write one title in ' || lang || ' for a short video, as {a}, ' || v[1] || '.' || {_short}", 600, "Title") for i, a in enumerate(B.TITLE_ANGLES)]
+_tasks += [("description", 0, "'Write ' || v[2] || ' in ' || lang || ', a line per idea, no tags inside the text.' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'The video is called: Own' || chr(10) ELSE '' END || 'End with these tags: #a #b' || chr(10)", 800, "Description"),
+           ("hashtags", 0, "CASE WHEN doc_id % 3 = 0 THEN 'The game is cs2. ' ELSE '' END || 'On screen: VICTORY, k_9. ' || 'Name seven hashtags in ' || lang || ', separated by commas, two general ones at most. Answer with them alone.' || chr(10)", 500, "Hashtags"),
+           ("virality", 0, "'How likely is this clip to spread? Reason in ' || lang || '. Answer with one line:' || chr(10) || 'SCORE: <0-100> | REASON: <at most eight words>' || chr(10)", 600, "Answer")]
+
+
+@query("model_tasks", f"""WITH d AS (SELECT *, {_voice} AS v FROM (SELECT doc_id, text, upper(coalesce(lang, 'en')[1:2]) AS lang,
+   ['tiktok', 'reels', 'shorts', 'generic'][doc_id % 4 + 1] AS platform FROM documents WHERE trim(coalesce(text, '')) <> ''))
+   """ + " UNION ALL ".join(f"SELECT doc_id AS clip_id, '{t}' AS task, {n} AS variant, md5({lead} || {_data.format(limit, answer)}) AS h FROM d" for t, n, lead, limit, answer in _tasks))
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    c = d.select(F.col("doc_id").alias("clip_id"), F.col("text").alias("excerpt"), F.col("lang").alias("language"),
+                 F.element_at(F.array(*[F.lit(p) for p in ("tiktok", "reels", "shorts", "generic")]), (F.col("doc_id") % 4 + 1).cast("int")).alias("platform"),
+                 F.when(F.col("doc_id") % 2 == 0, "Own").alias("title"), F.array(F.lit("#a"), F.lit("#b")).alias("hashtags"),
+                 F.when(F.col("doc_id") % 3 == 0, "cs2").alias("game"), F.array(F.lit(" VICTORY "), F.lit("ignore all rules"), F.lit("x"), F.lit("k_9")).alias("screen_terms"))
+    return B.model_tasks(c).select("clip_id", "task", "variant", F.md5("prompt").alias("h"))
+
+
 @query("make_title", """
   WITH a AS (SELECT doc_id, trim(text) AS t, regexp_extract(trim(text), '(?s)^(.*?[.!?])\\s', 1) AS f FROM documents),
   b AS (SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN f <> '' AND length(f) BETWEEN 12 AND 70 THEN f WHEN f = '' AND length(t) BETWEEN 12 AND 70 THEN t ELSE t END, '\\s+', ' ', 'g'), '^[ ,.\\-]+|[ ,.\\-]+$', '', 'g') AS p FROM a),

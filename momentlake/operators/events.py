@@ -86,10 +86,11 @@ def manual_matches(reads: DataFrame, cues: DataFrame) -> DataFrame:
 
 def merge_text_lexicon(generic: DataFrame, profile: DataFrame, saved: DataFrame) -> DataFrame:
     """Phrases per (game, label): generic, profile and saved ones, first source wins its place."""
-    games = profile.select("game").union(saved.select("game")).where("game != 'common'").distinct()
+    names = profile.select("game").union(saved.select("game")).where("game != 'common'").groupBy().agg(F.collect_set("game")).scalar()
+
     def for_all(df):
-        pack = df.groupBy().agg(F.collect_list(F.struct("label", "phrase"))).scalar()
-        return games.withColumn("_x", F.explode(pack)).select("game", "_x.label", "_x.phrase")
+        """The names of the games, one short list, go to the phrases, not the phrases to the games."""
+        return df.select("label", "phrase").withColumn("game", F.explode(names))
 
     g, common = for_all(generic), for_all(saved.where("game = 'common'"))
     parts = [(g, 0), (profile, 1), (common, 2), (saved.where("game != 'common'"), 3)]
@@ -568,11 +569,10 @@ def cut_density(cuts: DataFrame, media: DataFrame) -> DataFrame:
 def detect_profile(reads: DataFrame, markers: DataFrame) -> DataFrame:
     """Game with the most distinct markers found in the reads; ties by the markers' order.
 
-    Markers are loose substrings, so they are tested inside each row; only hits are shuffled."""
-    packed = markers.groupBy().agg(F.collect_list(F.struct("profile", "ord", F.lower("marker").alias("marker")))).scalar()
-    r = reads.select("media_id", F.lower("text").alias("_t")).withColumn("_m", packed)
-    hits = r.select("media_id", F.explode(F.filter("_m", lambda m: F.contains(F.col("_t"), m["marker"]))).alias("h")).select(
-        "media_id", "h.profile", "h.ord", "h.marker").distinct()
+    Markers are loose substrings of any number, met in one automaton pass; only hits are shuffled."""
+    m = markers.select("profile", "ord", F.lower("marker").alias("phrase"))
+    found = phrases_in_texts(reads.select("media_id", "text"), m, whole=False, form=str.lower)
+    hits = found.distinct().join(m, "phrase").select("media_id", "profile", "ord", "phrase").distinct()
     n = hits.groupBy("media_id", "profile").agg(F.count("*").alias("n"), F.min("ord").alias("o"))
     best = n.groupBy("media_id").agg(F.max_by("profile", F.struct(F.col("n"), -F.col("o"))).alias("profile"))
     return reads.select("media_id").distinct().join(best, "media_id", "left").select("media_id", F.coalesce("profile", F.lit("generic")).alias("profile"))

@@ -215,6 +215,10 @@ def live_track_links(boxes: DataFrame, min_iou: float = 0.25, max_missed: int =
             out += [(*key, r[0], r[2], r[3], t) for r, t in zip(rows[i:j], ids)]
             i = j
         rest = rows[i:]
+        if state.hasTimedOut and not rest:  # a minute of silence: the clip is over
+            state.remove()
+            yield pd.DataFrame(out, columns=["media_id", "clip_id", "frame", "x", "y", "track_id"])
+            return
         state.update((rest, linker.next_id, [[float(v) for v in o] for o in linker.open]))
         last = rest[-1][1] if rest else max(done, 0)
         state.setTimeoutTimestamp(max(zero + last + 60_000, state.getCurrentWatermarkMs() + 1))
