@@ -1,10 +1,10 @@
 """Exact token ids and counts of whole texts, long ones by overlapping chunks.
 
-Ordinary texts: the tokenizer drops white space before it looks for pieces, so a run of ASCII white space is a
+Texts of up to one chunk: the tokenizer drops white space before it looks for pieces, so a run of ASCII white space is a
 boundary that no token and no normalisation crosses (``splits_at_blanks`` proves it from the tokenizer's file).
 Each distinct word is then encoded once per worker by the library and remembered.
 
-Huge texts are cut into overlapping chunks that are dealt out to tasks and encoded by the library with offsets.
+Texts over one chunk are cut into overlapping chunks that are dealt out to tasks and encoded by the library with offsets.
 Neighbours are spliced where their encodings agree on a boundary and on everything between two stable
 boundaries; where they do not, the overlap is widened and the text is cut again, in the end to one chunk.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from momentlake.llm.common import durable, slices, text_bytes, whole_text
 
-HUGE_BYTES = 1 << 16
+HUGE_BYTES = 1 << 14
 CHUNK_CHARS = 1 << 14
 OVERLAP_CHARS = 1 << 9
 CLOSING = (b".", b",", b";", b":", b"!", b"?")

@@ -47,6 +47,16 @@ def test_counts_of_whole_table(spark, word):
         assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (n, len((t or "").encode()), n > 2048)
 
 
+def test_texts_over_a_chunk_take_the_chunked_way(spark):
+    """Every text over 16384 letters is cut; no text of up to that many bytes is."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    longest = max(texts, key=lambda k: len(texts[k]))
+    df = spark.createDataFrame([*texts.items(), (-1, texts[longest] * (1 + 40000 // len(texts[longest])))], "doc_id long, text string")
+    got = {r.doc_id: r.n_chunks for r in tokens.count_tokens(df, WORD).collect()}
+    want = {k: -(-len(t) // tokens.CHUNK_CHARS) or 1 for k, t in [*texts.items(), (-1, texts[longest] * (1 + 40000 // len(texts[longest])))]}
+    assert got == want and got[-1] >= 3
+
+
 def test_counts_edge(spark, word):
     got = tokens.count_tokens(edge_docs(spark, "n_tokens", "key", "i"), WORD, chunk_chars=3000, overlap_chars=40).collect()
     want = sorted((r[0] or -1, len((r[1] or "").encode()), len(ids(word, r[1]))) for r in ROWS)
