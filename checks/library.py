@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import ctes, query
 from checks.captions import exported, spans
+from checks.live import finish, root
 from checks.views import LEXICON, NEEDS, SQL_VIEWS, event_clips, event_media, lexicon, media, sql_values, table, words
 from momentlake.functions import publishing as B
 from momentlake.functions import scoring as X
@@ -13,6 +14,7 @@ from momentlake.functions.text import make_title
 from momentlake.operators import passages as P
 from momentlake.operators import selection as S
 from momentlake.sources import library as L
+from momentlake.streaming import live as V
 
 CL = ["media_id", "clip_id"]
 
@@ -63,6 +65,53 @@ def _(spark, sf):
     return L.media_manifest(raw).select("media_id", "duration_ms", "fps")
 
 
+_MANIFEST = """SELECT doc_id AS media_id, round_even(n_chars*100.0, 0)::BIGINT AS duration_ms, CASE doc_id % 3 WHEN 0 THEN 30000/1001.0 WHEN 1 THEN 25.0 ELSE 30.0 END::DOUBLE AS fps
+   FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 5 <> 0"""
+
+
+def probes(spark, sf):
+    """Probe results of the documents as JSON files in the shared folder."""
+    d = table(spark, sf, "documents")
+    raw = d.select(F.col("doc_id").cast("string").alias("media_id"), F.concat("doc_id", F.when(F.col("doc_id") % 4 == 1, ".txt").otherwise(".MP4")).alias("filename"),
+                   (F.col("n_chars") / 10).alias("duration"), F.element_at(F.array(F.lit("30000/1001"), F.lit("25"), F.lit("0/0")), (F.col("doc_id") % 3 + 1).cast("int")).alias("fps"),
+                   (F.col("doc_id") % 5 != 0).alias("has_video"))
+    path = f"{root(spark)}/probes"
+    raw.write.json(path)
+    return path
+
+
+@query("read_media_manifest", _MANIFEST)
+def _(spark, sf):
+    return L.read_media_manifest(spark, probes(spark, sf)).select(F.col("media_id").cast("bigint").alias("media_id"), "duration_ms", "fps")
+
+
+@query("watch_media", _MANIFEST)
+def _(spark, sf):
+    return finish(spark, V.watch_media(spark, probes(spark, sf)).select(F.col("media_id").cast("bigint").alias("media_id"), "duration_ms", "fps"))
+
+
+@query("read_lexicons", "SELECT DISTINCT lang, 'r' || doc_id % 3 AS role, lower(source) AS term FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def _(spark, sf):
+    d = table(spark, sf, "documents").where("lang is not null and source is not null")
+    path = f"{root(spark)}/lexicon"
+    d.select("lang", F.concat(F.lit("r"), F.col("doc_id") % 3).alias("role"), F.concat(F.lit("  "), F.upper("source"), F.lit(" ")).alias("term")).write.option("header", True).csv(path)
+    return L.read_lexicons(spark, path)
+
+
+@query("write_manifest_csv", ctes("exported", then="SELECT media_id, clip_id, title, score, round(start_ms/1000.0*1000)::BIGINT AS s FROM exported WHERE export_url IS NOT NULL"))
+def _(spark, sf):
+    c = exported(spark, sf).withColumn("status", F.when(F.col("export_url").isNotNull(), "ready").otherwise("pending"))
+    path = f"{root(spark)}/manifest"
+    L.write_manifest_csv(c, path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(F.col("media_id").cast("bigint").alias("media_id"), "clip_id", "title", F.col("score").cast("int").alias("score"), F.round(F.col("start_sec").cast("double") * 1000).cast("bigint").alias("s"))
+
+
+@query("token_filter", "SELECT doc_id, source AS cue FROM documents WHERE regexp_matches(source, '^[A-Za-z0-9_+-]{2,20}$')")
+def _(spark, sf):
+    return L.token_filter(table(spark, sf, "documents").select("doc_id", F.concat(F.lit(" "), "source", F.lit(" ")).alias("cue")))
+
+
 @query("upsert_latest", "SELECT user_id, event_type, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id, event_type")
 def _(spark, sf):
     return L.upsert_latest(table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], "ts").drop("ts")
