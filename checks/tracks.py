@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import ctes, query
 from checks.views import NEEDS, SQL_VIEWS, detections, envelope, event_clips, event_media, table
+from momentlake.functions.scoring import iou_1d, iou_2d
 from momentlake.operators import tracks as K
 
 CL = ["media_id", "clip_id"]
@@ -192,3 +193,16 @@ def _(spark, sf):
     c = b.select(*CL).distinct().withColumns({"start_ms": F.lit(0), "end_ms": F.lit(10000)})
     f = b.where(F.floor(F.col("frame") / 50) % 2 == 0)
     return K.select_thumbnail_time(f, c).select("clip_id", F.col("t_ms").cast("bigint").alias("t_ms"))
+
+
+@query("overlaps", ctes("boxes", then="""
+   SELECT clip_id, frame, is_person, round(ix*iy/(w*h + 0.2*h - ix*iy)*1000000)::BIGINT AS area, round(greatest(0, least(t_ms + 300, t_ms + 250) - t_ms - frame % 400)/(greatest(t_ms + 300, t_ms + 250) - t_ms)*1000000)::BIGINT AS span FROM (
+     SELECT *, greatest(0, least(x + w, x + 0.05 + 0.2) - greatest(x, x + 0.05)) AS ix, greatest(0, least(y + h, y - 0.02 + h) - greatest(y, y - 0.02)) AS iy FROM boxes) WHERE frame % 400 < 250
+   UNION ALL SELECT clip_id, frame, is_person, -1, 0 FROM boxes WHERE frame % 400 >= 250"""))
+def _(spark, sf):
+    b = boxes(spark, sf)
+    area = iou_2d(F.struct("x", "y", "w", "h"), F.struct((F.col("x") + 0.05).alias("x"), (F.col("y") - 0.02).alias("y"), F.lit(0.2).alias("w"), "h"))
+    span = iou_1d(F.col("t_ms"), F.col("t_ms") + 300, F.col("t_ms") + F.col("frame") % 400, F.col("t_ms") + 250)
+    near = F.col("frame") % 400 < 250
+    return b.select("clip_id", "frame", "is_person", F.when(near, F.round(area * 1000000)).otherwise(-1).cast("bigint").alias("area"),
+                    F.when(near, F.round(span * 1000000)).otherwise(0).cast("bigint").alias("span"))
