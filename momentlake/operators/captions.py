@@ -11,7 +11,7 @@ from momentlake.functions.text import clean_caption_token, has_number, tokens
 from momentlake.functions.timecode import frame_timecode, frames, srt_time, vtt_time, whole_fps
 from momentlake.operators.passages import emphasis_terms
 from momentlake.phrases import phrases_in_stream
-from momentlake.skew import overlap_join, range_join
+from momentlake.skew import CHUNK, CHUNK_MS, overlap_join, range_join, scan
 
 CLIP = ("media_id", "clip_id")
 
@@ -220,9 +220,11 @@ def record_timeline(clips: DataFrame, by=("media_id",)) -> DataFrame:
     c = clips.withColumn("fps_i", whole_fps("fps"))
     c = c.withColumns({"in_f": frames("start_ms", F.col("fps_i")), "_o": frames("end_ms", F.col("fps_i"))})
     c = c.withColumn("out_f", F.greatest("in_f", "_o")).drop("_o")
-    order = W.partitionBy(*by).orderBy(F.desc("score"), "start_ms", "clip_id")
-    return c.withColumns({"n": F.row_number().over(order), "rec_f": F.coalesce(F.sum(F.col("out_f") - F.col("in_f")).over(
-        order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    # best score first; a chunk is an hour of starts of one score, so an item's clips are no single task
+    place = -F.coalesce("score", F.lit(-1)).cast("bigint")
+    c = c.withColumns({"_place": place, CHUNK: place * (1 << 40) + F.floor(F.col("start_ms") / F.lit(float(CHUNK_MS)))})
+    c = scan(c, list(by), ["_place", "start_ms", "clip_id"], sums={"n": F.lit(1), "rec_f": F.col("out_f") - F.col("in_f")})
+    return c.withColumn("n", F.col("n") + 1).drop("_place", CHUNK)
 
 
 def write_edl(clips: DataFrame, media: DataFrame) -> DataFrame:
