@@ -154,41 +154,52 @@ def sentence_features(words: DataFrame, lexicon: DataFrame, markers: Sequence[st
         "digit": has_number("text").cast("int"), "asks": F.rtrim("text").endswith(question), "complete": ends_complete("text"),
         "marker": F.exists(F.array(*[F.lit(m) for m in one]), lambda m: F.contains(low, m)) if one else F.lit(False),
         "end": F.col("t_ms") + F.col("d_ms")})
-    toks = lexicon_hits(explode_tokens(w, ["media_id", "lang", "pos", "t_ms", "end", "sid", "prev_tok_pos", "heads", "digit", "asks",
-                                           "complete", "marker"]), lexicon)
+    # few tokens are terms: only they are joined, summed up per word and brought back to the words
+    lx = pivot_lexicon(lexicon).withColumnRenamed("term", "token")
+    met = explode_tokens(w, ["media_id", "lang", "pos"]).where("token is not null").join(lx, ["lang", "token"])
+    used = ("hook", "emotion", "second_person", "quote", "enumeration", "controversy")
+    met = met.groupBy("media_id", "pos").agg(
+        *[F.sum(F.when(~F.col("cross"), F.col(r))).alias(f"o_{r}") for r in used], *[F.max(F.when(F.col("cross"), F.col(r))).alias(f"x_{r}") for r in used],
+        F.max(F.when(F.col("k") == 1, F.col("dangling"))).alias("o_dangling"))
+    keep = ["media_id", "pos", "t_ms", "end", "sid", "prev_tok_pos", "heads", "digit", "asks", "complete", "marker"]
+    w = w.select(*keep, F.size("toks").alias("n_toks"), F.get("toks", F.lit(0)).isin(FILLER_OPENERS).alias("filler"))
+    w = w.join(met, ["media_id", "pos"], "left").na.fill(0, [f"{p}_{r}" for r in used for p in "ox"] + ["o_dangling"])
     own = F.array(F.struct(F.col("sid").alias("pos"), F.lit(None).cast("bigint").alias("t_ms")))
-    rows = toks.withColumn("_g", F.explode(F.concat(own, F.col("heads"))))
+    rows = w.withColumn("_g", F.explode(F.concat(own, F.col("heads"))))
     target, t0 = F.col("_g.pos"), F.col("_g.t_ms")
     mine = t0.isNull()
-    word = F.col("k") == 1
+    spoken, joined = F.col("n_toks") > 0, F.col("prev_tok_pos").isNotNull()
     # the pair that starts before the target does not belong to it
-    inside = ~F.col("cross") | F.coalesce(F.col("prev_tok_pos") >= target, F.lit(False))
-    opener = word & (F.col("n_toks") > 0) & F.coalesce(F.col("prev_tok_pos") < target, F.lit(True))
+    inside = F.coalesce(F.col("prev_tok_pos") >= target, F.lit(False))
+    opener = spoken & F.coalesce(F.col("prev_tok_pos") < target, F.lit(True))
     two, early = F.col("t_ms") - t0 < 2000, F.col("t_ms") - t0 < 1500
-    single = (~F.col("pair")) & F.col("token").isNotNull()
-    weak = opener & ((F.col("dangling") == 1) | F.col("token").isin(FILLER_OPENERS))
-    code = (F.col("pos") * 64 + F.col("cross").cast("int") * (
-        F.lit(1) + F.col("emotion") * 2 + F.col("quote") * 4 + F.col("enumeration") * 8 + F.col("controversy") * 16))
+    weak = opener & ((F.col("o_dangling") == 1) | F.coalesce("filler", F.lit(False)))
+    code = F.col("pos") * 64 + F.when(joined, F.lit(1) + F.col("x_emotion") * 2 + F.col("x_quote") * 4 + F.col("x_enumeration") * 8 + F.col("x_controversy") * 16).otherwise(0)
 
     def num(c):
         return c.cast("int")
 
+    def mine_of(c):
+        return F.when(mine, c).otherwise(0)
+
+    def all_of(r):
+        return F.col(f"o_{r}") + F.col(f"x_{r}")
+
+    def heard(r):
+        return F.col(f"o_{r}") + F.when(inside, F.col(f"x_{r}")).otherwise(0)
+
     flags = {
-        "target": target, "pos": F.col("pos"), "end": F.col("end"), "mine": mine,
-        "m_word": mine & word, "complete": F.col("complete"), "asks": F.col("asks"), "start": F.when(F.col("pos") == target, F.col("t_ms")),
-        "m_n_single": num(mine & single), "m_n_pair": num(mine & F.col("pair")),
-        "m_h_emotion": F.when(mine, F.col("emotion")).otherwise(0), "m_h_quote": F.when(mine, F.col("quote")).otherwise(0),
-        "m_h_enumeration": F.when(mine, F.col("enumeration")).otherwise(0),
-        "m_h_controversy": F.when(mine, F.col("controversy")).otherwise(0),
-        "m_digit": F.when(mine & word, F.col("digit")).otherwise(0),
-        "m_code": F.when(mine & (F.col("cross") | (word & (F.col("n_toks") > 0) & F.col("prev_tok_pos").isNull())), code),
-        "m_dang": num(mine & opener & (F.col("pos") == target) & (F.col("dangling") == 1)),
-        "m_mk": F.when(mine & F.col("marker"), F.col("pos")),
-        "g_n3": num(~mine & single), "g_n2": num(~mine & single & two), "g_words2": num(~mine & word & two),
-        "g_hooks": F.when(~mine & inside, F.col("hook")).otherwise(0), "g_you": F.when(~mine & inside, F.col("second_person")).otherwise(0),
+        "target": target, "pos": F.col("pos"), "end": F.col("end"), "m_word": mine, "complete": F.col("complete"), "asks": F.col("asks"),
+        "start": F.when(F.col("pos") == target, F.col("t_ms")),
+        "m_n_single": mine_of(F.col("n_toks")), "m_n_pair": mine_of(F.when(spoken, F.col("n_toks") - 1 + num(joined)).otherwise(0)),
+        "m_h_emotion": mine_of(all_of("emotion")), "m_h_quote": mine_of(all_of("quote")), "m_h_enumeration": mine_of(all_of("enumeration")),
+        "m_h_controversy": mine_of(all_of("controversy")), "m_digit": mine_of(F.col("digit")), "m_code": F.when(mine & spoken, code),
+        "m_dang": num(mine & opener & (F.col("pos") == target) & (F.col("o_dangling") == 1)), "m_mk": F.when(mine & F.col("marker"), F.col("pos")),
+        "g_n3": F.when(~mine, F.col("n_toks")).otherwise(0), "g_n2": F.when(~mine & two, F.col("n_toks")).otherwise(0), "g_words2": num(~mine & two),
+        "g_hooks": F.when(~mine, heard("hook")).otherwise(0), "g_you": F.when(~mine, heard("second_person")).otherwise(0),
         "g_q3": num(~mine & F.col("asks")), "g_num3": num(~mine & (F.col("digit") > 0)),
-        "g_early": num(~mine & early & (F.col("asks") | (F.col("digit") > 0) | (inside & (F.col("hook") + F.col("second_person") > 0)))),
-        "g_hook2": num(~mine & two & inside & (F.col("hook") > 0)), "g_you2": num(~mine & two & inside & (F.col("second_person") > 0)),
+        "g_early": num(~mine & early & (F.col("asks") | (F.col("digit") > 0) | (heard("hook") + heard("second_person") > 0))),
+        "g_hook2": num(~mine & two & (heard("hook") > 0)), "g_you2": num(~mine & two & (heard("second_person") > 0)),
         "g_q2": num(~mine & two & F.col("asks")), "g_num2": num(~mine & two & (F.col("digit") > 0)), "g_weak": num(~mine & two & weak)}
     flat = rows.select("media_id", *[c.alias(n) for n, c in flags.items()])
     sums = ["g_n3", "g_n2", "g_words2", "g_hooks", "g_you"]
