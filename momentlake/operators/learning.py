@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from momentlake.skew import durable, top_k
 
+STEP_ROWS = 100_000
+
 
 def _kept(label="label"):
     return F.col(label) >= 0.5
@@ -37,6 +39,7 @@ def logistic_importance(feedback: DataFrame, keys: Sequence[str], steps: int = 3
     """
     vec = F.array(*[F.coalesce(F.element_at("features", k), F.lit(0.0)).cast("double") for k in keys])
     d = durable(feedback.where("scope is not null").groupBy("scope", vec.alias("x"), _kept().cast("double").alias("y")).agg(F.sum("weight").alias("w")))
+    d = d.coalesce(-(-max(d.count(), 1) // STEP_ROWS))  # a step is short: no more tasks than its rows need
     m, totals = len(keys), sorted((r.scope, max(r.t or 0.0, 1e-9)) for r in d.groupBy("scope").agg(F.sum("w").alias("t")).collect())
     number, total = {s: i for i, (s, _) in enumerate(totals)}, np.array([[t] for _, t in totals])
     coef = np.zeros((len(totals), m + 1))
