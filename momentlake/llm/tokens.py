@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +32,7 @@ CHUNK_CHARS = 1 << 14
 OVERLAP_CHARS = 1 << 9
 CLOSING = (b".", b",", b";", b":", b"!", b"?")
 BLANKS = " \t\n\r\x0b\x0c"
+WORDS = re.compile(f"[^{BLANKS}]+")
 ALPHABET_STEPS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
 
 
@@ -207,22 +210,52 @@ def _encoder(path: str, overlap: int):
     """A chunk's tokens, and for each overlap flat triples (boundary, tokens beyond it to the chunk's end or before it,
     hash of the tokens from it to the last stable boundary both chunks can see)."""
     def encode(batches):
-        tok = memo_of(path).tokenizer
+        memo, width = memo_of(path), 2 * overlap
         for b in slices(batches, 16):
             out = []
-            for key, i, n, start, text in zip(*(b.column(c).to_pylist() for c in ("key", "i", "n", "start", "text")), strict=True):
-                e = tok.encode(text, add_special_tokens=False)
-                at, ids = [o[0] for o in e.offsets], e.ids
-                width = 2 * overlap
-                head = _boundaries(text, at, ids, start, 0, width, before=True) if i else []
-                tail = _boundaries(text, at, ids, start, len(text) - width, len(text), before=False) if i < n - 1 else []
-                out.append((key, i, n, len(ids), head, tail))
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("key", "i", "n", "start", "text")), strict=True))
+            # where blanks part tokens, words begin at stable boundaries and are known from the memo
+            whole = memo.encode([r[4].encode() for r in rows]) if memo.by_word else [None] * len(rows)
+            for (key, i, n, start, text), known in zip(rows, whole, strict=True):
+                if memo.by_word:
+                    size = len(known) // 4
+                    head = _word_boundaries(memo, text, start, 0, width, before=True) if i else []
+                    tail = _word_boundaries(memo, text, start, max(0, len(text) - width), len(text), before=False) if i < n - 1 else []
+                else:
+                    e = memo.tokenizer.encode(text, add_special_tokens=False)
+                    at, ids, size = [o[0] for o in e.offsets], e.ids, len(e.ids)
+                    head = _boundaries(text, at, ids, start, 0, width, before=True) if i else []
+                    tail = _boundaries(text, at, ids, start, len(text) - width, len(text), before=False) if i < n - 1 else []
+                out.append((key, i, n, size, head, tail))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "i", "n", "tokens", "head", "tail"])
     return encode
 
 
+def _word_boundaries(memo: WordMemo, text: str, start: int, lo: int, hi: int, before: bool) -> list[int]:
+    """As ``_boundaries`` for a tokenizer whose tokens cross no blank: a word begins at a stable boundary. The hash of the
+    words up to the last boundary is carried backwards from it."""
+    found = []
+    for m in WORDS.finditer(text, lo):
+        if m.start() >= hi:
+            break
+        found.append((m.start(), m.group().encode()))
+    if not found:
+        return []
+    ids = memo.encode([w for _, w in found])
+    sums = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).tolist()
+    inside = [k for k, (p, _) in enumerate(found) if lo < p]
+    triples: list[tuple[int, int, int]] = []
+    seen = 0
+    for k in reversed(inside):
+        p = start + found[k][0]
+        if k < inside[-1]:
+            seen = (seen * 6364136223846793005 + zlib.crc32(ids[k]) * 1442695040888963407 + p) & 0x7FFFFFFFFFFFFFFF
+        triples.append((p, sums[k] if before else sums[-1] - sums[k], seen))
+    return list(chain.from_iterable(reversed(triples)))
+
+
 def _boundaries(text: str, at: list[int], ids: list[int], start: int, lo: int, hi: int, before: bool) -> list[int]:
     """Stable boundaries in text[lo:hi]: a token begins there right after a blank. A hash covers the ids and places
     up to the last one, so two equal hashes are two equal encodings of what lies between."""
